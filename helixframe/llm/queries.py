@@ -11,8 +11,10 @@ from .bpe import op5_byte_bpe
 from .packing import op10_packing
 from .sharding import op2_virtual_slots
 from .simhash import op7_simhash
+from .toxicity import op1_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_virtual_slots": op2_virtual_slots,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_simhash": op7_simhash,
