@@ -38,13 +38,13 @@ LOOKALIKES = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i",
 }
 SEPARATORS = set(".-_*~'`^:/\\,;=#·​‌‍﻿ ")
-SWAP, STAY, DROP = math.log(0.5), math.log(0.1), math.log(0.2)  # of a look-alike: meant a letter, itself, nothing
+SWAP, STAY, DROP = math.log(0.95), math.log(0.005), math.log(0.001)  # of a look-alike: meant a letter, itself, nothing
 JOIN, SPLIT = math.log(0.5), math.log(0.5)  # of a separator: nothing was there, or a break
 SINGLE, DOUBLE = math.log(0.3), math.log(0.7)  # of a letter that repeats the one before it: dropped, kept
 STRETCHED = math.log(0.9)  # dropped, from the third on
 SPACED = re.compile(r"(?<!\S)[^\W_](?:[ .\-_*][^\W_]|[ .\-_*]?[@$!|+]){3,}(?!\S)|(?<!\S)\S(?: \S){3,}(?!\S)")
 PLAIN = re.compile(r"[^\W\d_]*\Z")
-STRETCH = re.compile(r"([^\W\d_])\1\1")
+STRETCH = re.compile(r"([^\W\d_])\1\1|(?:([^\W\d_])\2\w*?){3}")  # a letter three times, or three letters twice
 EDGE = re.compile(r"^[^\w@$!|+(<€£¡]+|[^\w@$€£]+$|^([!$@|+(<])\1+|([$@€£])\2+$")
 
 
@@ -129,9 +129,10 @@ class Scorer:
 
     def __init__(self, lm, lexicon: dict[str, float], fit: list[float], limit: int = 300_000):
         self.restorer, self.lexicon, self.fit, self.limit, self.hits = Restorer(lm), lexicon, fit, limit, {}
+        self.heads = {f[:3] for f in lexicon}
 
     def hit(self, token: str) -> tuple | None:
-        best = max(((self.lexicon[f], f) for w in self.restorer.words(token) for f in features(w) if f in self.lexicon), default=None)
+        best = max(((self.lexicon[f], f) for w in self.restorer.words(token) if w[:3] in self.heads for f in features(w) if f in self.lexicon), default=None)
         if len(self.hits) >= self.limit:
             self.hits.clear()
         self.hits[token] = best
