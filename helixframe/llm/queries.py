@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op5_byte_bpe
 from .packing import op10_packing
+from .quality import op3_quality
 from .sharding import op2_virtual_slots
 from .simhash import op7_simhash
 from .toxicity import op1_toxicity
@@ -16,6 +17,7 @@ from .toxicity import op1_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_virtual_slots": op2_virtual_slots,
+    "op3_quality": op3_quality,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_simhash": op7_simhash,
     "op10_packing": op10_packing,

@@ -38,7 +38,7 @@ LOOKALIKES = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i",
 }
 SEPARATORS = set(".-_*~'`^:/\\,;=#·​‌‍﻿ ")
-SWAP, STAY, DROP = math.log(0.95), math.log(0.005), math.log(0.001)  # of a look-alike: meant a letter, itself, nothing
+SWAP, STAY, DROP = math.log(0.95), math.log(0.005), math.log(1e-5)  # of a look-alike: meant a letter, itself, nothing
 JOIN, SPLIT = math.log(0.5), math.log(0.5)  # of a separator: nothing was there, or a break
 SINGLE, DOUBLE = math.log(0.3), math.log(0.7)  # of a letter that repeats the one before it: dropped, kept
 STRETCHED = math.log(0.9)  # dropped, from the third on
