@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op5_byte_bpe
 from .packing import op10_packing
+from .permutation_index import op6_permutations
 from .quality import op3_quality
 from .sharding import op2_virtual_slots
 from .simhash import op7_simhash
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_virtual_slots": op2_virtual_slots,
     "op3_quality": op3_quality,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_permutations": op6_permutations,
     "op7_simhash": op7_simhash,
     "op10_packing": op10_packing,
 }
