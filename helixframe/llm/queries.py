@@ -13,6 +13,7 @@ from .permutation_index import op6_permutations
 from .quality import op3_quality
 from .sharding import op2_virtual_slots
 from .simhash import op7_simhash
+from .suffix_dedup import op9_repeated_passages
 from .toxicity import op1_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_permutations": op6_permutations,
     "op7_simhash": op7_simhash,
+    "op9_repeated_passages": op9_repeated_passages,
     "op10_packing": op10_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
