@@ -71,13 +71,13 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Codec:
-    """Encoder and decoder for one rank file and pattern."""
+    """Encoder and decoder for one table of ranks and pattern."""
 
-    def __init__(self, rank_file: str, pattern: str, chunk: int = CHUNK, long_piece: int = LONG_PIECE):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, chunk: int = CHUNK, long_piece: int = LONG_PIECE):
         import regex
         import tiktoken
 
-        self.ranks, self.chunk, self.long_piece = read_ranks(rank_file), chunk, long_piece
+        self.ranks, self.chunk, self.long_piece = ranks, chunk, long_piece
         self.pattern = regex.compile(pattern)
         self.lib = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
         self.space_run = regex.compile(rf"\s{{{long_piece // 4}}}")
@@ -105,7 +105,7 @@ class Codec:
 
 @functools.cache
 def codec(rank_file: str, pattern: str) -> Codec:
-    return Codec(rank_file, pattern)
+    return Codec(read_ranks(rank_file), pattern)
 
 
 def encode_documents(docs: DataFrame, rank_file: str, pattern: str, ids: bool = True) -> DataFrame:

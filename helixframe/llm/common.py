@@ -24,6 +24,11 @@ def _remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def _remove_quietly(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone
+        _remove(spark, path)
+
+
 class Scratch:
     """Written tables that cut lineage; they outlive lost executors.
 
@@ -45,11 +50,17 @@ class Scratch:
             _remove(self.spark, f"{self.root}/{name}")
 
 
+def keep(scratch: Scratch) -> None:
+    """Spares a folder until the interpreter ends."""
+    _MADE.remove((scratch.spark, scratch.root))
+    atexit.register(_remove_quietly, scratch.spark, scratch.root)
+
+
 @atexit.register
-def _sweep() -> None:
-    for spark, root in _MADE:
-        with contextlib.suppress(Exception):  # the session may be gone
-            _remove(spark, root)
+def sweep() -> None:
+    """Removes all scratch tables; for when no result that reads them is still to be written."""
+    while _MADE:
+        _remove_quietly(*_MADE.pop())
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, documents
-from .toxicity import MAX_ROWS, held_out, labelled
+from .toxicity import MAX_ROWS, held_out, labelled, with_score
 
 BUCKETS = 1 << 13
 DIMS = 32
@@ -220,31 +220,13 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_rows: int =
     return Scorer(vectors, network, float(base))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, scratch: Scratch | None = None) -> DataFrame:
-    """All columns of docs, and quality: the probability of label 1."""
+def score_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, scratch: Scratch | None = None, name: str = "quality_score") -> DataFrame:
+    """All columns of docs and, under ``name``, the probability of label 1."""
     scorer = train(docs, labels, scratch or Scratch(docs.sparkSession, "quality"), max_rows)
-    at = docs.columns.index("text")
-
-    def run(batches):
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                score = scorer.score([t or "" for t in part.column(at).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score, pa.float64())], names=[*part.schema.names, "quality_score"])
-
-    return docs.mapInArrow(run, docs.schema.add("quality_score", "double"))
+    return with_score(docs, name, scorer.score)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).selectExpr("cast(doc_id as long) as doc_id", "text")
-    scorer = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), Scratch(spark, "quality"))
-
-    def run(batches):
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                score = scorer.score([t or "" for t in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score, pa.float64())], names=["doc_id", "score"])
-
-    out = docs.mapInArrow(run, "doc_id long, score double")
+    out = score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), name="score")
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -49,15 +49,16 @@ def fingerprint(text: bytes, width: int = WIDTH) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a signed long)."""
+    """doc_id, th (a hash of the text) and fp (the fingerprint's bits as a signed long)."""
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
+            texts = batch.column(2).cast(pa.binary())
             fp = np.fromiter((fingerprint(t.as_py() or b"", width) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view(np.int64))], names=["doc_id", "th", "fp"])
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    return own.mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def segment_bounds(segments: int) -> list[tuple[int, int]]:
@@ -133,19 +134,29 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS) ->
 
 
 def simhash_components(docs: DataFrame, width: int = WIDTH, max_bits: int = MAX_BITS, segments: int = SEGMENTS, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, fp, component_id: components of documents whose fingerprints differ by max_bits at most."""
+    """doc_id, th, fp, first: components of documents whose fingerprints differ by max_bits at most. ``first`` is the
+    component's smallest (doc_id, th), null ids last."""
     scratch = scratch or Scratch(docs.sparkSession, "simhash")
     rows = scratch.save(fingerprints(docs, width), "fp")
-    own = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    own = rows.groupBy("fp").agg(F.min(key).alias("first"))
     edges = scratch.save(links(own.select("fp"), max_bits, segments), "links")
     comp = connected_components(edges, scratch)
     joined = own.join(comp.withColumnRenamed("id", "fp"), "fp")
-    least = joined.groupBy("component").agg(F.min("first").alias("component_id"))
-    linked = scratch.save(joined.join(least, "component").select("fp", "component_id"), "linked")
-    known = own.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return rows.join(known, "fp").select("doc_id", "fp", "component_id")
+    least = joined.groupBy("component").agg(F.min("first").alias("least"))
+    linked = scratch.save(joined.join(least, "component").select("fp", "least"), "linked")
+    known = own.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("first"))
+    return rows.join(known, "fp").select("doc_id", "th", "fp", "first")
+
+
+def one_of_each(docs: DataFrame, width: int = WIDTH, max_bits: int = MAX_BITS, segments: int = SEGMENTS, scratch: Scratch | None = None) -> DataFrame:
+    """The first document of each component, with all columns; of repeated rows one."""
+    kept = simhash_components(docs, width, max_bits, segments, scratch).select("first.doc_id", "first.th").distinct()
+    own = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("th"), F.col("doc_id").cast("long").alias("id"))
+    same = own["id"].eqNullSafe(kept["doc_id"]) & (own["th"] == kept["th"])
+    return own.join(kept, same, "left_semi").dropDuplicates(["id", "th"]).select("row.*")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_components(documents(spark, sf_dir))
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first.doc_id").alias("component_id"))

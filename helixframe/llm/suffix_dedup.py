@@ -342,25 +342,26 @@ def copies(docs: DataFrame, length: int) -> DataFrame:
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, scratch: Scratch | None = None) -> DataFrame:
     """docs with repeated words cut out of the texts; documents of which nothing is left go, repeated rows too."""
     scratch = scratch or Scratch(docs.sparkSession, "suffixes")
-    names, schema = docs.columns, docs.schema
+    schema, at = docs.schema, docs.columns.index("text")
     spans = repeated_spans(docs, length, gram, scratch=scratch).groupBy("doc", "th").agg(F.collect_list(F.struct("start", "end")).alias("cut"))
     gone = copies(docs, length).select("doc", "th")
-    at = names.index("text")
-    own = with_keys(docs).dropDuplicates(["doc", "th"]).join(gone, ["doc", "th"], "left_anti").join(spans, ["doc", "th"], "left").select(*names, "cut")
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id"), F.col("text"))
+    own = with_keys(keyed).select("row", "doc", "th").dropDuplicates(["doc", "th"])
+    own = own.join(gone, ["doc", "th"], "left_anti").join(spans, ["doc", "th"], "left").select("row", "cut")
 
     def run(batches):
         for batch in batches:
+            cols = batch.column(0).flatten()
             out, keep = [], []
-            for text, cut in zip(batch.column(at), batch.column(len(names))):
+            for text, cut in zip(cols[at], batch.column(1)):
                 spans = cut.as_py()
                 out.append(without(text.as_py(), [(c["start"], c["end"]) for c in spans]) if spans else text.as_py())
                 keep.append(not spans or bool(out[-1].strip()))
-            cols = list(batch.columns[: len(names)])
             cols[at] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(cols, names=schema.names).filter(pa.array(keep, pa.bool_()))
 
     out = own.mapInArrow(run, schema)
-    return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in names else out
+    return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .charlm import FIRST_HIGH, LAST_HIGH, OTHER, log_model, trigram_counts
 from .common import Scratch, documents
@@ -217,31 +218,30 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_rows: int =
     return scorer
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, scratch: Scratch | None = None) -> DataFrame:
-    """All columns of docs, and toxicity: the probability of label 1."""
+def score_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, scratch: Scratch | None = None, name: str = "toxicity") -> DataFrame:
+    """All columns of docs and, under ``name``, the probability of label 1."""
     scorer = train(docs, labels, scratch or Scratch(docs.sparkSession, "toxicity"), max_rows)
-    return _scored(docs, scorer)
+    return with_score(docs, name, lambda texts: [scorer.score(t) for t in texts])
 
 
-def _scored(docs: DataFrame, scorer: Scorer) -> DataFrame:
+def with_score(docs: DataFrame, name: str, score) -> DataFrame:
+    """docs with one more column, a score of the texts; a column of that name would be replaced."""
+    docs = docs.drop(name)
     at = docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
-            score = [scorer.score(t.as_py() or "") for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*batch.schema.names, "toxicity"])
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                got = score([t or "" for t in part.column(at).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.float64())], names=[*part.schema.names, name])
 
-    schema = docs.schema.add("toxicity", "double") if "toxicity" not in docs.columns else docs.schema
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).selectExpr("cast(doc_id as long) as doc_id", "text")
     scorer = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), Scratch(spark, "toxicity"))
 
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([scorer.score(t.as_py() or "") for t in batch.column(1)], pa.float64())], names=["doc_id", "score"])
-
-    out = docs.mapInArrow(run, "doc_id long, score double")
+    out = with_score(docs, "score", lambda texts: [scorer.score(t) for t in texts])
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
