@@ -1,5 +1,4 @@
-"""The queries of this subpackage. No operator here can be stated in SQL as a whole; tests/llm holds each against a
-brute-force version."""
+"""The queries of this subpackage. SQL can state the fourth; tests/llm holds the others against brute force."""
 
 from __future__ import annotations
 
@@ -15,15 +14,17 @@ from .sharding import op2_virtual_slots
 from .simhash import op7_simhash
 from .suffix_dedup import op9_repeated_passages
 from .toxicity import op1_toxicity
+from .voronoi_knn import OP4_SQL, op4_voronoi
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_virtual_slots": op2_virtual_slots,
     "op3_quality": op3_quality,
+    "op4_voronoi": op4_voronoi,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_permutations": op6_permutations,
     "op7_simhash": op7_simhash,
     "op9_repeated_passages": op9_repeated_passages,
     "op10_packing": op10_packing,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_voronoi": OP4_SQL}
