@@ -32,29 +32,48 @@ def symbols(text: str) -> np.ndarray:
     return symbol_table()[np.minimum(points, 0x2FFF)]
 
 
-def trigram_counts(docs: DataFrame) -> np.ndarray:
-    """Counts [a, b, c] over all texts. Each task adds up its own; at most SYMBOLS ** 3 sums reach the driver."""
+def count_trigrams(texts: list[str], total: np.ndarray) -> None:
+    """Adds the texts' trigrams to ``total``, a few million characters at a time."""
+    part, length = [], 0
+    for i, text in enumerate(texts):
+        part.append(text)
+        length += len(text)
+        if length > 2_000_000 or i + 1 == len(texts):
+            s = symbols("\n\n" + "\n\n".join(part) + "\n\n")
+            total += np.bincount((s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:], minlength=len(total))
+            part, length = [], 0
+
+
+def trigram_counts_by(docs: DataFrame, key: str) -> dict[str, np.ndarray]:
+    """Counts [a, b, c] over all texts of each value of ``key`` that isn't null. Each task adds up its own; at most
+    SYMBOLS ** 3 sums a value reach the driver."""
     size = SYMBOLS**3
 
     def run(batches):
-        total = np.zeros(size, np.int64)
+        totals: dict[str, np.ndarray] = {}
         for batch in batches:
-            part, length = [], 0
-            for t in [*batch.column(0), None]:
-                text = "" if t is None else t.as_py() or ""
-                part.append(text)
-                length += len(text)
-                if length > 2_000_000 or t is None:
-                    s = symbols("\n\n" + "\n\n".join(part) + "\n\n")
-                    total += np.bincount((s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:], minlength=size)
-                    part, length = [], 0
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["code", "n"])
-
-    out = np.zeros(size, np.int64)
-    rows = docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
-    out[rows["code"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
-    return out.reshape(SYMBOLS, SYMBOLS, SYMBOLS)
+            own: dict[str, list[str]] = {}
+            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own.setdefault(k, []).append(text or "")
+            for k, texts in own.items():
+                count_trigrams(texts, totals.setdefault(k, np.zeros(size, np.int64)))
+        for k, total in totals.items():
+            found = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(found), pa.string()), pa.array(found), pa.array(total[found])], names=["key", "code", "n"])
+
+    own = docs.select(F.col(key).cast("string").alias("key"), "text").where("key is not null")
+    rows = own.mapInArrow(run, "key string, code long, n long").groupBy("key", "code").agg(F.sum("n").alias("n")).toPandas()
+    out: dict[str, np.ndarray] = {}
+    for k, part in rows.groupby("key"):
+        out[k] = np.zeros(size, np.int64)
+        out[k][part["code"].to_numpy(np.int64)] = part["n"].to_numpy(np.int64)
+    return {k: v.reshape(SYMBOLS, SYMBOLS, SYMBOLS) for k, v in sorted(out.items())}
+
+
+def trigram_counts(docs: DataFrame) -> np.ndarray:
+    """Counts [a, b, c] over all texts."""
+    found = trigram_counts_by(docs.select("text", F.lit("").alias("all")), "all")
+    return found.get("", np.zeros((SYMBOLS,) * 3, np.int64))
 
 
 def log_model(counts: np.ndarray, keep: float = 4.0) -> np.ndarray:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op5_byte_bpe
+from .language import op8_language
 from .packing import op10_packing
 from .permutation_index import op6_permutations
 from .quality import op3_quality
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_permutations": op6_permutations,
     "op7_simhash": op7_simhash,
+    "op8_language": op8_language,
     "op9_repeated_passages": op9_repeated_passages,
     "op10_packing": op10_packing,
 }
