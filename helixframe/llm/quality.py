@@ -1,9 +1,8 @@
 """Quality of documents: random-indexing word vectors, pooled, and a two-layer network with calibrated probabilities.
 
-Each token gives up to four words: its text, its shape, and marks for a token that repeats the one before it or one
-seen earlier in the document. Words hash into ``BUCKETS`` rows. Every row has a fixed sparse random index vector; a
-word's vector is the sum of the index vectors found near it in all texts. A document is the mean of its words'
-vectors and of their index vectors. The network is fitted on a bounded sample (at most ``max_rows`` labelled rows,
+Each token gives a text and a shape, and marks for one that repeats the one before it or one seen earlier in the
+document. All hash into ``BUCKETS`` rows. Every row has a fixed sparse random index vector; a word's vector is the sum
+of the index vectors found near it in all texts. A document is the means of its words' vectors. The network is fitted on a bounded sample (at most ``max_rows`` labelled rows,
 those with the smallest hashes); a part of it is kept back to set the temperature.
 
 Edge cases: a null or empty text pools to zeros and gets the network's value there; repeated rows score alike; null
@@ -21,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, documents
+from .hashing import mix, word_hashes
 from .toxicity import MAX_ROWS, held_out, labelled, with_score
 
 BUCKETS = 1 << 13
@@ -28,13 +28,7 @@ DIMS = 32
 NONZERO = 4
 REACH = 2
 HIDDEN = 32
-_MEMORY = 400_000
-
-
-def _bucket(word: str) -> int:
-    from xxhash import xxh32_intdigest
-
-    return xxh32_intdigest(word) % (BUCKETS - 2) + 2
+WIDTH = 7 * DIMS  # of a pooled document
 
 
 AGAIN, SEEN = 0, 1  # buckets of the marks
@@ -50,39 +44,48 @@ def index_vectors() -> np.ndarray:
     return out
 
 
-def shape(token: str) -> str:
-    """Letters become a or A, digits 0, runs shrink to one sign; other signs stay."""
-    signs = ["0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in token]
-    return "".join(c for i, c in enumerate(signs) if i == 0 or c != signs[i - 1])
-
-
-class Words(dict):
-    """The bucket of a token's text and of its shape, in one number."""
-
-    def __missing__(self, token: str) -> int:
-        if len(self) >= _MEMORY:
-            self.clear()
-        core = token.lower().strip(".,;:!?*#%&$|\"'()")
-        out = self[token] = _bucket(core) * BUCKETS + _bucket("\0" + shape(token))
-        return out
-
-
-@functools.cache
-def _words() -> Words:
-    return Words()
-
-
-def word_ids(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets in order, text and shape by turns, and the marks."""
-    words, parts = _words(), text.split()
-    both = np.fromiter((words[p] for p in parts), np.int64, len(parts))
-    ids = np.empty(2 * len(both), np.int64)
-    ids[0::2], ids[1::2] = both // BUCKETS, both % BUCKETS
-    if len(both) < 2:
-        return ids, np.empty(0, np.int64)
-    again = int((both[1:] == both[:-1]).sum())
-    seen = len(both) - len(np.unique(both))
-    return ids, np.concatenate((np.full(again, AGAIN), np.full(seen, SEEN)))
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """For each byte: its lower case for the text of a word (0 for signs, which are left out), and its kind for the
+    shape. Bytes of other scripts are small letters."""
+    low, kind = np.arange(256, dtype=np.uint8), np.arange(256, dtype=np.uint8)
+    for b in range(128):
+        c = chr(b)
+        blank = b == 32 or 9 <= b <= 13
+        low[b] = 32 if blank else ord(c.lower()) if c.isalnum() else 0
+        kind[b] = 32 if blank else 97 if c.islower() else 65 if c.isupper() else 48 if c.isdigit() else b
+    kind[128:] = 97
+    return low, kind
+
+
+LOW, KIND = _tables()
+
+
+def word_ids(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of the words' texts and of their shapes (kinds of signs, runs shrunk to one), in order."""
+    b = np.frombuffer(text, np.uint8)
+    low = LOW[b]
+    kind = KIND[b]
+    kind = kind[np.concatenate((kind[:1] > 0, kind[1:] != kind[:-1]))]
+    bucket = lambda h, salt: ((h ^ np.uint64(salt)) % np.uint64(BUCKETS - 2)).astype(np.int64) + 2
+    return bucket(word_hashes(low[low > 0]), 0), bucket(mix(word_hashes(kind)), 1)
+
+
+def add_contexts(ids: np.ndarray, total: np.ndarray) -> None:
+    """Adds to each word's row the index vectors of the words within reach; -1 stands between documents."""
+    index = np.concatenate((index_vectors(), np.zeros((1, DIMS), np.float32)))  # the last row is for -1
+    edge = np.full(REACH, -1)
+    wide = np.concatenate((edge, ids, edge))
+    n = len(ids)
+    context = np.zeros((n, DIMS), np.float32)
+    for d in range(-REACH, REACH + 1):
+        if d:
+            context += index[wide[REACH + d : REACH + d + n]]
+    order = np.argsort(ids.astype(np.int16), kind="stable")  # a radix sort
+    key = ids[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    sums = np.add.reduceat(context[order], first, axis=0)
+    own = key[first] >= 0
+    total[key[first][own]] += sums[own]
 
 
 def context_sums(docs: DataFrame) -> np.ndarray:
@@ -90,30 +93,13 @@ def context_sums(docs: DataFrame) -> np.ndarray:
     before the driver takes the BUCKETS totals."""
 
     def run(batches):
-        index = index_vectors()
         total = np.zeros((BUCKETS, DIMS), np.float64)
         for batch in batches:
-            texts, held = [], 0
-            for t in [*batch.column(0), None]:
-                text = "" if t is None else t.as_py() or ""
-                texts.append(text)
-                held += len(text)
-                if held > 400_000 or t is None:
-                    found = [word_ids(x)[0] for x in texts]
-                    gap = np.full(2 * REACH, -1)  # no contexts across documents
-                    ids = np.concatenate([x for f in found for x in (f, gap)])
-                    vecs = np.where((ids >= 0)[:, None], index[ids], 0)
-                    run_sum = np.concatenate((np.zeros((1, DIMS), np.float32), np.cumsum(vecs, 0, dtype=np.float64)))
-                    n = len(ids)
-                    lo, hi = np.maximum(np.arange(n) - 2 * REACH, 0), np.minimum(np.arange(n) + 2 * REACH + 1, n)
-                    context = run_sum[hi] - run_sum[lo] - vecs
-                    own = ids >= 0
-                    order = np.argsort(ids[own], kind="stable")
-                    key = ids[own][order]
-                    if len(key):
-                        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-                        total[key[first]] += np.add.reduceat(context[own][order], first, axis=0)
-                    texts, held = [], 0
+            for at in range(0, batch.num_rows, 32):
+                parts = [word_ids(t.as_py() or b"") for t in batch.column(0).slice(at, 32).cast(pa.binary())]
+                gap = np.full(REACH, -1)
+                for k in (0, 1):
+                    add_contexts(np.concatenate([x for p in parts for x in (p[k], gap)]), total)
         rows = np.flatnonzero(np.abs(total).sum(1))
         flat = pa.FixedSizeListArray.from_arrays(pa.array(total[rows].ravel()), DIMS).cast(pa.list_(pa.float64()))
         yield pa.RecordBatch.from_arrays([pa.array(rows), flat], names=["bucket", "v"])
@@ -134,15 +120,18 @@ def word_vectors(sums: np.ndarray) -> np.ndarray:
     return np.concatenate((unit, index_vectors() / np.sqrt(NONZERO)), axis=1).astype(np.float32)
 
 
-def pool(text: str, vectors: np.ndarray) -> np.ndarray:
-    """Means over words, and over marks against the number of tokens."""
-    ids, marks = word_ids(text)
-    if not len(ids):
-        return np.zeros(4 * vectors.shape[1], np.float32)
-    n = len(ids) / 2
-    mean = [vectors[ids[k::2]].mean(0) for k in (0, 1)]
-    counts = np.bincount(marks, minlength=2)[:2] / n
-    return np.concatenate((*mean, counts[0] * vectors[AGAIN], counts[1] * vectors[SEEN]))
+def pool(text: bytes, vectors: np.ndarray) -> np.ndarray:
+    """The mean context vector of the words' texts, the mean of both vectors of their shapes, and the marks' vectors
+    by their shares among the words."""
+    words, shapes = word_ids(text)
+    out = np.zeros(WIDTH, np.float32)
+    if len(words):
+        out[:DIMS] = vectors[words, :DIMS].mean(0)
+        out[3 * DIMS : 5 * DIMS] = (words[1:] == words[:-1]).sum() / len(words) * vectors[AGAIN]
+        out[5 * DIMS :] = (1 - len(np.unique(words)) / len(words)) * vectors[SEEN]
+    if len(shapes):
+        out[DIMS : 3 * DIMS] = vectors[shapes].mean(0)
+    return out
 
 
 class Network:
@@ -196,18 +185,17 @@ class Scorer:
     def score(self, texts: list[str]) -> np.ndarray:
         if not texts or self.network is None:
             return np.full(len(texts), self.base)
-        return self.network.probability(np.stack([pool(t, self.vectors) for t in texts]))
+        return self.network.probability(np.stack([pool(t.encode(), self.vectors) for t in texts]))
 
 
 def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_rows: int = MAX_ROWS) -> Scorer:
     vectors = word_vectors(context_sums(docs))
     sample = scratch.save(labelled(docs, labels, "quality", max_rows).repartition(12), "quality-sample")
-    width = 4 * vectors.shape[1]
 
     def pooled(batches):
         for batch in batches:
-            x = np.array([pool(t or "", vectors) for t in batch.column(0).to_pylist()], np.float32).reshape(-1, width)
-            yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), width).cast(pa.list_(pa.float32())), batch.column(1)], names=["x", "y"])
+            x = np.array([pool((t or "").encode(), vectors) for t in batch.column(0).to_pylist()], np.float32).reshape(-1, WIDTH)
+            yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), WIDTH).cast(pa.list_(pa.float32())), batch.column(1)], names=["x", "y"])
 
     rows = sample.mapInArrow(pooled, "x array<float>, y int").toPandas()  # at most max_rows
     y = rows["y"].to_numpy(np.float64)
@@ -215,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_rows: int =
     if not 0 < y.sum() < len(y):
         return Scorer(vectors, None, float(base))
     order = np.lexsort(np.stack(rows["x"].to_numpy()).T[:4])  # whatever order the rows came in
-    network = Network(width)
+    network = Network(WIDTH)
     network.fit(np.stack(rows["x"].to_numpy())[order].astype(np.float64), y[order])
     return Scorer(vectors, network, float(base))
 

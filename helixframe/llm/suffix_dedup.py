@@ -29,48 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, documents
+from .hashing import BASE, mix, word_hashes, words_of
 
 LENGTH = 50
 GRAM = 10
 CROWD = 20_000  # suffixes of one hash that a task takes
 NO_ID = (1 << 63) - 1
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse, by doubling."""
-    for i, base in enumerate((_BASE, _INVERSE)):
-        while len(_POWERS[i]) < n:
-            have = len(_POWERS[i])
-            _POWERS[i] = np.concatenate((_POWERS[i], _POWERS[i] * np.uint64(pow(base, have, 1 << 64))))
-    return _POWERS
-
-
-def mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def words_of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of each word."""
-    b = np.frombuffer(text, np.uint8)
-    inside = np.concatenate(([False], ~((b == 32) | ((b >= 9) & (b <= 13))), [False]))
-    edge = np.flatnonzero(inside[1:] != inside[:-1])
-    return edge[0::2], edge[1::2]
-
-
-def word_hashes(text: bytes) -> np.ndarray:
-    """64 bits for each word: differences of one running polynomial over the bytes."""
-    b = np.frombuffer(text, np.uint8)
-    if not len(b):
-        return np.empty(0, np.uint64)
-    start, end = words_of(text)
-    power, inverse = _powers(len(b) + 1)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power[: len(b)], dtype=np.uint64)))
-    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
 def gram_hashes(words: np.ndarray, gram: int) -> np.ndarray:
@@ -78,7 +42,7 @@ def gram_hashes(words: np.ndarray, gram: int) -> np.ndarray:
     n = len(words) - gram + 1
     out, same = np.zeros(n, np.uint64), np.ones(n, bool)
     for i in range(gram):
-        out = out * np.uint64(_BASE) + words[i : i + n]
+        out = out * np.uint64(BASE) + words[i : i + n]
         same &= words[i : i + n] == words[:n]
     return (mix(out) >> np.uint64(1)) | (same.astype(np.uint64) << np.uint64(63))
 
@@ -223,7 +187,7 @@ def compare(table: pa.Table, length: int, gram: int) -> tuple[dict, np.ndarray]:
     opens = np.zeros(n, bool)
     for o in range(left + 1):
         if o:
-            before = mix(before * np.uint64(_BASE) + words[:, o - 1].astype(np.uint64) + np.uint64(1))
+            before = mix(before * np.uint64(BASE) + words[:, o - 1].astype(np.uint64) + np.uint64(1))
         run_of = np.empty(n, np.int64)
         run_of[order] = np.concatenate(([0], np.cumsum(common < length - o)))
         here = np.flatnonzero((lo <= o) & (o <= hi))
