@@ -31,40 +31,63 @@ def _join(a: Column, b: Column) -> Column:
     return F.when(both != 0, both).otherwise(a.bitwiseOR(b))
 
 
+def _settle(df: DataFrame, fresh: dict[str, Column]) -> DataFrame:
+    """Adds columns behind a generator of one row. Projections are not merged across it, so expressions that are used
+    several times by the next level stay one each; a deep tree would double them at every level."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in fresh.items())))))
+
+
+def _levels(tree: Flat) -> tuple[list[list[int]], list[list[int]]]:
+    """Nodes by height over their leaves, and by depth below the root."""
+    n = len(tree.parent)
+    height, depth = [0] * n, [0] * n
+    for i in reversed(range(n)):
+        height[i] = 1 + max(height[c] for c in tree.children[i]) if tree.children[i] else 0
+    for i in range(1, n):
+        depth[i] = depth[tree.parent[i]] + 1
+    return [[[i for i in range(n) if of[i] == k] for k in range(max(of) + 1)] for of in (height, depth)]
+
+
 def states(matrix: DataFrame, tree: Flat) -> DataFrame:
     """Adds s0, s1, ...: each node's set of states. Children are joined in their order; ``unions`` counts the joins
     that had nothing in common, which is the parsimony score where every node has two children."""
     unions = F.lit(0)
-    for i in reversed(range(len(tree.parent))):
-        if tree.column[i] >= 0:
-            matrix = matrix.withColumn(f"s{i}", _mask(F.col("taxa")[tree.column[i]]))
-            continue
-        cur = F.col(f"s{tree.children[i][0]}")
-        for c in tree.children[i][1:]:
-            unions = unions + (cur.bitwiseAND(F.col(f"s{c}")) == 0).cast("int")
-            cur = _join(cur, F.col(f"s{c}"))
-        matrix = matrix.withColumn(f"s{i}", cur)
+    for level in _levels(tree)[0]:
+        fresh = {}
+        for i in level:
+            if not tree.children[i]:
+                fresh[f"s{i}"] = _mask(F.col("taxa")[tree.column[i]])
+                continue
+            cur = F.col(f"s{tree.children[i][0]}")
+            for c in tree.children[i][1:]:
+                unions = unions + (cur.bitwiseAND(F.col(f"s{c}")) == 0).cast("int")
+                cur = _join(cur, F.col(f"s{c}"))
+            fresh[f"s{i}"] = cur
+        matrix = _settle(matrix, fresh)
     return matrix.withColumn("unions", unions)
 
 
 def resolve(matrix: DataFrame, tree: Flat) -> DataFrame:
     """Adds changes, an array of (branch, old, new), and ambiguous, the number of points that couldn't be resolved: the
     root, or nodes with several states none of which is the parent's; their subtrees are left."""
+    keep = [*matrix.columns, "unions"]
     out = states(matrix, tree)
     one = lambda c: F.bit_count(c) == 1
-    out = out.withColumn("alive0", one(F.col("s0"))).withColumn("x0", F.col("s0"))
     ambiguous = F.when(one(F.col("s0")), 0).otherwise(1)
+    out = _settle(out, {"alive0": one(F.col("s0")), "x0": F.col("s0")})
     changes = []
-    for i in range(1, len(tree.parent)):
-        p = tree.parent[i]
-        own, parent, alive = F.col(f"s{i}"), F.col(f"x{p}"), F.col(f"alive{p}")
-        inside = own.bitwiseAND(parent) != 0
-        ambiguous = ambiguous + F.when(alive & ~inside & ~one(own), 1).otherwise(0)
-        branch = f"{tree.label[p]}→{tree.label[i]}"
-        changes.append(F.when(alive & ~inside & one(own), F.struct(F.lit(branch).alias("branch"), _letter(parent).alias("old"), _letter(own).alias("new"))))
-        out = out.withColumn(f"alive{i}", alive & (inside | one(own))).withColumn(f"x{i}", F.when(inside, parent).otherwise(own))
-    out = out.withColumn("changes", F.array_compact(F.array(*changes))).withColumn("ambiguous", ambiguous)
-    return out.drop(*(f"{k}{i}" for k in ("s", "x", "alive") for i in range(len(tree.parent))))
+    for level in _levels(tree)[1][1:]:
+        fresh = {}
+        for i in level:
+            p = tree.parent[i]
+            own, parent, alive = F.col(f"s{i}"), F.col(f"x{p}"), F.col(f"alive{p}")
+            inside = own.bitwiseAND(parent) != 0
+            ambiguous = ambiguous + F.when(alive & ~inside & ~one(own), 1).otherwise(0)
+            branch = f"{tree.label[p]}→{tree.label[i]}"
+            changes.append(F.when(alive & ~inside & one(own), F.struct(F.lit(branch).alias("branch"), _letter(parent).alias("old"), _letter(own).alias("new"))))
+            fresh |= {f"alive{i}": alive & (inside | one(own)), f"x{i}": F.when(inside, parent).otherwise(own)}
+        out = _settle(out, fresh)
+    return out.select(*keep, F.array_compact(F.array(*changes)).alias("changes"), ambiguous.alias("ambiguous"))
 
 
 def branch_mutations(resolved: DataFrame) -> DataFrame:

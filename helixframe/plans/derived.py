@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 LENGTH = 25
 
 
+P = 2147483647
+
+
 def h(x: str, salt: str | int) -> str:
-    """A number below 2^31 - 1, in SQL."""
-    return f"(((({x}) * 48271 + ({salt}) * 7919) % 2147483647) * 48271 % 2147483647)"
+    """A number below 2^31 - 1, in SQL: squared between two linear steps, so that neighbours differ."""
+    y = f"((({x}) * 48271 + ({salt}) * 7919) % {P})"
+    return f"(({y} * {y} % {P}) * 48271 % {P})"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -148,7 +148,7 @@ def _n_runs(spark, sf) -> DataFrame:
 
 @query("genome_stats", f"""WITH {_FRAGMENTS}, {_NMASK}, hits AS (SELECT f.chrom, f.start, count(p) AS masked FROM frags f LEFT JOIN nruns n ON n.chrom = f.chrom AND n.p BETWEEN f.start AND f.end_ GROUP BY f.chrom, f.start)
   SELECT (SELECT count(*) FROM c) AS contigs, (SELECT CAST(sum(length(seq)) AS BIGINT) FROM c) AS total_bp, (SELECT count(*) FROM nruns) AS masked_bp,
-    (SELECT count(*) FROM nruns n WHERE NOT EXISTS (SELECT 1 FROM nruns m WHERE m.chrom = n.chrom AND m.p = n.p - 1)) AS n_intervals,
+    (SELECT count(*) FROM (SELECT p, lag(p) OVER (PARTITION BY chrom ORDER BY p) AS q FROM nruns) WHERE q IS NULL OR q < p - 1) AS n_intervals,
     (SELECT count(*) FROM hits WHERE masked / 150.0 < 0.2) AS fragments_written, (SELECT count(*) FROM hits WHERE masked / 150.0 >= 0.2) AS fragments_skipped""")
 def genome_stats(spark, sf):
     contigs, mask = D.contigs(spark, sf), _n_runs(spark, sf)
@@ -338,9 +338,9 @@ def masked_gaps(spark, sf):
     return _scan(spark, sf, mask=_mask(spark, sf)).where("gap").groupBy("chrom").agg(F.count(F.lit(1)).alias("n"))
 
 
-FIVE = f"""{LINES}, five AS (SELECT m.chrom, m.pos, a.ref || b.ref || m.ref || c.ref || d.ref AS ref5, m.base_1 AS t1, m.base_2 AS t2 FROM lines m
-  JOIN lines a ON a.chrom = m.chrom AND a.pos = m.pos - 2 JOIN lines b ON b.chrom = m.chrom AND b.pos = m.pos - 1 JOIN lines c ON c.chrom = m.chrom AND c.pos = m.pos + 1 JOIN lines d ON d.chrom = m.chrom AND d.pos = m.pos + 2
-  WHERE m.qc IS NULL AND a.qc IS NULL AND b.qc IS NULL AND c.qc IS NULL AND d.qc IS NULL AND a.ref || b.ref || c.ref || d.ref = a.base_1 || b.base_1 || c.base_1 || d.base_1 AND a.ref || b.ref || c.ref || d.ref = a.base_2 || b.base_2 || c.base_2 || d.base_2)"""
+FIVE = f"""{LINES}, mid AS MATERIALIZED (SELECT * FROM lines WHERE qc IS NULL), flank AS MATERIALIZED (SELECT * FROM mid WHERE ref = base_1 AND ref = base_2),
+  five AS (SELECT m.chrom, m.pos, a.ref || b.ref || m.ref || c.ref || d.ref AS ref5, m.base_1 AS t1, m.base_2 AS t2 FROM mid m
+  JOIN flank a ON a.chrom = m.chrom AND a.pos = m.pos - 2 JOIN flank b ON b.chrom = m.chrom AND b.pos = m.pos - 1 JOIN flank c ON c.chrom = m.chrom AND c.pos = m.pos + 1 JOIN flank d ON d.chrom = m.chrom AND d.pos = m.pos + 2)"""
 
 
 @query("five_mer_spectrum", f"{FIVE} SELECT CASE WHEN t1 <> ref5[3] THEN 1 ELSE 2 END AS taxon, ref5[1:2] || '[' || ref5[3] || '>' || CASE WHEN t1 <> ref5[3] THEN t1 ELSE t2 END || ']' || ref5[4:5] AS mutation, count(*) AS n FROM five WHERE (t1 = ref5[3]) <> (t2 = ref5[3]) GROUP BY ALL")
