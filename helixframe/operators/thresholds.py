@@ -21,8 +21,8 @@ def site_intervals(reads: DataFrame, keys: list[str]) -> DataFrame:
 
     The base is that of the highest read (the larger letter among equals, as tuples compare); lo is one above the best
     read that rejects or disagrees. Built from maxima over bases, so nothing is collected."""
-    modes = F.explode(F.array(F.struct(F.lit(0).alias("mode"), F.col("mapq").alias("q")), F.struct(F.lit(1).alias("mode"), F.when(F.col("zn") >= 0, ALWAYS).otherwise(F.col("mapq")).alias("q"))))
-    rows = reads.withColumn("_m", modes).select(*keys, "base", "rejects", "_m.mode", "_m.q")
+    quality = F.when((F.col("mode") == 1) & (F.col("zn") >= 0), ALWAYS).otherwise(F.col("mapq"))
+    rows = reads.withColumn("mode", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("q", quality)
     by_base = rows.groupBy(*keys, "mode", "base").agg(F.max(F.struct("q", "base", "rejects")).alias("top"), F.max(F.when(F.col("rejects"), F.col("q"))).alias("bad"), F.count(F.lit(1)).alias("n"))
     # over the few bases of a position
     best = by_base.groupBy(*keys, "mode").agg(F.max("top").alias("top"), F.collect_list(F.struct("base", "top", "bad")).alias("b"), F.max("bad").alias("indel"), F.sum("n").alias("n_reads"))

@@ -30,11 +30,11 @@ def query(name: str, sql: str | None = None):
 
 # ---------------------------------------------------------------- SQL parts
 
-READS = f"WITH reads AS ({D.READS_SQL}), read_bases AS ({D.READ_BASES_SQL}), one AS ({D.ONE_SQL}), s0 AS ({D.SITES_SQL})"
+READS = f"WITH reads AS ({D.READS_SQL}), read_bases AS MATERIALIZED ({D.READ_BASES_SQL}), one AS MATERIALIZED ({D.ONE_SQL}), s0 AS MATERIALIZED ({D.SITES_SQL})"
 QC_TRIO = "CASE WHEN (cov_1 AND del_1) OR (cov_2 AND del_2) THEN 'deletion' WHEN (cov_1 AND NOT del_1 AND ins_1) OR (cov_2 AND NOT del_2 AND ins_2) THEN 'insertion' WHEN NOT (cov_1 AND cov_2) THEN 'no_depth' WHEN dis_1 OR dis_2 THEN 'reads_disagree' END"
 QC_PAIR = "CASE WHEN del_1 THEN 'deletion' WHEN ins_1 THEN 'insertion' WHEN dis_1 THEN 'reads_disagree' END"
-LINES = f"{READS}, lines AS (SELECT *, {QC_TRIO} AS qc FROM s0)"
-PAIR_LINES = f"{READS}, lines AS (SELECT *, {QC_PAIR} AS qc FROM s0 WHERE cov_1)"
+LINES = f"{READS}, lines AS MATERIALIZED (SELECT *, cn * 10000000000 + pos AS k, {QC_TRIO} AS qc FROM s0)"
+PAIR_LINES = f"{READS}, lines AS MATERIALIZED (SELECT *, cn * 10000000000 + pos AS k, {QC_PAIR} AS qc FROM s0 WHERE cov_1)"
 SPANS = f"spans AS ({D.SPANS_SQL})"
 # merged with events of a sweep: where more intervals have begun than ended a group goes on
 MERGED = """marks AS (SELECT chrom, s AS p, 1 AS d FROM spans UNION ALL SELECT chrom, e + 1 AS p, -1 AS d FROM spans),
@@ -43,8 +43,8 @@ MERGED = """marks AS (SELECT chrom, s AS p, 1 AS d FROM spans UNION ALL SELECT c
   opens AS (SELECT chrom, p, row_number() OVER (PARTITION BY chrom ORDER BY p) AS k FROM depth WHERE prev = 0 AND n > 0),
   ends AS (SELECT chrom, p - 1 AS p, row_number() OVER (PARTITION BY chrom ORDER BY p) AS k FROM depth WHERE prev > 0 AND n = 0),
   mask AS (SELECT o.chrom, o.p AS s, e.p AS e FROM opens o JOIN ends e ON o.chrom = e.chrom AND o.k = e.k)"""
-CONTEXT = """win AS (SELECT m.chrom, m.pos, a.ref || m.ref || b.ref AS ref3, a.base_1 || m.base_1 || b.base_1 AS t1_3, a.base_2 || m.base_2 || b.base_2 AS t2_3
-  FROM lines m JOIN lines a ON a.chrom = m.chrom AND a.pos = m.pos - 1 JOIN lines b ON b.chrom = m.chrom AND b.pos = m.pos + 1 WHERE m.qc IS NULL AND a.qc IS NULL AND b.qc IS NULL)"""
+CONTEXT = """win AS MATERIALIZED (SELECT m.chrom, m.pos, a.ref || m.ref || b.ref AS ref3, a.base_1 || m.base_1 || b.base_1 AS t1_3, a.base_2 || m.base_2 || b.base_2 AS t2_3
+  FROM lines m JOIN lines a ON a.k = m.k - 1 JOIN lines b ON b.k = m.k + 1 WHERE m.qc IS NULL AND a.qc IS NULL AND b.qc IS NULL)"""
 PAIR_CONTEXT = CONTEXT.replace(", a.base_2 || m.base_2 || b.base_2 AS t2_3", "")
 FLANKS = "ref3[1] = t1_3[1] AND ref3[3] = t1_3[3]"
 CLASS_TRIO = f"""cls AS (SELECT *, CASE WHEN NOT regexp_full_match(ref3 || t1_3 || t2_3, '[ACGT]+') THEN 'not_acgt'
@@ -121,7 +121,7 @@ def fold_52(spark, sf):
 
 
 _FRAGMENTS = f"""c AS ({D.CONTIGS_SQL}), starts AS (SELECT chrom, seq, unnest(range(0, length(seq) - 149, 75)) AS s FROM c WHERE length(seq) >= 150
-  UNION SELECT chrom, seq, length(seq) - 150 AS s FROM c WHERE length(seq) >= 150), frags AS (SELECT chrom, s + 1 AS start, s + 150 AS end_, substring(seq, s + 1, 150) AS seq FROM starts)"""
+  UNION SELECT chrom, seq, length(seq) - 150 AS s FROM c WHERE length(seq) >= 150), frags AS MATERIALIZED (SELECT chrom, s + 1 AS start, s + 150 AS end_, substring(seq, s + 1, 150) AS seq FROM starts)"""
 
 
 @query("fragment_reads", f'WITH {_FRAGMENTS} SELECT chrom, start, end_ AS "end", md5(seq) AS digest FROM frags')
@@ -131,7 +131,7 @@ def fragment_reads(spark, sf):
 
 
 # runs of N of at least 3 in a contig are its mask here
-_NMASK = """nruns AS (SELECT chrom, unnest(list_filter(range(1, length(seq) + 1), lambda i: seq[i] = 'N')) AS p FROM c)"""
+_NMASK = """nruns AS MATERIALIZED (SELECT chrom, unnest(list_filter(range(1, length(seq) + 1), lambda i: seq[i] = 'N')) AS p FROM c)"""
 
 
 @query("fragment_masked", f'WITH {_FRAGMENTS}, {_NMASK}, hits AS (SELECT f.chrom, f.start, count(p) AS masked FROM frags f LEFT JOIN nruns n ON n.chrom = f.chrom AND n.p BETWEEN f.start AND f.end_ GROUP BY f.chrom, f.start) SELECT chrom, start, masked FROM hits WHERE masked / 150.0 < 0.2')
@@ -300,7 +300,7 @@ def ref_difference_spectrum(spark, sf):
     return sites.ref_differences(_trio(spark, sf))
 
 
-@query("non_consecutive", f"{LINES}, k AS (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY pos) AS i FROM lines) SELECT b.chrom, count(*) AS n FROM k a JOIN k b ON a.chrom = b.chrom AND a.i = b.i - 1 JOIN k c ON c.chrom = b.chrom AND c.i = b.i + 1 WHERE a.qc IS NULL AND b.qc IS NULL AND c.qc IS NULL AND c.pos - a.pos <> 2 GROUP BY b.chrom")
+@query("non_consecutive", f"{LINES}, ranked AS (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY pos) AS i FROM lines) SELECT b.chrom, count(*) AS n FROM ranked a JOIN ranked b ON a.chrom = b.chrom AND a.i = b.i - 1 JOIN ranked c ON c.chrom = b.chrom AND c.i = b.i + 1 WHERE a.qc IS NULL AND b.qc IS NULL AND c.qc IS NULL AND c.pos - a.pos <> 2 GROUP BY b.chrom")
 def non_consecutive(spark, sf):
     return _scan(spark, sf).where("gap").groupBy("chrom").agg(F.count(F.lit(1)).alias("n"))
 
@@ -328,7 +328,7 @@ def mask_merge(spark, sf):
 MASKED = f"{LINES}, {SPANS}, left_ AS (SELECT l.*, row_number() OVER (PARTITION BY chrom ORDER BY pos) AS i FROM lines l WHERE NOT EXISTS (SELECT 1 FROM spans s WHERE s.chrom = l.chrom AND l.pos BETWEEN s.s AND s.e))"
 
 
-@query("mask_join_calls", f"{MASKED.replace('lines AS', 'all_lines AS', 1).replace('FROM lines l', 'FROM all_lines l')}, lines AS (SELECT * FROM left_), {CONTEXT}, {CLASS_TRIO}, {MUT} SELECT taxon, chrom, pos, mutation FROM muts")
+@query("mask_join_calls", f"{MASKED.replace('lines AS MATERIALIZED', 'all_lines AS MATERIALIZED', 1).replace('FROM lines l', 'FROM all_lines l')}, lines AS (SELECT * FROM left_), {CONTEXT}, {CLASS_TRIO}, {MUT} SELECT taxon, chrom, pos, mutation FROM muts")
 def mask_join_calls(spark, sf):
     return sites.trio_calls(_trio(spark, sf, _mask(spark, sf)))
 
@@ -340,7 +340,7 @@ def masked_gaps(spark, sf):
 
 FIVE = f"""{LINES}, mid AS MATERIALIZED (SELECT * FROM lines WHERE qc IS NULL), flank AS MATERIALIZED (SELECT * FROM mid WHERE ref = base_1 AND ref = base_2),
   five AS (SELECT m.chrom, m.pos, a.ref || b.ref || m.ref || c.ref || d.ref AS ref5, m.base_1 AS t1, m.base_2 AS t2 FROM mid m
-  JOIN flank a ON a.chrom = m.chrom AND a.pos = m.pos - 2 JOIN flank b ON b.chrom = m.chrom AND b.pos = m.pos - 1 JOIN flank c ON c.chrom = m.chrom AND c.pos = m.pos + 1 JOIN flank d ON d.chrom = m.chrom AND d.pos = m.pos + 2)"""
+  JOIN flank a ON a.k = m.k - 2 JOIN flank b ON b.k = m.k - 1 JOIN flank c ON c.k = m.k + 1 JOIN flank d ON d.k = m.k + 2)"""
 
 
 @query("five_mer_spectrum", f"{FIVE} SELECT CASE WHEN t1 <> ref5[3] THEN 1 ELSE 2 END AS taxon, ref5[1:2] || '[' || ref5[3] || '>' || CASE WHEN t1 <> ref5[3] THEN t1 ELSE t2 END || ']' || ref5[4:5] AS mutation, count(*) AS n FROM five WHERE (t1 = ref5[3]) <> (t2 = ref5[3]) GROUP BY ALL")
@@ -464,12 +464,12 @@ def _windows(spark, sf, taxa=TAXA, indel_window=1, mask=None) -> DataFrame:
     return thresholds.scan(own, D.reference(), taxa, mask, indel_window, TILE)
 
 
-AREADS = f"""{GROUPED}, ar AS (SELECT o.taxon, o.cn, o.chrom, o.start0 + n.n_nationkey + 1 AS pos, o.mapq, z.zn, (o.ck % 40 = 3 AND n.n_nationkey IN (10, 11)) OR (o.ck % 37 = 5 AND n.n_nationkey = 15) AS rejects,
+AREADS = f"""{GROUPED}, ar AS MATERIALIZED (SELECT o.taxon, o.cn, o.chrom, o.start0 + n.n_nationkey + 1 AS pos, o.mapq, z.zn, (o.ck % 40 = 3 AND n.n_nationkey IN (10, 11)) OR (o.ck % 37 = 5 AND n.n_nationkey = 15) AS rejects,
     CASE WHEN o.ck % 40 = 3 AND n.n_nationkey IN (10, 11) THEN '*' ELSE {D.letter_sql(D.code_sql('o.cn * 1000003 + o.start0 + n.n_nationkey + 1', 'o.taxon', 'n.n_nationkey', 'o.ck'))} END AS base
   FROM own o JOIN zn z USING (ord) CROSS JOIN nation n WHERE NOT contains(o.rname, 'alt')),
-  q AS (SELECT *, 0 AS mode, mapq AS q FROM ar UNION ALL SELECT *, 1 AS mode, CASE WHEN zn >= 0 THEN 256 ELSE mapq END AS q FROM ar),
+  q AS MATERIALIZED (SELECT *, 0 AS mode, mapq AS q FROM ar UNION ALL SELECT *, 1 AS mode, CASE WHEN zn >= 0 THEN 256 ELSE mapq END AS q FROM ar),
   top AS (SELECT *, row_number() OVER (PARTITION BY taxon, chrom, pos, mode ORDER BY q DESC, base DESC, rejects DESC) AS k FROM q),
-  si AS (SELECT t.taxon, t.cn, t.chrom, t.pos, t.mode, t.base, t.q AS hi, coalesce((SELECT max(o.q) FROM q o WHERE o.taxon = t.taxon AND o.chrom = t.chrom AND o.pos = t.pos AND o.mode = t.mode AND (o.rejects OR o.base <> t.base)), -1) + 1 AS lo,
+  si AS MATERIALIZED (SELECT t.taxon, t.cn, t.chrom, t.pos, t.mode, t.base, t.q AS hi, coalesce((SELECT max(o.q) FROM q o WHERE o.taxon = t.taxon AND o.chrom = t.chrom AND o.pos = t.pos AND o.mode = t.mode AND (o.rejects OR o.base <> t.base)), -1) + 1 AS lo,
     coalesce((SELECT max(o.q) FROM q o WHERE o.taxon = t.taxon AND o.chrom = t.chrom AND o.pos = t.pos AND o.mode = t.mode AND o.rejects), -1) AS indel FROM top t WHERE k = 1)"""
 
 

@@ -135,7 +135,7 @@ def read_intervals(spark: SparkSession, path: str) -> DataFrame:
 
 def counts_json(spark: SparkSession, path: str, name: str = "label") -> DataFrame:
     """label, n of a {label: n} object."""
-    rows = spark.read.option("wholetext", True).text(path)
+    rows = spark.read.text(path, wholetext=True)
     return rows.select(F.explode(F.from_json("value", "map<string,double>")).alias(name, "n"))
 
 

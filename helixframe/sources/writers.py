@@ -26,7 +26,7 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
 
 def read_text(spark: SparkSession, path: str) -> str | None:
     p, fs = _path(spark, path)
-    return spark.read.option("wholetext", True).text(path).first().value if fs.exists(p) else None
+    return spark.read.text(path, wholetext=True).first().value if fs.exists(p) else None
 
 
 def exists(spark: SparkSession, path: str) -> bool:
