@@ -9,8 +9,9 @@ nearest its pivot) follows, for each cell of queries, a bound on how far any k-t
 only to the cells of queries whose bound it can meet: its distance to the pivot less the cell's radius must not exceed
 the bound. Bounds carry a slack for rounding, and scores are computed again in integers, so the result is exact.
 
-Each cell of queries is solved in blocks of queries and of replicated rows, whose results are merged. The pivots come
-from a bounded sample, and the summary has at most (k + 1) rows for each of ``n_pivots`` cells.
+Cells of queries that lie near each other form groups of about ``BLOCK_QUERIES`` queries, and a row goes once to each
+group that has a cell for it: in many dimensions the bounds spare little, and then each row meets each group once.
+A group is solved in blocks of queries and of replicated rows, whose results are merged. The pivots come from a bounded sample, and the summary has at most (k + 1) rows for each of ``n_pivots`` cells.
 
 Edge cases: vectors that are null, empty, or hold null or non-finite components take no part; vectors whose length is
 not the most common one (the smallest of several) take no part; null ids take no part; repeated rows are candidates
@@ -56,6 +57,7 @@ class Join:
         self.pivots, self.big, self.k = pivots, big, k
         n = len(pivots)
         self.radius, self.limit = np.full(n, -1.0), np.full(n, np.inf)
+        self.group = np.zeros(n, np.int64)
 
     def cells(self, x: np.ndarray, query: bool) -> tuple[np.ndarray, np.ndarray]:
         d = _distances(_augment(x, self.big, query), self.pivots)
@@ -72,10 +74,26 @@ class Join:
             upper = np.sort(r + between[c, cell] + d)
             self.limit[c] = upper[self.k] if len(upper) > self.k else np.inf
 
+    def form_groups(self, count: dict[int, int], size: int) -> None:
+        """Groups of neighbouring cells: a walk from cell to nearest cell, cut where a group has ``size`` queries."""
+        left, between = set(count), _distances(self.pivots, self.pivots)
+        cell, group, held = min(left, default=None), 0, 0
+        while cell is not None:
+            left.discard(cell)
+            self.group[cell] = group
+            held += count[cell]
+            if held >= size:
+                group, held = group + 1, 0
+            cell = min(left, key=lambda c: (between[cell, c], c), default=None)
+
     def wanted(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row and cell of queries, for each that the row may serve."""
+        """Row and group of queries, for each that the row may serve."""
         d = _distances(_augment(x, self.big, False), self.pivots)
-        return np.nonzero((d - self.radius <= self.limit + SLACK) & (self.radius >= 0))
+        own = (d - self.radius <= self.limit + SLACK) & (self.radius >= 0)
+        hit = np.zeros((len(x), int(self.group.max(initial=0)) + 1), bool)
+        for g in range(hit.shape[1]):
+            hit[:, g] = own[:, self.group == g].any(1)
+        return np.nonzero(hit)
 
 
 def top_k(rows: DataFrame, is_query, k: int = K, n_pivots: int = N_PIVOTS, scratch: Scratch | None = None) -> DataFrame:
@@ -112,8 +130,9 @@ def top_k(rows: DataFrame, is_query, k: int = K, n_pivots: int = N_PIVOTS, scrat
     near = near.withColumn("r", F.row_number().over(part)).where(F.col("r") <= k + 1)
     near = near.withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy("d"))).where(F.col("r") <= k + 1)
     nearest = [(r["cell"], r["d"]) for r in near.select("cell", "d").collect()]
-    radius = {r["cell"]: r["r"] for r in cells.where("q").groupBy("cell").agg(F.max("d").alias("r")).collect()}
-    join.bound(radius, nearest)
+    of_cell = cells.where("q").groupBy("cell").agg(F.max("d").alias("r"), F.count(F.lit(1)).alias("n")).collect()
+    join.bound({r["cell"]: r["r"] for r in of_cell}, nearest)
+    join.form_groups({r["cell"]: r["n"] for r in of_cell}, BLOCK_QUERIES)
 
     def replicate(batches):
         for batch in batches:
@@ -126,14 +145,14 @@ def top_k(rows: DataFrame, is_query, k: int = K, n_pivots: int = N_PIVOTS, scrat
     def place(batches):
         for batch in batches:
             cell, _ = join.cells(matrix(batch.column(1)), True)
-            yield pa.RecordBatch.from_arrays([pa.array(cell), batch.column(0), batch.column(1)], names=["cell", "vec_id", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(join.group[cell]), batch.column(0), batch.column(1)], names=["cell", "vec_id", "v"])
 
     schema = "cell long, vec_id long, v array<long>"
     data = scratch.save(rows.select("vec_id", "v").mapInArrow(replicate, schema), "data")
     queries = scratch.save(rows.where("q").select("vec_id", "v").dropDuplicates(["vec_id"]).mapInArrow(place, schema), "queries")
 
     def blocks(df: DataFrame, size: int) -> DataFrame:
-        """cell, n: blocks of each cell; a row for each of n_pivots cells at most."""
+        """cell, n: blocks of each group; a row for each of n_pivots groups at most."""
         return df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("n"))
 
     n = blocks(data, BLOCK_ROWS).withColumnRenamed("n", "n_data").join(blocks(queries, BLOCK_QUERIES).withColumnRenamed("n", "n_queries"), "cell")
@@ -142,6 +161,9 @@ def top_k(rows: DataFrame, is_query, k: int = K, n_pivots: int = N_PIVOTS, scrat
     left = spread(data, "n_data", "n_queries", "db", "qb").groupBy("cell", "db", "qb")
     right = spread(queries, "n_queries", "n_data", "qb", "db").groupBy("cell", "db", "qb")
 
+    def integers(t: pa.Table) -> np.ndarray:
+        return t["v"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+
     def solve(rows: pa.Table, wanted: pa.Table) -> pa.Table:
         """The best of one block of rows for one block of queries, in integers."""
         none = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
@@ -149,9 +171,9 @@ def top_k(rows: DataFrame, is_query, k: int = K, n_pivots: int = N_PIVOTS, scrat
             return none
         order = np.argsort(rows["vec_id"].to_numpy(), kind="stable")
         ids = rows["vec_id"].to_numpy()[order]
-        x = np.stack(rows["v"].to_pylist()).astype(np.int64)[order]
+        x = integers(rows)[order]
         out: list[tuple] = []
-        query_ids, q = wanted["vec_id"].to_numpy(), np.stack(wanted["v"].to_pylist()).astype(np.int64)
+        query_ids, q = wanted["vec_id"].to_numpy(), integers(wanted)
         exact = int(np.abs(x).max(initial=0)) * int(np.abs(q).max(initial=0)) * x.shape[1] < 1 << 53
         for at in range(0, len(q), 64):
             part = q[at : at + 64]
