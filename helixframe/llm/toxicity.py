@@ -31,7 +31,8 @@ from .common import Scratch, documents
 MAX_ROWS = 20_000
 PREFIXES = (4, 5, 6)
 MIN_DOCS = 5
-MIN_WEIGHT = 2.0
+MIN_WEIGHT = 3.0
+DOUBT = 2.0  # clean documents that any feature is taken to have besides those met
 
 #: What a sign may stand for.
 LOOKALIKES = {
@@ -54,8 +55,9 @@ def symbol(c: str) -> int:
     return at - 96 if 97 <= at <= 122 else at - FIRST_HIGH + 27 if FIRST_HIGH <= at <= LAST_HIGH else OTHER if c.isalpha() else 0
 
 
-def decode(observed: str, lm: np.ndarray) -> str:
-    """The most likely text behind ``observed`` (lower case); breaks are spaces. Time grows with its length."""
+def decode(observed: str, lm: np.ndarray, breaks: bool = True) -> str:
+    """The most likely text behind ``observed`` (lower case); breaks are spaces. Time grows with its length. Without
+    ``breaks`` the answer is one word, if there is one."""
     at: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     last = ""
     run = 0
@@ -71,6 +73,8 @@ def decode(observed: str, lm: np.ndarray) -> str:
             options = [(None, JOIN), (" ", SPLIT)]
         else:
             options = [(" ", 0.0)]
+        if not breaks and (own := [(x, cost) for x, cost in options if x != " "]):
+            options = own
         last = c
         new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (score, back) in at.items():
@@ -103,12 +107,19 @@ class Restorer:
             return [core] if core and not STRETCH.search(core) else decode(core, self.lm).split() if core else []
         if sum(map(str.isalpha, core)) < 2 and " " not in core:
             return []
-        return decode(core, self.lm).split()
+        out = decode(core, self.lm).split()
+        whole = decode(core, self.lm, breaks=False)  # separators may have been put into one word
+        return out if whole in out else [*out, *whole.split()]
+
+    def first(self, token: str) -> str:
+        core = EDGE.sub("", token)
+        whole = decode(core, self.lm, breaks=False)
+        return whole if " " not in whole else decode(core, self.lm)
 
     def text(self, text: str) -> str:
         """The whole text restored: the operator's readable output."""
         spread = SPACED.sub(lambda m: "".join(decode(m[0].lower(), self.lm)), text)
-        return re.sub(r"\S+", lambda m: m[0] if PLAIN.match(EDGE.sub("", m[0])) and not STRETCH.search(m[0]) else " ".join(self.words(m[0].lower())) or m[0], spread)
+        return re.sub(r"\S+", lambda m: m[0] if PLAIN.match(EDGE.sub("", m[0])) and not STRETCH.search(m[0]) else self.first(m[0].lower()) or m[0], spread)
 
 
 def features(word: str) -> list[str]:
@@ -146,22 +157,24 @@ class Scorer:
             if h is not None:
                 found[h[1]] = h[0]
         top = sorted(found.values(), reverse=True)
-        return (top[0], sum(top[:3]), math.log1p(len(top))) if top else (0.0, 0.0, 0.0)
+        return (top[0], sum(top[1:3]), math.log1p(len(top) - 1)) if top else (0.0, 0.0, 0.0)
 
     def score(self, text: str) -> float:
         z = self.fit[0] + sum(w * x for w, x in zip(self.fit[1:], self.evidence(text)))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> list[float]:
-    """Newton's method with a small ridge."""
+def logistic(x: np.ndarray, y: np.ndarray, start: list[float], ridge: float = 5.0, steps: int = 100) -> list[float]:
+    """Newton's method with a ridge around ``start``, which is what naive Bayes says: the prior's log odds and each
+    weight taken as it is. Few labels leave it there."""
     x = np.column_stack((np.ones(len(x)), x))
-    w = np.zeros(x.shape[1])
+    w0 = np.array(start)
+    w = w0.copy()
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + ridge * w * 1e-2
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * 1e-2 * np.eye(len(w)), g)
-        w -= step
+        g = x.T @ (p - y) + ridge * (w - w0)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), g)
+        w = w - step * min(1.0, 2.0 / max(1e-9, np.abs(step).max()))
         if np.abs(step).max() < 1e-8:
             break
     return w.tolist()
@@ -205,7 +218,7 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_rows: int =
 
     toxic = counts(1, MIN_DOCS)
     clean = counts(0, 1, set(toxic))
-    weights = {f: math.log((t + 0.5) / (pos + 1)) - math.log((clean.get(f, 0) + 0.5) / (neg + 1)) for f, t in toxic.items()}
+    weights = {f: math.log((t + 0.5) / (pos + 1)) - math.log((clean.get(f, 0) + DOUBT) / (neg + 1)) for f, t in toxic.items()}
     scorer = Scorer(lm, {f: w for f, w in weights.items() if w >= MIN_WEIGHT}, base)
 
     def evidence(batches):
@@ -214,7 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_rows: int =
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in e], pa.float64()) for i in range(3)] + [batch.column(1)], names=["a", "b", "c", "y"])
 
     rows = sample.mapInArrow(evidence, "a double, b double, c double, y int").toPandas()
-    scorer.fit = logistic(rows[["a", "b", "c"]].to_numpy(), rows["y"].to_numpy())
+    scorer.fit = logistic(rows[["a", "b", "c"]].to_numpy(), rows["y"].to_numpy(), [base[0], 1.0, 1.0, 0.0])
     return scorer
 
 
