@@ -169,11 +169,13 @@ def contexts(docs: DataFrame, shared: DataFrame, length: int, gram: int) -> Data
     return joined.mapInArrow(run, "m long, salt long, doc long, th long, p long, lo long, hi long, crowded boolean, words binary")
 
 
-def compare(table: pa.Table, length: int, gram: int) -> tuple[dict, np.ndarray]:
+def compare(table: pa.Table, length: int, gram: int, sources: bool = True) -> tuple[dict, np.ndarray]:
     """Sorts the suffixes of whole groups, compares neighbours and extends runs to the left.
 
     Returns the repeated windows as runs (row, start, windows, row and start of the first occurrence), and which rows
-    hold the first occurrence of a window. ``table`` is in the order of doc, th and p."""
+    hold the first occurrence of a window. ``table`` is in the order of doc, th and p. Unless ``sources`` is set a run
+    goes on whatever its windows' first occurrences are, so a suffix has few runs however many texts it shares words
+    with."""
     left, n = length - gram, table.num_rows
     words = np.frombuffer(b"".join(table["words"].to_pylist()), ">u4").reshape(n, left + length)
     m, p, lo, hi = (table[c].to_numpy() for c in ("m", "p", "lo", "hi"))
@@ -206,13 +208,13 @@ def compare(table: pa.Table, length: int, gram: int) -> tuple[dict, np.ndarray]:
     row, off, first = row[by], off[by], first[by]
     if not len(row):
         return {"row": row, "start": row, "n": row, "first": row, "first_start": row}, opens
-    new = np.concatenate(([True], (row[1:] != row[:-1]) | (first[1:] != first[:-1]) | (off[1:] != off[:-1] - 1)))
+    new = np.concatenate(([True], (row[1:] != row[:-1]) | (off[1:] != off[:-1] - 1) | (sources & (first[1:] != first[:-1]))))
     at = np.flatnonzero(new)
     size = np.diff(np.concatenate((at, [len(row)])))
     return {"row": row[at], "start": p[row[at]] - off[at], "n": size, "first": first[at], "first_start": p[first[at]] - off[at]}, opens
 
 
-def repeats(rows: DataFrame, length: int, gram: int, parts: int, keys: list[str], last: bool) -> DataFrame:
+def repeats(rows: DataFrame, length: int, gram: int, parts: int, keys: list[str], last: bool, sources: bool) -> DataFrame:
     """Runs of repeated windows within groups of ``keys``. Unless ``last``, rows with first occurrences of a crowd that
     is dealt over several tasks come too, with their words, for the last step."""
     names = ["doc", "th", "start", "n", "first_doc", "first_th", "first_start", "m", "p", "lo", "hi", "words"]
@@ -232,7 +234,7 @@ def repeats(rows: DataFrame, length: int, gram: int, parts: int, keys: list[str]
                 key = np.stack([table[c].to_numpy() for c in ("th", "p", "doc")])
                 once = np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(0)))  # repeated rows are one document
                 table = table.filter(pa.array(once))
-                found, opens = compare(table, length, gram)
+                found, opens = compare(table, length, gram, sources)
                 doc, th = table["doc"].to_numpy(), table["th"].to_numpy()
                 none = pa.nulls(len(found["row"]), pa.int64())
                 cols = [doc[found["row"]], th[found["row"]], found["start"], found["n"], doc[found["first"]], th[found["first"]], found["first_start"]]
@@ -257,8 +259,8 @@ def with_keys(docs: DataFrame) -> DataFrame:
     return docs.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("th", F.xxhash64("text"))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, scratch: Scratch | None = None) -> DataFrame:
-    """doc, th, start, end, first_doc, first_start: repeated words [start, end) and where they occur first."""
+def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, sources: bool = True, scratch: Scratch | None = None) -> DataFrame:
+    """doc, th, start, n, first_doc, first_start: runs of n repeated windows."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "suffixes")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -267,15 +269,19 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
     crowds = shared.where("salt > 0").select("m", F.lit(True).alias("crowded")).distinct()
     shared = shared.join(crowds, "m", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
     rows = contexts(docs, shared, length, gram)
-    found = scratch.save(repeats(rows, length, gram, 4 * parts, ["m", "salt"], False), "found")
+    found = scratch.save(repeats(rows, length, gram, 4 * parts, ["m", "salt"], False, sources), "found")
     rest = found.where("m is not null").select("m", "doc", "th", "p", "lo", "hi", "words")
-    more = repeats(rest, length, gram, parts, ["m"], True)
-    runs = found.where("m is null").select("doc", "th", "start", "n", "first_doc", "first_start")
-    runs = runs.unionByName(more.select("doc", "th", "start", "n", "first_doc", "first_start"))
-    return joined_runs(runs, length, parts)
+    more = repeats(rest, length, gram, parts, ["m"], True, sources)
+    cols = ["doc", "th", "start", "n", "first_doc", "first_start"]
+    return found.where("m is null").select(*cols).unionByName(more.select(*cols))
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, scratch: Scratch | None = None) -> DataFrame:
+    """doc, th, start, end, first_doc, first_start: repeated words [start, end) and where they occur first."""
+    return joined_runs(repeated_runs(docs, length, gram, crowd, True, scratch), length)
 
 
-def joined_runs(runs: DataFrame, length: int, parts: int) -> DataFrame:
+def joined_runs(runs: DataFrame, length: int) -> DataFrame:
     """Runs of windows that go on, against the same first occurrence, as one span."""
     from pyspark.sql import Window
 
@@ -307,7 +313,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, scra
     """docs with repeated words cut out of the texts; documents of which nothing is left go, repeated rows too."""
     scratch = scratch or Scratch(docs.sparkSession, "suffixes")
     schema, at = docs.schema, docs.columns.index("text")
-    spans = repeated_spans(docs, length, gram, scratch=scratch).groupBy("doc", "th").agg(F.collect_list(F.struct("start", "end")).alias("cut"))
+    runs = repeated_runs(docs, length, gram, sources=False, scratch=scratch)
+    span = F.struct("start", (F.col("start") + F.col("n") + length - 1).alias("end"))
+    spans = runs.groupBy("doc", "th").agg(F.collect_list(span).alias("cut"))  # bounded by the text
     gone = copies(docs, length).select("doc", "th")
     keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id"), F.col("text"))
     own = with_keys(keyed).select("row", "doc", "th").dropDuplicates(["doc", "th"])
