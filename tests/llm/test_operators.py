@@ -297,6 +297,22 @@ def test_near_duplicates(spark):
     assert permutation_index.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_near_duplicates_of_a_dense_group(spark):
+    """A third of the rows around one centre, with the pivots that production takes for so many rows."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(20_000, 64))
+    x[:6667] = x[0] + 0.25 * rng.normal(size=(6667, 64))
+    x[-500:] = x[-1000:-500] + 0.35 * rng.normal(size=(500, 64))
+    frame = spark.createDataFrame(pd.DataFrame({"vec_id": range(len(x)), "embedding": x.tolist()}), "vec_id long, embedding array<double>")
+    got = permutation_index.near_duplicates(frame).toPandas().sort_values("vec_id")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = np.concatenate([(u[i : i + 1000] @ u.T >= 0.9).sum(1) for i in range(0, len(u), 1000)]) - 1
+    n = got["n_links"].to_numpy()
+    assert want.sum() > 40_000_000 and (n <= want).all() and n.sum() >= 0.98 * want.sum()
+    assert n[6667:].sum() >= 0.9 * want[6667:].sum() > 800
+    assert got["component_id"][:6667].nunique() == 1
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_top_k(spark, seed):
     x = vectors(seed)
