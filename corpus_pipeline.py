@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import common, packing, quality, simhash, suffix_dedup, toxicity
+from helixframe.llm import common, near_copies, packing, quality, suffix_dedup, toxicity
 
 TOXIC = 0.5
 GOOD = 0.3
@@ -34,7 +34,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.sweep()
-    return simhash.one_of_each(docs)
+    return near_copies.one_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,153 @@
+"""Near copies of texts by the Jaccard similarity of their sets of five-word shingles.
+
+A set has ``BANDS * ROWS`` MinHashes (32 bits, over the shingles' hashes). Sets that agree in all MinHashes of a band
+meet there: at similarity 0.8 two sets miss each other in all bands once in 1,500 times. Within a band sets are taken
+in order and compared with those before that were like none: 8 bits of each MinHash estimate the similarity, and pairs
+that come near enough to the limit are checked exactly on their whole sets. Links become components.
+
+Equal sets are one entry, and of a band only sets that are like none before them are held, so that a large group of
+near copies is read once and never paired.
+
+Edge cases: as in ``simhash``; a text without words has a set of its own kind, and fewer words than a shingle make one.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import Scratch, connected_components
+from .hashing import BASE, mix, word_hashes
+
+WIDTH = 5
+SIMILAR = 0.8
+BANDS, ROWS = 24, 6
+MARGIN = 0.08  # over two standard errors of the estimate
+_RANDOM = np.random.default_rng(42)
+_FLIP = _RANDOM.integers(0, 1 << 32, BANDS * ROWS, np.uint64).astype(np.uint32)
+_TIMES = _RANDOM.integers(0, 1 << 32, BANDS * ROWS, np.uint64).astype(np.uint32) | np.uint32(1)
+
+
+def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
+    """Hashes of 32 bits, in order, each once."""
+    w = word_hashes(text.lower())
+    n = max(1, len(w) - width + 1)
+    out = np.zeros(n, np.uint64)
+    for i in range(min(width, len(w))):
+        out = out * np.uint64(BASE) + w[i : i + n]
+    return np.unique((mix(out) >> np.uint64(32)).astype(np.uint32))
+
+
+def min_hashes(own: np.ndarray) -> np.ndarray:
+    out = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(own), 2048):
+        out = np.minimum(out, ((own[None, at : at + 2048] ^ _FLIP[:, None]) * _TIMES[:, None]).min(1))
+    return out
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """A hash of each row."""
+    out = np.full(len(x), len(x[0]), np.uint64)
+    for i in range(x.shape[1]):
+        out = mix(out * np.uint64(BASE) + x[:, i].astype(np.uint64) + np.uint64(1))
+    return out
+
+
+def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """doc_id, th, sh (a hash of the set), bands, sketch and the set itself."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                sets = [shingle_set(t.as_py() or b"", width) for t in part.column(2).cast(pa.binary())]
+                m = np.stack([min_hashes(s) for s in sets])
+                bands = np.stack([_folded(m[:, ROWS * b : ROWS * b + ROWS]) + np.uint64(b) for b in range(BANDS)], 1)
+                sh = [int(mix(mix(s.astype(np.uint64) + np.uint64(1)).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(s)))[0]) for s in sets]
+                bands = pa.FixedSizeListArray.from_arrays(pa.array(mix(bands).view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
+                low = [row.tobytes() for row in (m >> np.uint32(8)).astype(np.uint8)]
+                cols = [part.column(0), part.column(1), pa.array(np.array(sh, np.uint64).view(np.int64)), bands, pa.array(low, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "sh", "bands", "sketch", "own"])
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    return own.mapInArrow(run, "doc_id long, th long, sh long, bands array<long>, sketch binary, own binary")
+
+
+def candidates(sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """Pairs (a, b) of sets that meet in a band and whose sketches agree enough."""
+    least = (similar - MARGIN) * 255 / 256 + 1 / 256
+
+    def run(batches):
+        band, held = None, np.empty((0, BANDS * ROWS), np.uint8)
+        names: list[int] = []
+        for batch in batches:
+            keys, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            x = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(keys), -1)
+            a, b = [], []
+            begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(keys)]):
+                if keys[lo] != band:
+                    band, held, names = keys[lo], x[lo : lo + 1], [ids[lo]]
+                    rest = np.arange(lo + 1, hi)
+                else:
+                    rest = np.arange(lo, hi)
+                found = np.zeros(len(rest), bool)
+                for i in range(len(held)):
+                    near = (x[rest] == held[i]).mean(1) >= least
+                    found |= near
+                    a += ids[rest[near]].tolist()
+                    b += [names[i]] * int(near.sum())
+                rest = rest[~found]
+                while len(rest):  # like none before: held, and compared with those after it
+                    one, rest = rest[0], rest[1:]
+                    held, names = np.concatenate((held, x[one : one + 1])), [*names, ids[one]]
+                    near = (x[rest] == x[one]).mean(1) >= least
+                    a += ids[rest[near]].tolist()
+                    b += [ids[one]] * int(near.sum())
+                    rest = rest[~near]
+            a, b = np.array(a, np.int64), np.array(b, np.int64)
+            keep = a != b
+            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = sets.select(F.explode("bands").alias("band"), "sh", "sketch").repartition(4 * parts, "band").sortWithinPartitions("band", "sh")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def checked(pairs: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """The pairs whose sets have that similarity."""
+
+    def run(batches):
+        for batch in batches:
+            good = []
+            for a, b in zip(batch.column(2), batch.column(3)):
+                a, b = (np.frombuffer(x.as_buffer(), np.uint32) for x in (a, b))
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                good.append(both >= similar * (len(a) + len(b) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    own = sets.select("sh", "own")
+    both = pairs.join(own.select(F.col("sh").alias("a"), F.col("own").alias("own_a")), "a").join(own.select(F.col("sh").alias("b"), F.col("own").alias("own_b")), "b")
+    return both.select("a", "b", "own_a", "own_b").mapInArrow(run, "a long, b long")
+
+
+def one_of_each(docs: DataFrame, similar: float = SIMILAR, width: int = WIDTH, scratch: Scratch | None = None) -> DataFrame:
+    """The first document of each component, with all columns; of repeated rows one."""
+    scratch = scratch or Scratch(docs.sparkSession, "near-copies")
+    rows = scratch.save(sketches(docs, width), "sketches")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    first = scratch.save(rows.groupBy("sh").agg(F.min(key).alias("first")), "first")
+    once = first.select("sh", F.col("first.doc_id").alias("id"), F.col("first.th").alias("text"))
+    same = (rows["sh"] == once["sh"]) & rows["doc_id"].eqNullSafe(once["id"]) & (rows["th"] == once["text"])
+    pairs = scratch.save(candidates(rows.join(once, same, "left_semi"), similar), "pairs")
+    needed = pairs.select(F.col("a").alias("sh")).unionByName(pairs.select(F.col("b").alias("sh"))).distinct()
+    sets = rows.join(once, same, "left_semi").join(needed, "sh", "left_semi").select("sh", "own").dropDuplicates(["sh"])
+    edges = scratch.save(checked(pairs, scratch.save(sets, "sets"), similar), "links")
+    comp = connected_components(edges, scratch)
+    kept = first.join(comp.withColumnRenamed("id", "sh"), "sh", "left")
+    kept = kept.groupBy(F.coalesce("component", "sh").alias("c")).agg(F.min("first").alias("first")).select("first.doc_id", "first.th")
+    own = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("th"), F.col("doc_id").cast("long").alias("id"))
+    same = own["id"].eqNullSafe(kept["doc_id"]) & own["th"].eqNullSafe(kept["th"])
+    return own.join(kept, same, "left_semi").dropDuplicates(["id", "th"]).select("row.*")

@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.llm import bpe, common, language, packing, permutation_index, quality, sharding, simhash, suffix_dedup, toxicity, voronoi_knn
+from helixframe.llm import bpe, common, language, near_copies, packing, permutation_index, quality, sharding, simhash, suffix_dedup, toxicity, voronoi_knn
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -215,6 +215,28 @@ def test_connected_components(spark):
     assert got == {x: comp[x] for e in edges if e[0] != e[1] for x in e}
 
 
+def test_near_copies_of_the_pipeline(spark, docs, empty):
+    """Copies with some words changed: five-word similarity 0.8 and more goes, clearly less stays."""
+    import corpus_pipeline
+
+    rng = random.Random(10)
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    rows, alike = [], {}
+    for i in range(300):
+        text = [f"w{rng.randint(0, 5000)}" for _ in range(rng.randint(60, 400))]
+        rate = rng.choice([0.003, 0.01, 0.02, 0.1])
+        copy = [w if rng.random() > rate else f"x{rng.randint(0, 5000)}" for w in text]
+        rows += [(i, " ".join(text), "en", "x", 1), (1000 + i, " ".join(copy), "en", "x", 1)]
+        alike[1000 + i] = len(grams(text) & grams(copy)) / len(grams(text) | grams(copy))
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, DOCS), SF).collect()}
+    near = [d for d, j in alike.items() if j >= 0.8]
+    far = [d for d, j in alike.items() if j < 0.8]
+    assert kept >= {*range(300), *far} and len(far) > 50
+    assert len(near) > 150 and sum(d not in kept for d in near) >= 0.97 * len(near)
+    got = near_copies.one_of_each(docs)
+    assert got.columns == docs.columns and got.where("doc_id = 1003").count() == 0 and near_copies.one_of_each(empty).count() == 0
+
+
 # ---------------------------------------------------------------- repeated passages
 
 
