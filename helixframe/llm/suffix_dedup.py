@@ -11,7 +11,8 @@ Every split of the window between left and right is tried, so the result is that
 
 Whole copies are found by their texts' hashes and take no part; each copy of at least ``length`` words is repeated as a
 whole. A hash with very many suffixes (a passage that a third of all documents share) is dealt over several tasks,
-which settle their own windows; only the first occurrences of each go to the last step.
+which settle their own windows; only the first occurrences of each go to the last step, and what they are repeats of
+there is what all runs against them are repeats of.
 
 Words are what stands between ASCII blanks. They are compared by hash, 32 bits for each word of a window.
 
@@ -273,7 +274,44 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd
     rest = found.where("m is not null").select("m", "doc", "th", "p", "lo", "hi", "words")
     more = repeats(rest, length, gram, parts, ["m"], True, sources)
     cols = ["doc", "th", "start", "n", "first_doc", "first_start"]
-    return found.where("m is null").select(*cols).unionByName(more.select(*cols))
+    runs = found.where("m is null").select(*cols, "first_th")
+    if sources and crowds.take(1):
+        more = scratch.save(more.select(*cols), "more")
+        runs = overall_firsts(runs, more)
+    return runs.select(*cols).unionByName(more.select(*cols))
+
+
+def overall_firsts(runs: DataFrame, more: DataFrame) -> DataFrame:
+    """Runs against the first occurrences of each task, as runs against those that ``more`` says these repeat."""
+    cols = ["doc", "th", "start", "n", "first_doc", "first_start"]
+    at = more.select(F.col("doc").alias("first_doc"), F.col("th").alias("first_th"), F.col("start").alias("s"), F.col("n").alias("k"), F.col("first_doc").alias("to_doc"), F.col("first_start").alias("to_start"))
+    openers = F.broadcast(at.select("first_doc", "first_th").distinct().withColumn("moved", F.lit(True)))  # a few texts for each task of a crowd
+    runs = runs.join(openers, ["first_doc", "first_th"], "left")
+    own = runs.where("moved").alias("r").join(at.alias("a"), ["first_doc", "first_th"])
+    own = own.where("s < first_start + n and first_start < s + k")
+    pieces = own.groupBy(*cols, "first_th").agg(F.sort_array(F.collect_list(F.struct("s", "k", "to_doc", "to_start"))).alias("pieces"))  # at most n
+
+    def split(batches):
+        for batch in batches:
+            out: list[tuple] = []
+            for r in batch.to_pylist():
+                done, end = r["first_start"], r["first_start"] + r["n"]
+                shift = r["start"] - r["first_start"]
+                for x in r["pieces"]:
+                    lo, hi = max(done, x["s"]), min(end, x["s"] + x["k"])
+                    if lo < hi:
+                        if done < lo:
+                            out.append((r["doc"], r["th"], done + shift, lo - done, r["first_doc"], done))
+                        out.append((r["doc"], r["th"], lo + shift, hi - lo, x["to_doc"], x["to_start"] + lo - x["s"]))
+                        done = hi
+                if done < end:
+                    out.append((r["doc"], r["th"], done + shift, end - done, r["first_doc"], done))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=cols)
+
+    split_runs = pieces.mapInArrow(split, ", ".join(f"{c} long" for c in cols))
+    kept = runs.join(pieces.select(*cols, "first_th"), [*cols, "first_th"], "left_anti")
+    return kept.select(*cols).unionByName(split_runs)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, scratch: Scratch | None = None) -> DataFrame:

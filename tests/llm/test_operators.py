@@ -274,6 +274,30 @@ def test_repeats(spark, docs, crowd):
     assert sum(h.any() for h in want.values()) > 50
 
 
+@pytest.mark.parametrize("crowd", [suffix_dedup.CROWD, 3])
+def test_first_occurrences(spark, crowd):
+    """Every repeated window names the smallest document and place that has it, however many tasks a crowd takes."""
+    rng = random.Random(11)
+    passages = [[f"p{rng.randint(0, 10**6)}" for _ in range(90)] for _ in range(3)]
+    rows = []
+    for i in range(80):
+        lo = rng.randint(0, 25)
+        rows.append((i, " ".join([*(f"u{rng.randint(0, 10**6)}" for _ in range(rng.randint(0, 30))), *rng.choice(passages)[lo : lo + rng.randint(50, 65)], f"v{i}"])))
+    first, want = {}, {}
+    for doc, text in rows:
+        w = text.split()
+        for i in range(len(w) - 49):
+            at = first.setdefault(tuple(w[i : i + 50]), (doc, i))
+            if at != (doc, i):
+                want[doc, i] = at
+    got = {}
+    for r in suffix_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), crowd=crowd).collect():
+        for i in range(r["end"] - r["start"] - 49):
+            assert (r["doc"], r["start"] + i) not in got
+            got[r["doc"], r["start"] + i] = (r["first_doc"], r["first_start"] + i)
+    assert got == want and len(want) > 300
+
+
 def test_remove_repeats(spark, docs, empty):
     extra = docs.withColumns({"doc": F.lit(1), "th": F.lit(2), "cut": F.lit(3), "row": F.lit(4)})
     out = suffix_dedup.remove_repeats(extra)
