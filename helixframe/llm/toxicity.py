@@ -3,7 +3,9 @@
 Noisy channel: a token with look-alike signs, separators or stretched letters becomes a lattice of what each of its
 characters may stand for, and Viterbi decoding under a character trigram model of the whole corpus picks the text most
 likely meant. Restored words are scored by a lexicon of words and word beginnings learnt from labelled rows, and a
-logistic function of the strongest hits gives the probability. A token of plain letters has one path, itself.
+logistic function of the strongest hits gives the probability. A token of plain letters, none of which repeats the one
+before it, has one path, itself; one with repeated letters is also read as written and with each letter once. A plain
+number (digits, with a currency sign or separators) is a number and never decoded.
 
 Bounds: the labelled sample is at most ``max_rows`` rows (those with the smallest hashes); the lexicon comes from it.
 The character model counts all texts.
@@ -44,9 +46,10 @@ SWAP, STAY, DROP = math.log(0.95), math.log(0.005), math.log(1e-5)  # of a look-
 JOIN, SPLIT = math.log(0.5), math.log(0.5)  # of a separator: nothing was there, or a break
 SINGLE, DOUBLE = math.log(0.3), math.log(0.7)  # of a letter that repeats the one before it: dropped, kept
 STRETCHED = math.log(0.9)  # dropped, from the third on
-SPACED = re.compile(r"(?<!\S)[^\W_](?:[ .\-_*][^\W_]|[ .\-_*]?[@$!|+]){3,}(?!\S)|(?<!\S)\S(?: \S){3,}(?!\S)")
+SPACED = re.compile(r"(?<!\S)[^\W_](?:(?:\s+|[.\-_*])[^\W_]|(?:\s+|[.\-_*])?[@$!|+]){3,}(?!\S)|(?<!\S)\S(?:\s+\S){3,}(?!\S)")
 PLAIN = re.compile(r"[^\W\d_]*\Z")
-STRETCH = re.compile(r"([^\W\d_])\1\1|(?:([^\W\d_])\2\w*?){3}")  # a letter three times, or three letters twice
+REPEAT = re.compile(r"([^\W\d_])\1+")
+NUMBER = re.compile(r"[$€£+]?[\d.,:/\-]+[%€$£+]?\Z")
 EDGE = re.compile(r"^[^\w@$!|+(<€£¡]+|[^\w@$€£]+$|^([!$@|+(<])\1+|([$@€£])\2+$")
 
 
@@ -95,6 +98,15 @@ def decode(observed: str, lm: np.ndarray, breaks: bool = True) -> str:
     return "".join(reversed(out)).strip()
 
 
+def might_be_word(token: str) -> bool:
+    """Whether a token's letters and look-alikes can make a word of three letters or more."""
+    return not NUMBER.match(token) and sum(c.isalpha() or c in LOOKALIKES for c in token) >= 3 and any(c.isalpha() for c in token) | any(c in LOOKALIKES and not c.isdigit() for c in token)
+
+
+def despaced(m: re.Match) -> str:
+    return " ".join(m[0].split())
+
+
 class Restorer:
     """Words of a token as they were meant, remembered up to a limit."""
 
@@ -102,11 +114,22 @@ class Restorer:
         self.lm, self.limit, self.known = lm, limit, {}
 
     def words(self, token: str) -> list[str]:
+        if token not in self.known:
+            if len(self.known) >= self.limit:
+                self.known.clear()
+            self.known[token] = self._words(token)
+        return self.known[token]
+
+    def _words(self, token: str) -> list[str]:
         core = EDGE.sub("", token)
         if PLAIN.match(core):
-            return [core] if core and not STRETCH.search(core) else decode(core, self.lm).split() if core else []
-        if sum(map(str.isalpha, core)) < 2 and " " not in core:
-            return []
+            if not REPEAT.search(core):
+                return [core] if core else []
+            return list(dict.fromkeys([core, *decode(core, self.lm).split(), REPEAT.sub(r"\1", core)]))
+        if " " not in core and not might_be_word(core):
+            core = token  # signs at the edge may be letters
+            if not might_be_word(core):
+                return []
         out = decode(core, self.lm).split()
         whole = decode(core, self.lm, breaks=False)  # separators may have been put into one word
         return out if whole in out else [*out, *whole.split()]
@@ -118,8 +141,8 @@ class Restorer:
 
     def text(self, text: str) -> str:
         """The whole text restored: the operator's readable output."""
-        spread = SPACED.sub(lambda m: "".join(decode(m[0].lower(), self.lm)), text)
-        return re.sub(r"\S+", lambda m: m[0] if PLAIN.match(EDGE.sub("", m[0])) and not STRETCH.search(m[0]) else self.first(m[0].lower()) or m[0], spread)
+        spread = SPACED.sub(lambda m: decode(despaced(m).lower(), self.lm), text)
+        return re.sub(r"\S+", lambda m: m[0] if PLAIN.match(EDGE.sub("", m[0])) and not REPEAT.search(m[0].lower()) else self.first(m[0].lower()) or m[0], spread)
 
 
 def features(word: str) -> list[str]:
@@ -131,8 +154,7 @@ def tokens(text: str, restorer: Restorer) -> set[str]:
     """Distinct tokens in lower case, those that spacing hides too."""
     low = text.lower()
     out = set(low.split())
-    if " " in low:
-        out.update(w for m in SPACED.finditer(low) for w in decode(m[0], restorer.lm).split())
+    out.update(w for m in SPACED.finditer(low) for w in decode(despaced(m), restorer.lm).split())
     return out
 
 

@@ -406,6 +406,19 @@ def test_toxicity(spark, larger, empty):
     assert 0 < nobody.score("idiot") < 0.5
 
 
+def test_every_obfuscated_word_is_decoded():
+    from helixframe.llm import charlm
+
+    flat = np.zeros((toxicity.OTHER + 1) ** 3, np.int64)
+    charlm.count_trigrams(["an idiot a loser scum stupid trash people said the clown was pathetic tonight with a letter"] * 50, flat)
+    restorer = toxicity.Restorer(charlm.log_model(flat.reshape((toxicity.OTHER + 1,) * 3)))
+    for seen, meant in (("iidiot", "idiot"), ("idiiot", "idiot"), ("scuum", "scum"), ("ssccum", "scum"), ("sstupid", "stupid"), ("trrassh", "trash"), ("1d107", "idiot"), ("!d!07", "idiot"), ("1053r", "loser"), ("letter", "letter")):
+        assert meant in restorer.words(seen), seen
+    for gap in ("  ", "\t", "\n", " \r\n "):
+        assert "idiot" in toxicity.tokens("he is " + gap.join("idiot"), restorer)
+    assert restorer.words("2019") == restorer.words("$1,000") == []
+
+
 def test_decode():
     counts = np.zeros((toxicity.OTHER + 1,) * 3, np.int64)
     from helixframe.llm import charlm
