@@ -41,3 +41,13 @@ def word_hashes(text: bytes | np.ndarray) -> np.ndarray:
     power, inverse = _powers(len(b) + 1)
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power[: len(b)], dtype=np.uint64)))
     return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+
+
+def run_hashes(words: np.ndarray, length: int) -> np.ndarray:
+    """64 bits for each run of ``length`` words, by differences of one running polynomial."""
+    if len(words) < length:
+        return np.empty(0, np.uint64)
+    power, inverse = _powers(len(words) + 1)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * power[: len(words)], dtype=np.uint64)))
+    n = len(words) - length + 1
+    return mix((total[length:] - total[:n]) * inverse[:n])

@@ -208,7 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_rows: int =
     return Scorer(vectors, network, float(base))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, scratch: Scratch | None = None, name: str = "quality_score") -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, scratch: Scratch | None = None, name: str = "quality") -> DataFrame:
     """All columns of docs and, under ``name``, the probability of label 1."""
     scorer = train(docs, labels, scratch or Scratch(docs.sparkSession, "quality"), max_rows)
     return with_score(docs, name, scorer.score)

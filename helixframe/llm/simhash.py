@@ -6,11 +6,18 @@ wild: 64 keys for a fingerprint. Two parts that differ in one bit share the key
 all. Fingerprints that share a key are compared, and links become components.
 
 Rows are first reduced to distinct fingerprints, so that copies, however many, are one entry. Within a key, links are
-found by a search that grows components and emits one link for each new member, never all pairs.
-
-Edge cases: a null text counts as empty; a text without words has fingerprint zero and links like any other; fewer
-words than a shingle make one shingle; repeated rows get the same component; null ids take part, and a component's id
-is its smallest id that isn't null; an empty table gives an empty result; other columns are ignored.
+found by a search that grows components and emits one link for each new member, never all pairs. In a key with many
+different fingerprints the bits that vary are cut and indexed in the same way once more, so that few are compared.
+
+``near_copies`` uses the same index for texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+Such sets differ in 15 % of the bits of their fingerprints at most, on average, which no 64 bits can tell from chance:
+its fingerprints have 256 bits in 14 segments, so that differences in up to 27 bits are certain to be met, and those
+that similarity 0.8 gives nearly always. Pairs that meet and come near as a whole are checked exactly on their sets.
+
+Edge cases: a null text counts as empty; a text without words has fingerprint zero (an empty set) and links like any
+other; fewer words than a shingle make one shingle; repeated rows get the same component; null ids take part, and a
+component's id is its smallest id that isn't null; an empty table gives an empty result; other columns are carried along
+by ``one_of_each`` and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -20,12 +27,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, documents
+from .common import ROW_KEY, ROW_SCHEMA, Scratch, connected_components, documents, one_row_each, row_keys
+from .hashing import BASE, mix, word_hashes
 
 WIDTH = 4
 MAX_BITS = 4
 SEGMENTS = 3
 
+SET_WIDTH = 5
+SIMILAR = 0.8
+WIDE = 256  # bits of a near copy's fingerprint
+WIDE_SEGMENTS = 14
+NEAR_BITS = 33  # of 128: at similarity 0.8 two texts differ in 19.4 of them, with a deviation of 4.1
+CROWD = 20_000  # rows of one key that a task takes
+
 
 def fingerprint(text: bytes, width: int = WIDTH) -> int:
     """A bit is one if it is set in more than half of the shingles' XXH64 (seed 42)."""
@@ -61,8 +76,8 @@ def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return own.mapInArrow(run, "doc_id long, th long, fp long")
 
 
-def segment_bounds(segments: int) -> list[tuple[int, int]]:
-    cuts = [round(64 * i / segments) for i in range(segments + 1)]
+def segment_bounds(segments: int, bits: int = 64) -> list[tuple[int, int]]:
+    cuts = [round(bits * i / segments) for i in range(segments + 1)]
     return list(zip(cuts, cuts[1:]))
 
 
@@ -94,6 +109,27 @@ def link_run(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     return out
 
 
+def link_group(fps: np.ndarray, max_bits: int, segments: int, few: int = 256) -> list[tuple[int, int]]:
+    """``link_run`` for many fingerprints: compares those that agree in a part of the varying bits, but for one bit."""
+    if len(fps) <= few:
+        return link_run(fps, max_bits)
+    varying = np.bitwise_or.reduce(fps ^ fps[0])
+    bits = [np.uint64(1 << i) for i in range(64) if int(varying) >> i & 1]
+    out: list[tuple[int, int]] = []
+    for part in range(segments):
+        own = bits[part::segments]
+        mask = np.bitwise_or.reduce(np.array([*own, 0], np.uint64))
+        for wild in own or [np.uint64(0)]:
+            key = fps & (mask & ~wild)
+            order = np.argsort(key, kind="stable")
+            begin = np.flatnonzero(np.concatenate(([True], np.diff(key[order]) != 0)))
+            size = np.diff(np.concatenate((begin, [len(key)])))
+            for at, n in zip(begin[size > 1].tolist(), size[size > 1].tolist()):
+                group = fps[order[at : at + n]]
+                out += link_group(group, max_bits, segments, few) if n <= len(fps) // 2 else link_run(group, max_bits)
+    return out
+
+
 def links(fps: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS) -> DataFrame:
     """Links (a, b) between distinct fingerprints within max_bits, enough of them to give the components."""
     if max_bits >= 2 * segments:
@@ -111,7 +147,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS) ->
             near = (np.bitwise_count(a ^ b) <= max_bits) & (a != b)
             out = [(a[near], b[near])]
             for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-                if pairs := link_run(np.unique(vals[s : s + n]), max_bits):
+                if pairs := link_group(np.unique(vals[s : s + n]), max_bits, segments):
                     pairs = np.array(pairs, np.uint64)
                     out.append((pairs[:, 0], pairs[:, 1]))
             a, b = (np.concatenate(x).view(np.int64) for x in zip(*out))
@@ -145,16 +181,206 @@ def simhash_components(docs: DataFrame, width: int = WIDTH, max_bits: int = MAX_
     joined = own.join(comp.withColumnRenamed("id", "fp"), "fp")
     least = joined.groupBy("component").agg(F.min("first").alias("least"))
     linked = scratch.save(joined.join(least, "component").select("fp", "least"), "linked")
-    known = own.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("first"))
+    known = scratch.save(own.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("first")), "known")
+    scratch.drop("links", "linked", "cc")
+    # two written tables: adaptive execution can split a fingerprint with very many rows
     return rows.join(known, "fp").select("doc_id", "th", "fp", "first")
 
 
-def one_of_each(docs: DataFrame, width: int = WIDTH, max_bits: int = MAX_BITS, segments: int = SEGMENTS, scratch: Scratch | None = None) -> DataFrame:
-    """The first document of each component, with all columns; of repeated rows one."""
-    kept = simhash_components(docs, width, max_bits, segments, scratch).select("first.doc_id", "first.th").distinct()
-    own = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("th"), F.col("doc_id").cast("long").alias("id"))
-    same = own["id"].eqNullSafe(kept["doc_id"]) & (own["th"] == kept["th"])
-    return own.join(kept, same, "left_semi").dropDuplicates(["id", "th"]).select("row.*")
+# ------------------------------------------------------------------------------------------------ near copies of texts
+
+
+def shingle_set(text: bytes, width: int = SET_WIDTH) -> np.ndarray:
+    """Hashes of 32 bits of the text's shingles, in order, each once. Fewer words make one shingle, none an empty set."""
+    w = word_hashes(text.lower())
+    n = max(1, len(w) - width + 1) if len(w) else 0
+    out = np.zeros(n, np.uint64)
+    for i in range(min(width, len(w))):
+        out = out * np.uint64(BASE) + w[i : i + n]
+    return np.unique((mix(out) >> np.uint64(32)).astype(np.uint32))
+
+
+def wide_fingerprint(own: np.ndarray) -> np.ndarray:
+    """``WIDE`` bits as words of 64: SimHash with each shingle once. Where half of the shingles have a bit, the smallest
+    decides, so that small sets have no more zeros than ones."""
+    counts, first = np.zeros(WIDE, np.int64), np.zeros(WIDE, bool)
+    for at in range(0, len(own), 4096):
+        h = mix(own[at : at + 4096, None].astype(np.uint64) * np.uint64(BASE) + np.arange(1, WIDE // 64 + 1, dtype=np.uint64))
+        bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little")
+        counts += bits.sum(0, dtype=np.int64)
+        if not at:
+            first = bits[0] > 0
+    return np.packbits(np.where(2 * counts == len(own), first, 2 * counts > len(own)), bitorder="little").view("<u8")
+
+
+def sketches(docs: DataFrame, width: int = SET_WIDTH) -> DataFrame:
+    """ROW_KEY (a row's id and the hash of its text), sh (a hash of the set), f0 f1 .. (the fingerprint), and the set."""
+    names = [f"f{i}" for i in range(WIDE // 64)]
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [shingle_set(t.as_py() or b"", width) for t in part.column(len(ROW_KEY)).cast(pa.binary())]
+                fp = np.stack([wide_fingerprint(s) for s in sets]).view(np.int64)
+                sh = np.array([mix(mix(s.astype(np.uint64) + np.uint64(1)).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(s)))[0] for s in sets], np.uint64).view(np.int64)
+                cols = [*part.columns[: len(ROW_KEY)], pa.array(sh), *(pa.array(np.ascontiguousarray(x)) for x in fp.T), pa.array([s.tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=[*ROW_KEY, "sh", *names, "own"])
+
+    schema = f"{ROW_SCHEMA}, sh long, {', '.join(f'{n} long' for n in names)}, own binary"
+    return row_keys(docs).select(*ROW_KEY, "text").mapInArrow(run, schema)
+
+
+def wide_keys(sets: DataFrame, segments: int = WIDE_SEGMENTS) -> DataFrame:
+    """key, rid, c0, c1: a row for each wildcard bit. The key holds the bit's place, the segment with that bit cleared
+    and, last, the bit; c0 and c1 are the fingerprint's first 128 bits, by which most false candidates go at once."""
+    bounds = segment_bounds(segments, WIDE)
+    power = np.concatenate([1 << np.arange(hi - lo, dtype=np.int64) for lo, hi in bounds])
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                fp = np.stack([c.to_numpy() for c in part.columns[1:]], 1)
+                bits = np.unpackbits(fp.astype("<i8").view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little").astype(np.int64) * power
+                value = np.add.reduceat(bits, [lo for lo, _ in bounds], axis=1).repeat([hi - lo for lo, hi in bounds], 1)
+                keys = (((np.arange(WIDE) << 32) | (value - bits)) << 1) | (bits > 0)
+                ends = pa.array(np.arange(len(fp) + 1, dtype=np.int32) * WIDE)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(keys.ravel())), *part.columns[:3]], names=["keys", "rid", "c0", "c1"])
+
+    found = sets.select("rid", *(f"f{i}" for i in range(WIDE // 64))).mapInArrow(run, "keys array<long>, rid long, c0 long, c1 long")
+    return found.select(F.explode("keys").alias("key"), "rid", "c0", "c1")
+
+
+def like_leaders(rows: DataFrame, parts: int, starts: list[int], dealt_by: list) -> DataFrame:
+    """a, b: pairs of a row and a leader of its key that it may be like; key, rid, c0, c1: the leaders of hot keys.
+
+    In a pseudo-random order of its own for each key, a row that is like no leader before it is a leader. Many rows are
+    settled at once: each is compared with the first of its key, those unlike it go on with the first of them. Of a key
+    that goes on in the next batch only leaders are held. Equal segments meet under each of their bits; the pair counts
+    under the first."""
+
+    def run(batches):
+        held = [np.empty(0, np.int64) for _ in range(4)]
+        hot = False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = [batch.column(i).to_numpy() for i in range(4)]
+            salted = batch.column(4).to_numpy(zero_copy_only=False)
+            done = len(held[0]) and held[0][0] >> 1 != own[0][0] >> 1
+            if done and hot:
+                yield leaders(held)
+            if done:
+                held = [x[:0] for x in held]
+            n_held = len(held[0])
+            key, rid, c0, c1 = (np.concatenate(x) for x in zip(held, own))
+            salted = np.concatenate((np.full(n_held, hot), salted))
+            group, at, a, b, lead = key >> 1, np.arange(len(key)), [], [], []
+            while len(at):
+                g = group[at]
+                new = np.concatenate(([True], g[1:] != g[:-1]))
+                first = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))][~new]
+                lead.append(at[new])
+                at = at[~new]
+                near = sum(np.bitwise_count((c[at] ^ c[first]).view(np.uint64)).astype(np.int64) for c in (c0, c1)) <= NEAR_BITS
+                counts = near & (rid[at] != rid[first]) & ((key[at] != key[first]) | np.isin(key[at] >> 33, starts))
+                a.append(rid[at[counts]])
+                b.append(rid[first[counts]])
+                at = at[~near]
+            lead = np.sort(np.concatenate(lead))
+            a, b = np.concatenate(a), np.concatenate(b)
+            none = pa.nulls(len(a), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), none, none, none, none], names=names)
+            last = group[lead] == group[-1]
+            if (out := lead[~last & salted[lead]]).size:
+                yield leaders([x[out] for x in (key, rid, c0, c1)])
+            held, hot = [x[lead[last]] for x in (key, rid, c0, c1)], bool(salted[-1])
+        if hot:
+            yield leaders(held)
+
+    def leaders(cols):
+        none = pa.nulls(len(cols[0]), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, *map(pa.array, cols)], names=names)
+
+    names = ["a", "b", "key", "rid", "c0", "c1"]
+    group = F.shiftright("key", 1)
+    dealt = rows.select("key", "rid", "c0", "c1", "hot", *dealt_by[1:]).repartition(parts, group, *dealt_by[1:])
+    dealt = dealt.sortWithinPartitions(group, *dealt_by[1:], F.xxhash64(group, "rid")).select("key", "rid", "c0", "c1", "hot")
+    return dealt.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def candidates(sets: DataFrame, segments: int = WIDE_SEGMENTS, crowd: int = CROWD, scratch: Scratch | None = None) -> DataFrame:
+    """Pairs (a, b) of sets whose fingerprints agree in a segment but for one bit, and come near as a whole.
+
+    A key that a sixteenth of the sets shows to be hot is dealt over several tasks, whose leaders meet in a second step;
+    that sixteenth decides nothing but how rows are dealt."""
+    scratch = scratch or Scratch(sets.sparkSession, "near-copies")
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    starts = [lo for lo, _ in segment_bounds(segments, WIDE)]
+    some = wide_keys(sets.where(F.pmod(F.xxhash64("rid"), F.lit(16)) == 0), segments)
+    hot = some.groupBy(F.shiftright("key", 1).alias("g")).agg((F.count(F.lit(1)) * 16).alias("n")).where(F.col("n") > crowd)
+    hot = scratch.save(hot.select("g", F.ceil(F.col("n") / crowd).cast("int").alias("salts")), "hot")
+    rows = wide_keys(sets, segments)
+    any_hot = bool(hot.take(1))
+    if any_hot:
+        rows = rows.join(hot, F.shiftright("key", 1) == F.col("g"), "left").drop("g")
+        rows = rows.withColumn("hot", F.col("salts").isNotNull()).withColumn("salt", F.pmod(F.xxhash64("rid"), F.coalesce("salts", F.lit(1))).cast("int"))
+    else:
+        rows = rows.withColumn("hot", F.lit(False))
+    found = like_leaders(rows, 4 * parts, starts, ["key", "salt"] if any_hot else ["key"])
+    if not any_hot:
+        return found.select("a", "b").distinct()
+    found = scratch.save(found, "found")
+    again = like_leaders(found.where("key is not null").select("key", "rid", "c0", "c1", F.lit(False).alias("hot")), parts, starts, ["key"])
+    return found.where("a is not null").select("a", "b").unionByName(again.select("a", "b")).distinct()
+
+
+def checked(pairs: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """The pairs whose sets have that Jaccard similarity. sets: rid, own."""
+
+    def run(batches):
+        for batch in batches:
+            good = []
+            for a, b in zip(batch.column(2), batch.column(3)):
+                a, b = (np.frombuffer(x.as_buffer(), np.uint32) for x in (a, b))
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                good.append(both / max(1, len(a) + len(b) - both) >= similar)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    own = sets.select("rid", "own")
+    both = pairs.join(own.select(F.col("rid").alias("a"), F.col("own").alias("own_a")), "a").join(own.select(F.col("rid").alias("b"), F.col("own").alias("own_b")), "b")
+    return both.select("a", "b", "own_a", "own_b").mapInArrow(run, "a long, b long")
+
+
+def near_copies(docs: DataFrame, similar: float = SIMILAR, width: int = SET_WIDTH, segments: int = WIDE_SEGMENTS, crowd: int = CROWD, scratch: Scratch | None = None) -> DataFrame:
+    """ROW_KEY of each row and, in ``first``, that of the first of its component."""
+    scratch = scratch or Scratch(docs.sparkSession, "near-copies")
+    fp = [f"f{i}" for i in range(WIDE // 64)]
+    rows = scratch.save(sketches(docs, width), "sketches")
+    firsts = rows.groupBy("sh").agg(F.min(F.struct(*ROW_KEY)).alias("first"), *(F.min(f).alias(f) for f in fp))
+    firsts = scratch.save(firsts.withColumn("rid", F.monotonically_increasing_id()), "firsts")
+    pairs = scratch.save(candidates(firsts, segments, crowd, scratch), "pairs")
+    needed = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
+    needed = firsts.join(needed, "rid", "left_semi").select("rid", "sh", *(F.col(f"first.{k}").alias(k) for k in ROW_KEY))
+    sets = scratch.save(rows.join(needed, ["sh", *ROW_KEY]).select("rid", "own").dropDuplicates(["rid"]), "sets")
+    edges = scratch.save(checked(pairs, sets, similar), "links")
+    comp = connected_components(edges, scratch)
+    own = firsts.select("rid", "sh", "first").join(comp.withColumnRenamed("id", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
+    own = scratch.save(own.select("sh", "first", "component"), "own")
+    least = own.groupBy("component").agg(F.min("first").alias("least"))
+    known = scratch.save(own.join(least, "component").select("sh", F.col("least").alias("first")), "known")
+    out = scratch.save(rows.select(*ROW_KEY, "sh").join(known, "sh").select(*ROW_KEY, "first"), "near-copies")
+    scratch.drop("sketches", "firsts", "hot", "found", "pairs", "sets", "links", "cc", "own", "known")
+    return out
+
+
+def one_of_each(docs: DataFrame, similar: float = SIMILAR, width: int = SET_WIDTH, segments: int = WIDE_SEGMENTS, crowd: int = CROWD, scratch: Scratch | None = None) -> DataFrame:
+    """The first document of each component of near copies, with all columns; of rows equal in id and text one."""
+    found = near_copies(docs, similar, width, segments, crowd, scratch)
+    own = F.struct(*ROW_KEY)
+    kept = found.where(own == F.col("first")).select(*ROW_KEY)
+    return one_row_each(docs, kept, "left_semi")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

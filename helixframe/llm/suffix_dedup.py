@@ -4,21 +4,27 @@ A passage is repeated where a window of ``length`` words occurs more than once,
 first occurrence (smallest doc_id, then position) stays, the words of the others are repeated.
 
 Not every suffix is kept: a window's minimiser is the position with the smallest hash of ``gram`` words in it, the first
-of several, so equal windows keep the same position. Suffixes are dealt by the minimiser's hash, and those whose hash is
-alone go, before any text moves. Those left are sorted by their words and compared with their neighbours: a run
-of suffixes with a common prefix of r words, extended to the left by ``length - r`` equal words, is a repeated window.
-Every split of the window between left and right is tried, so the result is that of comparing all windows.
+of several, so equal windows keep the same position. Windows that a text itself has before are found in the text; what
+is left is compared between texts, and such a window is a repeat of what the one before it is a repeat of. Suffixes are
+dealt by the minimiser's hash, and those whose hash is alone go, before any text moves. Those left are sorted by their
+words and compared with their neighbours: a run of suffixes with a common prefix of r words, extended to the left by
+``length - r`` equal words, is a repeated window. Every split of the window between left and right is tried, so the
+result is that of comparing all windows.
+
+A hash with more than ``crowd`` suffixes (a passage that a third of all documents share) isn't sorted in one task. Its
+suffixes are extended to whole windows, whose first occurrence is a grouped minimum with partial results before the
+shuffle; the join that gives it back to the windows reads two written tables, so adaptive execution can split a window
+that very many texts have.
 
 Whole copies are found by their texts' hashes and take no part; each copy of at least ``length`` words is repeated as a
-whole. A hash with very many suffixes (a passage that a third of all documents share) is dealt over several tasks,
-which settle their own windows; only the first occurrences of each go to the last step, and what they are repeats of
-there is what all runs against them are repeats of.
+whole.
 
-Words are what stands between ASCII blanks. They are compared by hash, 32 bits for each word of a window.
+Words are what stands between ASCII blanks. They are compared by hash, 32 bits for each word of a window, or 128 bits for
+a window as a whole.
 
 Edge cases: null and empty texts and those shorter than a window have no repeated words, however often they occur;
-rows with the same id and text are one document; a null id counts as the largest; an empty table gives an empty
-result; other columns are carried along by ``remove_repeats`` and ignored otherwise.
+rows with the same id and text are one document; a null id counts as the largest, ids are below 2^63 - 1; an empty table
+gives an empty result; other columns are carried along by ``remove_repeats`` and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -29,12 +35,13 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents
-from .hashing import BASE, mix, word_hashes, words_of
+from .common import Scratch, documents, one_row_each, row_keys
+from .hashing import BASE, mix, run_hashes, word_hashes, words_of
 
 LENGTH = 50
 GRAM = 10
-CROWD = 20_000  # suffixes of one hash that a task takes
+CROWD = 20_000  # suffixes of one hash that are sorted in one task
+BUCKETS = 1 << 16
 NO_ID = (1 << 63) - 1
 
 
@@ -59,8 +66,47 @@ def minimisers(words: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, n
     return g[at[first]], at[first], at[first] - last, at[first] - first
 
 
+def window_hashes(words: np.ndarray, length: int) -> np.ndarray:
+    """128 bits for each window, as two columns."""
+    return np.stack([run_hashes(words, length), run_hashes(mix(words + np.uint64(1)), length)], 1)
+
+
+def own_repeats(words: np.ndarray, rows: tuple, length: int) -> tuple[tuple, np.ndarray]:
+    """The suffixes without windows that the text itself has before, and those windows: start, number, first start."""
+    m, p, lo, hi = rows
+    none = np.empty((0, 3), np.int64)
+    _, code, count = np.unique(m, return_inverse=True, return_counts=True)
+    again = np.flatnonzero(count[code] > 1)
+    if not len(again):
+        return rows, none
+    size = hi[again] - lo[again] + 1
+    row = np.repeat(again, size)
+    start = np.repeat(p[again] - hi[again], size) + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    w = window_hashes(words, length)[start]
+    _, first, back = np.unique(w.view("V16").ravel() if w.flags.c_contiguous else np.ascontiguousarray(w).view("V16").ravel(), return_index=True, return_inverse=True)
+    source = start[first[back]]  # starts are in order, so the first of equals is the least
+    new = source == start
+    if new.all():
+        return rows, none
+    kept = np.ones(len(m), bool)
+    kept[again] = False
+    lo, hi = lo.copy(), hi.copy()
+    offset = p[row] - start
+    lo[again], hi[again] = length, -1
+    np.minimum.at(lo, row[new], offset[new])
+    np.maximum.at(hi, row[new], offset[new])
+    kept[again] = hi[again] >= 0
+    out = ~new & ((offset < lo[row]) | (offset > hi[row]))
+    start, source = start[out], source[out]
+    begins = np.flatnonzero(np.concatenate(([True], (start[1:] != start[:-1] + 1) | (source[1:] != source[:-1] + 1)))) if len(start) else np.empty(0, np.int64)
+    runs = np.stack([start[begins], np.diff(np.concatenate((begins, [len(start)]))), source[begins]], 1) if len(begins) else none
+    return (m[kept], p[kept], lo[kept], hi[kept]), runs
+
+
 def suffixes(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """m, th, p, doc, lo, hi: a row for each kept suffix. A text that a task has met with a smaller id is skipped."""
+    """m, th, p, doc, lo, hi: a row for each kept suffix. With a null m a run of windows that the text has before: p is
+    its start, lo the number of windows, hi where they are first. A text that a task has met with a smaller id is
+    skipped."""
 
     def run(batches):
         met: dict[int, int] = {}
@@ -68,14 +114,22 @@ def suffixes(docs: DataFrame, length: int, gram: int) -> DataFrame:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
                 cols: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(6)]
+                own: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(6)]
                 for doc, th, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.binary())):
                     if met.get(th, doc + 1) <= doc:
                         continue
                     met[th] = doc
-                    m, p, lo, hi = minimisers(word_hashes(text.as_py() or b""), length, gram)
+                    words = word_hashes(text.as_py() or b"")
+                    (m, p, lo, hi), runs = own_repeats(words, minimisers(words, length, gram), length)
                     for col, x in zip(cols, (m.view(np.int64), np.full(len(m), th), p, np.full(len(m), doc), lo, hi)):
                         col.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["m", "th", "p", "doc", "lo", "hi"])
+                    for col, x in zip(own, (runs[:, 0], np.full(len(runs), th), runs[:, 0], np.full(len(runs), doc), runs[:, 1], runs[:, 2])):
+                        col.append(x)
+                names = ["m", "th", "p", "doc", "lo", "hi"]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=names)
+                rest = [pa.array(np.concatenate(c)) for c in own]
+                if len(rest[0]):
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(rest[0]), pa.int64()), *rest[1:]], names=names)
 
     return docs.select("doc", "th", "text").mapInArrow(run, "m long, th long, p long, doc long, lo long, hi long")
 
@@ -104,46 +158,81 @@ def _groups(batches, key: list[int]):
         yield pa.Table.from_batches(held)
 
 
-def shared_suffixes(found: DataFrame, parts: int, crowd: int) -> DataFrame:
-    """The suffixes whose hash occurs again, in another text or at another place; ``salt`` splits crowds."""
+def crowds(found: DataFrame, crowd: int) -> DataFrame:
+    """m: the hashes with more than ``crowd`` suffixes. Counts of buckets (BUCKETS rows at most) tell where they can be."""
+    bucket = F.pmod("m", F.lit(BUCKETS))
+    full = found.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("bucket")
+    some = found.select("m", bucket.alias("bucket")).join(F.broadcast(full), "bucket", "left_semi")
+    return some.groupBy("m").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("m")
+
+
+def shared_suffixes(found: DataFrame, parts: int) -> DataFrame:
+    """The suffixes whose hash occurs again, in another text or at another place. Of the same place in copies of a text
+    the one with the smallest id stays."""
 
     def run(batches):
-        last, count, pending = None, 0, None  # the row before, suffixes of its hash so far, the only one of them
+        last, pending = None, None  # the row before, and it as a row while its hash has been met once
         for batch in batches:
             if not batch.num_rows:
                 continue
             m, th, p = (batch.column(i).to_numpy() for i in range(3))
             new = np.concatenate(([last is None or m[0] != last[0]], m[1:] != m[:-1]))
             fresh = new | np.concatenate(([last is None or th[0] != last[1] or p[0] != last[2]], (th[1:] != th[:-1]) | (p[1:] != p[:-1])))
-            last = (m[-1], th[-1], p[-1])
-            own = np.flatnonzero(fresh)  # the others are the same place in a copy of the text
-            if not len(own):
-                continue
-            starts = new[own]
-            group = np.cumsum(starts)  # 0: goes on from the batch before
-            begin = np.zeros(group[-1] + 1, np.int64)
-            begin[group[starts]] = np.flatnonzero(starts)
-            rank = np.arange(len(own)) - begin[group] + np.where(group == 0, count, 0)
-            many = (np.bincount(group, minlength=len(begin))[group] > 1) | (rank > 0)
-            out = []
-            if pending is not None and group[0] == 0:
-                out.append((pending, np.zeros(1, np.int64)))
-            if group[0] == 0 or len(begin) > 1:
+            own = np.flatnonzero(fresh)
+            if len(own):
+                starts = new[own]
+                ends = np.concatenate((starts[1:], [False]))  # unknown for the last
+                alone = starts & ends
+                out = []
+                if not starts[0] and pending is not None:
+                    out.append(pending)
                 pending = None
-            if not many[-1]:
-                pending = batch.slice(int(own[-1]), 1)
-            count = int(rank[-1]) + 1
-            out.append((batch.take(pa.array(own[many])), rank[many]))
-            for rows, ranks in out:
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(ranks // crowd)], names=[*rows.schema.names, "salt"])
+                if starts[-1]:
+                    pending = batch.slice(int(own[-1]), 1)
+                    alone[-1] = True
+                out.append(batch.take(pa.array(own[~alone])))
+                yield from out
+            last = (m[-1], th[-1], p[-1])
+
+    dealt = found.repartition(parts, "m").sortWithinPartitions("m", "th", "p", "doc")
+    return dealt.mapInArrow(run, "m long, th long, p long, doc long, lo long, hi long")
+
+
+def with_places(docs: DataFrame, suffixes: DataFrame, cols: list[str]) -> DataFrame:
+    """doc, th, text and s, the suffixes of each text."""
+    places = suffixes.groupBy("doc", "th").agg(F.collect_list(F.struct(*cols)).alias("s"))  # bounded by the text
+    return docs.select("doc", "th", "text").join(places, ["doc", "th"])
 
-    return found.repartition(parts, "m").sortWithinPartitions("m", "th", "p", "doc").mapInArrow(run, "m long, th long, p long, doc long, lo long, hi long, salt long")
+
+def crowd_runs(docs: DataFrame, crowded: DataFrame, length: int, scratch: Scratch) -> DataFrame:
+    """Runs of single windows: doc, th, start, n, first_doc, first_th, first_start, of the suffixes of crowds."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                out: list[tuple] = []
+                for doc, th, text, s in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.binary()), part.column(3)):
+                    p, lo, hi = (c.to_numpy() for c in s.values.flatten())
+                    size = hi - lo + 1
+                    start = np.repeat(p - hi, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                    w = window_hashes(word_hashes(text.as_py()), length)[start].view(np.int64)
+                    out.append((np.full(len(start), doc), np.full(len(start), th), start, w[:, 0], w[:, 1]))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["doc", "th", "start", "w0", "w1"])
+
+    once = crowded.groupBy("m", "th", "p").agg(F.min(F.struct("doc", "lo", "hi")).alias("x")).select("th", "p", "x.*")  # one of copies
+    at = with_places(docs, once, ["p", "lo", "hi"])
+    windows = scratch.save(at.mapInArrow(run, "doc long, th long, start long, w0 long, w1 long"), "windows")
+    firsts = windows.groupBy("w0", "w1").agg(F.min(F.struct("doc", "th", "start")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    firsts = scratch.save(firsts.select("w0", "w1", F.col("f.doc").alias("first_doc"), F.col("f.th").alias("first_th"), F.col("f.start").alias("first_start")), "firsts")
+    same = (F.col("doc") == F.col("first_doc")) & (F.col("th") == F.col("first_th")) & (F.col("start") == F.col("first_start"))
+    return windows.join(firsts, ["w0", "w1"]).where(~same).select("doc", "th", "start", F.lit(1).cast("long").alias("n"), "first_doc", "first_th", "first_start")
 
 
 def contexts(docs: DataFrame, shared: DataFrame, length: int, gram: int) -> DataFrame:
     """Each shared suffix with the hashes of the words around it: those before it, nearest first, then its own."""
     left = length - gram
-    places = shared.groupBy("doc", "th").agg(F.collect_list(F.struct("p", "m", "salt", "lo", "hi", "crowded")).alias("s"))  # bounded by the text
     width = 4 * (left + length)
 
     def run(batches):
@@ -163,18 +252,17 @@ def contexts(docs: DataFrame, shared: DataFrame, length: int, gram: int) -> Data
                 raw = b"".join(x[3].tobytes() for x in out)
                 n = len(raw) // width
                 words = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * width), pa.py_buffer(raw)])
-                cols = [pa.concat_arrays([x[0][i] for x in out]) for i in range(6)]
-                yield pa.RecordBatch.from_arrays([cols[1], cols[2], pa.array(np.concatenate([x[1] for x in out])), pa.array(np.concatenate([x[2] for x in out])), cols[0], cols[3], cols[4], cols[5], words], names=["m", "salt", "doc", "th", "p", "lo", "hi", "crowded", "words"])
+                cols = [pa.concat_arrays([x[0][i] for x in out]) for i in range(4)]
+                yield pa.RecordBatch.from_arrays([cols[1], pa.array(np.concatenate([x[1] for x in out])), pa.array(np.concatenate([x[2] for x in out])), cols[0], cols[2], cols[3], words], names=["m", "doc", "th", "p", "lo", "hi", "words"])
 
-    joined = docs.select("doc", "th", "text").join(places, ["doc", "th"])
-    return joined.mapInArrow(run, "m long, salt long, doc long, th long, p long, lo long, hi long, crowded boolean, words binary")
+    return with_places(docs, shared, ["p", "m", "lo", "hi"]).mapInArrow(run, "m long, doc long, th long, p long, lo long, hi long, words binary")
 
 
-def compare(table: pa.Table, length: int, gram: int, sources: bool = True) -> tuple[dict, np.ndarray]:
+def compare(table: pa.Table, length: int, gram: int, sources: bool = True) -> dict:
     """Sorts the suffixes of whole groups, compares neighbours and extends runs to the left.
 
-    Returns the repeated windows as runs (row, start, windows, row and start of the first occurrence), and which rows
-    hold the first occurrence of a window. ``table`` is in the order of doc, th and p. Unless ``sources`` is set a run
+    Returns the repeated windows as runs: row, start, windows, row and start of the first occurrence. ``table`` is in
+    the order of doc, th and p. Unless ``sources`` is set a run
     goes on whatever its windows' first occurrences are, so a suffix has few runs however many texts it shares words
     with."""
     left, n = length - gram, table.num_rows
@@ -187,7 +275,6 @@ def compare(table: pa.Table, length: int, gram: int, sources: bool = True) -> tu
     common = np.where(equal.all(1), length, equal.argmin(1))  # words that neighbours share
     before = np.zeros(n, np.uint64)
     rows, offs, firsts = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    opens = np.zeros(n, bool)
     for o in range(left + 1):
         if o:
             before = mix(before * np.uint64(BASE) + words[:, o - 1].astype(np.uint64) + np.uint64(1))
@@ -200,7 +287,6 @@ def compare(table: pa.Table, length: int, gram: int, sources: bool = True) -> tu
         by = np.argsort(key, kind="stable")  # equal keys stay in the documents' order
         new = np.concatenate(([True], key[by][1:] != key[by][:-1]))
         first = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
-        opens[here[by[new]]] = True
         rows.append(here[by[~new]])
         firsts.append(here[first[~new]])
         offs.append(np.full(int((~new).sum()), o))
@@ -208,22 +294,23 @@ def compare(table: pa.Table, length: int, gram: int, sources: bool = True) -> tu
     by = np.lexsort((-off, row))
     row, off, first = row[by], off[by], first[by]
     if not len(row):
-        return {"row": row, "start": row, "n": row, "first": row, "first_start": row}, opens
+        return {"row": row, "start": row, "n": row, "first": row, "first_start": row}
     new = np.concatenate(([True], (row[1:] != row[:-1]) | (off[1:] != off[:-1] - 1) | (sources & (first[1:] != first[:-1]))))
     at = np.flatnonzero(new)
     size = np.diff(np.concatenate((at, [len(row)])))
-    return {"row": row[at], "start": p[row[at]] - off[at], "n": size, "first": first[at], "first_start": p[first[at]] - off[at]}, opens
+    return {"row": row[at], "start": p[row[at]] - off[at], "n": size, "first": first[at], "first_start": p[first[at]] - off[at]}
+
+
+RUN = ["doc", "th", "start", "n", "first_doc", "first_th", "first_start"]
 
 
-def repeats(rows: DataFrame, length: int, gram: int, parts: int, keys: list[str], last: bool, sources: bool) -> DataFrame:
-    """Runs of repeated windows within groups of ``keys``. Unless ``last``, rows with first occurrences of a crowd that
-    is dealt over several tasks come too, with their words, for the last step."""
-    names = ["doc", "th", "start", "n", "first_doc", "first_th", "first_start", "m", "p", "lo", "hi", "words"]
+def repeats(rows: DataFrame, length: int, gram: int, parts: int, sources: bool) -> DataFrame:
+    """Runs of repeated windows within groups of m, which have no more than a crowd's rows."""
 
     def run(batches):
         batch_rows = 0
         held: list[pa.Table] = []
-        for group in _with_end(_groups(batches, list(range(len(keys))))):
+        for group in _with_end(_groups(batches, [0])):
             if group is not None:
                 held.append(group)
                 batch_rows += group.num_rows
@@ -235,19 +322,12 @@ def repeats(rows: DataFrame, length: int, gram: int, parts: int, keys: list[str]
                 key = np.stack([table[c].to_numpy() for c in ("th", "p", "doc")])
                 once = np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(0)))  # repeated rows are one document
                 table = table.filter(pa.array(once))
-                found, opens = compare(table, length, gram, sources)
+                found = compare(table, length, gram, sources)
                 doc, th = table["doc"].to_numpy(), table["th"].to_numpy()
-                none = pa.nulls(len(found["row"]), pa.int64())
                 cols = [doc[found["row"]], th[found["row"]], found["start"], found["n"], doc[found["first"]], th[found["first"]], found["first_start"]]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), none, none, none, none, pa.nulls(len(found["row"]), pa.binary())], names=names)
-                if not last:
-                    rest = table.filter(pa.array(opens & (table["crowded"].to_numpy(zero_copy_only=False))))
-                    none = pa.nulls(rest.num_rows, pa.int64())
-                    cols = [rest[c].combine_chunks() for c in ("doc", "th")] + [none] * 5 + [rest[c].combine_chunks() for c in ("m", "p", "lo", "hi", "words")]
-                    yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols], names=names)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], names=RUN)
 
-    schema = ", ".join(f"{c} {'binary' if c == 'words' else 'long'}" for c in names)
-    return rows.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return rows.repartition(parts, "m").sortWithinPartitions("m").mapInArrow(run, ", ".join(f"{c} long" for c in RUN))
 
 
 def _with_end(groups):
@@ -256,40 +336,39 @@ def _with_end(groups):
 
 
 def with_keys(docs: DataFrame) -> DataFrame:
-    """doc and th, the hash of the text, identify a document."""
-    return docs.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("th", F.xxhash64("text"))
+    """doc, th (the hash of the text) and text; the first two identify a document."""
+    doc = F.when(F.col("none"), NO_ID).otherwise(F.col("id")).alias("doc")
+    return row_keys(docs).where(F.col("text").isNotNull()).select(doc, "th", "text")
 
 
 def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, sources: bool = True, scratch: Scratch | None = None) -> DataFrame:
-    """doc, th, start, n, first_doc, first_start: runs of n repeated windows."""
+    """RUN: runs of n repeated windows."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "suffixes")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = with_keys(docs.select("doc_id", "text")).where(F.col("text").isNotNull())
-    shared = scratch.save(shared_suffixes(suffixes(docs, length, gram), 2 * parts, crowd), "shared")
-    crowds = shared.where("salt > 0").select("m", F.lit(True).alias("crowded")).distinct()
-    shared = shared.join(crowds, "m", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
-    rows = contexts(docs, shared, length, gram)
-    found = scratch.save(repeats(rows, length, gram, 4 * parts, ["m", "salt"], False, sources), "found")
-    rest = found.where("m is not null").select("m", "doc", "th", "p", "lo", "hi", "words")
-    more = repeats(rest, length, gram, parts, ["m"], True, sources)
-    cols = ["doc", "th", "start", "n", "first_doc", "first_start"]
-    runs = found.where("m is null").select(*cols, "first_th")
-    if sources and crowds.take(1):
-        more = scratch.save(more.select(*cols), "more")
-        runs = overall_firsts(runs, more)
-    return runs.select(*cols).unionByName(more.select(*cols))
-
-
-def overall_firsts(runs: DataFrame, more: DataFrame) -> DataFrame:
-    """Runs against the first occurrences of each task, as runs against those that ``more`` says these repeat."""
-    cols = ["doc", "th", "start", "n", "first_doc", "first_start"]
-    at = more.select(F.col("doc").alias("first_doc"), F.col("th").alias("first_th"), F.col("start").alias("s"), F.col("n").alias("k"), F.col("first_doc").alias("to_doc"), F.col("first_start").alias("to_start"))
-    openers = F.broadcast(at.select("first_doc", "first_th").distinct().withColumn("moved", F.lit(True)))  # a few texts for each task of a crowd
-    runs = runs.join(openers, ["first_doc", "first_th"], "left")
-    own = runs.where("moved").alias("r").join(at.alias("a"), ["first_doc", "first_th"])
-    own = own.where("s < first_start + n and first_start < s + k")
-    pieces = own.groupBy(*cols, "first_th").agg(F.sort_array(F.collect_list(F.struct("s", "k", "to_doc", "to_start"))).alias("pieces"))  # at most n
+    docs = with_keys(docs)
+    every = scratch.save(suffixes(docs, length, gram), "suffixes")
+    found = every.where("m is not null")
+    full = scratch.save(crowds(found, crowd), "crowds")
+    any_full = bool(full.take(1))
+    shared = scratch.save(shared_suffixes(found.join(full, "m", "left_anti") if any_full else found, 2 * parts), "shared")
+    runs = repeats(contexts(docs, shared, length, gram), length, gram, 4 * parts, sources)
+    if any_full:
+        runs = runs.unionByName(crowd_runs(docs, found.join(full, "m", "left_semi"), length, scratch))
+    runs = scratch.save(runs, "runs")
+    own = every.where("m is null").groupBy("th", "p", "lo", "hi").agg(F.min("doc").alias("doc"))  # one of copies
+    own = own.select("doc", "th", F.col("p").alias("start"), F.col("lo").alias("n"), F.col("doc").alias("first_doc"), F.col("th").alias("first_th"), F.col("hi").alias("first_start"))
+    runs = scratch.save(runs.unionByName(through_firsts(own, runs) if sources else own), "all")
+    scratch.drop("suffixes", "crowds", "shared", "windows", "firsts", "runs")
+    return runs
+
+
+def through_firsts(own: DataFrame, runs: DataFrame) -> DataFrame:
+    """Runs against windows of the same text, as runs against what these are repeats of."""
+    at = runs.select(F.col("doc").alias("first_doc"), F.col("th").alias("first_th"), F.col("start").alias("s"), F.col("n").alias("k"), F.col("first_doc").alias("to_doc"), F.col("first_th").alias("to_th"), F.col("first_start").alias("to_start"))
+    hit = own.join(at, ["first_doc", "first_th"], "left").withColumn("hit", F.expr("s < first_start + n and first_start < s + k"))
+    piece = F.when(F.col("hit"), F.struct("s", "k", "to_doc", "to_th", "to_start"))
+    pieces = hit.groupBy(*RUN).agg(F.sort_array(F.collect_list(piece)).alias("pieces"))  # bounded by the text
 
     def split(batches):
         for batch in batches:
@@ -301,17 +380,15 @@ def overall_firsts(runs: DataFrame, more: DataFrame) -> DataFrame:
                     lo, hi = max(done, x["s"]), min(end, x["s"] + x["k"])
                     if lo < hi:
                         if done < lo:
-                            out.append((r["doc"], r["th"], done + shift, lo - done, r["first_doc"], done))
-                        out.append((r["doc"], r["th"], lo + shift, hi - lo, x["to_doc"], x["to_start"] + lo - x["s"]))
+                            out.append((r["doc"], r["th"], done + shift, lo - done, r["first_doc"], r["first_th"], done))
+                        out.append((r["doc"], r["th"], lo + shift, hi - lo, x["to_doc"], x["to_th"], x["to_start"] + lo - x["s"]))
                         done = hi
                 if done < end:
-                    out.append((r["doc"], r["th"], done + shift, end - done, r["first_doc"], done))
+                    out.append((r["doc"], r["th"], done + shift, end - done, r["first_doc"], r["first_th"], done))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=cols)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=RUN)
 
-    split_runs = pieces.mapInArrow(split, ", ".join(f"{c} long" for c in cols))
-    kept = runs.join(pieces.select(*cols, "first_th"), [*cols, "first_th"], "left_anti")
-    return kept.select(*cols).unionByName(split_runs)
+    return pieces.mapInArrow(split, ", ".join(f"{c} long" for c in RUN))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, scratch: Scratch | None = None) -> DataFrame:
@@ -340,24 +417,27 @@ def has_words(column: str, n: int):
 
 def copies(docs: DataFrame, length: int) -> DataFrame:
     """doc, th, first_doc: texts of at least ``length`` words that an earlier document has as a whole."""
-    own = with_keys(docs.select("doc_id", "text")).where(F.col("text").isNotNull())
-    own = own.select("doc", "th", F.crc32(F.col("text").cast("binary")).alias("crc"), F.octet_length("text").alias("bytes"), has_words("text", length).alias("long"))
+    own = with_keys(docs).select("doc", "th", F.crc32(F.col("text").cast("binary")).alias("crc"), F.octet_length("text").alias("bytes"), has_words("text", length).alias("long"))
     own = own.where("long").drop("long")
     least = own.groupBy("th", "crc", "bytes").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc")).where("first_doc < last_doc")
     return own.join(least, ["th", "crc", "bytes"]).where("doc > first_doc").select("doc", "th", "first_doc").distinct()
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, scratch: Scratch | None = None) -> DataFrame:
-    """docs with repeated words cut out of the texts; documents of which nothing is left go, repeated rows too."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, scratch: Scratch | None = None) -> DataFrame:
+    """docs with repeated words cut out of the texts; documents of which nothing is left go, and of rows equal in id and
+    text one stays."""
     scratch = scratch or Scratch(docs.sparkSession, "suffixes")
-    schema, at = docs.schema, docs.columns.index("text")
-    runs = repeated_runs(docs, length, gram, sources=False, scratch=scratch)
+    names = docs.columns
+    schema, at = docs.schema, names.index("text")
+    runs = repeated_runs(docs, length, gram, crowd, False, scratch)
     span = F.struct("start", (F.col("start") + F.col("n") + length - 1).alias("end"))
     spans = runs.groupBy("doc", "th").agg(F.collect_list(span).alias("cut"))  # bounded by the text
-    gone = copies(docs, length).select("doc", "th")
-    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id"), F.col("text"))
-    own = with_keys(keyed).select("row", "doc", "th").dropDuplicates(["doc", "th"])
-    own = own.join(gone, ["doc", "th"], "left_anti").join(spans, ["doc", "th"], "left").select("row", "cut")
+    whole = copies(docs, length).select("doc", "th", F.lit(True).alias("whole"))
+    what = scratch.save(spans.join(whole, ["doc", "th"], "full").select("doc", "th", "cut", "whole"), "cuts")
+    scratch.drop("all")
+    none = F.col("doc") == NO_ID
+    keyed = what.select(none.alias("none"), F.when(none, 0).otherwise(F.col("doc")).cast("long").alias("id"), "th", "cut", "whole")
+    own = one_row_each(docs, keyed, "left").where("whole is null").select("row", "cut")
 
     def run(batches):
         for batch in batches:
@@ -368,10 +448,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, scra
                 out.append(without(text.as_py(), [(c["start"], c["end"]) for c in spans]) if spans else text.as_py())
                 keep.append(not spans or bool(out[-1].strip()))
             cols[at] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays(cols, names=schema.names).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep, pa.bool_()))
 
     out = own.mapInArrow(run, schema)
-    return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in names else out
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:

@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.llm import bpe, common, language, near_copies, packing, permutation_index, quality, sharding, simhash, suffix_dedup, toxicity, voronoi_knn
+from helixframe.llm import bpe, common, language, packing, permutation_index, quality, sharding, simhash, suffix_dedup, toxicity, voronoi_knn
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -189,8 +189,6 @@ def test_simhash(spark, docs, empty):
     assert len(linked) > 20
     assert got == {d: (fps[i], rows[comp[i]][0]) for i, (d, _) in enumerate(rows)}
     assert simhash.simhash_components(empty).count() == 0
-    kept = simhash.one_of_each(docs)
-    assert kept.columns == docs.columns and kept.where("doc_id = 1003").count() == 0 and kept.where("doc_id is null").count() == 1
     with pytest.raises(ValueError):
         simhash.links(spark.createDataFrame([(1,)], "fp long"), 6, 3)
 
@@ -205,6 +203,8 @@ def test_links_of_random_fingerprints(spark):
     assert all((fps[a] ^ fps[b]).bit_count() <= 4 for a, b in got)
     want = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4]
     assert components(len(fps), got) == components(len(fps), want)
+    whole = simhash.link_group(np.array(fps, np.uint64), 4, 3, few=8)  # as if all shared a key
+    assert components(len(fps), [(at[int(a)], at[int(b)]) for a, b in whole]) == components(len(fps), want)
 
 
 def test_connected_components(spark):
@@ -233,8 +233,26 @@ def test_near_copies_of_the_pipeline(spark, docs, empty):
     far = [d for d, j in alike.items() if j < 0.8]
     assert kept >= {*range(300), *far} and len(far) > 50
     assert len(near) > 150 and sum(d not in kept for d in near) >= 0.97 * len(near)
-    got = near_copies.one_of_each(docs)
-    assert got.columns == docs.columns and got.where("doc_id = 1003").count() == 0 and near_copies.one_of_each(empty).count() == 0
+    clash = docs.withColumns({c: F.lit(i) for i, c in enumerate(["none", "id", "th", "sh", "own", "row", "first", "rid"])})
+    got = simhash.one_of_each(clash)
+    assert got.columns == clash.columns and got.where("doc_id = 1003").count() == 0 and simhash.one_of_each(empty).count() == 0
+    assert got.where("doc_id is null").count() == 1 and got.where("id = 1 and rid = 7").count() == got.count()
+
+
+def test_near_copies_in_a_hot_key(spark):
+    """A crowd of near copies, dealt over several tasks, and unlike texts: components equal those of all pairs."""
+    rng = random.Random(14)
+    base = [f"w{rng.randint(0, 5000)}" for _ in range(300)]
+    texts = [" ".join(w if rng.random() > 0.004 else f"x{rng.randint(0, 5000)}" for w in base) for _ in range(150)]
+    texts += [" ".join(f"w{rng.randint(0, 5000)}" for _ in range(40)) for _ in range(50)]
+    sets = [simhash.shingle_set(t.encode()) for t in texts]
+    jaccard = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8]
+    comp = components(len(sets), pairs)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for crowd in (simhash.CROWD, 16):
+        got = {r["id"]: r["first"]["id"] for r in simhash.near_copies(frame, crowd=crowd).collect()}
+        assert got == {i: comp[i] for i in range(len(texts))}
 
 
 # ---------------------------------------------------------------- repeated passages
@@ -263,6 +281,9 @@ def test_repeats(spark, docs, crowd):
         own = [f"u{rng.randint(0, 10**6)}" for _ in range(rng.randint(0, 80))]
         own.insert(rng.randint(0, len(own)), rng.choice(passages))
         rows.append((3000 + i, " ".join(own)))
+    for i in range(12):  # texts that repeat themselves
+        own = [f"u{rng.randint(0, 10**6)}" for _ in range(rng.randint(0, 30))]
+        rows.append((4000 + i, " ".join([*own, *(["is", "one"] * rng.randint(20, 90)), *own, *rng.choice(passages).split(), "x", *rng.choice(passages).split(), *(["z"] * rng.randint(0, 120))])))
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute_repeats(rows, 50)
     got = {d: np.zeros(len(h), bool) for d, h in want.items()}
@@ -283,6 +304,9 @@ def test_first_occurrences(spark, crowd):
     for i in range(80):
         lo = rng.randint(0, 25)
         rows.append((i, " ".join([*(f"u{rng.randint(0, 10**6)}" for _ in range(rng.randint(0, 30))), *rng.choice(passages)[lo : lo + rng.randint(50, 65)], f"v{i}"])))
+    for i in range(12):  # texts that repeat themselves
+        own = rng.choice(passages)
+        rows.append((100 + i, " ".join([f"v{i}", *(["is", "one"] * rng.randint(20, 90)), *own[: rng.randint(50, 80)], *own[rng.randint(0, 20) :], *own, *["a", "b", "c"] * rng.randint(10, 40)])))
     first, want = {}, {}
     for doc, text in rows:
         w = text.split()
