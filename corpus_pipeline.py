@@ -1,8 +1,7 @@
 """From raw documents to packed training windows, a stage at a time.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
-stage's docs. All but the last return the columns of ``documents``. Null and empty texts pass the filters on the
-scores that the models give them; a stage on an empty table returns an empty one.
+stage's docs. All but the last return the columns of ``documents``, whatever else these have beside them.
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import common, near_copies, packing, quality, suffix_dedup, toxicity
+from helixframe.llm import common, packing, quality, simhash, suffix_dedup, toxicity
 
 TOXIC = 0.5
 GOOD = 0.3
@@ -23,27 +22,33 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.sweep()  # the stage before has been written
-    return toxicity.score_toxicity(docs, _labels(spark, sf_dir)).where(F.col("toxicity") < TOXIC).drop("toxicity")
+    """Documents with a score under TOXIC. Null and empty texts have the base score, equal texts equal scores; repeated
+    rows and null ids stay as they are; without labels of both kinds the share of toxic rows decides on all."""
+    score = common.free_name(docs, "toxicity")
+    return toxicity.score_toxicity(docs, _labels(spark, sf_dir), name=score).where(F.col(score) < TOXIC).drop(score)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.sweep()
-    return quality.score_quality(docs, _labels(spark, sf_dir)).where(F.col("quality_score") >= GOOD).drop("quality_score")
+    """Documents with a score of GOOD and more; edge cases as in the stage before."""
+    score = common.free_name(docs, "quality")
+    return quality.score_quality(docs, _labels(spark, sf_dir), name=score).where(F.col(score) >= GOOD).drop(score)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.sweep()
-    return near_copies.one_of_each(docs)
+    """One document of each component of texts whose five-word shingles have a similarity of 0.8 or more, the one with
+    the smallest id. Null and empty texts and those without words are copies of each other; null ids come last; of rows
+    equal in id and text one stays."""
+    return simhash.one_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.sweep()
+    """Texts without the passages of 50 words and more that they, or documents with smaller ids, have before. Null and
+    short texts stay as they are; documents of which nothing is left go; null ids come last."""
     return suffix_dedup.remove_repeats(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.sweep()
+    """Pieces in windows of 1,024 ids. Null and empty texts have the end id only; repeated rows are packed one by one."""
     return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
 
 
@@ -61,10 +66,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = common.Scratch(spark, "pipeline")
-    common.keep(out)
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = out.save(docs, name)
-    return docs
+    out, before = common.Scratch(spark, "pipeline"), None
+    for name, stage in STAGES[:-1]:
+        docs = out.save(stage(spark, docs, sf_dir), name)
+        if before:
+            out.drop(before)
+        before = name
+    return STAGES[-1][1](spark, docs, sf_dir)
