@@ -39,6 +39,7 @@ SIMILAR = 0.8
 WIDE = 256  # bits of a near copy's fingerprint
 WIDE_SEGMENTS = 14
 NEAR_BITS = 33  # of 128: at similarity 0.8 two texts differ in 19.4 of them, with a deviation of 4.1
+KEY_ROWS = 2048  # sets whose keys a task makes
 CROWD = 20_000  # rows of one key that a task takes
 
 
@@ -318,6 +319,8 @@ def candidates(sets: DataFrame, segments: int = WIDE_SEGMENTS, crowd: int = CROW
     scratch = scratch or Scratch(sets.sparkSession, "near-copies")
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     starts = [lo for lo, _ in segment_bounds(segments, WIDE)]
+    # so many tasks that the keys of each, a row for each bit, can be sorted in its memory
+    sets = scratch.save(sets.repartition(max(parts, sets.count() // KEY_ROWS + 1), "rid"), "dealt")
     some = wide_keys(sets.where(F.pmod(F.xxhash64("rid"), F.lit(16)) == 0), segments)
     hot = some.groupBy(F.shiftright("key", 1).alias("g")).agg((F.count(F.lit(1)) * 16).alias("n")).where(F.col("n") > crowd)
     hot = scratch.save(hot.select("g", F.ceil(F.col("n") / crowd).cast("int").alias("salts")), "hot")
@@ -371,7 +374,7 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, width: int = SET_WIDT
     least = own.groupBy("component").agg(F.min("first").alias("least"))
     known = scratch.save(own.join(least, "component").select("sh", F.col("least").alias("first")), "known")
     out = scratch.save(rows.select(*ROW_KEY, "sh").join(known, "sh").select(*ROW_KEY, "first"), "near-copies")
-    scratch.drop("sketches", "firsts", "hot", "found", "pairs", "sets", "links", "cc", "own", "known")
+    scratch.drop("sketches", "firsts", "dealt", "hot", "found", "pairs", "sets", "links", "cc", "own", "known")
     return out
 
 

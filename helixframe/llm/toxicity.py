@@ -45,7 +45,7 @@ SEPARATORS = set(".-_*~'`^:/\\,;=#·​‌‍﻿ ")
 SWAP, STAY, DROP = math.log(0.95), math.log(0.005), math.log(1e-5)  # of a look-alike: meant a letter, itself, nothing
 JOIN, SPLIT = math.log(0.5), math.log(0.5)  # of a separator: nothing was there, or a break
 SINGLE, DOUBLE = math.log(0.3), math.log(0.7)  # of a letter that repeats the one before it: dropped, kept
-STRETCHED = math.log(0.9)  # dropped, from the third on
+STRETCHED, KEPT = math.log(0.95), math.log(0.05)  # from the third on: dropped, kept
 SPACED = re.compile(r"(?<!\S)[^\W_](?:(?:\s+|[.\-_*])[^\W_]|(?:\s+|[.\-_*])?[@$!|+]){3,}(?!\S)|(?<!\S)\S(?:\s+\S){3,}(?!\S)")
 PLAIN = re.compile(r"[^\W\d_]*\Z")
 REPEAT = re.compile(r"([^\W\d_])\1+")
@@ -69,7 +69,7 @@ def decode(observed: str, lm: np.ndarray, breaks: bool = True) -> str:
         run = run + 1 if letter and c == last else 1
         options: list[tuple[str | None, float]]
         if letter:
-            options = [(c, 0.0)] if run == 1 else [(c, DOUBLE), (None, SINGLE)] if run == 2 else [(c, -STRETCHED * -30), (None, STRETCHED)]
+            options = [(c, 0.0)] if run == 1 else [(c, DOUBLE), (None, SINGLE)] if run == 2 else [(c, KEPT), (None, STRETCHED)]
         elif c in LOOKALIKES:
             options = [(x, SWAP - math.log(len(LOOKALIKES[c]))) for x in LOOKALIKES[c]] + [(" ", STAY), (None, DROP)]
         elif c in SEPARATORS:
@@ -161,20 +161,34 @@ def tokens(text: str, restorer: Restorer) -> set[str]:
 class Scorer:
     """lexicon: the weight of each feature; fit: the logistic function's weights."""
 
-    def __init__(self, lm, lexicon: dict[str, float], fit: list[float], limit: int = 300_000):
-        self.restorer, self.lexicon, self.fit, self.limit, self.hits = Restorer(lm), lexicon, fit, limit, {}
+    def __init__(self, lm, lexicon: dict[str, float], fit: list[float], limit: int = 600_000):
+        self.restorer, self.lexicon, self.fit, self.limit, self.hits, self.misses = Restorer(lm), lexicon, fit, limit, {}, set()
         self.heads = {f[:3] for f in lexicon}
+        #: what a token of plain letters must begin with, each letter once, if a reading of it is to hit
+        self.once = {REPEAT.sub(r"\1", f.rstrip("*"))[:3] for f in lexicon}
+
+    def hopeless(self, token: str) -> bool:
+        """Whether no reading of a token of plain letters can hit: readings differ in how often letters repeat only."""
+        core = EDGE.sub("", token)
+        if not PLAIN.match(core):
+            return False
+        c = REPEAT.sub(r"\1", core)
+        return c[:3] not in self.once and c[:2] not in self.once and c[:1] not in self.once
 
     def hit(self, token: str) -> tuple | None:
-        best = max(((self.lexicon[f], f) for w in self.restorer.words(token) if w[:3] in self.heads for f in features(w) if f in self.lexicon), default=None)
-        if len(self.hits) >= self.limit:
+        best = None if self.hopeless(token) else max(((self.lexicon[f], f) for w in self.restorer.words(token) if w[:3] in self.heads for f in features(w) if f in self.lexicon), default=None)
+        if len(self.hits) + len(self.misses) >= self.limit:
             self.hits.clear()
-        self.hits[token] = best
+            self.misses.clear()
+        if best is None:
+            self.misses.add(token)
+        else:
+            self.hits[token] = best
         return best
 
     def evidence(self, text: str) -> tuple[float, float, float]:
         known, found = self.hits, {}
-        for t in tokens(text, self.restorer):
+        for t in tokens(text, self.restorer) - self.misses:
             h = known[t] if t in known else self.hit(t)
             if h is not None:
                 found[h[1]] = h[0]
