@@ -29,20 +29,49 @@ TEMPER = 0.1  # neighbouring characters are no independent evidence
 HOST_WEIGHT = 5.0
 DOMAIN_WEIGHT = 10.0
 SMOOTH = 0.5
+LONG_TAG = 4096  # characters of a tag that are read for its language
 
-HIDDEN = re.compile(r"(?is)<(script|style|template|noscript)\b.*?</\1\s*>|<!--.*?-->|<!doctype[^>]*>")
-TAG = re.compile(r"(?s)<[^>]*>")
-DECLARED = re.compile(r"(?is)<html\b[^>]*?\s(?:xml:)?lang\s*=\s*[\"']?\s*([a-z]{2,8})")
-META = re.compile(r"(?is)<meta\b[^>]*content-language[^>]*\bcontent\s*=\s*[\"']?\s*([a-z]{2,8})")
+OPENS = re.compile(r"(?i)<(?:(script|style|template|noscript)\b|!--|!doctype)")
+ENDS = {name: re.compile(rf"(?i)</{name}\s*>") for name in ("script", "style", "template", "noscript")} | {"--": re.compile("-->"), "!": re.compile(">")}
+TAG = re.compile(r"<[^>]*>")
+SPEAKS = re.compile(r"(?i)<(html|meta)\b")
+LANG = re.compile(r"(?i)\s(?:xml:)?lang\s*=\s*[\"']?\s*([a-z]{2,8})")
+CONTENT = re.compile(r"(?i)content-language.*?\bcontent\s*=\s*[\"']?\s*([a-z]{2,8})", re.S)
 
 
 def visible(page: str) -> str:
-    return markup.unescape(TAG.sub(" ", HIDDEN.sub(" ", page)))
+    """The text between tags, without scripts and the like. Time grows with the page's length: a kind of end that isn't
+    found once is not looked for again."""
+    out, at, gone = [], 0, set()
+    for m in OPENS.finditer(page):
+        if m.start() < at:
+            continue
+        kind = m[1].lower() if m[1] else "--" if m[0] == "<!--" else "!"
+        end = None if kind in gone else ENDS[kind].search(page, m.end())
+        if end is None:
+            gone.add(kind)
+        else:
+            out += [page[at : m.start()], " "]
+            at = end.end()
+    text = "".join([*out, page[at:]])
+    cut = text.rfind(">") + 1  # behind it no tag ends
+    return markup.unescape(TAG.sub(" ", text[:cut]) + text[cut:])
 
 
 def declared(page: str) -> str:
-    found = DECLARED.search(page[:65536]) or META.search(page[:65536]) or DECLARED.search(page) or META.search(page)
-    return found[1].lower() if found else ""
+    """The language of the first html tag that has one, else that of a meta tag."""
+    meta = ""
+    for m in SPEAKS.finditer(page):
+        end = page.find(">", m.end())
+        if end < 0:
+            break
+        tag = page[m.end() : min(end, m.end() + LONG_TAG)]
+        if m[1].lower() == "html":
+            if found := LANG.search(tag):
+                return found[1].lower()
+        elif not meta and (found := CONTENT.search(tag)):
+            meta = found[1].lower()
+    return meta
 
 
 def host_of(url: str) -> Column:
@@ -81,7 +110,7 @@ def text_evidence(pages: DataFrame, models: np.ndarray) -> DataFrame:
     return pages.selectExpr("cast(page_id as long) as page_id", "url", "html").mapInArrow(run, "page_id long, url string, declared string, text_chars long, ll array<double>")
 
 
-def fuse(rows: DataFrame, langs: list[str], temper: float = TEMPER, host_weight: float = HOST_WEIGHT, domain_weight: float = DOMAIN_WEIGHT, smooth: float = SMOOTH) -> DataFrame:
+def fuse(rows: DataFrame, langs: list[str], scratch: Scratch, temper: float = TEMPER, host_weight: float = HOST_WEIGHT, domain_weight: float = DOMAIN_WEIGHT, smooth: float = SMOOTH) -> DataFrame:
     """Adds suffix, domain, host, lang and confidence to text evidence."""
     n = len(langs)
     rows = rows.withColumn("host", host_of("url")).withColumn("domain", domain_of("host")).withColumn("suffix", suffix_of("host"))
@@ -92,7 +121,8 @@ def fuse(rows: DataFrame, langs: list[str], temper: float = TEMPER, host_weight:
     n_suffix, n_declared = rows.agg(F.approx_count_distinct("suffix"), F.approx_count_distinct("declared")).first()
     out = rows
     for key in ("declared", "suffix", "host", "domain"):
-        counts = rows.groupBy(key).agg(tally().alias(f"n_{key}"))
+        # written, so that a join that isn't a broadcast reads two plain shuffles, whose hot keys are split
+        counts = scratch.save(rows.groupBy(key).agg(tally().alias(f"n_{key}")), key)
         out = out.join(counts, key)
     scores = []
     for i in range(n):
@@ -122,7 +152,7 @@ def identify(pages: DataFrame, docs: DataFrame, scratch: Scratch | None = None)
         none = F.lit(None).cast("string")
         return pages.select(F.col("page_id").cast("long"), none.alias("lang"), F.lit(None).cast("double").alias("confidence"), *(none.alias(c) for c in ("text_lang", "declared", "suffix", "domain", "host")), F.lit(None).cast("long").alias("text_chars"))
     models = np.stack([log_model(c) for c in counts.values()])
-    return fuse(scratch.save(text_evidence(pages, models), "evidence"), list(counts))
+    return fuse(scratch.save(text_evidence(pages, models), "evidence"), list(counts), scratch)
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ from __future__ import annotations
 import functools
 import heapq
 import json
+import re
 import zlib
 from array import array
 
@@ -119,14 +120,38 @@ def vocabulary(path: str) -> dict[bytes, int]:
     return {bytes(byte_of[c] for c in t): i for t, i in model["vocab"].items() if i < 256 + len(merged)}
 
 
+class Encoder:
+    """ids of the tokenizers library without special tokens around a text; those that stand in it count."""
+
+    def __init__(self, code: Codec, added: dict[str, int]):
+        self.code, self.added = code, added
+        longest = sorted(added, key=len, reverse=True)
+        self.split = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if added else None
+
+    def encode(self, text: str) -> list[int]:
+        if not self.split or not self.split.search(text):
+            return self.code.encode(text)
+        out: list[int] = []
+        for part in self.split.split(text):
+            if part in self.added:
+                out.append(self.added[part])
+            elif part:
+                out += self.code.encode(part)
+        return out
+
+
 @functools.cache
-def encoder(path: str) -> Codec:
+def encoder(path: str) -> Encoder:
     import public_tokenizers as tokenizers_files
 
-    return Codec(vocabulary(path), tokenizers_files.PATTERN)
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    if any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"{path}: added tokens with conditions")
+    return Encoder(Codec(vocabulary(path), tokenizers_files.PATTERN), {t["content"]: t["id"] for t in added})
 
 
-PROBE = ["", " ", "a", "It's  we'll\n\n x", "Straße, ÀÉ ñandú  12 345!?", "tab\tend \n", "日本語 text", "<|endoftext|>", "e\u0301 \u200b \u00a0 z", "aaaaaaaaaaaaaaaaaaaaaaaa 0000000"]
+PROBE = ["", " ", "a", "It's  we'll\n\n x", "Straße, ÀÉ ñandú  12 345!?", "tab\tend \n", "日本語 text", "<|endoftext|>", "a <|endoftext|> b<|endoftext|><|endoftext", "e\u0301 \u200b \u00a0 z", "aaaaaaaaaaaaaaaaaaaaaaaa 0000000"]
 
 
 def agrees(path: str, texts: list[str] = PROBE) -> bool:
@@ -134,7 +159,6 @@ def agrees(path: str, texts: list[str] = PROBE) -> bool:
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(path)
-    lib.encode_special_tokens = True  # their strings in a text are ordinary text
     return [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)] == [encoder(path).encode(t) for t in texts]
 
 
@@ -176,7 +200,7 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, e
     """Pieces with sequence_id and offset. Full pieces have a sequence each; the others are packed in groups."""
     if not agrees(tokenizer_file):
         raise ValueError(f"{tokenizer_file}: other ids than the tokenizers library gives")
-    scratch = Scratch(docs.sparkSession, "packing")
+    scratch = Scratch(docs.sparkSession, "packing")  # the result reads it
     pieces = scratch.save(token_pieces(docs, tokenizer_file, window, end_id, ids), "pieces").withColumn("row", F.monotonically_increasing_id())
     rests = pieces.where(F.col("length") < window)
     groups = max(1, -(-rests.count() // group_size))

@@ -16,7 +16,8 @@ the links, never the pairs.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing and form
 components of their own; repeated rows (equal vec_id and vector) count as vectors of their own; vectors of different
-lengths never link; null ids keep n_links but have no component id unless a linked vector has one; an empty table gives
+lengths never link; null ids keep n_links but have no component id unless a linked vector has one, and are kept where
+none has; an empty table gives
 an empty result; other columns are ignored.
 """
 
@@ -31,7 +32,7 @@ from .common import Scratch, connected_components
 
 MIN_COSINE = 0.9
 PREFIX = 10
-SHARED = 3
+SHARED = 2
 LIST_ROWS = 512  # aimed at for a list
 MAX_PIVOTS = 4096
 BLOCK = 2048
@@ -169,16 +170,19 @@ def near_duplicates(rows: DataFrame, min_cosine: float = MIN_COSINE, prefix: int
     spark = rows.sparkSession
     scratch = scratch or Scratch(spark, "permutations")
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    rows = scratch.save(rows.withColumn("ok", usable("v")).withColumn("v", F.when(F.col("ok"), F.col("v"))), "rows")
+    rows = rows.withColumn("ok", usable("v")).withColumn("v", F.when(F.col("ok"), F.col("v")))
+    rows = scratch.save(rows.withColumn("h0", F.xxhash64("v")).withColumn("h1", F.xxhash64(F.lit(1), "v")), "rows")
     sound = rows.where("ok")
-    # copies: one row for each different vector, whose key is its place in a written table
-    distinct = scratch.save(sound.groupBy("v").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies")).withColumn("key", F.monotonically_increasing_id()), "distinct")
-    results = []
+    # copies: one row for each different vector (told by 128 bits), whose key is its place in a written table
+    copies = sound.groupBy("h0", "h1").agg(F.first("v").alias("v"), F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    distinct = scratch.save(copies.withColumn("key", F.monotonically_increasing_id()), "distinct")
+    results, dropped = [], []
     for width in [r.w for r in distinct.select(F.size("v").alias("w")).distinct().orderBy("w").collect()]:
         own = distinct.where(F.size("v") == width)
         n = own.count()
         leaders, pivots = choose_pivots(own, n_pivots or max(16, min(MAX_PIVOTS, prefix * n // LIST_ROWS)), min_cosine)
         results.append(_linked(own, leaders, pivots, min_cosine, prefix, min(shared, len(pivots)), scratch, f"w{width}"))
+        dropped += [f"lists-w{width}", f"links-w{width}"]
     if not results:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     found = results[0]
@@ -188,10 +192,12 @@ def near_duplicates(rows: DataFrame, min_cosine: float = MIN_COSINE, prefix: int
     counts = found.where("n > 0").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n"))
     comp = connected_components(found.where("n = 0").select("a", "b"), scratch)
     own = distinct.join(counts, "key", "left").join(comp.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    own = scratch.save(own.select("v", "first", "component", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "own")
+    own = scratch.save(own.select("h0", "h1", "first", "component", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "own")
     least = own.groupBy("component").agg(F.min("first").alias("component_id"))
-    known = own.join(least, "component").select("v", "n_links", "component_id")
-    linked = sound.select("vec_id", "v").join(known, "v").select("vec_id", "n_links", "component_id")
+    known = scratch.save(own.join(least, "component").select("h0", "h1", "n_links", "component_id"), "known")
+    scratch.drop("distinct", "found", "cc", "own", *dropped)
+    # two written tables: adaptive execution can split the rows of a vector that is very many rows'
+    linked = sound.select("vec_id", "h0", "h1").join(known, ["h0", "h1"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone)
 
@@ -211,4 +217,4 @@ def _linked(own: DataFrame, leaders: np.ndarray, pivots: np.ndarray, min_cosine:
 
 def op6_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
-    return out.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return out.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))

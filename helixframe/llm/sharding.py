@@ -10,12 +10,13 @@ places of their own; an empty table gives an empty result; other columns of the
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents
+from .common import Scratch, documents, exists, shared_dir
 
 N_SLOTS = 4096
 
@@ -42,9 +43,9 @@ class SlotMap:
             out[shard] += weights[slot]
         return out
 
-    def rebalance(self, weights: list[int], max_moves: int | None = None) -> int:
-        """Moves or swaps slots between the fullest and the emptiest shard while that narrows their gap. Returns the
-        number of slots moved; the edited map is a new version."""
+    def rebalance(self, weights: list[int], max_moves: int | None = None, slack: int = 0) -> int:
+        """Moves or swaps slots between the fullest and the emptiest shard while that narrows their gap, and the gap
+        is over ``slack``. Returns the number of slots moved; the map, if edited, is a new version."""
         owner, loads, moved = list(self.current), self.loads(weights), 0
         held: list[set[int]] = [set() for _ in range(self.n_shards)]
         for slot, shard in enumerate(owner):
@@ -68,7 +69,7 @@ class SlotMap:
                         j += 1
                     if downs and abs(gap - 2 * (w - downs[j][0])) < best:
                         best, move = abs(gap - 2 * (w - downs[j][0])), (s, downs[j][1])
-            if move is None or best >= gap:
+            if move is None or best >= gap or gap <= slack:
                 break
             for slot, a, b in ((move[0], hi, lo), (move[1], lo, hi)):
                 if slot is not None:
@@ -78,7 +79,8 @@ class SlotMap:
                     loads[a] -= weights[slot]
                     loads[b] += weights[slot]
                     moved += 1
-        self.versions.append(owner)
+        if moved:
+            self.versions.append(owner)
         return moved
 
     def add_shard(self, weights: list[int]) -> int:
@@ -98,18 +100,22 @@ class SlotMap:
         self.versions.append(owner)
         return moved
 
-    def rows(self) -> list[tuple[int, int, int]]:
-        return [(v, slot, shard) for v, owner in enumerate(self.versions) for slot, shard in enumerate(owner)]
-
     def save(self, spark: SparkSession, path: str) -> None:
-        spark.createDataFrame(self.rows(), "version int, vslot int, shard int").coalesce(1).write.mode("overwrite").parquet(path)
+        """Adds a table for each version that ``path`` doesn't hold yet; versions never change."""
+        for v, owner in enumerate(self.versions):
+            if not exists(spark, f"{path}/version-{v}/_SUCCESS"):
+                rows = [(self.n_shards if v == len(self.versions) - 1 else max(owner) + 1, slot, shard) for slot, shard in enumerate(owner)]
+                spark.createDataFrame(rows, "n_shards int, vslot int, shard int").coalesce(1).write.mode("overwrite").parquet(f"{path}/version-{v}")
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> SlotMap:
-        rows = spark.read.parquet(path).orderBy("version", "vslot").collect()  # versions x slots
-        n = max(r.vslot for r in rows) + 1
-        versions = [[r.shard for r in rows[i : i + n]] for i in range(0, len(rows), n)]
-        return cls(n, max(versions[-1]) + 1, versions)
+    def load(cls, spark: SparkSession, path: str) -> SlotMap | None:
+        """The map with all its versions, or none where nothing is kept."""
+        versions, n_shards = [], 0
+        while exists(spark, f"{path}/version-{len(versions)}/_SUCCESS"):
+            rows = spark.read.parquet(f"{path}/version-{len(versions)}").orderBy("vslot").collect()  # a row for each slot
+            versions.append([r.shard for r in rows])
+            n_shards = rows[0].n_shards
+        return cls(len(versions[0]), n_shards, versions) if versions else None
 
 
 def with_slots(df: DataFrame, key: list, n_slots: int = N_SLOTS) -> DataFrame:
@@ -125,12 +131,16 @@ def slot_weights(rows: DataFrame, n_slots: int) -> tuple[list[int], list[int]]:
     return size, count
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS) -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, map_path: str | None = None) -> DataFrame:
     """Shards of near-equal bytes, with every row's place in its shard.
 
+    ``map_path`` keeps the slot map between runs: a run loads its last version, adds shards if there are to be more,
+    moves what slots it must for shards of near-equal bytes, and adds its edits as versions. Without it the map starts
+    anew. A kept map with another number of slots, or with more shards than asked for, is refused.
+
     Returns doc_id, size, text_crc32, vslot, map_version, shard, slot. ``slot`` counts from 0 without gaps in each
     shard: rows are numbered within their virtual slot, and each virtual slot starts where the one before it ends, so
-    no shard is ever sorted as a whole. The map is kept as ``slot_map`` beside the scratch tables.
+    no shard is ever sorted as a whole.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "shards")
@@ -141,9 +151,14 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS)
     )
     rows = scratch.save(with_slots(rows, ["doc_id", "size", "text_crc32"], n_slots), "rows")
     size, count = slot_weights(rows, n_slots)
-    slots = SlotMap.initial(n_slots, n_shards)
+    slots = (SlotMap.load(spark, map_path) if map_path else None) or SlotMap.initial(n_slots, n_shards)
+    if slots.n_slots != n_slots or slots.n_shards > n_shards:
+        raise ValueError(f"{map_path}: {slots.n_slots} slots, {slots.n_shards} shards")
+    while slots.n_shards < n_shards:
+        slots.add_shard(size)
     slots.rebalance(size)
-    slots.save(spark, f"{scratch.root}/slot_map")
+    if map_path:
+        slots.save(spark, map_path)
     base, at = [0] * n_slots, [0] * n_shards
     for v, shard in enumerate(slots.current):
         base[v] = at[shard]
@@ -156,5 +171,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS)
 
 
 def op2_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = shard_documents(documents(spark, sf_dir))
+    # the map of these tables lies in the cluster's shared folder, for the next run to edit
+    kept = f"{shared_dir(spark)}/helixframe-slot-maps/{hashlib.md5(sf_dir.encode()).hexdigest()}"
+    out = shard_documents(documents(spark, sf_dir), map_path=kept)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", "map_version")

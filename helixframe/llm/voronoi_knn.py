@@ -64,14 +64,18 @@ class Join:
         cell = d.argmin(1)
         return cell, d[np.arange(len(d)), cell]
 
-    def bound(self, radius: dict[int, float], nearest: list[tuple[int, float]]) -> None:
-        """radius: of the cells of queries. nearest: cell and distance of the rows nearest each pivot. k of the rows
-        besides a query itself lie within its cell's bound."""
-        cell, d = np.array([c for c, _ in nearest], int), np.array([x for _, x in nearest])
+    def bound(self, radius: dict[int, float], nearest: list[tuple[int, float, int]]) -> None:
+        """radius: of the cells of queries. nearest: cell, distance and id of the ids nearest each pivot. k ids besides
+        a query's own lie within its cell's bound."""
+        cell, d = np.array([c for c, _, _ in nearest], int), np.array([x for _, x, _ in nearest])
+        ids = np.array([i for _, _, i in nearest], np.int64)
         between = _distances(self.pivots, self.pivots)
         for c, r in radius.items():
             self.radius[c] = r
-            upper = np.sort(r + between[c, cell] + d)
+            upper = r + between[c, cell] + d
+            order = np.argsort(upper, kind="stable")
+            _, first = np.unique(ids[order], return_index=True)
+            upper = upper[order[np.sort(first)]]
             self.limit[c] = upper[self.k] if len(upper) > self.k else np.inf
 
     def form_groups(self, count: dict[int, int], size: int) -> None:
@@ -103,10 +107,16 @@ def top_k(rows: DataFrame, is_query, k: int = K, n_pivots: int = N_PIVOTS, scrat
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0))
     rows = scratch.save(rows.select(F.col("vec_id").cast("long").alias("vec_id"), "v", is_query.alias("q")), "rows")
     out_schema = "query_id long, rank int, vec_id long, score long"
-    common = rows.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    if common is None:
-        return spark.createDataFrame([], out_schema)
-    rows = rows.where(F.size("v") == common["w"])
+    out = None
+    for width in sorted(r.w for r in rows.select(F.size("v").alias("w")).distinct().collect()):
+        own = _top_k(rows.where(F.size("v") == width), k, n_pivots, scratch, f"w{width}")
+        out = own if out is None else out.unionByName(own)
+    return spark.createDataFrame([], out_schema) if out is None else out
+
+
+def _top_k(rows: DataFrame, k: int, n_pivots: int, scratch: Scratch, name: str) -> DataFrame:
+    """``top_k`` for vectors of one length; q marks queries."""
+    spark = rows.sparkSession
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     big = max(1.0, float(rows.agg(F.max(square)).first()[0]) ** 0.5) * (1 + 1e-9)
     sample = rows.select("v").orderBy(F.xxhash64("v", "vec_id"), "vec_id").limit(n_pivots).collect()  # bounded
@@ -117,19 +127,20 @@ def top_k(rows: DataFrame, is_query, k: int = K, n_pivots: int = N_PIVOTS, scrat
         for batch in batches:
             x, q = matrix(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False)
             cell, d = join.cells(x, False)
-            cols = [(cell, d, np.zeros(len(cell), bool))]
+            ids = batch.column(0).to_numpy()
+            cols = [(cell, d, np.zeros(len(cell), bool), ids)]
             if q.any():
                 cell, d = join.cells(x[q], True)
-                cols.append((cell, d, np.ones(len(cell), bool)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*cols)], names=["cell", "d", "q"])
+                cols.append((cell, d, np.ones(len(cell), bool), ids[q]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*cols)], names=["cell", "d", "q", "vec_id"])
 
-    cells = rows.mapInArrow(assign, "cell long, d double, q boolean")
-    # each cell's k + 1 smallest distances: a heap in each group would do, here a rank over cell and a random part first
+    cells = rows.mapInArrow(assign, "cell long, d double, q boolean, vec_id long")
+    # each cell's k + 1 nearest ids: a heap in each group would do, here a rank over cell and a random part first
     part = Window.partitionBy("cell", "part").orderBy("d")
-    near = cells.where("not q").withColumn("part", F.pmod(F.xxhash64("d"), F.lit(64)))
+    near = cells.where("not q").groupBy("cell", "vec_id").agg(F.min("d").alias("d")).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
     near = near.withColumn("r", F.row_number().over(part)).where(F.col("r") <= k + 1)
     near = near.withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy("d"))).where(F.col("r") <= k + 1)
-    nearest = [(r["cell"], r["d"]) for r in near.select("cell", "d").collect()]
+    nearest = [(r["cell"], r["d"], r["vec_id"]) for r in near.select("cell", "d", "vec_id").collect()]
     of_cell = cells.where("q").groupBy("cell").agg(F.max("d").alias("r"), F.count(F.lit(1)).alias("n")).collect()
     join.bound({r["cell"]: r["r"] for r in of_cell}, nearest)
     join.form_groups({r["cell"]: r["n"] for r in of_cell}, BLOCK_QUERIES)
@@ -148,8 +159,8 @@ def top_k(rows: DataFrame, is_query, k: int = K, n_pivots: int = N_PIVOTS, scrat
             yield pa.RecordBatch.from_arrays([pa.array(join.group[cell]), batch.column(0), batch.column(1)], names=["cell", "vec_id", "v"])
 
     schema = "cell long, vec_id long, v array<long>"
-    data = scratch.save(rows.select("vec_id", "v").mapInArrow(replicate, schema), "data")
-    queries = scratch.save(rows.where("q").select("vec_id", "v").dropDuplicates(["vec_id"]).mapInArrow(place, schema), "queries")
+    data = scratch.save(rows.select("vec_id", "v").mapInArrow(replicate, schema), f"data-{name}")
+    queries = scratch.save(rows.where("q").select("vec_id", "v").dropDuplicates(["vec_id"]).mapInArrow(place, schema), f"queries-{name}")
 
     def blocks(df: DataFrame, size: int) -> DataFrame:
         """cell, n: blocks of each group; a row for each of n_pivots groups at most."""

@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.llm import bpe, common, language, packing, permutation_index, quality, sharding, simhash, suffix_dedup, toxicity, voronoi_knn
+from helixframe.llm import bpe, charlm, common, language, packing, permutation_index, quality, sharding, simhash, suffix_dedup, toxicity, voronoi_knn
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -62,7 +62,28 @@ def test_slot_map(spark, tmp_path):
     assert all(a == b or b == 8 for a, b in zip(before, m.current))
     assert abs(m.loads(weights)[8] - sum(weights) / 9) < sum(weights) / 90
     m.save(spark, str(tmp_path / "map"))
-    assert sharding.SlotMap.load(spark, str(tmp_path / "map")).versions == m.versions
+    assert sharding.SlotMap.load(spark, str(tmp_path / "map")) == m
+    m.n_shards += 1  # an empty last shard is a shard
+    m.versions.append(list(m.current))
+    m.save(spark, str(tmp_path / "map"))
+    assert sharding.SlotMap.load(spark, str(tmp_path / "map")).n_shards == 10
+    assert sharding.SlotMap.load(spark, str(tmp_path / "none")) is None
+
+
+def test_a_kept_map_is_edited(spark, docs, tmp_path):
+    """The next run starts from the last version: the same rows move nowhere, more rows and shards move a part."""
+    path = str(tmp_path / "map")
+    own = lambda df: {(r.doc_id, r.text_crc32): (r.vslot, r.shard) for r in df.collect()}
+    a = own(sharding.shard_documents(docs, 4, 256, path))
+    versions = len(sharding.SlotMap.load(spark, path).versions)
+    assert own(sharding.shard_documents(docs, 4, 256, path)) == a
+    assert len(sharding.SlotMap.load(spark, path).versions) == versions
+    b = own(sharding.shard_documents(docs, 5, 256, path))
+    kept = sharding.SlotMap.load(spark, path)
+    assert kept.n_shards == 5 and len(kept.versions) > versions and all(a[k][0] == b[k][0] for k in a)
+    assert {s for _, s in b.values()} == set(range(5))
+    with pytest.raises(ValueError):
+        sharding.shard_documents(docs, 4, 256, path)
 
 
 # ---------------------------------------------------------------- byte-level BPE
@@ -128,7 +149,8 @@ def test_packing(spark, docs, empty):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     lib = Tokenizer.from_file(path)
-    lib.encode_special_tokens = True
+    marked = [(2000, "a <|endoftext|> b", 1), (2001, "<|endoftext|><|endoftext|>x<|endoftext", 1), (2001, "<|endoftext|>", 2)]
+    docs = docs.select("doc_id", "text").withColumn("offset", F.lit(1)).unionByName(spark.createDataFrame(marked, "doc_id long, text string, offset int"))
     got = packing.pack_documents(docs, path, ids=True).toPandas()
     want = sorted(tuple(lib.encode(r.text or "", add_special_tokens=False).ids) + (0,) for r in docs.collect())
     whole = []
@@ -454,15 +476,81 @@ def test_decode():
         assert toxicity.decode(seen, lm) == meant
 
 
+def test_decode_against_all_paths():
+    """Viterbi's answer has the probability of the best of all paths through small lattices."""
+    import itertools
+    import math
+
+    rng = np.random.default_rng(4)
+    lm = charlm.log_model(rng.integers(0, 9, (charlm.SYMBOLS,) * 3).astype(float))
+
+    def options(word):
+        run = 0
+        for i, c in enumerate(word):
+            run = run + 1 if i and c.isalpha() and c == word[i - 1] else 1
+            if c.isalpha():
+                yield [(c, 0.0)] if run == 1 else [(c, toxicity.DOUBLE), ("", toxicity.SINGLE)] if run == 2 else [(c, toxicity.KEPT), ("", toxicity.STRETCHED)]
+            elif c in toxicity.LOOKALIKES:
+                own = toxicity.LOOKALIKES[c]
+                yield [(x, toxicity.SWAP - math.log(len(own))) for x in own] + [(" ", toxicity.STAY), ("", toxicity.DROP)]
+            else:
+                yield [("", toxicity.JOIN), (" ", toxicity.SPLIT)]
+
+    def score(path):
+        a = b = 0
+        total = 0.0
+        for x, cost in path:
+            total += cost
+            if x and not (x == " " and b == 0):
+                k = 0 if x == " " else toxicity.symbol(x)
+                total += float(lm[a, b, k])
+                a, b = b, k
+        return total + (float(lm[a, b, 0]) if b else 0.0)
+
+    for word in ("1d10t", "sstt0p", "b.a.d", "a--b1", "aaa$", "h3ll0", "x", "6!6"):
+        best = max(itertools.product(*options(word)), key=score)
+        at = [p for p in itertools.product(*options(word)) if "".join(x for x, _ in p).split() == toxicity.decode(word, lm).split()]
+        assert max(map(score, at)) == pytest.approx(score(best))
+
+
+def test_toxicity_edges(spark, larger):
+    docs, marks = larger
+    rows = [(None, None, 1), (1, None, 2), (2, "", 3), (3, "x " * 200_000, 4), (3, "x " * 200_000, 4), (4, "a" * 50_000, 5)]
+    got = toxicity.score_toxicity(spark.createDataFrame(rows, "doc_id long, text string, held_out int"), marks, name="p").toPandas()
+    assert len(got) == 6 and list(got.columns) == ["doc_id", "text", "held_out", "p"] and got["p"].between(0, 1).all()
+    assert got["p"].nunique() == 1  # without labelled rows all have the base score
+
+
+def test_pooling():
+    """Pooled vectors against a loop over words."""
+    rng = np.random.default_rng(2)
+    vectors = rng.normal(size=(quality.BUCKETS, 2 * quality.DIMS)).astype(np.float32)
+    for text in ("", "one", "a a b! b a 12", " \n", "It's a LONG, longer text: a LONG one"):
+        words, shapes = quality.word_ids(text.encode())
+        got, d = quality.pool(text.encode(), vectors), quality.DIMS
+        assert len(words) <= len(text.split()) and len(shapes) == len(text.split())
+        want = np.zeros(quality.WIDTH)
+        for w in words:
+            want[:d] += vectors[w, :d] / len(words)
+        for s in shapes:
+            want[d : 3 * d] += vectors[s] / len(shapes)
+        seen = set()
+        for i, w in enumerate(words):
+            want[3 * d : 5 * d] += (i > 0 and w == words[i - 1]) * vectors[quality.AGAIN] / len(words)
+            want[5 * d :] += (w in seen) * vectors[quality.SEEN] / len(words)
+            seen.add(w)
+        assert np.allclose(got, want, atol=1e-5)
+
+
 def test_quality(spark, larger, empty):
     docs, marks = larger
-    got = quality.score_quality(docs, marks).select("doc_id", "quality_score").toPandas().merge(marks.toPandas(), on="doc_id")
+    got = quality.score_quality(docs, marks, name="quality_score").select("doc_id", "quality_score").toPandas().merge(marks.toPandas(), on="doc_id")
     held = got[[zlib.crc32(str(i).encode()) % 5 == 0 for i in got["doc_id"]]]
     assert ((held["quality_score"] >= 0.3) == (held["quality"] == 1)).mean() > 0.93
     assert quality.score_quality(empty, marks).count() == 0
     none = quality.train(docs, marks.limit(0), common.Scratch(spark, "t")).score(["", "x"])
     assert list(none) == [0.5, 0.5]
-    edge = spark.createDataFrame([(1, None, 2), (1, None, 2), (2, "", 3)], "doc_id long, text string, quality_score int")
+    edge = spark.createDataFrame([(1, None, 2), (1, None, 2), (2, "", 3)], "doc_id long, text string, score int")
     assert quality.score_quality(edge, marks).count() == 3
 
 
@@ -485,11 +573,66 @@ def test_language(spark, larger):
     assert len(got) == pages.count() + 3
     own = got.merge(pages.toPandas(), on="page_id")
     assert (own["lang"] == own["html"].str.extract(r'lang="(\w+)"')[0]).mean() > 0.97
+    # the declaration is an input: without it text, suffix and host must find it again
+    hidden = pages.withColumn("html", F.regexp_replace("html", r'lang="\w+"', ""))
+    blind = language.identify(hidden, docs).toPandas().merge(pages.toPandas(), on="page_id")
+    assert (blind["declared"] == "").all() and (blind["lang"] == blind["html"].str.extract(r'lang="(\w+)"')[0]).mean() > 0.95
     assert got["confidence"].between(0, 1).all()
     assert language.identify(pages.limit(0), docs).count() == 0
     assert language.identify(pages, docs.limit(0)).where("lang is not null").count() == 0
     assert language.visible("<p>a<script>b</p></script>&amp;<!-- c -->d</p>").split() == ["a", "&", "d"]
     assert language.declared('<html class="x" lang=de-AT>') == "de" and language.declared("<p>") == ""
+    assert language.declared('<meta http-equiv="Content-Language" content="fr">') == "fr" and language.declared("<html lang=") == ""
+    assert language.visible("a <b> <script>c</SCRIPT > d<!-- e <p>f").split() == ["a", "d", "f"]
+
+
+def test_pages_without_ends():
+    """Long pages of tags that never end take time in proportion."""
+    import time
+
+    for part in ("<!--", "<script ", "<html ", "<", "<meta content-language "):
+        began = time.time()
+        language.visible(part * 100_000)
+        language.declared(part * 100_000)
+        assert time.time() - began < 5
+
+
+def test_fusion(spark):
+    """Against Bayes' rule in plain Python, on pages whose text evidence is given."""
+    import math
+    from urllib.parse import urlsplit
+
+    rng = random.Random(3)
+    langs = ["a", "b", "c"]
+    rows = []
+    for i in range(80):
+        ll = [rng.uniform(-90, -20) for _ in langs]
+        host = rng.choice(["x.example.fr", "y.example.fr", "www.z.co.uk", "t.de", ""])
+        rows.append((i, f"http://{host}/p" if host else None, rng.choice(["a", "b", ""]), rng.choice([0, 40]), ll))
+    frame = spark.createDataFrame(rows, "page_id long, url string, declared string, text_chars long, ll array<double>")
+    got = {r.page_id: (r.lang, r.confidence) for r in language.fuse(frame, langs, common.Scratch(spark, "t")).collect()}
+    parts = {}
+    for i, url, said, chars, ll in rows:
+        host = (urlsplit(url).hostname or "") if url else ""
+        host = host.removeprefix("www.")
+        labels = host.split(".")
+        domain = ".".join(labels[-3:] if labels[-2:] == ["co", "uk"] else labels[-2:]) if len(labels) > 1 else ""
+        parts[i] = {"declared": said, "suffix": labels[-1] if len(labels) > 1 else "", "host": host, "domain": domain, "best": ll.index(max(ll)) if chars else None, "ll": ll}
+    for i, own in parts.items():
+        others = [p for j, p in parts.items() if j != i and p["best"] is not None]
+        n = lambda lang, key=None: sum(p["best"] == lang and (key is None or p[key] == own[key]) for p in others)  # noqa: E731, B023
+        size = lambda key: sum(p[key] == own[key] for p in others)  # noqa: E731, B023
+        score = []
+        for x in range(3):
+            overall = (n(x) + 1) / (len(others) + 3)
+            domain = (n(x, "domain") + language.DOMAIN_WEIGHT * overall) / (size("domain") + language.DOMAIN_WEIGHT)
+            host = (n(x, "host") + language.HOST_WEIGHT * domain) / (size("host") + language.HOST_WEIGHT)
+            values = {k: len({p[k] for p in parts.values()}) for k in ("declared", "suffix")}
+            fit = sum(math.log((n(x, k) + language.SMOOTH) / (n(x) + language.SMOOTH * values[k])) for k in values)
+            score.append(language.TEMPER * own["ll"][x] + fit + math.log(host))
+        top = max(score)
+        assert got[i][0] == langs[score.index(top)]
+        assert got[i][1] == pytest.approx(1 / sum(math.exp(s - top) for s in score))
 
 
 # ---------------------------------------------------------------- pipeline
@@ -501,7 +644,6 @@ def test_pipeline(spark, larger):
     sf = "/root/testdata/sf0.01"
     at = docs
     out = common.Scratch(spark, "test")
-    common.keep(out)
     for name, stage in corpus_pipeline.STAGES[:-1]:
         new = out.save(stage(spark, at, sf), name)
         assert new.columns == docs.columns and 0 < new.count() <= at.count()
@@ -513,6 +655,58 @@ def test_pipeline(spark, larger):
     assert len(texts) == len(set(texts))
 
 
+def test_pipeline_edges(spark, docs, empty):
+    """Nulls, empty and long texts, repeated rows and columns of the inputs that stages use names like go through."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    extra = {"toxicity": F.lit(0.5), "quality": F.lit("q"), "Score": F.lit(1), "row": F.lit(2), "cut": F.lit(3), "doc": F.lit(4)}
+    for at in (docs.withColumns(extra), empty.withColumns(extra)):
+        n, some = at.count(), at.count() > 0
+        out = common.Scratch(spark, "test")
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            new = out.save(stage(spark, at, SF), name)
+            assert new.columns == at.columns and new.count() <= at.count()
+            assert new.where("toxicity = 0.5 and quality = 'q' and Score = 1 and row = 2 and cut = 3 and doc = 4").count() == new.count()
+            at = new
+        assert at.count() == at.select("doc_id", "text").distinct().count()
+        assert (corpus_pipeline.STAGES[-1][1](spark, at, SF).count() > 0) == some == (n > 0)
+
+
+def test_a_result_outlives_other_runs(spark, docs):
+    """Scratch tables belong to their results: one that is still to be read survives other operators and runs."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    early = simhash.simhash_components(docs)
+    corpus_pipeline.run(spark, SF).count()
+    assert early.count() == docs.count()
+
+
+CONTRACTS = {
+    "op1_toxicity": ("doc_id", "held_out boolean, score double, predicted int"),
+    "op2_virtual_slots": ("doc_id", "size long, text_crc32 long, law string, shard int, slot long, grown_shard int"),
+    "op3_quality": ("doc_id", "held_out boolean, score double, predicted int"),
+    "op4_voronoi": ("query_id", "rank int, vec_id long, score long"),
+    "op5_byte_bpe": ("doc_id", "n_tokens long, ids_sha256 string, decoded_sha256 string"),
+    "op6_permutations": ("vec_id", "n_links long, component_id long, kept boolean"),
+    "op7_simhash": ("doc_id", "fingerprint string, component_id long"),
+    "op10_packing": ("doc_id", "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"),
+}
+
+
+@pytest.mark.parametrize("name", CONTRACTS)
+def test_contracts(spark, name):
+    """Names and types of the queries' results, and a row for each row of their tables."""
+    from helixframe.llm.queries import QUERIES
+
+    got = QUERIES[name](spark, SF)
+    kinds = {f.name: f.dataType.simpleString().replace("bigint", "long") for f in got.schema}
+    key, cols = CONTRACTS[name]
+    assert kinds[key] == "long" and {c: kinds[c] for c in (x.split()[0] for x in cols.split(", "))} == dict(x.split() for x in cols.split(", "))
+    table = spark.read.parquet(f"{SF}/{'embeddings' if key in ('vec_id', 'query_id') else 'documents'}.parquet")
+    if key == "query_id":
+        assert got.select(key).distinct().count() == table.where("vec_id % 100 = 0").count()
+    else:
+        assert got.select(key).distinct().count() == table.count()
+
+
 def test_nothing_else_imports_this():
     root = Path(__file__).resolve().parents[2] / "helixframe"
     assert not [p for p in root.rglob("*.py") if "llm" not in p.parts and ("from .llm" in p.read_text() or "helixframe.llm" in p.read_text())]
