@@ -36,17 +36,26 @@ def with_halo(lines: DataFrame, pos: str, reach: int, tile: int = TILE) -> DataF
     return lines.withColumn("_tile", F.explode(tiles)).withColumn("_own", F.col("_tile") == tile_of(pos, tile))
 
 
-def near_value(lines: DataFrame, keys: list[str], pos: str, value: Column, reach: int, name: str, tile: int = TILE) -> DataFrame:
-    """Adds the largest value among lines within reach of each line."""
-    frame = Window.partitionBy(*keys, "_tile").orderBy(pos).rangeBetween(-reach, reach)
-    return with_halo(lines, pos, reach, tile).withColumn(name, F.max(value).over(frame)).where("_own").drop("_tile", "_own")
+def in_tile(keys: list[str], pos: str) -> Window:
+    """Lines with a halo, in order: all frames of one scan use this window, so lines are dealt once."""
+    return Window.partitionBy(*keys, "_tile").orderBy(pos)
+
+
+def far_neighbours(lines: DataFrame, keys: list[str], pos: str, cols: list[str]) -> DataFrame:
+    """``before`` and ``behind`` of the lines with a halo that have none there, from a row for each tile."""
+    line = F.struct(pos, *cols)
+    ends = lines.where("_own").groupBy(*keys, "_tile").agg(F.min_by(line, pos).alias("_first"), F.max_by(line, pos).alias("_last"))
+    tiles = Window.partitionBy(*keys).orderBy("_tile")
+    ends = ends.select(*keys, "_tile", F.lag("_last").over(tiles).alias("far_before"), F.lead("_first").over(tiles).alias("far_behind"))
+    return lines.join(ends, [*keys, "_tile"], "left")
 
 
 def at_offsets(lines: DataFrame, keys: list[str], pos: str, cols: list[str], offsets: list[int], tile: int = TILE) -> DataFrame:
-    """Adds a struct of cols at each offset (``m2 m1 p1 p2``), null where no line is at that position."""
+    """Adds a struct of cols at each offset (``m2 m1 p1 p2``), null where no line is at that position. Lines that have a
+    halo of that reach already aren't dealt again."""
     reach = max(abs(d) for d in offsets)
-    own = Window.partitionBy(*keys, "_tile").orderBy(pos)
-    out = with_halo(lines, pos, reach, tile)
+    own = in_tile(keys, pos)
+    out = lines if "_tile" in lines.columns else with_halo(lines, pos, reach, tile)
     for d in offsets:
         # lines are distinct positions, so the line d positions away is among the d next ones
         steps = range(1, abs(d) + 1)

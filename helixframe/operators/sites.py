@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bases import directed_label, fold, is_acgt
-from .neighbours import TILE, at_offsets, near_value, with_neighbours
+from .neighbours import TILE, at_offsets, far_neighbours, in_tile, tile_of, with_halo
 
 SKIP_FLAGS = 0x4 | 0x100 | 0x200 | 0x400  # unmapped, secondary, failed, duplicate
 
@@ -16,20 +16,55 @@ def parse_cigar(cigar: Column) -> Column:
     return F.transform(F.regexp_extract_all(cigar, F.lit(r"(\d+[MIDNSHP=X])"), 1), lambda x: F.struct(F.substring(x, -1, 1).alias("op"), F.regexp_extract(x, r"^(\d+)", 1).cast("int").alias("len")))
 
 
+def _usable():
+    return (F.col("flag").bitwiseAND(SKIP_FLAGS) == 0) & F.col("cigar").isNotNull() & F.col("seq").isNotNull()
+
+
+# what comes before each operation, on the reference (r) and in the read (q)
+_OPS = "transform(cigar, (c, i) -> struct(c.op as op, c.len as len, i as i,"
+_OPS += " aggregate(slice(cigar, 1, i), 0, (a, x) -> a + if(x.op in ('M', '=', 'X', 'D', 'N'), x.len, 0)) as r,"
+_OPS += " aggregate(slice(cigar, 1, i), 0, (a, x) -> a + if(x.op in ('M', '=', 'X', 'I', 'S'), x.len, 0)) as q))"
+_STEP = "transform(sequence(0, o.len - 1), j -> struct(start0 + o.r + j + 1 as pos, if(o.op = 'D', null, substring(seq, o.q + j + 1, 1)) as base,"
+_STEP += " o.op = 'D' as deleted, j = o.len - 1 and coalesce(get(cigar, o.i + 1).op = 'I', false) as inserted))"
+# an insertion flags the covered position before it, whatever operation covers that
+_WALK = f"flatten(transform(filter(_ops, o -> o.op in ('M', '=', 'X', 'D') and o.len > 0), o -> {_STEP}))"
+
+
 def aligned_positions(alignments: DataFrame, keep: list[str]) -> DataFrame:
     """A row for each reference position that a read covers: pos (1-based), base (null in a deletion), deleted,
     inserted (the read has an insertion right behind). Reads with skipped flags, or without CIGAR or bases, are left
     out; skips and clips cover nothing."""
-    reads = alignments.where((F.col("flag").bitwiseAND(SKIP_FLAGS) == 0) & F.col("cigar").isNotNull() & F.col("seq").isNotNull())
-    ops = "transform(cigar, (c, i) -> struct(c.op as op, c.len as len, i as i,"
-    ops += " aggregate(slice(cigar, 1, i), 0, (a, x) -> a + if(x.op in ('M', '=', 'X', 'D', 'N'), x.len, 0)) as r,"
-    ops += " aggregate(slice(cigar, 1, i), 0, (a, x) -> a + if(x.op in ('M', '=', 'X', 'I', 'S'), x.len, 0)) as q))"
-    reads = reads.withColumn("_ops", F.expr(ops))
-    step = "transform(sequence(0, o.len - 1), j -> struct(start0 + o.r + j + 1 as pos, if(o.op = 'D', null, substring(seq, o.q + j + 1, 1)) as base,"
-    step += " o.op = 'D' as deleted, j = o.len - 1 and coalesce(get(cigar, o.i + 1).op = 'I', false) as inserted))"
-    # an insertion flags the covered position before it, whatever operation covers that
-    walk = f"flatten(transform(filter(_ops, o -> o.op in ('M', '=', 'X', 'D') and o.len > 0), o -> {step}))"
-    return reads.select(*keep, F.explode(F.expr(walk)).alias("_p")).select(*keep, "_p.pos", "_p.base", "_p.deleted", "_p.inserted")
+    reads = alignments.where(_usable()).withColumn("_ops", F.expr(_OPS))
+    return reads.select(*keep, F.explode(F.expr(_WALK)).alias("_p")).select(*keep, "_p.pos", "_p.base", "_p.deleted", "_p.inserted")
+
+
+def dealt_positions(alignments: DataFrame, reference: DataFrame | None, mask: DataFrame | None, keep: list[str], reach: int, tile: int) -> DataFrame:
+    """``aligned_positions`` of reads that are dealt by contig and tile first, with a halo of ``reach`` positions: the
+    one shuffle of a scan, of reads and not of their positions. Adds kind (0 for a read) and _tile.
+
+    The reference (chrom, start0, seq: pieces of any length; or chrom, pos, ref) and merged masks (chrom, start, end)
+    are dealt along: a base of the reference is a row of kind 2, an interval one of kind 1 at its first position in the
+    tile, with its end in ``mask_end``."""
+    at = alignments.schema["start0"].dataType
+    rows = alignments.where(_usable()).withColumnRenamed("rname", "chrom").select(*keep, "chrom", "start0", "end0", "cigar", "seq", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("mask_end"))
+    if mask is not None:
+        own = mask.select("chrom", (F.col("start") - 1).cast(at).alias("start0"), F.col("end").cast(at).alias("end0"), F.lit(1).alias("kind"), F.col("end").cast("long").alias("mask_end"))
+        rows = rows.unionByName(own, allowMissingColumns=True)
+    if reference is not None:
+        own = reference.select("chrom", (F.col("pos") - 1).alias("start0"), F.col("ref").alias("seq")) if "pos" in reference.columns else reference.select("chrom", "start0", "seq")
+        own = own.select("chrom", F.col("start0").cast(at).alias("start0"), (F.col("start0") + F.length("seq")).cast(at).alias("end0"), F.upper("seq").alias("seq"), F.lit(2).alias("kind"))
+        rows = rows.unionByName(own, allowMissingColumns=True)
+    first, last = F.floor((F.col("start0") + 1 - reach) / tile), F.floor((F.greatest(F.col("end0"), F.col("start0") + 1) + reach) / tile)
+    rows = rows.withColumn("_tile", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
+    # reads are few bytes beside what they are walked into, so the number of tasks is given and not left to their size
+    rows = rows.repartition(int(alignments.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chrom", "_tile")
+    kind = at.simpleString()
+    begin = f"array(struct(cast(greatest(start0 + 1, _tile * {tile} - {reach}) as {kind}) as pos, cast(null as string) as base, false as deleted, false as inserted))"
+    bases = f"transform(sequence(1, length(seq)), j -> struct(cast(start0 + j as {kind}) as pos, substring(seq, j, 1) as base, false as deleted, false as inserted))"
+    walk = f"case kind when 0 then {_WALK} when 1 then {begin} else {bases} end"
+    rows = rows.withColumn("_ops", F.expr(_OPS)).select(*keep, "chrom", "_tile", "kind", "mask_end", F.explode(F.expr(walk)).alias("_p"))
+    rows = rows.select(*keep, "chrom", "_tile", "kind", "mask_end", "_p.*")
+    return rows.where(F.col("pos").between(F.col("_tile") * tile - reach, (F.col("_tile") + 1) * tile - 1 + reach))
 
 
 def pileup(positions: DataFrame, taxa: list[int]) -> DataFrame:
@@ -48,7 +83,26 @@ def pileup(positions: DataFrame, taxa: list[int]) -> DataFrame:
             flag("inserted").alias(f"ins_{t}"),
             F.coalesce(low != high, F.lit(False)).alias(f"dis_{t}"),
         ]
-    return positions.groupBy("chrom", "pos").agg(*out)
+    if "_tile" not in positions.columns:
+        return positions.groupBy("chrom", "pos").agg(*out)
+    read = F.col("kind") == 0
+    positions = positions.withColumn("ref", F.when(F.col("kind") == 2, F.col("base"))).withColumn("base", F.when(read, F.col("base")))
+    more = [F.max("ref").alias("ref"), F.max("mask_end").alias("mask_end"), F.max(read).alias("_line")]
+    return positions.groupBy("chrom", "_tile", "pos").agg(*out, *more)
+
+
+def tiled_lines(alignments: DataFrame, taxa: list[int], reference: DataFrame | Column, mask: DataFrame | None = None, reach: int = 2, tile: int = TILE) -> DataFrame:
+    """Lines with a halo for ``scan``: one shuffle, of reads, whatever the scan asks for."""
+    table = None if isinstance(reference, Column) else reference
+    tile = max(tile, 2 * reach + 1)
+    lines = pileup(dealt_positions(alignments, table, mask, ["taxon"], reach, tile), taxa)
+    ref = F.coalesce("ref", F.lit("N")) if table is not None else reference
+    return lines.withColumn("ref", ref).withColumn("_own", F.col("_tile") == tile_of("pos", tile))
+
+
+def own_lines(lines: DataFrame) -> DataFrame:
+    """Lines without their halo."""
+    return lines.where("_own and _line").drop("_tile", "_own", "_line", "mask_end")
 
 
 def pileup_alignments(alignments: DataFrame, taxa: list[int]) -> DataFrame:
@@ -94,27 +148,42 @@ def mark_masked(lines: DataFrame, mask: DataFrame | None, bin_size: int = 1 << 1
     return lines.join(bins, hit, "left").withColumn("masked", F.col("_s").isNotNull()).drop("_c", "_s", "_e", "_b")
 
 
-def scan(lines: DataFrame, taxa: list[int], mask: DataFrame | None = None, indel_window: int = 1, tile: int = TILE) -> DataFrame:
+def scan(lines: DataFrame, taxa: list[int], mask: DataFrame | None = None, indel_window: int = 1, tile: int = TILE, gaps: bool = True, halo: bool = False) -> DataFrame:
     """Lines after the mask with qc, near, before, behind, ``window`` (three clean consecutive lines around this one)
-    and ``gap`` (three clean adjacent lines that aren't consecutive). ``mask`` has merged intervals."""
+    and, with ``gaps``, ``gap`` (three clean adjacent lines that aren't consecutive, however far). ``mask`` has merged
+    intervals. Lines of ``tiled_lines`` have their halo and mask; others are dealt here. With ``halo`` the lines of the
+    halo stay, for further frames."""
     if indel_window < 1:
         raise ValueError("indel_window must be at least 1")
-    lines = lines.withColumn("qc", quality(taxa)).withColumn("ok", F.col("qc").isNull())
+    if "_tile" not in lines.columns:
+        lines = with_halo(mark_masked(lines, mask), "pos", max(2, indel_window), tile).withColumn("_line", F.lit(True))
+    else:
+        top = F.max("mask_end").over(in_tile(["chrom"], "pos").rowsBetween(Window.unboundedPreceding, 0))
+        lines = lines.withColumn("masked", F.coalesce(top >= F.col("pos"), F.lit(False))).drop("mask_end")
+    own = in_tile(["chrom"], "pos")
+    lines = lines.where("_line").drop("_line").withColumn("qc", quality(taxa)).withColumn("ok", F.col("qc").isNull())
     if indel_window > 1:  # events on masked lines count too
-        lines = near_value(lines, ["chrom"], "pos", has_indel(taxa).cast("int"), indel_window, "near", tile).withColumn("near", F.col("near") > 0)
+        lines = lines.withColumn("near", F.max(has_indel(taxa).cast("int")).over(own.rangeBetween(-indel_window, indel_window)) > 0)
     else:
         lines = lines.withColumn("near", F.lit(False))
-    lines = mark_masked(lines, mask).where("not masked").drop("masked")
-    lines = with_neighbours(lines, ["chrom"], "pos", ["ok", "ref", *(f"base_{t}" for t in taxa)], tile)
+    lines = lines.where("not masked").drop("masked")
+    line = F.struct("pos", "ok", "ref", *(f"base_{t}" for t in taxa))
+    lines = lines.withColumn("before", F.lag(line).over(own)).withColumn("behind", F.lead(line).over(own))
     three = F.col("ok") & F.col("before.ok") & F.col("behind.ok")
     adjacent = (F.col("before.pos") == F.col("pos") - 1) & (F.col("behind.pos") == F.col("pos") + 1)
-    return lines.withColumn("window", F.coalesce(three & adjacent, F.lit(False))).withColumn("gap", F.coalesce(three & ~adjacent, F.lit(False)))
+    lines = lines.withColumn("window", F.coalesce(three & adjacent, F.lit(False)))
+    if gaps:
+        lines = far_neighbours(lines, ["chrom"], "pos", ["ok"])
+        clean = F.col("ok") & F.coalesce("before.ok", "far_before.ok") & F.coalesce("behind.ok", "far_behind.ok")
+        lines = lines.withColumn("gap", F.coalesce(clean & ~F.col("window"), F.lit(False))).drop("far_before", "far_behind")
+    return lines if halo else lines.where("_own").drop("_tile", "_own")
 
 
 def contexts(scanned: DataFrame, taxa: list[int]) -> DataFrame:
     """Windows with the 3-mers of the reference (ref3) and of each taxon (t_3)."""
     three = lambda c: F.concat(F.col(f"before.{c}"), F.col(c), F.col(f"behind.{c}"))
-    return scanned.where("window").select("chrom", "pos", "near", three("ref").alias("ref3"), *(three(f"base_{t}").alias(f"t{t}_3") for t in taxa))
+    own = scanned.where("_own") if "_own" in scanned.columns else scanned
+    return own.where("window").select("chrom", "pos", "near", three("ref").alias("ref3"), *(three(f"base_{t}").alias(f"t{t}_3") for t in taxa))
 
 
 def _flanks(a: str, b: str) -> Column:
@@ -192,7 +261,7 @@ def drop_reasons(lines: DataFrame) -> DataFrame:
 def five_mers(scanned: DataFrame, taxa: list[int], tile: int = TILE) -> DataFrame:
     """Windows kept by the trio scan whose outer bases are clean too and all four flanks equal in three genomes:
     chrom, pos, ref5, t1, t2."""
-    own = scanned.select("chrom", "pos", "ok", "window", "near", "ref", *(f"base_{t}" for t in taxa))
+    own = scanned.select("chrom", "pos", "ok", "window", "near", "ref", *(f"base_{t}" for t in taxa), *(c for c in ("_tile", "_own") if c in scanned.columns))
     wide = at_offsets(own, ["chrom"], "pos", ["ok", "ref", *(f"base_{t}" for t in taxa)], [-2, -1, 1, 2], tile)
     good = F.col("window") & ~F.col("near") & F.col("m2.ok") & F.col("p2.ok")
     every = ["m2", "m1", "p1", "p2"]
@@ -220,7 +289,7 @@ def five_mer_opportunity(windows: DataFrame) -> DataFrame:
 
 def matrix_sites(lines: DataFrame, taxa: list[int]) -> DataFrame:
     """Windows of N samples with conserved flanks: chrom, pos, left, right, ref, taxa (the samples' bases), varies."""
-    out = contexts(scan(lines, taxa), taxa)
+    out = contexts(scan(lines, taxa, gaps=False), taxa)
     own = F.array(*(F.col(f"t{t}_3") for t in taxa))
     flanks = F.forall(own, lambda x: (F.substring(x, 1, 1) == F.substring("ref3", 1, 1)) & (F.substring(x, 3, 1) == F.substring("ref3", 3, 1)))
     mids = F.transform(own, lambda x: F.substring(x, 2, 1))

@@ -6,63 +6,127 @@ is callable: plain, and with continuity, where a read with an overlapping neighb
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .neighbours import TILE, near_value, with_neighbours
-from .sites import classify_pair, classify_trio, mark_masked
+from .neighbours import TILE, in_tile, tile_of, with_halo
+from .sites import classify_pair, classify_trio, mark_masked, with_reference
 
 ALWAYS = 256
 
 
+def _by_base(reads: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, base and, plain (0) and with continuity (1), the best quality and the best of a read that rejects."""
+    joined = F.when(F.col("zn") >= 0, ALWAYS).otherwise(F.col("mapq"))
+    cols = [F.max(q).alias(f"q{m}") for m, q in enumerate((F.col("mapq"), joined))] + [F.max(F.when(F.col("rejects"), q)).alias(f"bad{m}") for m, q in enumerate((F.col("mapq"), joined))]
+    return reads.groupBy(*keys, "base").agg(*cols, F.count(F.lit(1)).alias("n"))
+
+
+_BASE = ["base", "q0", "q1", "bad0", "bad1"]
+
+
+def _mode(bases: Column, m: int) -> Column:
+    """mode, base, lo, hi, indel of the bases that the reads at a position show.
+
+    The base is that of the highest read (the larger letter among equals, as tuples compare); lo is one above the best
+    read that rejects or disagrees."""
+    top = F.array_max(F.transform(bases, lambda x: F.struct(x[f"q{m}"].alias("q"), x["base"].alias("base"))))
+    indel = F.coalesce(F.array_max(F.transform(bases, lambda x: x[f"bad{m}"])), F.lit(-1))
+
+    def with_top(t: Column) -> Column:
+        against = F.transform(bases, lambda x: F.when(x["base"] == t["base"], x[f"bad{m}"]).otherwise(x[f"q{m}"]))
+        lo = F.coalesce(F.array_max(against), F.lit(-1)) + 1
+        return F.struct(F.lit(m).alias("mode"), F.when(lo <= t["q"], t["base"]).alias("base"), lo.alias("lo"), t["q"].alias("hi"), indel.alias("indel"))
+
+    return F.transform(F.array(top), with_top)[0]  # named once, used in each of its places
+
+
+def _modes(bases: Column) -> Column:
+    return F.array(_mode(bases, 0), _mode(bases, 1))
+
+
 def site_intervals(reads: DataFrame, keys: list[str]) -> DataFrame:
     """keys, mode (0 plain, 1 continuity), base, lo, hi, indel (highest quality of reads with an indel here, -1 for
     none), n_reads. reads: keys, base, mapq, zn, rejects. base is null where no threshold calls the position.
 
-    The base is that of the highest read (the larger letter among equals, as tuples compare); lo is one above the best
-    read that rejects or disagrees. Built from maxima over bases, so nothing is collected."""
-    quality = F.when((F.col("mode") == 1) & (F.col("zn") >= 0), ALWAYS).otherwise(F.col("mapq"))
-    rows = reads.withColumn("mode", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("q", quality)
-    by_base = rows.groupBy(*keys, "mode", "base").agg(F.max(F.struct("q", "base", "rejects")).alias("top"), F.max(F.when(F.col("rejects"), F.col("q"))).alias("bad"), F.count(F.lit(1)).alias("n"))
-    # over the few bases of a position
-    best = by_base.groupBy(*keys, "mode").agg(F.max("top").alias("top"), F.collect_list(F.struct("base", "top", "bad")).alias("b"), F.max("bad").alias("indel"), F.sum("n").alias("n_reads"))
-    against = F.transform("b", lambda x: F.when(x["base"] == F.col("top.base"), x["bad"]).otherwise(x["top"]["q"]))
-    lo = F.coalesce(F.array_max(against), F.lit(-1)) + 1
-    out = best.select(*keys, "mode", F.col("top.base").alias("base"), lo.alias("lo"), F.col("top.q").alias("hi"), F.coalesce("indel", F.lit(-1)).alias("indel"), "n_reads")
-    return out.withColumn("base", F.when(F.col("lo") <= F.col("hi"), F.col("base")))
+    Built from maxima over bases for both modes at once, so reads are neither collected nor doubled."""
+    best = _by_base(reads, keys).groupBy(*keys).agg(F.collect_list(F.struct(*_BASE)).alias("b"), F.sum("n").alias("n_reads"))  # a few bases
+    out = best.select(*keys, F.explode(_modes(F.col("b"))).alias("m"), "n_reads")
+    return out.select(*keys, "m.*", "n_reads")
 
 
 def scan(reads: DataFrame, reference, taxa: list[int], mask: DataFrame | None = None, indel_window: int = 1, tile: int = TILE) -> DataFrame:
     """Classified windows: chrom, pos, mode, site_class, label, lo, hi, repeat and, for indel_window over 1,
-    indel_mapq. reads: taxon, chrom, pos, base, mapq, zn, rejects. A position that any taxon covers is a line."""
-    one = site_intervals(reads, ["chrom", "pos", "taxon"])
-    cols = [F.max(F.when(F.col("taxon") == t, F.struct("base", "lo", "hi"))).alias(f"s{t}") for t in taxa]
-    lines = one.groupBy("chrom", "pos", "mode").agg(*cols, F.max("indel").alias("indel"))
-    lines = lines.withColumn("ref", reference)
-    if indel_window > 1:
-        lines = near_value(lines, ["chrom", "mode"], "pos", F.col("indel"), indel_window, "indel_mapq", tile).withColumn("indel_mapq", F.greatest("indel_mapq", F.lit(0)))
+    indel_mapq. reads: taxon, chrom, pos, base, mapq, zn, rejects, and those of ``dealt_positions`` kind, mask_end and
+    _tile too. A position that any taxon covers is a line.
+
+    Both modes stay in one line until windows are classified, and all frames share the lines' one deal."""
+    dealt = "_tile" in reads.columns
+    table = None if isinstance(reference, Column) else reference
+    if not dealt:
+        reads = with_halo(reads, "pos", max(2, indel_window), tile).drop("_own")
+    keys = ["chrom", "_tile", "pos"]
+    if dealt:
+        own = _by_base(reads, [*keys, "taxon", "kind", "mask_end"])
+        more = [F.max(F.when(F.col("kind") == 2, F.col("base"))).alias("_ref"), F.max("mask_end").alias("mask_end"), F.max(F.col("kind") == 0).alias("_line")]
+        bases = F.collect_list(F.when(F.col("kind") == 0, F.struct("taxon", *_BASE)))
     else:
-        lines = lines.withColumn("indel_mapq", F.lit(None).cast("int"))
-    lines = mark_masked(lines, mask)  # a flag here: masked positions stay
-    lines = with_neighbours(lines, ["chrom", "mode"], "pos", ["ref", "masked", *(f"s{t}" for t in taxa)], tile)
+        own, more, bases = _by_base(reads, [*keys, "taxon"]), [F.lit(True).alias("_line")], F.collect_list(F.struct("taxon", *_BASE))
+    lines = own.groupBy(*keys).agg(bases.alias("b"), *more)
+    one = lambda t: F.filter("b", lambda x: x["taxon"] == t)
+    lines = lines.select(*keys, "_line", *(["mask_end", "_ref"] if dealt else []), *(F.when(F.size(one(t)) > 0, _modes(one(t))).alias(f"s{t}") for t in taxa))
+    if table is None:
+        lines = lines.withColumn("ref", reference)
+    else:
+        lines = lines.withColumn("ref", F.coalesce("_ref", F.lit("N"))) if dealt else with_reference(lines, table)
+    frame = in_tile(["chrom"], "pos")
+    if dealt:
+        top = F.max("mask_end").over(frame.rowsBetween(Window.unboundedPreceding, 0))
+        lines = lines.withColumn("masked", F.coalesce(top >= F.col("pos"), F.lit(False))).drop("mask_end", "_ref")
+    else:
+        lines = mark_masked(lines, mask)  # a flag here: masked positions stay
+    lines = lines.where("_line").drop("_line")
+    for m in (0, 1):
+        if indel_window > 1:
+            here = F.greatest(F.lit(0), *(F.coalesce(F.col(f"s{t}")[m]["indel"], F.lit(-1)) for t in taxa))
+            lines = lines.withColumn(f"indel{m}", F.max(here).over(frame.rangeBetween(-indel_window, indel_window)))
+        else:
+            lines = lines.withColumn(f"indel{m}", F.lit(None).cast("int"))
+    line = F.struct("pos", "ref", "masked", *(f"s{t}" for t in taxa))
+    lines = lines.withColumn("before", F.lag(line).over(frame)).withColumn("behind", F.lead(line).over(frame)).where(F.col("_tile") == tile_of("pos", max(tile, 2 * max(2, indel_window) + 1)))
     lines = lines.where((F.col("before.pos") == F.col("pos") - 1) & (F.col("behind.pos") == F.col("pos") + 1))
-    every = [f"{side}s{t}" for side in ("before.", "", "behind.") for t in taxa]
+    sides = [f"{side}s{t}" for side in ("before.", "", "behind.") for t in taxa]
+    whole = F.lit(True)
+    for c in sides:
+        whole = whole & F.col(c).isNotNull()
+    plain = lambda c: c.replace(".", "_")
+    both = F.array(*(F.struct(F.lit(m).alias("mode"), F.col(f"indel{m}").alias("indel_mapq"), *(F.col(c)[m].alias(plain(c)) for c in sides)) for m in (0, 1)))
+    lines = lines.where(whole).select("chrom", "pos", "ref", "masked", F.col("before.ref").alias("before_ref"), F.col("before.masked").alias("before_masked"), F.col("behind.ref").alias("behind_ref"), F.col("behind.masked").alias("behind_masked"), F.explode(both).alias("z"))
+    lines = lines.select("chrom", "pos", "ref", "masked", "before_ref", "before_masked", "behind_ref", "behind_masked", "z.*")
+    every = [plain(c) for c in sides]
     callable_ = F.lit(True)
     for c in every:
         callable_ = callable_ & F.col(f"{c}.base").isNotNull()
-    three = lambda get: F.concat(*(get(side) for side in ("before.", "", "behind.")))
+    three = lambda get: F.concat(*(get(side) for side in ("before_", "", "behind_")))
     own = lambda t: three(lambda side: F.col(f"{side}s{t}.base"))
     # neighbours' bounds, from 0 to ALWAYS
     lo = F.greatest(F.lit(0), *(F.col(f"{c}.lo") for c in every))
     hi = F.least(F.lit(ALWAYS), *(F.col(f"{c}.hi") for c in every))
     out = lines.where(callable_).select(
         "chrom", "pos", "mode", lo.alias("lo"), hi.alias("hi"), "indel_mapq",
-        (F.col("masked") | F.col("before.masked") | F.col("behind.masked")).cast("int").alias("repeat"),
+        (F.col("masked") | F.col("before_masked") | F.col("behind_masked")).cast("int").alias("repeat"),
         three(lambda side: F.col(f"{side}ref")).alias("ref3"), *(own(t).alias(f"t{t}_3") for t in taxa),
     ).where("lo <= hi")
     return classify_trio(out, acgt=False) if len(taxa) == 2 else classify_pair(out)
 
 
+def annotated(positions: DataFrame) -> DataFrame:
+    """Positions of ``dealt_positions`` with mapq and zn as reads of ``scan``: a deletion is a star, and a read with an
+    indel here rejects."""
+    base = F.when(F.col("deleted"), "*").otherwise(F.col("base"))
+    return positions.withColumn("base", base).withColumn("rejects", F.col("deleted") | F.col("inserted")).drop("deleted", "inserted")
+
+
 def site_counts(windows: DataFrame) -> DataFrame:
     """mode, site_class, label, lo, hi, indel_mapq, n: an interval-encoded view for every threshold."""
     return windows.groupBy("mode", "site_class", "label", "lo", "hi", "indel_mapq").agg(F.count(F.lit(1)).alias("n"))

@@ -63,7 +63,12 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def alignments(spark: SparkSession, sf_dir: str, mapq: int = 30) -> DataFrame:
     """Reads with bases and CIGAR: two deleted bases, an inserted one, or both, in some."""
-    own = reads(spark, sf_dir).where((F.col("mapq") >= mapq) & (F.col("flag") == 0)).drop("rname").withColumnRenamed("chrom", "rname")
+    return with_bases(reads(spark, sf_dir).where((F.col("mapq") >= mapq) & (F.col("flag") == 0)))
+
+
+def with_bases(own: DataFrame) -> DataFrame:
+    """Reads on their contigs' main sequence, with bases and CIGAR."""
+    own = own.drop("rname").withColumnRenamed("chrom", "rname")
     base = letter_sql(code_sql("cn * 1000003 + start0 + j + 1", "taxon", "j", "ck"))
     deleted, inserted = "ck % 40 = 3", "ck % 37 = 5"
     seq = f"array_join(transform(sequence(0, {LENGTH - 1}), j -> case when {deleted} and j in (10, 11) then '' when {inserted} and j = 15 then concat({base}, 'A') else {base} end), '')"

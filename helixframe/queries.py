@@ -13,7 +13,7 @@ from .plans import derived as D
 from .plans.tree import Flat, index_leaves, parse_newick
 
 TAXA = [1, 2]
-TILE = 4096
+TILE = 1 << 14  # small, so that these tables have many tiles
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -78,13 +78,16 @@ FOLD = f"""b AS (SELECT unnest(['A', 'C', 'G', 'T']) AS x), forms AS (
 # ---------------------------------------------------------------- engine parts
 
 
+def _tiled(spark, sf, taxa=TAXA, mask=None, reach=2) -> DataFrame:
+    return sites.tiled_lines(D.alignments(spark, sf).where(F.col("taxon").isin(taxa)), taxa, D.reference(), mask, reach, TILE)
+
+
 def _lines(spark, sf, taxa=TAXA) -> DataFrame:
-    own = D.alignments(spark, sf).where(F.col("taxon").isin(taxa))
-    return sites.with_reference(sites.pileup_alignments(own, taxa), D.reference())
+    return sites.own_lines(_tiled(spark, sf, taxa))
 
 
-def _scan(spark, sf, taxa=TAXA, mask=None, indel_window=1) -> DataFrame:
-    return sites.scan(_lines(spark, sf, taxa), taxa, mask, indel_window, TILE)
+def _scan(spark, sf, taxa=TAXA, mask=None, indel_window=1, gaps=False, halo=False) -> DataFrame:
+    return sites.scan(_tiled(spark, sf, taxa, mask, max(2, indel_window)), taxa, None, indel_window, TILE, gaps, halo)
 
 
 def _trio(spark, sf, mask=None, indel_window=1) -> DataFrame:
@@ -113,11 +116,11 @@ def reverse_complement(spark, sf):
 
 @query("fold_52", f"WITH {FOLD} SELECT mutation, count(*) AS n FROM fold, (SELECT DISTINCT n_regionkey FROM nation) GROUP BY mutation")
 def fold_52(spark, sf):
-    base = lambda c: spark.createDataFrame([(x,) for x in "ACGT"], f"{c} string")
-    pairs = base("l").crossJoin(base("o")).crossJoin(base("n")).crossJoin(base("r")).where("o <> n")  # 192 rows
-    regions = D.table(spark, sf, "nation").select("n_regionkey").distinct()
-    own = pairs.crossJoin(F.broadcast(regions))  # five rows
-    return own.groupBy(B.fold(F.concat("l", "o", "r"), F.concat("l", "n", "r")).alias("mutation")).agg(F.count(F.lit(1)).alias("n"))
+    bases = lambda c: F.explode(F.array(*map(F.lit, "ACGT"))).alias(c)
+    own = D.table(spark, sf, "nation").select("n_regionkey").distinct()
+    for c in "lonr":
+        own = own.select("*", bases(c))  # 256 rows a region
+    return own.where("o <> n").groupBy(B.fold(F.concat("l", "o", "r"), F.concat("l", "n", "r")).alias("mutation")).agg(F.count(F.lit(1)).alias("n"))
 
 
 _FRAGMENTS = f"""c AS ({D.CONTIGS_SQL}), starts AS (SELECT chrom, seq, unnest(range(0, length(seq) - 149, 75)) AS s FROM c WHERE length(seq) >= 150
@@ -302,7 +305,7 @@ def ref_difference_spectrum(spark, sf):
 
 @query("non_consecutive", f"{LINES}, ranked AS (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY pos) AS i FROM lines) SELECT b.chrom, count(*) AS n FROM ranked a JOIN ranked b ON a.chrom = b.chrom AND a.i = b.i - 1 JOIN ranked c ON c.chrom = b.chrom AND c.i = b.i + 1 WHERE a.qc IS NULL AND b.qc IS NULL AND c.qc IS NULL AND c.pos - a.pos <> 2 GROUP BY b.chrom")
 def non_consecutive(spark, sf):
-    return _scan(spark, sf).where("gap").groupBy("chrom").agg(F.count(F.lit(1)).alias("n"))
+    return _scan(spark, sf, gaps=True).where("gap").groupBy("chrom").agg(F.count(F.lit(1)).alias("n"))
 
 
 NEAR = "near AS (SELECT w.*, EXISTS (SELECT 1 FROM lines e WHERE e.chrom = w.chrom AND e.pos BETWEEN w.pos - 5 AND w.pos + 5 AND (e.del_1 OR e.del_2 OR e.ins_1 OR e.ins_2)) AS near FROM cls w)"
@@ -335,7 +338,7 @@ def mask_join_calls(spark, sf):
 
 @query("masked_gaps", f"{MASKED} SELECT b.chrom, count(*) AS n FROM left_ a JOIN left_ b ON a.chrom = b.chrom AND a.i = b.i - 1 JOIN left_ c ON c.chrom = b.chrom AND c.i = b.i + 1 WHERE a.qc IS NULL AND b.qc IS NULL AND c.qc IS NULL AND c.pos - a.pos <> 2 GROUP BY b.chrom")
 def masked_gaps(spark, sf):
-    return _scan(spark, sf, mask=_mask(spark, sf)).where("gap").groupBy("chrom").agg(F.count(F.lit(1)).alias("n"))
+    return _scan(spark, sf, mask=_mask(spark, sf), gaps=True).where("gap").groupBy("chrom").agg(F.count(F.lit(1)).alias("n"))
 
 
 FIVE = f"""{LINES}, mid AS MATERIALIZED (SELECT * FROM lines WHERE qc IS NULL), flank AS MATERIALIZED (SELECT * FROM mid WHERE ref = base_1 AND ref = base_2),
@@ -345,12 +348,12 @@ FIVE = f"""{LINES}, mid AS MATERIALIZED (SELECT * FROM lines WHERE qc IS NULL),
 
 @query("five_mer_spectrum", f"{FIVE} SELECT CASE WHEN t1 <> ref5[3] THEN 1 ELSE 2 END AS taxon, ref5[1:2] || '[' || ref5[3] || '>' || CASE WHEN t1 <> ref5[3] THEN t1 ELSE t2 END || ']' || ref5[4:5] AS mutation, count(*) AS n FROM five WHERE (t1 = ref5[3]) <> (t2 = ref5[3]) GROUP BY ALL")
 def five_mer_spectrum(spark, sf):
-    return sites.five_mer_spectrum(sites.five_mers(_scan(spark, sf), TAXA, TILE))
+    return sites.five_mer_spectrum(sites.five_mers(_scan(spark, sf, halo=True), TAXA, TILE))
 
 
 @query("five_mer_opportunity", f"{FIVE} SELECT ref5 AS kmer, count(*) AS n FROM five WHERE t1 = ref5[3] OR t2 = ref5[3] GROUP BY ref5")
 def five_mer_opportunity(spark, sf):
-    return sites.five_mer_opportunity(sites.five_mers(_scan(spark, sf), TAXA, TILE))
+    return sites.five_mer_opportunity(sites.five_mers(_scan(spark, sf, halo=True), TAXA, TILE))
 
 
 # ---------------------------------------------------------------- rates
@@ -450,7 +453,14 @@ def density_by_coverage(spark, sf):
 # ---------------------------------------------------------------- thresholds
 
 
-def _annotated_reads(spark, sf) -> DataFrame:
+def _annotated_reads(spark, sf, taxa=TAXA, mask=None, reach=2) -> DataFrame:
+    """Reads by position, dealt by tile before they are walked."""
+    kept = reads.neighbour_mapq(D.reads(spark, sf), tile=TILE).where(F.col("taxon").isin(taxa))
+    own = sites.dealt_positions(D.with_bases(kept), None, mask, ["taxon", "mapq", "zn"], reach, TILE)
+    return thresholds.annotated(own)
+
+
+def _annotated_reads_flat(spark, sf) -> DataFrame:
     base = F.expr(D.letter_sql(D.code_sql("cn * 1000003 + start0 + j + 1", "taxon", "j", "ck")))
     kept = reads.neighbour_mapq(D.reads(spark, sf), tile=TILE)
     pos = kept.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(24)))).withColumn("pos", F.col("start0") + F.col("j") + 1)
@@ -460,8 +470,8 @@ def _annotated_reads(spark, sf) -> DataFrame:
 
 
 def _windows(spark, sf, taxa=TAXA, indel_window=1, mask=None) -> DataFrame:
-    own = _annotated_reads(spark, sf).where(F.col("taxon").isin(taxa))
-    return thresholds.scan(own, D.reference(), taxa, mask, indel_window, TILE)
+    own = _annotated_reads(spark, sf, taxa, mask, max(2, indel_window))
+    return thresholds.scan(own, D.reference(), taxa, None, indel_window, TILE)
 
 
 AREADS = f"""{GROUPED}, ar AS MATERIALIZED (SELECT o.taxon, o.cn, o.chrom, o.start0 + n.n_nationkey + 1 AS pos, o.mapq, z.zn, (o.ck % 40 = 3 AND n.n_nationkey IN (10, 11)) OR (o.ck % 37 = 5 AND n.n_nationkey = 15) AS rejects,
@@ -475,7 +485,7 @@ AREADS = f"""{GROUPED}, ar AS MATERIALIZED (SELECT o.taxon, o.cn, o.chrom, o.sta
 
 @query("annotated_site_intervals", f"{AREADS} SELECT taxon, chrom, pos, mode, CASE WHEN lo <= hi THEN base END AS base, lo, hi, indel FROM si")
 def annotated_site_intervals(spark, sf):
-    own = thresholds.site_intervals(_annotated_reads(spark, sf), ["taxon", "chrom", "pos"])
+    own = thresholds.site_intervals(_annotated_reads_flat(spark, sf), ["taxon", "chrom", "pos"])
     return own.select("taxon", "chrom", "pos", "mode", "base", "lo", "hi", "indel")
 
 
@@ -527,13 +537,13 @@ MULTI = f"""{TRIO}, site AS (SELECT chrom, pos, ref3[1] AS "left", ref3[3] AS "r
 
 @query("multi_matching_bases", f'{MULTI} SELECT chrom, pos, "left", "right", taxa0, taxa1, taxa2 FROM site WHERE taxa1 <> taxa2')
 def multi_matching_bases(spark, sf):
-    own = sites.matrix_sites(_lines(spark, sf), TAXA).where("varies")
+    own = sites.matrix_sites(_tiled(spark, sf), TAXA).where("varies")
     return own.select("chrom", "pos", "left", "right", F.col("ref").alias("taxa0"), F.col("taxa")[0].alias("taxa1"), F.col("taxa")[1].alias("taxa2"))
 
 
 @query("multi_triplets", f"{MULTI} SELECT ref3 AS triplet, count(*) AS n FROM site GROUP BY ref3")
 def multi_triplets(spark, sf):
-    return sites.matrix_sites(_lines(spark, sf), TAXA).groupBy(F.col("ref3").alias("triplet")).agg(F.count(F.lit(1)).alias("n"))
+    return sites.matrix_sites(_tiled(spark, sf), TAXA).groupBy(F.col("ref3").alias("triplet")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _tree() -> Flat:
