@@ -105,9 +105,22 @@ def score(matrix: DataFrame, tree: Flat) -> DataFrame:
     return states(matrix, tree).agg(F.count(F.lit(1)).alias("sites"), F.coalesce(F.sum("unions"), F.lit(0)).alias("score"))
 
 
+MOST_SITES = 1_000_000  # that a tree search is given
+
+
 def sample_sites(matrix: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """All sites if there are n at most, else n of them without replacement, in order of position."""
-    return matrix.orderBy(F.xxhash64(F.lit(seed), "chrom", "pos"), "chrom", "pos").limit(n).orderBy("chrom", "pos")
+    """All sites if there are n at most, else n of them without replacement: those with the smallest md5 of seed,
+    contig and position. Counts by the hash's beginning tell where the n-th lies, so only that part is ranked."""
+    matrix = matrix.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), "chrom", F.col("pos").cast("string")).cast("binary")))
+    part = F.substring("_h", 1, 4)
+    counts = sorted((r["p"], r["n"]) for r in matrix.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())  # 65,536 at most
+    whole = 0
+    for p, count in counts:
+        if whole + count > n:
+            rest = matrix.where(part == p).orderBy("_h", "chrom", "pos").limit(n - whole)
+            return matrix.where(part < p).unionByName(rest).drop("_h")
+        whole += count
+    return matrix.drop("_h")
 
 
 def phylip_rows(matrix: DataFrame, names: list[str]) -> DataFrame:

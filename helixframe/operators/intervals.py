@@ -3,10 +3,12 @@ alone."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BIN = 1 << 14
+TILE_BIN = 1 << 9  # for spans of a tile's size
+CHUNK = 1 << 16
 
 
 def merge(intervals: DataFrame, keys: list[str], adjacent: bool = True, tile: int = 1_000_000) -> DataFrame:
@@ -28,28 +30,71 @@ def _merge(rows: DataFrame, keys: list[str], gap: int) -> DataFrame:
 
 
 def masked_bases(spans: DataFrame, mask: DataFrame, key: list[str], bin_size: int = BIN) -> DataFrame:
-    """Adds masked: bases of the span (chrom, start, end; 1-based, ends in) that lie in the merged mask, and fraction."""
-    m = mask.select(F.col("chrom").alias("_c"), F.col("start").alias("_s"), F.col("end").alias("_e")).withColumn("_b", F.explode(F.sequence(F.floor(F.col("_s") / bin_size), F.floor(F.col("_e") / bin_size))))
-    s = spans.select(*key, "chrom", "start", "end").withColumn("_b", F.explode(F.sequence(F.floor(F.col("start") / bin_size), F.floor(F.col("end") / bin_size))))
+    """Adds masked: bases of the span (chrom, start, end; 1-based, ends in) that lie in the merged mask, and fraction.
+    ``key`` tells spans apart. One left join by contig and bin, then sums."""
+    m = mask.select("chrom", F.col("start").alias("_s"), F.col("end").alias("_e")).withColumn("_b", F.explode(F.sequence(F.floor(F.col("_s") / bin_size), F.floor(F.col("_e") / bin_size))))
+    cols = list(dict.fromkeys([*key, "chrom", "start", "end"]))
+    s = spans.select(*cols).withColumn("_b", F.explode(F.sequence(F.floor(F.col("start") / bin_size), F.floor(F.greatest("start", "end") / bin_size))))
     lo, hi = F.greatest("start", "_s", F.col("_b") * bin_size), F.least("end", "_e", (F.col("_b") + 1) * bin_size - 1)
-    hit = s.join(m, (F.col("chrom") == F.col("_c")) & (s["_b"] == m["_b"])).drop(m["_b"]).withColumn("n", F.greatest(hi - lo + 1, F.lit(0)))
-    hit = hit.groupBy(*key).agg(F.sum("n").cast("long").alias("masked"))
-    out = spans.join(hit, key, "left").withColumn("masked", F.coalesce("masked", F.lit(0).cast("long")))
+    hit = s.join(m, ["chrom", "_b"], "left").withColumn("n", F.when(F.col("_s").isNotNull(), F.greatest(hi - lo + 1, F.lit(0))).otherwise(0))
+    out = hit.groupBy(*cols).agg(F.sum("n").cast("long").alias("masked"))
     size = F.col("end") - F.col("start") + 1
     return out.withColumn("fraction", F.when(size > 0, F.col("masked") / size).otherwise(0.0))
 
 
+def _bytes(column: str, use) -> Column:
+    """What ``use`` makes of a text's bytes, which are taken from it once and whose slices are direct."""
+    return F.transform(F.array(F.col(column).cast("binary")), use)[0]
+
+
+def chunks(contigs: DataFrame, size: int = CHUNK, overlap: int = 0) -> DataFrame:
+    """chrom, length, start0 and seq: pieces of each contig, each ``overlap`` longer than the distance of their starts.
+    Slices of bytes are direct, so time grows with the contig, and no step sees more of a contig than its text."""
+    cut = lambda raw: lambda o: F.struct(o.alias("start0"), F.substring(raw, o + 1, F.lit(size + overlap)).cast("string").alias("seq"))
+    pieces = _bytes("seq", lambda raw: F.transform(F.sequence(F.lit(0), F.length(raw) - 1, F.lit(size)), cut(raw)))
+    own = contigs.where(F.length("seq") > 0).select("chrom", F.octet_length("seq").alias("length"), F.explode(pieces).alias("p"))
+    return own.select("chrom", "length", "p.start0", "p.seq")
+
+
+def tile_spans(contigs: DataFrame, length: int = 150, step: int = 75) -> DataFrame:
+    """chrom, start, end of the tiles of contigs (chrom, length). The last tile ends with the contig; a contig shorter
+    than a tile has none."""
+    last = (F.col("length") - length).cast("long")
+    starts = F.concat(F.filter(F.sequence(F.lit(0).cast("long"), last, F.lit(step).cast("long")), lambda x: x < last), F.array(last))
+    own = contigs.where(F.col("length") >= length).select("chrom", F.explode(starts).alias("_s"))
+    return own.select("chrom", (F.col("_s") + 1).alias("start"), (F.col("_s") + length).alias("end"))
+
+
 def fragments(contigs: DataFrame, length: int = 150, step: int = 75) -> DataFrame:
-    """Tiles of each contig (chrom, seq): chrom, start, end (1-based, ends in) and seq. The last tile ends with the
-    contig; a contig shorter than a tile has none."""
-    size = F.length("seq")
-    starts = F.when(size == length, F.array(F.lit(0))).otherwise(F.concat(F.filter(F.sequence(F.lit(0), size - length, F.lit(step)), lambda x: x < size - length), F.array(size - length)))
-    out = contigs.where(size >= length).withColumn("_s", F.explode(starts))
-    return out.select("chrom", (F.col("_s") + 1).alias("start"), (F.col("_s") + length).alias("end"), F.substring("seq", F.col("_s") + 1, F.lit(length)).alias("seq"))
+    """Tiles of each contig (chrom, seq) with their bases: chrom, start, end (1-based, ends in) and seq, cut from pieces
+    that overlap by a tile."""
+    size = CHUNK // step * step
+    own = chunks(contigs, size, length).withColumn("last", F.col("length") - length).where("last >= 0 and start0 <= last")
+    regular = F.filter(F.sequence(F.lit(0), F.lit(size - step), F.lit(step)), lambda s: F.col("start0") + s < F.col("last"))
+    end = F.when(F.col("last") < F.col("start0") + size, F.array(F.col("last") - F.col("start0"))).otherwise(F.array().cast("array<int>"))
+    cut = lambda raw: lambda s: F.struct((F.col("start0") + s + 1).alias("start"), (F.col("start0") + s + length).alias("end"), F.substring(raw, s + 1, F.lit(length)).cast("string").alias("seq"))
+    tiles = _bytes("seq", lambda raw: F.transform(F.concat(regular, end), cut(raw)))
+    return own.select("chrom", F.explode(tiles).alias("t")).select("chrom", "t.*")
+
+
+def runs_of(contigs: DataFrame, letter: str = "N") -> DataFrame:
+    """Merged runs of a letter: chrom, start, end (1-based, ends in)."""
+    def found(raw: Column) -> Column:
+        is_letter = lambda i: F.substring(raw, i, F.lit(1)) == F.lit(letter).cast("binary")
+        places = F.sequence(F.lit(1), F.length(raw))
+        starts = F.filter(places, lambda i: is_letter(i) & ((i == 1) | ~is_letter(i - 1)))
+        ends = F.filter(places, lambda i: is_letter(i) & ((i == F.length(raw)) | ~is_letter(i + 1)))
+        return F.arrays_zip(starts.alias("s"), ends.alias("e"))
+
+    own = chunks(contigs).where(F.col("seq").contains(letter))
+    own = own.select("chrom", "start0", F.explode(_bytes("seq", found)).alias("r"))
+    return merge(own.select("chrom", (F.col("start0") + F.col("r.s")).alias("start"), (F.col("start0") + F.col("r.e")).alias("end")), ["chrom"])
 
 
 def unmasked_fragments(tiles: DataFrame, mask: DataFrame, most: float = 0.5) -> DataFrame:
-    return masked_bases(tiles, mask, ["chrom", "start", "end"]).where(F.col("fraction") < most)
+    """Tiles with less than ``most`` of their bases masked. Bases, if there, don't go through the joins that decide."""
+    kept = masked_bases(tiles.select("chrom", "start", "end"), mask, ["chrom", "start", "end"], TILE_BIN).where(F.col("fraction") < most)
+    return tiles.join(kept.drop("end"), ["chrom", "start"]) if "seq" in tiles.columns else kept
 
 
 def top_contigs(fai: DataFrame, n: int = 2) -> DataFrame:
@@ -97,7 +142,8 @@ def density_by_coverage(density: DataFrame, coverage: DataFrame) -> DataFrame:
 
 def genome_stats(contigs: DataFrame, mask: DataFrame, tiles: DataFrame, kept: DataFrame) -> DataFrame:
     """One row: contigs, total_bp, masked_bp, n_intervals, fragments written and skipped."""
-    a = contigs.agg(F.count(F.lit(1)).alias("contigs"), F.coalesce(F.sum(F.length("seq").cast("long")), F.lit(0)).alias("total_bp"))
+    size = F.length("seq") if "seq" in contigs.columns else F.col("length")
+    a = contigs.agg(F.count(F.lit(1)).alias("contigs"), F.coalesce(F.sum(size.cast("long")), F.lit(0)).alias("total_bp"))
     b = mask.agg(F.coalesce(F.sum((F.col("end") - F.col("start") + 1).cast("long")), F.lit(0)).alias("masked_bp"), F.count(F.lit(1)).alias("n_intervals"))
     c = tiles.agg(F.count(F.lit(1)).alias("made"))
     d = kept.agg(F.count(F.lit(1)).alias("fragments_written"))

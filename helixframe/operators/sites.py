@@ -224,34 +224,39 @@ def pair_calls(classified: DataFrame) -> DataFrame:
     return classified.where("site_class = 'differs'").select("chrom", "pos", F.col("label").alias("change"), fold("ref3", "t1_3").alias("mutation"))
 
 
+def _rows(classified: DataFrame) -> Column:
+    """How many rows, or what they count where they have been counted."""
+    return F.sum("n") if "n" in classified.columns else F.count(F.lit(1))
+
+
 def spectrum(classified: DataFrame) -> DataFrame:
     """taxon, mutation, n of a trio."""
-    own = classified.where(F.col("site_class").isin("taxa1_mut", "taxa2_mut")).groupBy("site_class", "label").agg(F.count(F.lit(1)).alias("n"))
+    own = classified.where(F.col("site_class").isin("taxa1_mut", "taxa2_mut")).groupBy("site_class", "label").agg(_rows(classified).alias("n"))
     return own.select(F.substring("site_class", 5, 1).cast("int").alias("taxon"), F.col("label").alias("mutation"), "n")
 
 
 def triplets(classified: DataFrame) -> DataFrame:
     """triplet, n: the opportunities that both branches of a trio share."""
-    return classified.where(F.col("site_class").isin("taxa1_mut", "taxa2_mut", "identical")).groupBy(F.col("ref3").alias("triplet")).agg(F.count(F.lit(1)).alias("n"))
+    return classified.where(F.col("site_class").isin("taxa1_mut", "taxa2_mut", "identical")).groupBy(F.col("ref3").alias("triplet")).agg(_rows(classified).alias("n"))
 
 
 def pair_spectrum(classified: DataFrame) -> DataFrame:
-    own = classified.where("site_class = 'differs'").groupBy("ref3", "t1_3").agg(F.count(F.lit(1)).alias("n"))
+    own = classified.where("site_class = 'differs'").groupBy("ref3", "t1_3").agg(_rows(classified).alias("n"))
     return own.groupBy(fold("ref3", "t1_3").alias("mutation")).agg(F.sum("n").alias("n"))  # labels are made of counted pairs
 
 
 def pair_triplets(classified: DataFrame) -> DataFrame:
     """triplet, n: half a count for either allele's context."""
-    own = classified.where(F.col("site_class").isin("identical", "differs")).groupBy("ref3", "t1_3").agg(F.count(F.lit(1)).alias("n"))
+    own = classified.where(F.col("site_class").isin("identical", "differs")).groupBy("ref3", "t1_3").agg(_rows(classified).alias("n"))
     return own.select(F.explode(F.array("ref3", "t1_3")).alias("triplet"), "n").groupBy("triplet").agg((F.sum("n") * 0.5).alias("n"))
 
 
 def ref_differences(classified: DataFrame) -> DataFrame:
-    return classified.where("site_class = 'ref_differs'").groupBy(F.col("label").alias("mutation")).agg(F.count(F.lit(1)).alias("n"))
+    return classified.where("site_class = 'ref_differs'").groupBy(F.col("label").alias("mutation")).agg(_rows(classified).alias("n"))
 
 
 def site_classes(classified: DataFrame) -> DataFrame:
-    return classified.groupBy("site_class").agg(F.count(F.lit(1)).alias("n"))
+    return classified.groupBy("site_class").agg(_rows(classified).alias("n"))
 
 
 def drop_reasons(lines: DataFrame) -> DataFrame:

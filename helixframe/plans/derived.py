@@ -109,19 +109,20 @@ ONE_SQL = """
   FROM read_bases WHERE mapq >= 30 AND flag = 0 GROUP BY taxon, cn, chrom, pos
 """
 
-MASK_START, MASK_SPAN = 613, 29000
+MASK_START = 613
 
 
 def repeat_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unmerged repeats: chrom, start, end (1-based, ends in)."""
-    return table(spark, sf_dir, "events").where("event_id % 50 = 0").selectExpr(
-        f"{chrom_sql('user_id % 3')} as chrom", f"event_id * {MASK_START} % {MASK_SPAN} + 1 as start", f"event_id * {MASK_START} % {MASK_SPAN} + 1 + cast(floor(value) as bigint) % 20 as end"
-    )
+    """Unmerged repeats, one for each event, over all positions that reads can have: chrom, start, end (1-based, ends
+    in)."""
+    reach = table(spark, sf_dir, "orders").agg(F.expr("greatest(1L, coalesce(max(o_orderkey), 0L) * 2)").alias("reach"))
+    own = table(spark, sf_dir, "events").crossJoin(F.broadcast(reach))  # one row
+    return own.selectExpr(f"{chrom_sql('user_id % 3')} as chrom", f"event_id * {MASK_START} % reach + 1 as start", f"event_id * {MASK_START} % reach + 1 + cast(floor(value) as bigint) % 6 as end")
 
 
 SPANS_SQL = f"""
-  SELECT {chrom_sql('user_id % 3')} AS chrom, event_id * {MASK_START} % {MASK_SPAN} + 1 AS s, event_id * {MASK_START} % {MASK_SPAN} + 1 + CAST(floor(value) AS BIGINT) % 20 AS e
-  FROM events WHERE event_id % 50 = 0
+  SELECT {chrom_sql('user_id % 3')} AS chrom, event_id * {MASK_START} % reach + 1 AS s, event_id * {MASK_START} % reach + 1 + CAST(floor(value) AS BIGINT) % 6 AS e
+  FROM events, (SELECT greatest(1, coalesce(max(o_orderkey), 0) * 2) AS reach FROM orders)
 """
 
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"

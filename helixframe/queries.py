@@ -35,7 +35,7 @@ QC_TRIO = "CASE WHEN (cov_1 AND del_1) OR (cov_2 AND del_2) THEN 'deletion' WHEN
 QC_PAIR = "CASE WHEN del_1 THEN 'deletion' WHEN ins_1 THEN 'insertion' WHEN dis_1 THEN 'reads_disagree' END"
 LINES = f"{READS}, lines AS MATERIALIZED (SELECT *, cn * 10000000000 + pos AS k, {QC_TRIO} AS qc FROM s0)"
 PAIR_LINES = f"{READS}, lines AS MATERIALIZED (SELECT *, cn * 10000000000 + pos AS k, {QC_PAIR} AS qc FROM s0 WHERE cov_1)"
-SPANS = f"spans AS ({D.SPANS_SQL})"
+SPANS = f"spans AS ({D.SPANS_SQL}), hidden AS MATERIALIZED (SELECT DISTINCT chrom, unnest(range(s, e + 1)) AS pos FROM spans)"
 # merged with events of a sweep: where more intervals have begun than ended a group goes on
 MERGED = """marks AS (SELECT chrom, s AS p, 1 AS d FROM spans UNION ALL SELECT chrom, e + 1 AS p, -1 AS d FROM spans),
   sweep AS (SELECT chrom, p, sum(d) AS d FROM marks GROUP BY chrom, p),
@@ -139,14 +139,16 @@ _NMASK = """nruns AS MATERIALIZED (SELECT chrom, unnest(list_filter(range(1, len
 
 @query("fragment_masked", f'WITH {_FRAGMENTS}, {_NMASK}, hits AS (SELECT f.chrom, f.start, count(p) AS masked FROM frags f LEFT JOIN nruns n ON n.chrom = f.chrom AND n.p BETWEEN f.start AND f.end_ GROUP BY f.chrom, f.start) SELECT chrom, start, masked FROM hits WHERE masked / 150.0 < 0.2')
 def fragment_masked(spark, sf):
-    kept = intervals.unmasked_fragments(intervals.fragments(D.contigs(spark, sf)), _n_runs(spark, sf), 0.2)
+    kept = intervals.unmasked_fragments(_tiles(spark, sf), _n_runs(spark, sf), 0.2)
     return kept.select("chrom", F.col("start").cast("long"), "masked")
 
 
 def _n_runs(spark, sf) -> DataFrame:
-    """Runs of N, merged from single positions."""
-    own = D.contigs(spark, sf).select("chrom", F.posexplode(F.split("seq", "")).alias("p", "b")).where("b = 'N'")
-    return intervals.merge(own.select("chrom", (F.col("p") + 1).alias("start"), (F.col("p") + 1).alias("end")), ["chrom"])
+    return intervals.runs_of(D.contigs(spark, sf))
+
+
+def _tiles(spark, sf) -> DataFrame:
+    return intervals.tile_spans(D.contigs(spark, sf).select("chrom", F.length("seq").alias("length")))
 
 
 @query("genome_stats", f"""WITH {_FRAGMENTS}, {_NMASK}, hits AS (SELECT f.chrom, f.start, count(p) AS masked FROM frags f LEFT JOIN nruns n ON n.chrom = f.chrom AND n.p BETWEEN f.start AND f.end_ GROUP BY f.chrom, f.start)
@@ -155,13 +157,13 @@ def _n_runs(spark, sf) -> DataFrame:
     (SELECT count(*) FROM hits WHERE masked / 150.0 < 0.2) AS fragments_written, (SELECT count(*) FROM hits WHERE masked / 150.0 >= 0.2) AS fragments_skipped""")
 def genome_stats(spark, sf):
     contigs, mask = D.contigs(spark, sf), _n_runs(spark, sf)
-    tiles = intervals.fragments(contigs)
+    tiles = _tiles(spark, sf)
     return intervals.genome_stats(contigs, mask, tiles, intervals.unmasked_fragments(tiles, mask, 0.2))
 
 
 @query("masked_fraction", f'WITH {_FRAGMENTS}, {_NMASK} SELECT f.chrom, f.start, count(p) AS masked, round(count(p) / 150.0, 6) AS fraction FROM frags f LEFT JOIN nruns n ON n.chrom = f.chrom AND n.p BETWEEN f.start AND f.end_ GROUP BY f.chrom, f.start')
 def masked_fraction(spark, sf):
-    own = intervals.masked_bases(intervals.fragments(D.contigs(spark, sf)), _n_runs(spark, sf), ["chrom", "start", "end"])
+    own = intervals.masked_bases(_tiles(spark, sf), _n_runs(spark, sf), ["chrom", "start", "end"], intervals.TILE_BIN)
     return own.select("chrom", F.col("start").cast("long"), "masked", F.round("fraction", 6).alias("fraction"))
 
 
@@ -328,7 +330,7 @@ def mask_merge(spark, sf):
     return _mask(spark, sf)
 
 
-MASKED = f"{LINES}, {SPANS}, left_ AS (SELECT l.*, row_number() OVER (PARTITION BY chrom ORDER BY pos) AS i FROM lines l WHERE NOT EXISTS (SELECT 1 FROM spans s WHERE s.chrom = l.chrom AND l.pos BETWEEN s.s AND s.e))"
+MASKED = f"{LINES}, {SPANS}, left_ AS (SELECT l.*, row_number() OVER (PARTITION BY chrom ORDER BY pos) AS i FROM lines l WHERE NOT EXISTS (SELECT 1 FROM hidden s WHERE s.chrom = l.chrom AND l.pos = s.pos))"
 
 
 @query("mask_join_calls", f"{MASKED.replace('lines AS MATERIALIZED', 'all_lines AS MATERIALIZED', 1).replace('FROM lines l', 'FROM all_lines l')}, lines AS (SELECT * FROM left_), {CONTEXT}, {CLASS_TRIO}, {MUT} SELECT taxon, chrom, pos, mutation FROM muts")
@@ -363,20 +365,27 @@ T32 = f"t32 AS (SELECT CASE WHEN triplet[2] IN ('A', 'G') THEN {rc_sql('triplet'
 RATES = f"{TRIO}, {MUT}, {TRIPS}, {M96}, {T32}, rate AS (SELECT taxon, mutation, n, CAST(coalesce(o, 0) AS BIGINT) AS opportunity, coalesce(n / nullif(o, 0), 0) AS rate FROM m96 LEFT JOIN t32 ON triplet = mutation[1] || mutation[3] || mutation[7])"
 
 
+def _counted(spark, df: DataFrame) -> DataFrame:
+    """One scan for a spectrum and its opportunities: a row for each class, context and label, some thousands at most."""
+    keys = [c for c in ("site_class", "ref3", "t1_3", "t2_3", "label") if c in df.columns]
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("site_class") != "not_acgt")
+    return spark.createDataFrame(counts.collect(), counts.schema)
+
+
 def _two(trips: DataFrame) -> DataFrame:
     return trips.select(F.explode(F.array(F.lit(1), F.lit(2))).alias("taxon"), "triplet", "n")
 
 
 @query("normalize_96", f"{RATES} SELECT taxon, mutation, n, opportunity, round(rate, 9) AS rate, CAST(round_even(rate / (SELECT sum(rate) FROM rate q WHERE q.taxon = r.taxon) * 10000, 0) AS BIGINT) AS scaled FROM rate r")
 def normalize_96(spark, sf):
-    c = _trio(spark, sf)
+    c = _counted(spark, _trio(spark, sf))
     own = rates.normalize(sites.spectrum(c), _two(sites.triplets(c)), ["taxon"])
     return own.select("taxon", "mutation", "n", "opportunity", F.round("rate", 9).alias("rate"), "scaled")
 
 
 @query("scale_10000", f"{RATES} SELECT taxon, mutation, CAST(round_even(n / (SELECT sum(n) FROM rate q WHERE q.taxon = r.taxon) * 10000, 0) AS BIGINT) AS scaled_raw FROM rate r")
 def scale_10000(spark, sf):
-    c = _trio(spark, sf)
+    c = _counted(spark, _trio(spark, sf))
     return rates.normalize(sites.spectrum(c), _two(sites.triplets(c)), ["taxon"]).select("taxon", "mutation", "scaled_raw")
 
 
@@ -391,14 +400,14 @@ def spectra_table(spark, sf):
   ra AS (SELECT *, coalesce(n / nullif(o, 0), 0) AS rate FROM op)
   SELECT mutation, n, CAST(o AS DOUBLE) AS opportunity, round(rate, 9) AS rate, round(rate / (SELECT sum(rate) FROM ra) * 10000, 6) AS normalized FROM ra""")
 def normalize_pair(spark, sf):
-    c = _pair(spark, sf)
+    c = _counted(spark, _pair(spark, sf))
     own = rates.normalize_pair(sites.pair_spectrum(c), sites.pair_triplets(c))
     return own.select("mutation", "n", "opportunity", F.round("rate", 9).alias("rate"), F.round("normalized", 6).alias("normalized"))
 
 
 @query("mutations_per_triplet", f"{TRIO}, {MUT}, {TRIPS} SELECT taxon, count(*) AS mutations, CAST((SELECT sum(n) FROM trips) AS BIGINT) AS triplets, round(count(*) / (SELECT sum(n) FROM trips), 9) AS ratio FROM muts GROUP BY taxon")
 def mutations_per_triplet(spark, sf):
-    c = _trio(spark, sf)
+    c = _counted(spark, _trio(spark, sf))
     own = rates.mutations_per_triplet(sites.spectrum(c), _two(sites.triplets(c)), ["taxon"])
     return own.select("taxon", "mutations", "triplets", F.round("ratio", 9).alias("ratio"))
 
@@ -509,7 +518,7 @@ def annotated_site_counts(spark, sf):
     return thresholds.site_counts(_windows(spark, sf)).drop("indel_mapq")
 
 
-@query("annotated_calls", f"{_awin()}, {SPANS} SELECT chrom, pos, mode, CASE site_class WHEN 'taxa1_mut' THEN 1 ELSE 2 END AS taxon, label AS mutation, lo, hi, CASE WHEN EXISTS (SELECT 1 FROM spans s WHERE s.chrom = al.chrom AND s.s <= al.pos + 1 AND s.e >= al.pos - 1) THEN 1 ELSE 0 END AS repeat FROM al WHERE site_class IN ('taxa1_mut', 'taxa2_mut')")
+@query("annotated_calls", f"{_awin()}, {SPANS} SELECT chrom, pos, mode, CASE site_class WHEN 'taxa1_mut' THEN 1 ELSE 2 END AS taxon, label AS mutation, lo, hi, CASE WHEN EXISTS (SELECT 1 FROM hidden s WHERE s.chrom = al.chrom AND s.pos = al.pos) OR EXISTS (SELECT 1 FROM hidden s WHERE s.chrom = al.chrom AND s.pos = al.pos - 1) OR EXISTS (SELECT 1 FROM hidden s WHERE s.chrom = al.chrom AND s.pos = al.pos + 1) THEN 1 ELSE 0 END AS repeat FROM al WHERE site_class IN ('taxa1_mut', 'taxa2_mut')")
 def annotated_calls(spark, sf):
     return thresholds.calls(_windows(spark, sf, mask=_mask(spark, sf))).drop("indel_mapq")
 
@@ -605,26 +614,28 @@ def branch_spectra(spark, sf):
     return fitch.branch_spectra(fitch.branch_mutations(fitch.resolve(D.matrix(spark, sf), _tree())))
 
 
-_HEAD = f"WITH m AS ({D.MATRIX_SQL} WHERE l_orderkey <= 200), o AS (SELECT DISTINCT chrom, pos, taxa0, taxa1, taxa2, taxa3, taxa4 FROM m)"
+_HEAD = f"WITH m AS ({D.MATRIX_SQL}), o AS (SELECT DISTINCT chrom, pos, taxa0, taxa1, taxa2, taxa3, taxa4 FROM m)"
 
 
 @query("phylip_matrix", f"{_HEAD} " + " UNION ALL ".join(f"SELECT {k} AS taxon, md5(string_agg(taxa{k}, '' ORDER BY chrom, pos)) AS digest, count(*) AS n FROM o" for k in range(5)))
 def phylip_matrix(spark, sf):
-    own = D.table(spark, sf, "lineitem").where("l_orderkey <= 200").selectExpr(*D.MATRIX_COLUMNS)
-    own = own.select("chrom", "pos", F.col("lft").alias("left"), F.col("rgt").alias("right"), F.array(*(f"taxa{k}" for k in range(5))).alias("taxa")).dropDuplicates(["chrom", "pos"])
+    own = fitch.sample_sites(D.matrix(spark, sf).dropDuplicates(["chrom", "pos"]), fitch.MOST_SITES)  # all of these tables
     rows = fitch.phylip_rows(own, ["outg", "sp1", "sp2", "sp3", "sp4"])
     return rows.select("taxon", F.md5(F.col("line").cast("binary")).alias("digest"), F.length("line").cast("long").alias("n"))
 
 
-# ---------------------------------------------------------------- not in SQL
+# ---------------------------------------------------------------- pileup text
+
+# every read shows a point at each of its positions, so what is left of a field is as many points
+TEXT = f"WITH reads AS ({D.READS_SQL}), cells AS (SELECT r.*, {D.chrom_sql('r.cn')} AS chrom, r.start0 + n.n_nationkey + 1 AS pos, n.n_nationkey AS j FROM reads r CROSS JOIN nation n)"
 
 
-@query("clean_bases")
+@query("clean_bases", f"{TEXT} SELECT chrom, pos, repeat('.', CAST(count(*) AS INTEGER)) AS clean FROM cells GROUP BY chrom, pos")
 def clean_bases(spark, sf):
     return _pileup_text(spark, sf).select("chrom", "pos", B.clean_bases("bases").alias("clean"))
 
 
-@query("split_reads")
+@query("split_reads", f"{TEXT} SELECT CASE WHEN j = 0 THEN '^' || chr(mapq + 33) ELSE '' END || '.' || CASE WHEN ck % 37 = 5 AND j = 15 THEN '+12ACGTACGTACGT' ELSE '' END || CASE WHEN j = 24 THEN '$' ELSE '' END AS token, count(*) AS n FROM cells GROUP BY 1")
 def split_reads(spark, sf):
     return _pileup_text(spark, sf).select("chrom", "pos", F.explode(B.split_reads("bases")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
@@ -638,7 +649,7 @@ def _pileup_text(spark, sf) -> DataFrame:
     return own.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", token.alias("t")))), lambda x: x["t"]), "").alias("bases"))
 
 
-@query("sample_sites")
+@query("sample_sites", f"WITH m AS ({D.MATRIX_SQL}) SELECT chrom, pos, taxa0 || taxa1 || taxa2 || taxa3 || taxa4 AS taxa FROM m ORDER BY md5('42|' || chrom || '|' || CAST(pos AS VARCHAR)), chrom, pos LIMIT 1000")
 def sample_sites(spark, sf):
     return fitch.sample_sites(D.matrix(spark, sf), 1000).select("chrom", "pos", F.array_join("taxa", "").alias("taxa"))
 

@@ -114,6 +114,42 @@ def test_fragments_and_mask(spark):
     assert got["masked"] == 51 and abs(got["fraction"] - 51 / 111) < 1e-12
 
 
+@pytest.mark.parametrize("n", [0, 149, 150, 151, 225, 226, 70_001])
+def test_tiles_of_long_contigs(spark, n):
+    """Pieces, tiles and runs against slices of the whole text."""
+    rng = random.Random(n)
+    seq = "".join(rng.choice("ACGTNN") for _ in range(n))
+    contig = spark.createDataFrame([("c", seq)], "chrom string, seq string")
+    starts = sorted({*range(0, n - 150, 75), n - 150}) if n >= 150 else []
+    got = sorted((r["start"], r["end"], r["seq"]) for r in intervals.fragments(contig).collect())
+    assert got == [(s + 1, s + 150, seq[s : s + 150]) for s in starts]
+    spans = intervals.tile_spans(contig.select("chrom", F.length("seq").alias("length")))
+    assert sorted((r["start"], r["end"]) for r in spans.collect()) == [(s + 1, s + 150) for s in starts]
+    import re
+
+    assert sorted((r["start"], r["end"]) for r in intervals.runs_of(contig).collect()) == [(m.start() + 1, m.end()) for m in re.finditer("N+", seq)]
+    pieces = intervals.chunks(contig, 1000, 10).orderBy("start0").collect()
+    assert "".join(r["seq"][:1000] for r in pieces) == seq and all(len(r["seq"]) == min(1010, n - r["start0"]) for r in pieces)
+
+
+def test_dealt_lines_match_separate_joins(spark):
+    """Reads, reference and mask dealt by tile together give what separate aggregations and joins give."""
+    from helixframe import queries as Q
+
+    sf = "/root/testdata/sf0.001"
+    reads_ = Q.D.alignments(spark, sf)
+    mask = Q._mask(spark, sf)
+    bases = sites.own_lines(Q._tiled(spark, sf)).select("chrom", "pos", "ref")
+    pieces = bases.where("pos % 3 <> 0").cache()  # a reference with holes
+    for k in (1, 5):
+        old = sites.scan(sites.with_reference(sites.pileup_alignments(reads_, [1, 2]), pieces), [1, 2], mask, k, 500)
+        for tile in (64, 5000):
+            new = sites.scan(sites.tiled_lines(reads_, [1, 2], pieces, mask, max(2, k), tile), [1, 2], None, k, tile)
+            cols = ["chrom", "pos", "ref", "qc", "near", "window", "gap", "base_1", "base_2"]
+            a, b = (sorted(map(tuple, x.select(*cols).collect()), key=repr) for x in (old, new))
+            assert a == b and len(a) > 1000 and any(r[6] for r in a) and any(r[5] for r in a)
+
+
 FLAGS = "species string, qname string, frag_ord long, rname string, start0 int, end0 int, mapq int, flag int"
 
 
