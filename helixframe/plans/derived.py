@@ -84,7 +84,7 @@ def number_of(chrom: str = "chrom") -> str:
 
 def reference() -> Column:
     """The base at (chrom, pos)."""
-    return F.expr(letter_sql(f"{h(f'{number_of()} * 1000003 + pos', 1)} % 4"))
+    return F.expr(letter_sql(f"{h(f'{number_of()} * 1000003 + cast(pos as bigint)', 1)} % 4"))
 
 
 READ_BASES_SQL = f"""
