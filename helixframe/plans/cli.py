@@ -1,8 +1,10 @@
-"""Command line: pair, trio, multi and derive over alignments in Parquet or SAM."""
+"""Command line: pair, trio and multi over alignments (Parquet, or SAM in the order of taxa) or genomes (FASTA, with an
+aligner), phylip over a matrix, and derive."""
 
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 
 
@@ -11,7 +13,13 @@ def parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="mode", required=True)
     for mode in ("pair", "trio", "multi"):
         q = sub.add_parser(mode)
-        q.add_argument("--alignments", required=True, help="Parquet with taxon, rname, start0, ...")
+        given = q.add_mutually_exclusive_group(required=True)
+        given.add_argument("--alignments", nargs="+", help="Parquet with taxon, rname, start0, ..., or a SAM file for each taxon")
+        given.add_argument("--genomes", nargs="+", help="a FASTA file for each taxon, aligned first")
+        q.add_argument("--aligner", default="bwa", help="a known aligner")
+        q.add_argument("--aligner-cmd", help="an aligner's command with {fq}, {cores} and {ref} or {refdir}")
+        q.add_argument("--ref-index", default="", help="what the aligner is given as {ref}; the reference itself by default")
+        q.add_argument("--species-list", help="names of the taxa, a JSON list")
         q.add_argument("--reference", required=True, help="FASTA")
         q.add_argument("--out", required=True)
         q.add_argument("--mapq", type=int, default=60)
@@ -20,14 +28,23 @@ def parser() -> argparse.ArgumentParser:
         q.add_argument("--continuity-run", type=int, default=2)
         q.add_argument("--indel-window", type=int, default=1)
         q.add_argument("--no-cache", action="store_true")
+        q.add_argument("--no-cleanup", action="store_true")
+        q.add_argument("--intervals", action="store_true", help="write the spans of reads too")
+        q.add_argument("--mask", help="BED of repeats")
         if mode == "multi":
             q.add_argument("--newick", required=True)
             q.add_argument("--outgroup", required=True)
         else:
             q.add_argument("--annotate", action="store_true")
-            q.add_argument("--mask", help="BED of repeats")
         if mode == "trio":
             q.add_argument("--five-mer", action="store_true")
+            q.add_argument("--divergence-time", type=float, help="million years")
+    q = sub.add_parser("phylip")
+    q.add_argument("--matrix", required=True, help="CSV of variable sites")
+    q.add_argument("--species-list", required=True, help="names in the order of columns, the outgroup first, a JSON list")
+    q.add_argument("--out", required=True)
+    q.add_argument("--phylip-cmd", required=True, help="reads infile, writes outfile and outtree in its folder")
+    q.add_argument("--phylip-sites", type=int, default=1_000_000)
     q = sub.add_parser("derive")
     q.add_argument("--run", required=True)
     q.add_argument("--out", required=True)
@@ -37,12 +54,36 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def _alignments(spark, a, names):
+    """Rows of all taxa, from Parquet, SAM files or genomes that are aligned now and kept in the run's folder."""
+    from pyspark.sql import functions as F
+
+    from ..sources import external, readers
+    from . import runs
+
+    paths = a.alignments or a.genomes
+    names = names or [f"taxon{i}" for i in range(1, len(paths) + 1)]
+    if a.alignments and not all(p.endswith(".sam") for p in paths):
+        return spark.read.parquet(*paths)
+    if a.alignments:
+        parts = [readers.fragment_order(readers.sam(spark, p, n)).withColumn("taxon", F.lit(i)) for i, (p, n) in enumerate(zip(paths, names), 1)]
+    else:
+        command = external.aligner_command(a.aligner, a.aligner_cmd)
+        ref = a.ref_index or a.reference
+        parts = [runs.align_genome(readers.fasta(spark, p), command, n, i, ref=ref, refdir=ref) for i, (p, n) in enumerate(zip(paths, names), 1)]
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.unionByName(more)
+    rows = rows.drop("zn")
+    rows.write.mode("overwrite").parquet(f"{a.out.rstrip('/')}/aligned")  # aligned once
+    return spark.read.parquet(f"{a.out.rstrip('/')}/aligned")
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     from pyspark.sql import SparkSession
-    from pyspark.sql import functions as F
 
-    from ..operators.intervals import merge
+    from ..operators.intervals import chunks, merge
     from ..sources import readers
     from . import runs
 
@@ -51,15 +92,24 @@ def main(argv: list[str] | None = None) -> int:
         if a.mode == "derive":
             runs.derive_run(spark, a.run, a.out, a.mapq, not a.no_continuity, a.indel)
             return 0
-        o = runs.Options(a.mapq, a.low_mapq, not a.no_continuity, a.continuity_run, a.indel_window, getattr(a, "annotate", False), getattr(a, "five_mer", False), not a.no_cache)
+        names = json.loads(a.species_list) if a.species_list else None
+        if a.mode == "phylip":
+            runs.run_phylip(spark, readers.matrix(spark, a.matrix, len(names)), names, a.out, a.phylip_cmd, a.phylip_sites)
+            return 0
+        o = runs.Options(
+            a.mapq, a.low_mapq, not a.no_continuity, a.continuity_run, a.indel_window, getattr(a, "annotate", False), getattr(a, "five_mer", False), not a.no_cache,
+            intervals=a.intervals, divergence=getattr(a, "divergence_time", None),
+        )
         contigs = readers.fasta(spark, a.reference)
-        reference = contigs.select("chrom", F.posexplode(F.split("seq", "")).alias("p", "ref")).select("chrom", (F.col("p") + 1).alias("pos"), "ref")
-        rows = spark.read.parquet(a.alignments)
+        mask = merge(readers.bed(spark, a.mask), ["chrom"]) if a.mask else None
+        rows = _alignments(spark, a, names)
+        reference = chunks(contigs, 1000)  # short pieces, dealt with the reads
         if a.mode == "multi":
-            runs.run_multi(spark, rows, reference, a.out, a.newick, a.outgroup, o)
+            runs.run_multi(spark, rows, reference, a.out, a.newick, a.outgroup, o, mask)
         else:
-            mask = merge(readers.bed(spark, a.mask), ["chrom"]) if a.mask else None
             (runs.run_pair if a.mode == "pair" else runs.run_trio)(spark, rows, reference, a.out, o, mask)
+        if not a.no_cleanup and not o.annotate and not o.cache:
+            runs.clean_up(spark, a.out)
         return 0
     except Exception as e:
         print(f"{type(e).__name__}: {e}", file=sys.stderr)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
 import time
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
@@ -16,9 +17,9 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import fitch, rates, reads, sites, thresholds
+from ..operators import fitch, intervals, rates, reads, sites, thresholds
 from ..operators.neighbours import TILE
-from ..sources import writers
+from ..sources import external, readers, writers
 from . import tree as trees
 
 
@@ -32,10 +33,12 @@ class Options:
     annotate: bool = False
     five_mer: bool = False
     cache: bool = True
+    intervals: bool = False
+    divergence: float | None = None
     tile: int = TILE
 
     def fingerprint(self) -> str:
-        own = {k: v for k, v in asdict(self).items() if k != "cache"}
+        own = {k: v for k, v in asdict(self).items() if k not in ("cache", "intervals", "divergence")}
         return hashlib.sha256(json.dumps(own, sort_keys=True).encode()).hexdigest()[:16]
 
 
@@ -72,7 +75,10 @@ def _counts(df: DataFrame, key: str) -> dict:
 def _scan(run: Run, alignments: DataFrame, reference, taxa: list[int], mask: DataFrame | None) -> DataFrame:
     o = run.options
     kept = run.stage("align", "alignments", lambda: _kept(alignments, o))
-    return run.stage("scan", "scan", lambda: sites.scan(sites.with_reference(sites.pileup_alignments(kept, taxa), reference), taxa, mask, o.indel_window, o.tile))
+    if o.intervals:
+        writers.read_intervals(kept.select(F.col("rname").alias("chrom"), F.col("start0").alias("start"), F.col("end0").alias("end")), f"{run.out}/Intervals")
+    reach = max(2, o.indel_window)
+    return run.stage("scan", "scan", lambda: sites.scan(sites.tiled_lines(kept, taxa, reference, mask, reach, o.tile), taxa, None, o.indel_window, o.tile))
 
 
 def run_trio(spark: SparkSession, alignments: DataFrame, reference, out: str, options: Options = Options(), mask: DataFrame | None = None) -> dict:
@@ -90,13 +96,21 @@ def run_trio(spark: SparkSession, alignments: DataFrame, reference, out: str, op
     for value in ("n", "rate", "scaled", "scaled_raw"):
         writers.table_tsv(rates.wide_table(table, "mutation", "taxon", value, [1, 2]), "mutation", f"{run.out}/Tables/{value}.tsv")
     near = sites.classify_trio(windows.where("near"))
+    for taxon in (1, 2):
+        own = muts.where(F.col("taxon") == taxon).select("mutation", "n")
+        writers.counts_json(own, "mutation", f"{run.out}/Counts/taxon{taxon}_mutations.json")
+        writers.counts_json(trips.where(F.col("taxon") == taxon).select("triplet", "n"), "triplet", f"{run.out}/Counts/taxon{taxon}_triplets.json")
+    if options.indel_window > 1:
+        writers.write_text(spark, f"{run.out}/Counts/near_indel.json", json.dumps({str(r["taxon"]) + " " + r["mutation"]: r["n"] for r in sites.spectrum(near).collect()}, indent=1, sort_keys=True))
     extra = {}
     if options.five_mer:
         five = sites.five_mers(scanned, [1, 2], options.tile)
         five_counts = run.stage("five_mers", "five_mers", lambda: sites.five_mer_spectrum(five))
         run.stage("five_mer_opportunity", "five_mer_opportunity", lambda: sites.five_mer_opportunity(five))
         extra["five_mer_mutations"] = five_counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    per = rates.mutations_per_triplet(muts, trips, ["taxon"])
+    per = rates.mutations_per_triplet(muts, trips, ["taxon"], options.divergence)
+    if options.divergence is not None:
+        extra["mutations_per_year"] = {str(r["taxon"]): r["per_year"] for r in per.collect()}
     return run.finish(
         site_classes=_counts(sites.site_classes(classified), "site_class"), dropped=_counts(sites.drop_reasons(scanned), "reason"), near_indel=_counts(sites.site_classes(near), "site_class"),
         reference_differences=_counts(sites.ref_differences(classified), "mutation"), lines_after_mask=scanned.count(), non_consecutive=scanned.where("gap").count(),
@@ -115,6 +129,8 @@ def run_pair(spark: SparkSession, alignments: DataFrame, reference, out: str, op
     writers.calls_csv(sites.pair_calls(classified), f"{run.out}/Mutations")
     table = rates.normalize_pair(sites.pair_spectrum(classified), sites.pair_triplets(classified))
     writers.table_tsv(table, "mutation", f"{run.out}/Tables/normalized.tsv")
+    writers.counts_json(sites.pair_spectrum(classified), "mutation", f"{run.out}/Counts/mutations.json")
+    writers.counts_json(sites.pair_triplets(classified), "triplet", f"{run.out}/Counts/triplets.json")
     return run.finish(site_classes=_counts(sites.site_classes(classified), "site_class"), dropped=_counts(sites.drop_reasons(scanned), "reason"), lines_after_mask=scanned.count(), non_consecutive=scanned.where("gap").count())
 
 
@@ -124,11 +140,15 @@ def run_annotated(spark: SparkSession, alignments: DataFrame, reference, out: st
         raise ValueError("an annotated run knows neighbours only: the run must be 2")
     run = Run(spark, out, options)
     kept = run.stage("align", "alignments", lambda: _kept(alignments, options))
-    pos = sites.aligned_positions(kept.withColumnRenamed("rname", "chrom"), ["taxon", "chrom", "mapq", "zn"])
-    own = pos.select("taxon", "chrom", "pos", F.when(F.col("deleted"), "*").otherwise(F.col("base")).alias("base"), "mapq", "zn", (F.col("deleted") | F.col("inserted")).alias("rejects"))
-    windows = run.stage("scan", "windows", lambda: thresholds.scan(own, reference, taxa, mask, options.indel_window, options.tile))
+    reach = max(2, options.indel_window)
+    table = reference if isinstance(reference, DataFrame) else None
+    own = lambda: thresholds.annotated(sites.dealt_positions(kept, table, mask, ["taxon", "mapq", "zn"], reach, max(options.tile, 2 * reach + 1)))
+    windows = run.stage("scan", "windows", lambda: thresholds.scan(own(), reference, taxa, None, options.indel_window, options.tile))
     counts = run.stage("counts", "site_counts", lambda: thresholds.site_counts(windows))
-    run.stage("calls", "annotated_calls", lambda: thresholds.calls(windows))
+    calls = run.stage("calls", "annotated_calls", lambda: thresholds.calls(windows))
+    indel = options.indel_window > 1
+    writers.site_counts(counts, f"{run.out}/Counts/site_counts", indel)
+    writers.annotated_calls(calls, f"{run.out}/Counts/annotated_calls", indel)
     return run.finish(annotated={"taxa": len(taxa), "keys": counts.count()})
 
 
@@ -156,21 +176,66 @@ def derive_run(spark: SparkSession, run_dir: str, out: str, mapq: int, continuit
     return writers.merge_summary(spark, f"{out}/run_summary.json", {"site_classes": _counts(parts["classes"], "site_class"), "derived": {"mapq": mapq, "continuity": continuity, "indel": indel}})
 
 
-def run_multi(spark: SparkSession, alignments: DataFrame, reference, out: str, newick: str, outgroup: str, options: Options = Options()) -> dict:
+def run_multi(spark: SparkSession, alignments: DataFrame, reference, out: str, newick: str, outgroup: str, options: Options = Options(), mask: DataFrame | None = None) -> dict:
     """N species on a tree: mutations on each branch by parsimony. taxon k is the k-th leaf besides the outgroup."""
     run = Run(spark, out, options)
     root = trees.parse_newick(newick)
     columns = trees.index_leaves(root, outgroup)
     taxa = list(range(1, len(columns)))
     kept = run.stage("align", "alignments", lambda: _kept(alignments, options))
-    lines = lambda: sites.with_reference(sites.pileup_alignments(kept, taxa), reference)
-    found = run.stage("scan", "sites", lambda: sites.matrix_sites(lines(), taxa))
+    found = run.stage("scan", "sites", lambda: sites.matrix_sites(sites.tiled_lines(kept, taxa, reference, mask, 2, options.tile), taxa))
     matrix = found.where("varies").withColumn("taxa", F.concat(F.array("ref"), "taxa"))
     resolved = run.stage("fitch", "fitch", lambda: fitch.resolve(matrix, trees.Flat.of(root, columns)))
     muts = fitch.branch_mutations(resolved)
     writers.branches(muts, f"{run.out}/Mutations")
     trips = found.groupBy(F.col("ref3").alias("triplet")).agg(F.count(F.lit(1)).alias("n"))
+    writers.matrix_csv(matrix, len(columns), f"{run.out}/matching_bases")
+    writers.counts_json(trips, "triplet", f"{run.out}/Counts/triplets.json")
     table = rates.normalize(fitch.branch_spectra(muts), trips, ["branch"], on=[])
     table.write.mode("overwrite").parquet(f"{run.out}/Tables")
     ambiguous = resolved.agg(F.coalesce(F.sum("ambiguous"), F.lit(0))).first()[0]
     return run.finish(sites=found.count(), variable=matrix.count(), ambiguous=ambiguous)
+
+
+def run_phylip(spark: SparkSession, matrix: DataFrame, names: list[str], out: str, command: str, most: int = fitch.MOST_SITES) -> dict:
+    """A parsimony search over at most ``most`` sites of a matrix (chrom, pos, taxa; the outgroup first): writes infile
+    and the tree found, with names, and returns the summary."""
+    out = out.rstrip("/")
+    rows = fitch.phylip_rows(fitch.sample_sites(matrix.dropDuplicates(["chrom", "pos"]), most), names)
+    writers.phylip_infile(rows, f"{out}/infile")
+    with tempfile.TemporaryDirectory() as folder:  # the program runs on the driver
+        outfile, outtree = external.parsimony_search(writers.read_text(spark, f"{out}/infile"), command, folder)
+    root = trees.from_phylip(outtree, outfile, {f"taxa{i}": n for i, n in enumerate(names)}, "taxa0")
+    writers.write_text(spark, f"{out}/outtree", root.newick() + "\n")
+    return writers.merge_summary(spark, f"{out}/run_summary.json", {"phylip": {"score": trees.parsimony_of(outfile), "tree": root.newick()}})
+
+
+def align_genome(contigs: DataFrame, command: str, species: str, taxon: int, mask: DataFrame | None = None, most_masked: float = 0.5, length: int = 150, step: int = 75, parts: int | None = None, **places) -> DataFrame:
+    """Alignments of a genome's tiles against a reference, in the form that runs take: cut, masked, piped through an
+    aligner a partition at a time. ``places``: ref, refdir and cores of the command's template."""
+    tiles = intervals.fragments(contigs, length, step)
+    if mask is not None:
+        tiles = intervals.unmasked_fragments(tiles, mask, most_masked)
+    tiles = tiles.repartition(parts or int(contigs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chrom", "start")
+    rows = readers.parse_sam(external.align(tiles, command, **places), species)
+    return readers.fragment_order(rows).withColumn("taxon", F.lit(taxon)).drop("zn")
+
+
+def run_genomes(spark: SparkSession, genomes: list[DataFrame], reference: DataFrame, out: str, command: str, options: Options = Options(), mask: DataFrame | None = None, names: list[str] | None = None, **places) -> dict:
+    """From genomes (chrom, seq) to spectra: one genome against the reference makes a pair, two a trio. ``mask`` is the
+    reference's."""
+    names = names or [f"taxon{i}" for i in range(1, len(genomes) + 1)]
+    rows = None
+    for i, (genome, name) in enumerate(zip(genomes, names), 1):
+        own = align_genome(genome, command, name, i, **places)
+        rows = own if rows is None else rows.unionByName(own)
+    rows.write.mode("overwrite").parquet(f"{out.rstrip('/')}/aligned")  # aligned once
+    rows = spark.read.parquet(f"{out.rstrip('/')}/aligned")
+    return (run_pair if len(genomes) == 1 else run_trio)(spark, rows, intervals.chunks(reference, 1000), out, options, mask)
+
+
+def clean_up(spark: SparkSession, out: str, names: tuple[str, ...] = ("aligned", "alignments", "scan", "windows")) -> None:
+    """Removes a run's intermediate tables."""
+    for name in names:
+        for path in (f"{out.rstrip('/')}/{name}", f"{out.rstrip('/')}/{name}.options"):
+            writers.remove(spark, path)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import shlex
 import shutil
 import subprocess
+import tempfile
+import threading
 import time
 
 import pyarrow as pa
@@ -54,18 +57,69 @@ def available(program: str) -> bool:
     return shutil.which(program) is not None
 
 
-def align(fragments: DataFrame, command: str) -> DataFrame:
-    """SAM lines of fragments (chrom, start, end, seq) piped through a command that reads FASTQ from stdin ({fq} is
-    ``-``). A partition is one process; names carry the order, so the output's order doesn't matter."""
+def aligner(command: str, ref: str = "", refdir: str = "", cores: int = 1) -> str:
+    """A template's command that reads FASTQ from its standard input."""
+    return command.format(fq="-", ref=ref, refdir=refdir, cores=cores)
+
+
+def align(fragments: DataFrame, command: str, ref: str = "", refdir: str = "", cores: int = 1) -> DataFrame:
+    """SAM lines (value) of fragments (chrom, start, end, seq) piped through an aligner, whose template may hold {fq},
+    {ref}, {refdir} and {cores}. A partition is one process; FASTQ goes in while SAM comes out, so neither is held as a
+    whole. Names carry the order, so the output's order doesn't matter. A process that fails fails its task, with the
+    end of what it complained of."""
+    words = shlex.split(aligner(command, ref, refdir, cores))
 
     def pipe(batches):
-        text = []
-        for batch in batches:
-            for chrom, start, end, seq in zip(*(c.to_pylist() for c in batch.columns)):
-                text.append(f"@{chrom}_{start}_{end}\n{seq}\n+\n{'I' * len(seq)}\n")
-        if text:
-            done = subprocess.run(shlex.split(command), input="".join(text), capture_output=True, text=True, check=True)
-            lines = [x for x in done.stdout.splitlines() if x and not x.startswith("@")]
+        batches = (b for b in batches if b.num_rows)
+        first = next(batches, None)
+        if first is None:
+            return
+        with tempfile.TemporaryFile() as said:
+            done = subprocess.Popen(words, stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=said, text=True)
+            broken: list[BaseException] = []
+
+            def feed():
+                try:
+                    with done.stdin as to:
+                        for batch in itertools.chain([first], batches):
+                            for chrom, start, end, seq in zip(*(c.to_pylist() for c in batch.columns)):
+                                to.write(f"@{chrom}_{start}_{end}\n{seq}\n+\n{'I' * len(seq)}\n")
+                except BaseException as e:  # told below, with the exit code
+                    broken.append(e)
+
+            feeder = threading.Thread(target=feed, daemon=True)
+            feeder.start()
+            lines: list[str] = []
+            for line in done.stdout:
+                if line.strip() and not line.startswith("@"):
+                    lines.append(line.rstrip("\n"))
+                if len(lines) == 4096:
+                    yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+                    lines = []
+            feeder.join()
+            if done.wait() or broken:
+                said.seek(0)
+                raise RuntimeError(f"{words[0]}: exit {done.returncode}: {said.read()[-500:].decode(errors='replace')} {broken[:1]}")
             yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
 
     return fragments.select("chrom", "start", "end", "seq").mapInArrow(pipe, "value string")
+
+
+def versions(commands: dict[str, str]) -> dict[str, str]:
+    """The first line that each program says about its version; what isn't there is left out."""
+    out = {}
+    for name, command in commands.items():
+        if available(shlex.split(command)[0]):
+            done = subprocess.run(shlex.split(command), capture_output=True, text=True)
+            out[name] = ((done.stdout or done.stderr).strip().splitlines() or [""])[0]
+    return out
+
+
+def parsimony_search(infile: str, command: str, folder: str) -> tuple[str, str]:
+    """outfile and outtree of a program that reads ``infile`` in its folder, answers given by default."""
+    with open(f"{folder}/infile", "w") as f:
+        f.write(infile)
+    done = subprocess.run(shlex.split(command), cwd=folder, input="Y\n", capture_output=True, text=True)
+    if done.returncode:
+        raise RuntimeError(f"{command}: exit {done.returncode}: {done.stderr[-500:]}")
+    return tuple(open(f"{folder}/{name}").read() for name in ("outfile", "outtree"))

@@ -10,8 +10,9 @@ from ..operators.sites import parse_cigar
 
 
 def fasta(spark: SparkSession, path: str, upper: bool = True) -> DataFrame:
-    """chrom (cut at the first blank), seq. A record is a row, so a file is split only between records."""
-    rows = spark.read.option("lineSep", ">").text(path).where(F.length(F.trim("value")) > 0)
+    """chrom (cut at the first blank), seq. A record is a row, so a file is split only between records; a ">" inside a
+    header begins none."""
+    rows = spark.read.option("lineSep", "\n>").text(path).withColumn("value", F.regexp_replace("value", "^>", "")).where(F.length(F.trim("value")) > 0)
     head = F.regexp_extract("value", r"^([^\r\n]*)", 1)
     body = F.regexp_replace(F.regexp_replace("value", r"^[^\r\n]*", ""), r"\s+", "")
     return rows.select(F.regexp_extract(head, r"^(\S+)", 1).alias("chrom"), (F.upper(body) if upper else body).alias("seq"))
@@ -34,7 +35,12 @@ def _fields(line: Column) -> Column:
 def sam(spark: SparkSession, path: str, species: str = "") -> DataFrame:
     """Alignments: species, ord, qname, flag, rname, start0, end0, mapq, cigar, seq, zn. Headers and lines with fewer
     than 11 fields give no row."""
-    rows = spark.read.text(path).where(~F.col("value").startswith("@")).select(_fields(F.col("value")).alias("f"), F.monotonically_increasing_id().alias("ord")).where(F.size("f") >= 11)
+    return parse_sam(spark.read.text(path), species)
+
+
+def parse_sam(lines: DataFrame, species: str = "") -> DataFrame:
+    """``sam`` of lines (value), as files or an aligner give them."""
+    rows = lines.where(~F.col("value").startswith("@")).select(_fields(F.col("value")).alias("f"), F.monotonically_increasing_id().alias("ord")).where(F.size("f") >= 11)
     f = lambda i: F.col("f")[i]
     num = lambda i: F.expr(f"try_cast(f[{i}] as int)")
     cigar = F.when(f(5) != "*", parse_cigar(f(5)))

@@ -34,6 +34,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    p, fs = _path(spark, path)
+    fs.delete(p, True)
+
+
 def fastq(fragments: DataFrame, path: str) -> None:
     """Four lines a fragment: its name with the 1-based span, bases, plus, top qualities."""
     name = F.concat(F.lit("@"), F.concat_ws("_", "chrom", "start", "end"))

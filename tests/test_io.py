@@ -1,14 +1,15 @@
 """Readers, writers, runs, commands and the stream."""
 
 import json
+import sys
 
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.operators import reads
+from helixframe.operators import intervals, reads
 from helixframe.plans import cli, derived, runs
 from helixframe.sources import external, readers, writers
-from helixframe.streaming.continuity import ContinuityStream
+from helixframe.streaming.continuity import ContinuityStream, NeighbourQualityStream
 
 SF = "/root/testdata/sf0.001"
 
@@ -93,13 +94,107 @@ def test_runs(spark, tmp_path):
     assert multi["variable"] > 100
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    rows = derived.reads(spark, SF).select("species", "qname", "frag_ord", "rname", "start0", "end0", "mapq", "flag")
-    whole = {r["qname"]: r["status"] for r in reads.continuity_status(rows).collect()}
-    got = {}
-    stream = ContinuityStream(lambda df, epoch: got.update({r["qname"]: r["status"] for r in df.collect()}), str(tmp_path / "state"))
+@pytest.mark.parametrize("run", [2, 3])
+def test_stream_equals_batch(spark, tmp_path, run):
+    """Whatever the batches; with a new object for each batch, and one batch that comes twice."""
+    rows = derived.reads(spark, SF).select("species", "qname", "frag_ord", "rname", "start0", "end0", "mapq", "flag").cache()
+    whole = {r["qname"]: r["status"] for r in reads.continuity_status(rows, run=run).collect()}
+    tagged = {r["qname"]: r["zn"] for r in reads.neighbour_mapq(rows).collect()}
     edges = [0, 900, 3000, 1_000_000_600, 3_000_000_000]
-    for i, (a, b) in enumerate(zip(edges, edges[1:])):
-        stream(rows.where((F.col("frag_ord") >= a) & (F.col("frag_ord") < b)), i)
-    stream.close(spark)
-    assert got == whole
+    for name, make, value, want in (("c", lambda sink, at: ContinuityStream(sink, at, run=run), "status", whole), ("z", NeighbourQualityStream, "zn", tagged)):
+        got: dict = {}
+        sink = lambda df, epoch: got.__setitem__(epoch, {r["qname"]: r[value] for r in df.collect()})  # noqa: E731, B023
+        for i, (a, b) in enumerate(zip(edges, edges[1:])):
+            batch = rows.where((F.col("frag_ord") >= a) & (F.col("frag_ord") < b))
+            make(sink, str(tmp_path / name))(batch, i)
+            if i == 2:  # the stream stopped before it noted that the epoch was done
+                before = dict(got)
+                make(sink, str(tmp_path / name))(batch, i)
+                assert got == before
+        make(sink, str(tmp_path / name)).close(spark)
+        assert sum(map(len, got.values())) == len(want) and {k: v for x in got.values() for k, v in x.items()} == want
+
+
+ALIGNER = """import sys
+lines = iter(sys.stdin)
+print("@HD\\tVN:1.6")
+for name in lines:
+    seq = next(lines).strip(); next(lines); next(lines)
+    chrom, start, end = name[1:].strip().rsplit("_", 2)
+    print("\\t".join([name[1:].strip(), "0", chrom, start, "60", f"{len(seq)}M", "*", "0", "0", seq, "*"]))
+if "--fail" in sys.argv:
+    sys.exit("no index")
+"""
+
+
+def genomes(spark, tmp_path):
+    """A reference and two genomes with a few changes; FASTA files and the changes of each."""
+    import random
+
+    rng = random.Random(4)
+    ref = {c: "".join(rng.choice("ACGT") for _ in range(n)) for c, n in (("chr_1", 3000), ("chr2", 1200), ("tiny", 40))}
+    files, changes = [], []
+    for i in range(3):
+        own = {c: list(s) for c, s in ref.items()}
+        found = set()
+        for p in range(100 + 10 * i, 2900, 97) if i else ():
+            old = own["chr_1"][p]
+            own["chr_1"][p] = "ACGT"[("ACGT".index(old) + 1) % 4]
+            found.add((i, "chr_1", p + 1, f"{ref['chr_1'][p - 1]}[{old}>{own['chr_1'][p]}]{ref['chr_1'][p + 1]}"))
+        path = tmp_path / f"g{i}.fa"
+        path.write_text("".join(f">{c} some > text\n" + "\n".join("".join(s)[k : k + 70] for k in range(0, len(s), 70)) + "\n" for c, s in own.items()))
+        files.append(str(path))
+        changes.append(found)
+    script = tmp_path / "aligner.py"
+    script.write_text(ALIGNER)
+    return files, changes, f"{sys.executable} {script}"
+
+
+def test_from_genomes_to_spectra(spark, tmp_path):
+    files, changes, aligner = genomes(spark, tmp_path)
+    fasta = [readers.fasta(spark, f) for f in files]
+    assert {(r["chrom"], len(r["seq"])) for r in fasta[0].collect()} == {("chr_1", 3000), ("chr2", 1200), ("tiny", 40)}
+    mask = spark.createDataFrame([("chr_1", 190, 210)], "chrom string, start int, end int")
+    got = runs.run_genomes(spark, fasta[1:], fasta[0], str(tmp_path / "out"), aligner, runs.Options(intervals=True, divergence=5.0), mask)
+    calls = spark.read.option("header", True).csv(str(tmp_path / "out/Mutations"))
+    found = {(int(r["taxon"]), r["chromosome"], int(r["position"]), r["mutation"]) for r in calls.collect()}
+    assert found == {x for c in changes for x in c if not 189 <= x[2] <= 211} and len(found) > 50
+    assert got["site_classes"]["taxa1_mut"] + got["site_classes"]["taxa2_mut"] == len(found) and got["mutations_per_year"]["1"] > 0
+    own = json.loads((tmp_path / "out/Counts/taxon1_mutations.json").read_text())
+    assert sum(own.values()) == sum(x[0] == 1 for x in found)
+    assert readers.read_intervals(spark, str(tmp_path / "out/Intervals")).count() > 100
+    pair = runs.run_genomes(spark, fasta[1:2], fasta[0], str(tmp_path / "pair"), aligner)
+    assert pair["site_classes"]["differs"] == len(changes[1])
+    with pytest.raises(Exception, match="no index"):
+        external.align(intervals.fragments(fasta[0]), f"{aligner} --fail").count()
+    runs.clean_up(spark, str(tmp_path / "pair"))
+    assert not (tmp_path / "pair/aligned").exists() and (tmp_path / "pair/Mutations").exists()
+
+
+def test_command_line(spark, tmp_path):
+    files, changes, aligner = genomes(spark, tmp_path)
+    own = ["--genomes", *files[1:], "--reference", files[0], "--aligner-cmd", aligner + " {fq} {ref} {cores}", "--species-list", '["one", "two"]']
+    assert cli.main(["trio", *own, "--out", str(tmp_path / "trio")]) == 0
+    made = json.loads((tmp_path / "trio/run_summary.json").read_text())
+    assert made["site_classes"]["taxa1_mut"] + made["site_classes"]["taxa2_mut"] == sum(map(len, changes))
+    assert cli.main(["trio", *own, "--annotate", "--out", str(tmp_path / "ann")]) == 0
+    assert readers.site_counts(spark, str(tmp_path / "ann/Counts/site_counts")).count() > 50
+    assert cli.main(["derive", "--run", str(tmp_path / "ann"), "--mapq", "30", "--out", str(tmp_path / "at")]) == 0
+    assert json.loads((tmp_path / "at/run_summary.json").read_text())["site_classes"] == made["site_classes"]
+    assert cli.main(["multi", *own, "--newick", "((one,two),out);", "--outgroup", "out", "--out", str(tmp_path / "multi")]) == 0
+    search = tmp_path / "search.py"
+    search.write_text("open('outfile','w').write(open('infile').read() + 'requires a total of 7.000\\n between and length\\n --- --- ---\\n 1 taxa0 0.1\\n 1 taxa1 0.1\\n 1 taxa2 0.1\\n\\n')\nopen('outtree','w').write('(taxa1,taxa2,taxa0);')\n")
+    assert cli.main(["phylip", "--matrix", str(tmp_path / "multi/matching_bases"), "--species-list", '["out", "one", "two"]', "--phylip-cmd", f"{sys.executable} {search}", "--out", str(tmp_path / "tree")]) == 0
+    found = json.loads((tmp_path / "tree/run_summary.json").read_text())["phylip"]
+    assert found["score"] == 7.0 and "one" in found["tree"]
+    assert (tmp_path / "tree/infile").read_text().split()[:2] == ["3", str(sum(map(len, changes)))]
+    assert cli.main(["pair", "--alignments", "/nonexistent", "--reference", files[0], "--out", str(tmp_path / "no")]) == 1
+
+
+def test_versions_and_retries(tmp_path):
+    assert external.versions({"python": f"{sys.executable} --version", "none": "no-such-program -v"})["python"].startswith("Python 3")
+    mark = tmp_path / "mark"
+    flaky = f"import os,sys; p={str(mark)!r}; known=os.path.exists(p); open(p,'w').close(); sys.exit(0 if known else 3)"
+    assert external.run(f'{sys.executable} -c "{flaky}"', tries=2, cap=0.01) == ""
+    with pytest.raises(RuntimeError, match="exit 3"):
+        external.run(f'{sys.executable} -c "import sys; sys.exit(3)"', tries=2, cap=0.01)
