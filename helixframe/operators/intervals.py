@@ -53,7 +53,9 @@ def chunks(contigs: DataFrame, size: int = CHUNK, overlap: int = 0) -> DataFrame
     cut = lambda raw: lambda o: F.struct(o.alias("start0"), F.substring(raw, o + 1, F.lit(size + overlap)).cast("string").alias("seq"))
     pieces = _bytes("seq", lambda raw: F.transform(F.sequence(F.lit(0), F.length(raw) - 1, F.lit(size)), cut(raw)))
     own = contigs.where(F.length("seq") > 0).select("chrom", F.octet_length("seq").alias("length"), F.explode(pieces).alias("p"))
-    return own.select("chrom", "length", "p.start0", "p.seq")
+    # contigs are few and long: what is done with their pieces is spread over all tasks
+    parts = int(contigs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return own.select("chrom", "length", "p.start0", "p.seq").repartition(4 * parts, "chrom", "start0")
 
 
 def tile_spans(contigs: DataFrame, length: int = 150, step: int = 75) -> DataFrame:

@@ -57,7 +57,7 @@ def dealt_positions(alignments: DataFrame, reference: DataFrame | None, mask: Da
     first, last = F.floor((F.col("start0") + 1 - reach) / tile), F.floor((F.greatest(F.col("end0"), F.col("start0") + 1) + reach) / tile)
     rows = rows.withColumn("_tile", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
     # reads are few bytes beside what they are walked into, so the number of tasks is given and not left to their size
-    rows = rows.repartition(int(alignments.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chrom", "_tile")
+    rows = rows.repartition(4 * int(alignments.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chrom", "_tile")
     kind = at.simpleString()
     begin = f"array(struct(cast(greatest(start0 + 1, _tile * {tile} - {reach}) as {kind}) as pos, cast(null as string) as base, false as deleted, false as inserted))"
     bases = f"transform(sequence(1, length(seq)), j -> struct(cast(start0 + j as {kind}) as pos, substring(seq, j, 1) as base, false as deleted, false as inserted))"

@@ -25,6 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """A table of one small file is one task; what is derived from its rows is dealt to all. Tables of more files than
+    that stay as they are."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, key) if len(rows.inputFiles()) < parts else rows
+
+
 READS_SQL = """
   SELECT o_orderkey AS ord, CAST(o_orderkey % 2 + 1 AS INTEGER) AS taxon, CAST(floor(o_orderkey / 2) AS BIGINT) % 3 AS cn,
     CAST(floor(o_orderkey / 6) AS BIGINT) * 12 AS start0, o_custkey AS ck,
@@ -68,7 +75,7 @@ def alignments(spark: SparkSession, sf_dir: str, mapq: int = 30) -> DataFrame:
 
 def with_bases(own: DataFrame) -> DataFrame:
     """Reads on their contigs' main sequence, with bases and CIGAR."""
-    own = own.drop("rname").withColumnRenamed("chrom", "rname")
+    own = spread(own.drop("rname").withColumnRenamed("chrom", "rname"), "ord")
     base = letter_sql(code_sql("cn * 1000003 + start0 + j + 1", "taxon", "j", "ck"))
     deleted, inserted = "ck % 40 = 3", "ck % 37 = 5"
     seq = f"array_join(transform(sequence(0, {LENGTH - 1}), j -> case when {deleted} and j in (10, 11) then '' when {inserted} and j = 15 then concat({base}, 'A') else {base} end), '')"
@@ -131,7 +138,7 @@ SEQ_SQL = f"replace(translate(regexp_replace(text, '[^A-Za-z]', '#'{{g}}), '{LET
 
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as sequences: letters become bases, anything else N."""
-    own = table(spark, sf_dir, "documents")
+    own = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return own.selectExpr("concat('doc', doc_id) as chrom", SEQ_SQL.format(g="") + " as seq", "doc_id as contig_ord")
 
 
