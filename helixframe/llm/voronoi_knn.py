@@ -6,17 +6,20 @@ up to |q|. To compare across norms queries are scaled to length M first, which c
 
 Queries and data are grouped by their nearest pivots. From a summary of each cell (its radius, and the k + 1 rows
 nearest its pivot) follows, for each cell of queries, a bound on how far any k-th neighbour can be. A row is replicated
-only to the cells of queries whose bound it can meet: its distance to the pivot less the cell's radius must not exceed
+only to the cells of queries whose bound it can meet: neither its distance to the pivot less the cell's radius, nor its
+distance to the plane halfway between that pivot and its own one, behind which all the cell's queries lie, may exceed
 the bound. Bounds carry a slack for rounding, and scores are computed again in integers, so the result is exact.
 
 Cells of queries that lie near each other form groups of about ``BLOCK_QUERIES`` queries, and a row goes once to each
-group that has a cell for it: in many dimensions the bounds spare little, and then each row meets each group once.
-A group is solved in blocks of queries and of replicated rows, whose results are merged. The pivots come from a bounded sample, and the summary has at most (k + 1) rows for each of ``n_pivots`` cells.
-
-Edge cases: vectors that are null, empty, or hold null or non-finite components take no part; vectors whose length is
-not the most common one (the smallest of several) take no part; null ids take no part; repeated rows are candidates
-each, but a query is one row of its id, and no row of its own id is its candidate; with fewer candidates than k all are
-returned; an empty table gives an empty result; other columns are ignored.
+group that has a cell for it: in many dimensions the bounds spare little, and then each row meets each group once. Rows
+dealt are thus at most rows times queries over ``BLOCK_QUERIES``, so a block is as large as a task can well hold. A
+group is solved in blocks of queries and of replicated rows, whose results are merged. There are about as many pivots as
+the root of the rows, ``MAX_PIVOTS`` at most, from a bounded sample, and the summary has at most (k + 1) rows a cell.
+
+Edge cases: vectors that are null, empty, or hold null or non-finite components take no part; vectors of different
+lengths don't meet; null ids take no part; repeated rows are candidates each, but a query is one row of its id, and no
+row of its own id is its candidate; with fewer candidates than k all are returned; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,9 +33,9 @@ from .common import Scratch
 from .permutation_index import matrix
 
 K = 10
-N_PIVOTS = 128
-BLOCK_ROWS = 8192
-BLOCK_QUERIES = 512
+MIN_PIVOTS, MAX_PIVOTS = 16, 1024
+BLOCK_ROWS = 1 << 15
+BLOCK_QUERIES = 1 << 14
 SLACK = 1e-6  # of M, many times the rounding of these sums
 
 
@@ -58,6 +61,8 @@ class Join:
         n = len(pivots)
         self.radius, self.limit = np.full(n, -1.0), np.full(n, np.inf)
         self.group = np.zeros(n, np.int64)
+        between = _distances(pivots, pivots)
+        self.twice = np.where(between > SLACK, 2 * between, np.inf)  # from pivots too near for a plane nothing follows
 
     def cells(self, x: np.ndarray, query: bool) -> tuple[np.ndarray, np.ndarray]:
         d = _distances(_augment(x, self.big, query), self.pivots)
@@ -93,14 +98,19 @@ class Join:
     def wanted(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Row and group of queries, for each that the row may serve."""
         d = _distances(_augment(x, self.big, False), self.pivots)
-        own = (d - self.radius <= self.limit + SLACK) & (self.radius >= 0)
-        hit = np.zeros((len(x), int(self.group.max(initial=0)) + 1), bool)
-        for g in range(hit.shape[1]):
-            hit[:, g] = own[:, self.group == g].any(1)
-        return np.nonzero(hit)
-
-
-def top_k(rows: DataFrame, is_query, k: int = K, n_pivots: int = N_PIVOTS, scratch: Scratch | None = None) -> DataFrame:
+        cell = d.argmin(1)
+        beyond = (d * d - d[np.arange(len(d)), cell][:, None] ** 2) / self.twice[cell]
+        near = np.maximum(d - self.radius, beyond) <= self.limit + SLACK
+        order = np.argsort(np.where(self.radius >= 0, self.group, -1), kind="stable")
+        order = order[self.radius[order] >= 0]  # cells of queries, a group's together
+        if not len(order):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        groups, starts = np.unique(self.group[order], return_index=True)
+        row, at = np.nonzero(np.logical_or.reduceat(near[:, order], starts, axis=1))
+        return row, groups[at]
+
+
+def top_k(rows: DataFrame, is_query, k: int = K, n_pivots: int | None = None, scratch: Scratch | None = None) -> DataFrame:
     """query_id, rank, vec_id, score for rows of (vec_id, v), v an array of longs, and a condition for queries."""
     spark = rows.sparkSession
     scratch = scratch or Scratch(spark, "voronoi")
@@ -114,11 +124,13 @@ def top_k(rows: DataFrame, is_query, k: int = K, n_pivots: int = N_PIVOTS, scrat
     return spark.createDataFrame([], out_schema) if out is None else out
 
 
-def _top_k(rows: DataFrame, k: int, n_pivots: int, scratch: Scratch, name: str) -> DataFrame:
+def _top_k(rows: DataFrame, k: int, n_pivots: int | None, scratch: Scratch, name: str) -> DataFrame:
     """``top_k`` for vectors of one length; q marks queries."""
     spark = rows.sparkSession
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    big = max(1.0, float(rows.agg(F.max(square)).first()[0]) ** 0.5) * (1 + 1e-9)
+    most, n_rows = rows.agg(F.max(square), F.count(F.lit(1))).first()
+    big = max(1.0, float(most) ** 0.5) * (1 + 1e-9)
+    n_pivots = n_pivots or max(MIN_PIVOTS, min(MAX_PIVOTS, int(n_rows**0.5)))
     sample = rows.select("v").orderBy(F.xxhash64("v", "vec_id"), "vec_id").limit(n_pivots).collect()  # bounded
     pivots = np.unique(_augment(np.array([r["v"] for r in sample], np.float64), big, False), axis=0)
     join = Join(pivots, big, k)

@@ -421,6 +421,29 @@ def test_top_k(spark, seed):
     assert got == sorted(want)
 
 
+def test_bounds_spare_rows():
+    """Far clusters go to other groups' queries only where a bound lets them, and no row that counts is spared."""
+    r = np.random.default_rng(4)
+    x = np.repeat(r.normal(size=(8, 12)) * 3000, 200, axis=0) + r.normal(size=(1600, 12)) * 20
+    x = x[r.permutation(1600)]
+    x = np.floor(x * (10_000 / np.linalg.norm(x, axis=1, keepdims=True)))  # of like lengths: else the bounds are wide
+    big, k = np.sqrt((x * x).sum(1).max()) * (1 + 1e-9), 10
+    join = voronoi_knn.Join(np.unique(voronoi_knn._augment(x[:40], big, False), axis=0), big, k)
+    cell, d = join.cells(x, False)
+    nearest = [(c, d[i], i) for c in range(40) for i in np.flatnonzero(cell == c)[np.argsort(d[cell == c], kind="stable")][: k + 1]]
+    q = np.arange(0, 1600, 20)
+    own, far = join.cells(x[q], True)
+    join.bound({c: far[own == c].max() for c in set(own.tolist())}, nearest)
+    join.form_groups({c: int((own == c).sum()) for c in set(own.tolist())}, 1)
+    row, group = join.wanted(x)
+    dealt = set(zip(row.tolist(), group.tolist()))
+    assert len(dealt) < 0.3 * len(x) * len(set(join.group[own].tolist()))
+    for i, c in zip(q, own):
+        score = x @ x[i]
+        score[i] = -np.inf
+        assert all((j, join.group[c]) in dealt for j in np.argsort(-score, kind="stable")[:k].tolist())
+
+
 def test_top_k_of_few(spark):
     rows = spark.createDataFrame([(0, [1, 2]), (1, [1, 2]), (2, [0, 0])], "vec_id long, v array<long>")
     assert sorted(tuple(r) for r in voronoi_knn.top_k(rows, F.col("vec_id") == 0).collect()) == [(0, 1, 1, 5), (0, 2, 2, 0)]
