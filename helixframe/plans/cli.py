@@ -30,7 +30,11 @@ def parser() -> argparse.ArgumentParser:
         q.add_argument("--no-cache", action="store_true")
         q.add_argument("--no-cleanup", action="store_true")
         q.add_argument("--intervals", action="store_true", help="write the spans of reads too")
-        q.add_argument("--mask", help="BED of repeats")
+        q.add_argument("--index-cmd", help="prepares the reference for the aligner, with {ref}, {refdir} and {cores}; known aligners have their own")
+        masks = q.add_mutually_exclusive_group()
+        masks.add_argument("--mask", help="BED of repeats")
+        masks.add_argument("--repeat-mask", choices=["windowmasker", "repeatmasker"], help="finds the reference's repeats first, in the run's folder")
+        q.add_argument("--repeat-species", help="RepeatMasker's library")
         if mode == "multi":
             q.add_argument("--newick", required=True)
             q.add_argument("--outgroup", required=True)
@@ -69,6 +73,9 @@ def _alignments(spark, a, names):
         parts = [readers.fragment_order(readers.sam(spark, p, n)).withColumn("taxon", F.lit(i)) for i, (p, n) in enumerate(zip(paths, names), 1)]
     else:
         command = external.aligner_command(a.aligner, a.aligner_cmd)
+        prepare = a.index_cmd or (None if a.aligner_cmd else external.ALIGNERS[a.aligner][1])
+        if prepare and not a.ref_index:
+            external.index(a.reference, prepare)
         ref = a.ref_index or a.reference
         parts = [runs.align_genome(readers.fasta(spark, p), command, n, i, ref=ref, refdir=ref) for i, (p, n) in enumerate(zip(paths, names), 1)]
     rows = parts[0]
@@ -102,6 +109,8 @@ def main(argv: list[str] | None = None) -> int:
         )
         contigs = readers.fasta(spark, a.reference)
         mask = merge(readers.bed(spark, a.mask), ["chrom"]) if a.mask else None
+        if a.repeat_mask:
+            mask = runs.build_mask(spark, a.reference, f"{a.out.rstrip('/')}/repeats", a.repeat_mask, species=a.repeat_species, cache=not a.no_cache)
         rows = _alignments(spark, a, names)
         reference = chunks(contigs, 1000)  # short pieces, dealt with the reads
         if a.mode == "multi":

@@ -2,13 +2,16 @@
 
 A run takes alignments (species, taxon, rname, start0, end0, flag, mapq, cigar, seq, frag_ord, qname) and a reference
 (chrom, pos, ref, or an expression) and writes its tables below a folder. A stage is skipped if its output is there
-and was made with the same options.
+and was made by the same kind of run with the same options, tree and mask; other alignments need another folder.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import pathlib
+import platform
+import resource
 import tempfile
 import time
 from collections.abc import Callable
@@ -37,29 +40,52 @@ class Options:
     divergence: float | None = None
     tile: int = TILE
 
-    def fingerprint(self) -> str:
-        own = {k: v for k, v in asdict(self).items() if k not in ("cache", "intervals", "divergence")}
+    def fingerprint(self, **given) -> str:
+        own = {k: v for k, v in asdict(self).items() if k not in ("cache", "intervals", "divergence")} | given
         return hashlib.sha256(json.dumps(own, sort_keys=True).encode()).hexdigest()[:16]
 
 
 class Run:
-    """Stages with timings and a summary in run_summary.json."""
+    """Stages with timings and a summary in run_summary.json. ``given`` is what decides on results beside the options."""
 
-    def __init__(self, spark: SparkSession, out: str, options: Options):
-        self.spark, self.out, self.options, self.timings = spark, out.rstrip("/"), options, {}
+    def __init__(self, spark: SparkSession, out: str, options: Options, mask: DataFrame | None = None, **given):
+        self.spark, self.out, self.options, self.timings, self.resources = spark, out.rstrip("/"), options, {}, {}
+        self.made_by = options.fingerprint(**given, mask=_digest(mask))
 
     def stage(self, name: str, path: str, make: Callable[[], DataFrame]) -> DataFrame:
         """A table that is made once for the same options."""
         at, mark = f"{self.out}/{path}", f"{self.out}/{path}.options"
-        began = time.time()
-        if not (self.options.cache and writers.exists(self.spark, mark) and writers.read_text(self.spark, mark) == self.options.fingerprint()):
+        began, cpu = time.time(), _driver()[0]
+        if not (self.options.cache and writers.exists(self.spark, mark) and writers.read_text(self.spark, mark) == self.made_by):
             make().write.mode("overwrite").parquet(at)
-            writers.write_text(self.spark, mark, self.options.fingerprint())
+            writers.write_text(self.spark, mark, self.made_by)
         self.timings[name] = round(time.time() - began, 3)
+        now, peak, heap = _driver(self.spark)
+        self.resources[name] = {"driver_python_cpu_s": round(now - cpu, 3), "driver_python_peak_mb": peak, "driver_heap_mb": heap}
         return self.spark.read.parquet(at)
 
     def finish(self, **sections) -> dict:
-        return writers.merge_summary(self.spark, f"{self.out}/run_summary.json", sections | {"parameters": asdict(self.options), "timings": self.timings})
+        return writers.merge_summary(self.spark, f"{self.out}/run_summary.json", sections | {"parameters": asdict(self.options), "timings": self.timings, "resources": self.resources, "versions": self.versions()})
+
+    def versions(self) -> dict:
+        """Of Spark, Python and what programs are there."""
+        return {"spark": self.spark.version, "python": platform.python_version()} | external.versions(external.VERSIONS)
+
+
+def _driver(spark: SparkSession | None = None) -> tuple[float, int, int]:
+    """CPU seconds and peak MB of the driver's Python, and the MB that its JVM's heap holds; executors' are in Spark's own
+    listeners."""
+    used = resource.getrusage(resource.RUSAGE_SELF)
+    vm = spark._jvm.java.lang.Runtime.getRuntime() if spark else None
+    return used.ru_utime + used.ru_stime, used.ru_maxrss >> 10, (vm.totalMemory() - vm.freeMemory()) >> 20 if vm else 0
+
+
+def _digest(mask: DataFrame | None) -> str | None:
+    """What a mask holds, whatever the order of its rows."""
+    if mask is None:
+        return None
+    n, total = mask.agg(F.count(F.lit(1)), F.sum(F.xxhash64("chrom", "start", "end").cast("decimal(38,0)"))).first()
+    return f"{n} {total}"
 
 
 def _kept(alignments: DataFrame, o: Options) -> DataFrame:
@@ -85,7 +111,7 @@ def run_trio(spark: SparkSession, alignments: DataFrame, reference, out: str, op
     """Two sister taxa against an outgroup: 96 classes a branch. Returns the summary."""
     if options.annotate:
         return run_annotated(spark, alignments, reference, out, options, mask, [1, 2])
-    run = Run(spark, out, options)
+    run = Run(spark, out, options, mask, kind="trio")
     scanned = _scan(run, alignments, reference, [1, 2], mask)
     windows = sites.contexts(scanned, [1, 2])
     classified = run.stage("classify", "windows", lambda: sites.classify_trio(windows.where("not near")))
@@ -122,7 +148,7 @@ def run_pair(spark: SparkSession, alignments: DataFrame, reference, out: str, op
     """One target against a reference: 52 classes without direction."""
     if options.annotate:
         return run_annotated(spark, alignments, reference, out, options, mask, [1])
-    run = Run(spark, out, options)
+    run = Run(spark, out, options, mask, kind="pair")
     scanned = _scan(run, alignments, reference, [1], mask)
     windows = sites.contexts(scanned, [1])
     classified = run.stage("classify", "windows", lambda: sites.classify_pair(windows.where("not near")))
@@ -138,7 +164,7 @@ def run_annotated(spark: SparkSession, alignments: DataFrame, reference, out: st
     """Counts and calls for all thresholds at once, in site_counts and annotated_calls."""
     if options.continuity_run != 2:
         raise ValueError("an annotated run knows neighbours only: the run must be 2")
-    run = Run(spark, out, options)
+    run = Run(spark, out, options, mask, kind="annotated", taxa=len(taxa))
     kept = run.stage("align", "alignments", lambda: _kept(alignments, options))
     reach = max(2, options.indel_window)
     table = reference if isinstance(reference, DataFrame) else None
@@ -178,7 +204,7 @@ def derive_run(spark: SparkSession, run_dir: str, out: str, mapq: int, continuit
 
 def run_multi(spark: SparkSession, alignments: DataFrame, reference, out: str, newick: str, outgroup: str, options: Options = Options(), mask: DataFrame | None = None) -> dict:
     """N species on a tree: mutations on each branch by parsimony. taxon k is the k-th leaf besides the outgroup."""
-    run = Run(spark, out, options)
+    run = Run(spark, out, options, mask, kind="multi", newick=newick, outgroup=outgroup)
     root = trees.parse_newick(newick)
     columns = trees.index_leaves(root, outgroup)
     taxa = list(range(1, len(columns)))
@@ -210,6 +236,16 @@ def run_phylip(spark: SparkSession, matrix: DataFrame, names: list[str], out: st
     return writers.merge_summary(spark, f"{out}/run_summary.json", {"phylip": {"score": trees.parsimony_of(outfile), "tree": root.newick()}})
 
 
+def build_mask(spark: SparkSession, fasta: str, folder: str, program: str = "windowmasker", **options) -> DataFrame:
+    """Merged intervals (chrom, start, end) that a masker finds in a FASTA file of the driver's; kept as BED in the
+    folder, which executors must see too. ``options``: species, dust, cores and cache."""
+    found = external.mask_genome(fasta, folder, program, **options)
+    at = pathlib.Path(found).resolve().as_uri()
+    rows = readers.windowmasker(spark, at) if program == "windowmasker" else readers.repeatmasker(spark, at)
+    writers.bed(intervals.merge(rows, ["chrom"]), f"{at}.bed")
+    return readers.bed(spark, f"{at}.bed")
+
+
 def align_genome(contigs: DataFrame, command: str, species: str, taxon: int, mask: DataFrame | None = None, most_masked: float = 0.5, length: int = 150, step: int = 75, parts: int | None = None, **places) -> DataFrame:
     """Alignments of a genome's tiles against a reference, in the form that runs take: cut, masked, piped through an
     aligner a partition at a time. ``places``: ref, refdir and cores of the command's template."""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import itertools
+import os
 import random
 import shlex
 import shutil
@@ -21,7 +23,17 @@ ALIGNERS = {
     "minimap2": ("minimap2 -ax sr -t {cores} {ref} {fq}", "true"),
     "bbmap": ("bbmap.sh ref={ref} path={refdir} in={fq} out=stdout.sam threads={cores} ordered=t", "bbmap.sh ref={ref} path={refdir}"),
 }
-MASKERS = ("windowmasker", "repeatmasker")
+#: Fixed command lines of the maskers, in order; {jobs}: RepeatMasker's search uses four threads a job.
+MASKERS = {
+    "windowmasker": (
+        "windowmasker -in {fasta} -infmt fasta -mk_counts -out {out}.counts",
+        "windowmasker -in {fasta} -infmt fasta -ustat {out}.counts -dust {dust} -outfmt interval -out {out}.intervals",
+    ),
+    "repeatmasker": ("RepeatMasker -pa {jobs} -dir {folder} {species} {fasta}",),
+}
+
+#: What tells a program's version, fixed command lines.
+VERSIONS = {"minimap2": "minimap2 --version", "bbmap": "bbmap.sh --version", "windowmasker": "windowmasker -version", "repeatmasker": "RepeatMasker -v"}
 
 
 def aligner_command(name: str = "bwa", template: str | None = None) -> str:
@@ -42,6 +54,41 @@ def masker(name: str) -> str:
     return name
 
 
+def mask_genome(fasta: str, folder: str, program: str = "windowmasker", species: str | None = None, dust: bool = True, cores: int = 1, cache: bool = True) -> str:
+    """The file of intervals that a masker, run on the driver, makes of a FASTA file. One that is there is not made
+    again; one that is half made never is there, as the masker's own file gets its name last."""
+    out = os.path.join(folder, os.path.basename(fasta))
+    made = f"{out}.{'intervals' if masker(program) == 'windowmasker' else 'out'}"
+    kept = f"{made}.done"
+    if cache and os.path.exists(kept):
+        return kept
+    os.makedirs(folder, exist_ok=True)
+    own = {"fasta": shlex.quote(fasta), "out": shlex.quote(out), "folder": shlex.quote(folder)}
+    for step in MASKERS[program]:
+        run(step.format(**own, dust=str(dust).lower(), jobs=max(1, cores // 4), species=f"-species {shlex.quote(species)}" if species else ""))
+    if not os.path.exists(made):
+        raise RuntimeError(f"{program} left no {made}")
+    os.replace(made, kept)
+    return kept
+
+
+def index(reference: str, command: str, cores: int = 1, force: bool = False) -> bool:
+    """Prepares a FASTA file, in a folder that all executors see, for an aligner. The command may hold {ref}, {refdir}
+    and {cores}. It is noted beside the file when it is through, so that an index of another command, or one that broke
+    off, is made anew. Tells whether it ran."""
+    note = f"{reference}.indexed-by"
+    if not force and os.path.exists(note):
+        with open(note) as f:
+            if f.read() == command:
+                return False
+    with contextlib.suppress(FileNotFoundError):
+        os.remove(note)
+    run(command.format(ref=shlex.quote(reference), refdir=shlex.quote(os.path.dirname(os.path.abspath(reference))), cores=cores))
+    with open(note, "w") as f:
+        f.write(command)
+    return True
+
+
 def run(command: str, tries: int = 1, cap: float = 300.0) -> str:
     """Output of a command; failures are tried again after growing, jittered waits."""
     for i in range(tries):

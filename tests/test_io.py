@@ -191,6 +191,67 @@ def test_command_line(spark, tmp_path):
     assert cli.main(["pair", "--alignments", "/nonexistent", "--reference", files[0], "--out", str(tmp_path / "no")]) == 1
 
 
+MASKER = """#!{python}
+import os, sys
+a = sys.argv
+open({log!r}, "a").write(" ".join(a[1:]) + "\\n")
+if "-mk_counts" in a or "-ustat" in a:
+    open(a[a.index("-out") + 1], "w").write("" if "-mk_counts" in a else ">chr_1 x\\n189 - 209\\n200 - 219\\n")
+elif "-dir" in a:
+    open(os.path.join(a[a.index("-dir") + 1], os.path.basename(a[-1]) + ".out"), "w").write("SW\\n\\n 463 1.3 0.6 1.7 chr_1 190 220 (2) + x\\n")
+"""
+
+
+def test_maskers(spark, tmp_path, monkeypatch):
+    files, changes, aligner = genomes(spark, tmp_path)
+    log, programs = tmp_path / "log", tmp_path / "bin"
+    programs.mkdir()
+    for name in ("windowmasker", "RepeatMasker"):
+        (programs / name).write_text(MASKER.format(python=sys.executable, log=str(log)))
+        (programs / name).chmod(0o755)
+    monkeypatch.setenv("PATH", str(programs), prepend=":")
+    want = [("chr_1", 190, 220)]
+    for program, steps in (("windowmasker", 2), ("repeatmasker", 1)):
+        log.write_text("")
+        for _ in range(2):  # the second time finds the file
+            mask = runs.build_mask(spark, files[0], str(tmp_path / program), program, species="fly", dust=False, cores=9)
+            assert [tuple(r) for r in mask.collect()] == want
+        said = log.read_text().splitlines()
+        assert len(said) == steps and ("-dust false" in said[-1] if steps == 2 else "-pa 2 " in said[0] and "-species fly" in said[0])
+    with pytest.raises(ValueError, match="unknown masker"):
+        external.mask_genome(files[0], str(tmp_path / "other"), "other")
+    own = ["--genomes", *files[1:], "--reference", files[0], "--aligner-cmd", aligner + " {fq} {ref} {cores}", "--out", str(tmp_path / "run")]
+    assert cli.main(["trio", *own, "--repeat-mask", "windowmasker", "--index-cmd", f"touch {tmp_path}/made-{{cores}}"]) == 0
+    calls = spark.read.option("header", True).csv(str(tmp_path / "run/Mutations"))
+    assert {(int(r["taxon"]), int(r["position"])) for r in calls.collect()} == {(t, p) for c in changes for t, _, p, _ in c if not 189 <= p <= 221}
+    made = json.loads((tmp_path / "run/run_summary.json").read_text())
+    assert (tmp_path / "made-1").exists() and made["versions"]["spark"] == spark.version and made["resources"]["scan"]["driver_heap_mb"] > 0
+
+
+def test_an_index_is_built_once(tmp_path):
+    ref, log = tmp_path / "r.fa", tmp_path / "log"
+    ref.write_text(">a\nA\n")
+    command = f"{sys.executable} -c \"open('{log}', 'a').write('{{ref}} {{cores}};')\""
+    assert external.index(str(ref), command, 3) and not external.index(str(ref), command, 3)
+    assert log.read_text() == f"{ref} 3;"
+    assert external.index(str(ref), command, 3, force=True)
+    with pytest.raises(RuntimeError, match="exit 4"):
+        external.index(str(ref), f"{sys.executable} -c 'import sys; sys.exit(4)'")
+    assert external.index(str(ref), command, 3)  # the one that failed left no note
+
+
+def test_another_mask_makes_a_stage_again(spark, tmp_path):
+    files, changes, aligner = genomes(spark, tmp_path)
+    fasta = [readers.fasta(spark, f) for f in files]
+    pieces = intervals.chunks(fasta[0], 1000)
+    rows = runs.align_genome(fasta[1], aligner, "one", 1, parts=2)
+    span = lambda a, b: spark.createDataFrame([("chr_1", a, b)], "chrom string, start int, end int")
+    out = str(tmp_path / "out")
+    got = [runs.run_pair(spark, rows, pieces, out, mask=m)["site_classes"]["differs"] for m in (None, span(1, 1000), span(1, 2000), span(1, 2000))]
+    whole = len(changes[1])
+    assert got[0] == whole and got[1] == sum(x[2] > 1001 for x in changes[1]) and got[2] == got[3] == sum(x[2] > 2001 for x in changes[1])
+
+
 def test_versions_and_retries(tmp_path):
     assert external.versions({"python": f"{sys.executable} --version", "none": "no-such-program -v"})["python"].startswith("Python 3")
     mark = tmp_path / "mark"
