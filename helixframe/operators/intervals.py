@@ -15,11 +15,30 @@ def merge(intervals: DataFrame, keys: list[str], adjacent: bool = True, tile: in
     """Merged, disjoint intervals. ``adjacent``: both ends are in, and intervals that follow each other merge; otherwise
     ends are out and touching intervals merge.
 
-    Intervals are first merged within tiles of their start, in parallel; what is left of each tile, and long intervals
-    that reach into other tiles, are merged by a window over each contig."""
+    Intervals are first merged within tiles of their start, in parallel. What a tile's rows have before them, and how
+    far its last one reaches, is then told by summaries of one row a tile, so no task sees the intervals of a contig."""
     gap = 1 if adjacent else 0
-    rows = intervals.select(*keys, "start", "end").withColumn("_t", F.floor(F.col("start") / tile))
-    return _merge(_merge(rows, [*keys, "_t"], gap).drop("_t"), keys, gap)
+    by = [*keys, "_t"]
+    rows = _merge(intervals.select(*keys, "start", "end").withColumn("_t", F.floor(F.col("start") / tile)), by, gap)
+    order = Window.partitionBy(*keys).orderBy("_t")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    tops = rows.groupBy(*by).agg(F.max("end").alias("_m")).withColumn("_reach", F.max("_m").over(before)).drop("_m")
+    rows = _null_safe(rows, tops, by).withColumn("_open", F.col("_reach").isNull() | (F.col("start") > F.col("_reach") + gap)).drop("_reach")
+    # rows that are not open go on with the last open one of an earlier tile; only that one can still grow
+    ends = rows.groupBy(*by).agg(F.max(F.when(~F.col("_open"), F.col("end"))).alias("_more"), F.max(F.when(F.col("_open"), F.col("start"))).alias("_last"))
+    ends = ends.withColumn("_g", F.count("_last").over(before))  # open tiles before this one
+    more = Window.partitionBy(*keys).orderBy("_g").rangeBetween(1, 1)
+    ends = ends.withColumn("_more", F.max("_more").over(more)).drop("_g")
+    rows = _null_safe(rows.where("_open"), ends, by)
+    end = F.when(F.col("start") == F.col("_last"), F.greatest("end", "_more")).otherwise(F.col("end"))
+    return rows.select(*keys, "start", end.alias("end"))
+
+
+def _null_safe(rows: DataFrame, summary: DataFrame, by: list[str]) -> DataFrame:
+    """Adds a summary's columns to its rows; keys may be null."""
+    right = summary.select(*(F.col(c).alias(f"_r{c}") for c in by), *(c for c in summary.columns if c not in by))
+    on = [rows[c].eqNullSafe(right[f"_r{c}"]) for c in by]
+    return rows.join(right, on).drop(*(f"_r{c}" for c in by))
 
 
 def _merge(rows: DataFrame, keys: list[str], gap: int) -> DataFrame:

@@ -227,3 +227,28 @@ def test_derived_equals_direct(spark):
         a = {r["site_class"]: r["n"] for r in thresholds.derive(own, t, False)["classes"].collect()}
         b = {r["site_class"]: r["n"] for r in thresholds.derive(again, 60, False)["classes"].collect()}
         assert a == b and sum(a.values()) > 100
+
+
+@pytest.mark.parametrize("adjacent", [True, False])
+@pytest.mark.parametrize("tile", [7, 40, 1000])
+def test_merge_across_tiles(spark, adjacent, tile):
+    import random
+
+    from helixframe.operators.intervals import merge
+
+    rng = random.Random(tile)
+    rows = [(c, s, s + rng.choice([0, 1, 2, 3, 60])) for c in ("a", "b", None) for s in (rng.randrange(600) for _ in range(60))]
+    rows += [("c", 5, 900), ("c", 100, 101), ("c", 950, 960), ("c", 5, 900)]
+    want = []
+    for c in ("a", "b", "c", None):
+        own = []
+        for s, e in sorted(r[1:] for r in rows if r[0] == c):
+            if own and s <= own[-1][1] + (1 if adjacent else 0):
+                own[-1][1] = max(own[-1][1], e)
+            else:
+                own.append([s, e])
+        want += [(c, s, e) for s, e in own]
+    df = spark.createDataFrame(rows, "chrom string, start long, end long")
+    got = [tuple(r) for r in merge(df, ["chrom"], adjacent, tile).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert merge(df.limit(0), ["chrom"], adjacent, tile).collect() == []
