@@ -121,10 +121,10 @@ def cut_documents(docs: DataFrame, texts: bool = True) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, ", ".join(f"{n} {t}" for n, t, _ in fields))
 
 
-#: The query with lists of matches in place of offsets.
+#: The query with lists of matches in place of offsets; a private character parts the units.
 OP12_SQL = r"""
 with t as (
-    select doc_id, coalesce(text, '') x, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') u, sha256('1:' || coalesce(doc_id::varchar, '')) d from documents
+    select doc_id, coalesce(text, '') x, string_split(regexp_replace(coalesce(text, ''), '([A-Za-z]+|[^A-Za-z])', '\1' || chr(57344), 'g'), chr(57344))[:-2] u, sha256('1:' || coalesce(doc_id::varchar, '')) d from documents
 ), h as (
     select *, len(u) n, ('0x' || d[1:8])::bigint h1, ('0x' || d[9:16])::bigint h2, ('0x' || d[17:24])::bigint h3, ('0x' || d[25:32])::bigint h4 from t
 ), c as (

@@ -407,30 +407,30 @@ def mine_phrases(docs: DataFrame, least: int = 100, first: int = 2000) -> DataFr
 #: The query over, in another form: all runs of one to five words are listed, and all parts of each candidate.
 OP13_SQL = r"""
 with pieces as (
-    select coalesce(lang, 'und') lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) piece
+    select coalesce(lang, 'und') lang, unnest(string_split(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]', chr(10), 'g'), chr(10))) piece
     from documents
 ), words as (
-    select lang, [x for x in regexp_split_to_array(piece, '[\x20\x09]+') if x <> ''] w from pieces
+    select lang, [x for x in string_split(replace(piece, chr(9), ' '), ' ') if x <> ''] w from pieces
 ), runs as (
     select lang, w, m, unnest(range(1, len(w) - m + 2)) i from words cross join (select unnest(range(1, 6)) m) where len(w) >= m
-), f as (
-    select lang, w[i : i + m - 1] p, count(*) f from runs group by all
-), n as (
-    select lang, sum(f)::bigint n from f where len(p) = 1 group by lang
-), cand as (
-    select lang, p, f a from f where len(p) > 1 and f >= 100
-), cuts as (
+), f as materialized (
+    select lang, array_to_string(p, ' ') p, p w, f from (select lang, w[i : i + m - 1] p, count(*) f from runs group by all)
+), n as materialized (
+    select lang, sum(f)::bigint n from f where len(w) = 1 group by lang
+), cand as materialized (
+    select lang, p, w, f a from f where len(w) > 1 and f >= 100
+), keys as materialized (
+    select lang, p, a, k, array_to_string(w[1 : k], ' ') lp, array_to_string(w[k + 1 : len(w)], ' ') rp from cand cross join (select unnest(range(1, 5)) k) where k < len(w)
+), cuts as materialized (
     select c.lang, c.p, a, k, l.f l, r.f r, n, ((1000::hugeint * a * n) // (l.f::hugeint * r.f))::bigint score
-    from cand c cross join (select unnest(range(1, 5)) k) join n using (lang)
-    join f l on l.lang = c.lang and l.p = c.p[1 : k] join f r on r.lang = c.lang and r.p = c.p[k + 1 : len(c.p)]
-    where k < len(c.p)
-), parts as (
-    select lang, p[i : i + m - 1] p, max(a) whole
-    from (select lang, p, a, m, unnest(range(1, len(p) - m + 2)) i from cand cross join (select unnest(range(2, 5)) m) where len(p) > m) group by all
+    from keys c join n on n.lang = c.lang join f l on l.lang = c.lang and l.p = c.lp join f r on r.lang = c.lang and r.p = c.rp
+), parts as materialized (
+    select lang, array_to_string(w[i : i + m - 1], ' ') p, max(a) whole
+    from (select lang, w, a, m, unnest(range(1, len(w) - m + 2)) i from cand cross join (select unnest(range(2, 5)) m) where len(w) > m) group by all
 ), best as (
     select *, row_number() over (partition by lang, p order by score, k) o from cuts
 ), ranked as (
-    select b.lang, array_to_string(b.p, ' ') phrase, a, l, r, n, score
+    select b.lang, b.p phrase, a, l, r, n, score
     from best b left join parts q on q.lang = b.lang and q.p = b.p where o = 1 and (whole is null or 100 * whole < 100 * a)
 )
 select * from (select lang, row_number() over (partition by lang order by score desc, a desc, phrase) rank, phrase, a, l, r, n, score from ranked) where rank <= 2000
