@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import functools
 import tempfile
 import uuid
 
@@ -16,7 +17,7 @@ from .operators import fitch, intervals, rates, sites, thresholds
 from .plans import derived as D
 from .plans import tree as T
 from .queries import query
-from .sources import readers, writers
+from .sources import bam, readers, writers
 
 
 def folder(spark: SparkSession) -> str:
@@ -85,6 +86,35 @@ def sam_file(spark, sf):
     return _longs(own, "flag", "start0", "end0", "mapq", "bases", "zn")
 
 
+def _bam_folder(spark, sf) -> tuple[str, DataFrame]:
+    """The derived reads as sorted BAM files with indexes, and their contigs."""
+    at = folder(spark)
+    own = D.alignments(spark, sf).withColumn("zn", F.expr("case when ck % 3 = 0 then ck % 61 else -1 end").cast("int"))
+    contigs = own.groupBy(F.col("rname").alias("chrom")).agg(F.max("end0").cast("long").alias("length"))
+    bam.write_bam(own, at, contigs)
+    return at, contigs
+
+
+def _bam_rows(own: DataFrame) -> DataFrame:
+    return _longs(own.select("qname", "flag", "rname", "start0", "end0", "mapq", F.length("seq").alias("bases"), "zn"), "flag", "start0", "end0", "mapq", "bases", "zn")
+
+
+@query("bam_file", Q.SQL["sam_file"])
+def bam_file(spark, sf):
+    at, _ = _bam_folder(spark, sf)
+    return _bam_rows(bam.bam(spark, at))
+
+
+@query("bam_region", f"""WITH r AS ({Q.SQL["sam_file"]}), c AS (SELECT rname, max(end0) AS n FROM r GROUP BY rname)
+    SELECT r.* FROM r JOIN c USING (rname) WHERE start0 < n - n // 3 AND end0 > n // 3""")
+def bam_region(spark, sf):
+    """The middle third of each contig, by index."""
+    at, contigs = _bam_folder(spark, sf)
+    header = [(r.chrom, r.length) for r in contigs.collect()]  # a row a contig
+    parts = [bam.bam(spark, at, region=(chrom, n // 3, n - n // 3)) for chrom, n in header]
+    return _bam_rows(functools.reduce(DataFrame.unionByName, parts))
+
+
 @query("sam_pileup", Q.SQL["pileup_sites"])
 def sam_pileup(spark, sf):
     """Alignments through SAM text, sorted and read by region, give the pileup of the alignments themselves."""

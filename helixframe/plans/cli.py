@@ -1,4 +1,4 @@
-"""Command line: pair, trio and multi over alignments (Parquet, or SAM in the order of taxa) or genomes (FASTA, with an
+"""Command line: pair, trio and multi over alignments (Parquet, or SAM or BAM in the order of taxa) or genomes (FASTA, with an
 aligner), phylip over a matrix, and derive."""
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ def parser() -> argparse.ArgumentParser:
     for mode in ("pair", "trio", "multi"):
         q = sub.add_parser(mode)
         given = q.add_mutually_exclusive_group(required=True)
-        given.add_argument("--alignments", nargs="+", help="Parquet with taxon, rname, start0, ..., or a SAM file for each taxon")
+        given.add_argument("--alignments", nargs="+", help="Parquet with taxon, rname, start0, ..., or a SAM or BAM file for each taxon")
         given.add_argument("--genomes", nargs="+", help="a FASTA file for each taxon, aligned first")
         q.add_argument("--aligner", default="bwa", help="a known aligner")
         q.add_argument("--aligner-cmd", help="an aligner's command with {fq}, {cores} and {ref} or {refdir}")
@@ -62,15 +62,16 @@ def _alignments(spark, a, names):
     """Rows of all taxa, from Parquet, SAM files or genomes that are aligned now and kept in the run's folder."""
     from pyspark.sql import functions as F
 
-    from ..sources import external, readers
+    from ..sources import bam, external, readers
     from . import runs
 
     paths = a.alignments or a.genomes
     names = names or [f"taxon{i}" for i in range(1, len(paths) + 1)]
-    if a.alignments and not all(p.endswith(".sam") for p in paths):
+    if a.alignments and not all(p.endswith((".sam", ".bam")) for p in paths):
         return spark.read.parquet(*paths)
     if a.alignments:
-        parts = [readers.fragment_order(readers.sam(spark, p, n)).withColumn("taxon", F.lit(i)) for i, (p, n) in enumerate(zip(paths, names), 1)]
+        read = lambda p, n: bam.bam(spark, p, n) if p.endswith(".bam") else readers.sam(spark, p, n)
+        parts = [readers.fragment_order(read(p, n)).withColumn("taxon", F.lit(i)) for i, (p, n) in enumerate(zip(paths, names), 1)]
     else:
         command = external.aligner_command(a.aligner, a.aligner_cmd)
         prepare = a.index_cmd or (None if a.aligner_cmd else external.ALIGNERS[a.aligner][1])
