@@ -17,7 +17,7 @@ from .operators import fitch, intervals, rates, sites, thresholds
 from .plans import derived as D
 from .plans import tree as T
 from .queries import query
-from .sources import bam, readers, writers
+from .sources import bam, fasta, readers, writers
 
 
 def folder(spark: SparkSession) -> str:
@@ -53,15 +53,26 @@ def fasta_file(spark, sf):
     return readers.fasta(spark, at).select("chrom", F.md5(F.col("seq").cast("binary")).alias("digest"), F.length("seq").cast("long").alias("n"))
 
 
+def _fasta_folder(spark, sf, width: int = 60) -> str:
+    """The derived contigs as FASTA, in their order."""
+    at = folder(spark)
+    wrapped = F.regexp_replace("seq", f"(.{{{width}}})", "$1\n")
+    D.contigs(spark, sf).orderBy("contig_ord").select(F.concat(F.lit(">"), "chrom", F.lit(" a description\n"), wrapped).alias("value")).write.text(at)
+    return at
+
+
 @query("fai_file", f"WITH c AS ({D.CONTIGS_SQL}) SELECT chrom, length(seq) AS length, row_number() OVER (ORDER BY contig_ord) AS place FROM c")
 def fai_file(spark, sf):
-    from pyspark.sql import Window
+    """An index made of the FASTA's bytes, in parallel."""
+    return readers.places(fasta.index(spark, _fasta_folder(spark, sf)), "contig_ord").select("chrom", "length", "place")
 
-    at = folder(spark)
-    own = D.contigs(spark, sf).orderBy("contig_ord").select("chrom", F.length("seq").alias("n"), F.lit(0), F.lit(60), F.lit(61))
-    own.coalesce(1).write.option("sep", "\t").csv(at)
-    # an index has a line for each contig, which one task orders
-    return readers.fai(spark, at).select("chrom", "length", F.row_number().over(Window.orderBy("contig_ord")).cast("long").alias("place"))
+
+@query("fasta_pieces", f"""WITH c AS ({D.CONTIGS_SQL}), s AS (SELECT chrom, seq, length(seq) AS length, unnest(range(0, length(seq), 1024)) AS start0 FROM c)
+    SELECT chrom, length, start0, md5(substring(seq, start0 + 1, 1124)) AS digest FROM s""")
+def fasta_pieces(spark, sf):
+    """Pieces of 1,024 bases and 100 more, read by their bytes."""
+    own = fasta.pieces(fasta.index(spark, _fasta_folder(spark, sf)), 1024, 100)
+    return own.select("chrom", "length", "start0", F.md5(F.col("seq").cast("binary")).alias("digest"))
 
 
 @query("fastq_file", Q.SQL["fragment_reads"])

@@ -89,8 +89,19 @@ def tile_spans(contigs: DataFrame, length: int = 150, step: int = 75) -> DataFra
 def fragments(contigs: DataFrame, length: int = 150, step: int = 75) -> DataFrame:
     """Tiles of each contig (chrom, seq) with their bases: chrom, start, end (1-based, ends in) and seq, cut from pieces
     that overlap by a tile."""
-    size = CHUNK // step * step
-    own = chunks(contigs, size, length).withColumn("last", F.col("length") - length).where("last >= 0 and start0 <= last")
+    size = piece_size(step)
+    return fragments_of(chunks(contigs, size, length), size, length, step)
+
+
+def piece_size(step: int) -> int:
+    """Bases of a piece that holds whole steps."""
+    return CHUNK // step * step
+
+
+def fragments_of(pieces: DataFrame, size: int, length: int = 150, step: int = 75) -> DataFrame:
+    """``fragments`` of pieces (chrom, length, start0, seq) of ``size`` bases, a multiple of the step, that overlap by a
+    tile."""
+    own = pieces.withColumn("last", F.col("length") - length).where("last >= 0 and start0 <= last")
     regular = F.filter(F.sequence(F.lit(0), F.lit(size - step), F.lit(step)), lambda s: F.col("start0") + s < F.col("last"))
     end = F.when(F.col("last") < F.col("start0") + size, F.array(F.col("last") - F.col("start0"))).otherwise(F.array().cast("array<int>"))
     cut = lambda raw: lambda s: F.struct((F.col("start0") + s + 1).alias("start"), (F.col("start0") + s + length).alias("end"), F.substring(raw, s + 1, F.lit(length)).cast("string").alias("seq"))

@@ -24,6 +24,17 @@ def fai(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("chrom", "length", F.monotonically_increasing_id().alias("contig_ord"))
 
 
+def places(rows: DataFrame, order: str) -> DataFrame:
+    """Adds place, from 1, of rows whose ``order`` came from monotonically_increasing_id: a row's number in its partition
+    behind the rows of the partitions before, which are counted. No task sees all rows."""
+    from pyspark.sql import Window
+
+    part, number = F.shiftright(order, 33), F.col(order).bitwiseAND((1 << 33) - 1)
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))  # a row a partition
+    sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return rows.withColumn("_part", part).join(F.broadcast(sizes), "_part").withColumn("place", F.col("_before") + number + 1).drop("_part", "_before")
+
+
 def fai_of(contigs: DataFrame) -> DataFrame:
     return contigs.select("chrom", F.length("seq").cast("long").alias("length"))
 
