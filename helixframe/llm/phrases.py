@@ -32,8 +32,9 @@ LONGEST = 5  # words of a phrase
 WORDS = [f"w{i}" for i in range(1, LONGEST + 1)]
 PAIR_BITS = 26  # of the table of pairs that may be frequent: 8 MB
 PARTS = 1024  # a prefix with more than half a task's share of all pairs is dealt in so many parts
-HELD = 1_000_000  # rows that a task adds up before it sends them
-BLOCK = 4_000_000  # bytes of text that are looked at together
+HELD = 400_000  # pairs that a task adds up before it sends them
+HELD_WINDOWS = 1_000_000  # and what stands right of prefixes
+BLOCK = 1 << 20  # bytes of text that are looked at together
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -135,7 +136,7 @@ def _own(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def _batch(lang: str, columns: list[np.ndarray], more: list, names: list[str], step: int = 200_000):
+def _batch(lang: str, columns: list[np.ndarray], more: list, names: list[str], step: int = 50_000):
     for i in range(0, len(columns[0]), step):
         n = len(columns[0][i : i + step])
         arrays = [pa.array([lang]).take(pa.array(np.zeros(n, np.int32))), *(pa.array(c[i : i + step]) for c in [*columns, *more])]
@@ -255,9 +256,9 @@ def project(docs: DataFrame, pairs: DataFrame, n_pairs: int) -> DataFrame:
                 columns.append(np.where(open_, padded[at + i], 0))
             one, count = add_up(columns, np.ones(len(at), np.int64))
             sums.add(lang, [c[one] for c in columns], count)
-            if sums.held > HELD:
+            if sums.held > HELD_WINDOWS:
                 sums.settle()
-                if sums.held > HELD // 2:
+                if sums.held > HELD_WINDOWS // 2:
                     yield from send(sums)
         yield from send(sums)
 
@@ -309,7 +310,9 @@ def grow_prefixes(projected: DataFrame, least: int, held: int = HELD) -> DataFra
                 continue
             table = pa.Table.from_batches(waiting)
             words = [table[w].to_numpy() for w in WORDS]
-            part, count, lang = table["part"].to_numpy(), table["c"].to_numpy(), np.array(table["lang"].to_pylist(), object)
+            part, count = table["part"].to_numpy(), table["c"].to_numpy()
+            langs = pa.chunked_array(table["lang"]).combine_chunks().dictionary_encode()
+            lang, names = langs.indices.to_numpy(), langs.dictionary.to_pylist()
             new = np.ones(n, bool)
             new[1:] = lang[1:] != lang[:-1]
             for c in (words[0], words[1], part):
@@ -322,16 +325,16 @@ def grow_prefixes(projected: DataFrame, least: int, held: int = HELD) -> DataFra
             for a, b in zip(at.tolist(), [*at[1:].tolist(), n]):
                 if b > end:
                     break
-                if part[a] or cut_off or (lang[a], words[0][a], words[1][a], part[a]) == begun:
+                if part[a] or cut_off or (names[lang[a]], words[0][a], words[1][a], part[a]) == begun:
                     grow_all(words, count, a, b, found)
                 elif count[a:b].sum() >= least:
                     grow(words, count, a, b, 2, least, found)
             if found:
                 place, length, c = (np.array(x, np.int64) for x in zip(*found))
                 out = [np.where(length > i, words[i][place], 0) for i in range(LONGEST)]
-                yield pa.RecordBatch.from_arrays([pa.array(lang[place], pa.string()), *map(pa.array, out), pa.array(c)], names=["lang", *WORDS, "c"])
+                yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(lang[place])), *map(pa.array, out), pa.array(c)], names=["lang", *WORDS, "c"])
             if cut_off:
-                begun = (lang[0], words[0][0], words[1][0], part[0])
+                begun = (names[lang[0]], words[0][0], words[1][0], part[0])
             waiting, n = table.slice(end).to_batches(), n - end
             due = max(held // 8, 2 * n)
 
