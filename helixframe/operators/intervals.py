@@ -110,17 +110,14 @@ def fragments_of(pieces: DataFrame, size: int, length: int = 150, step: int = 75
 
 
 def runs_of(contigs: DataFrame, letter: str = "N") -> DataFrame:
-    """Merged runs of a letter: chrom, start, end (1-based, ends in)."""
-    def found(raw: Column) -> Column:
-        is_letter = lambda i: F.substring(raw, i, F.lit(1)) == F.lit(letter).cast("binary")
-        places = F.sequence(F.lit(1), F.length(raw))
-        starts = F.filter(places, lambda i: is_letter(i) & ((i == 1) | ~is_letter(i - 1)))
-        ends = F.filter(places, lambda i: is_letter(i) & ((i == F.length(raw)) | ~is_letter(i + 1)))
-        return F.arrays_zip(starts.alias("s"), ends.alias("e"))
-
+    """Merged runs of a letter: chrom, start, end (1-based, ends in). A piece is split where runs begin and end, and what
+    lies before a part is the sum of the lengths of those before it; pieces stay where they were dealt."""
     own = chunks(contigs).where(F.col("seq").contains(letter))
-    own = own.select("chrom", "start0", F.explode(_bytes("seq", found)).alias("r"))
-    return merge(own.select("chrom", (F.col("start0") + F.col("r.s")).alias("start"), (F.col("start0") + F.col("r.e")).alias("end")), ["chrom"])
+    parts = F.posexplode(F.split("seq", f"(?<={letter})(?!{letter})|(?<!{letter})(?={letter})"))
+    own = own.select("chrom", "start0", parts.alias("i", "part")).withColumn("size", F.length("part"))
+    before = Window.partitionBy("chrom", "start0").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = own.withColumn("end", F.col("start0") + F.sum("size").over(before)).where(F.col("part").startswith(letter))
+    return merge(own.select("chrom", (F.col("end") - F.col("size") + 1).alias("start"), "end"), ["chrom"])
 
 
 def unmasked_fragments(tiles: DataFrame, mask: DataFrame, most: float = 0.5) -> DataFrame:

@@ -34,19 +34,31 @@ def aligned_positions(alignments: DataFrame, keep: list[str]) -> DataFrame:
     """A row for each reference position that a read covers: pos (1-based), base (null in a deletion), deleted,
     inserted (the read has an insertion right behind). Reads with skipped flags, or without CIGAR or bases, are left
     out; skips and clips cover nothing."""
-    reads = alignments.where(_usable()).withColumn("_ops", F.expr(_OPS))
+    reads = alignments.where(_usable()).withColumn("seq", F.upper("seq")).withColumn("_ops", F.expr(_OPS))
     return reads.select(*keep, F.explode(F.expr(_WALK)).alias("_p")).select(*keep, "_p.pos", "_p.base", "_p.deleted", "_p.inserted")
 
 
-def dealt_positions(alignments: DataFrame, reference: DataFrame | None, mask: DataFrame | None, keep: list[str], reach: int, tile: int) -> DataFrame:
+def first_reads(positions: DataFrame, most: int, by: list[str]) -> DataFrame:
+    """Positions of at most ``most`` reads each (of the keys ``by``): those that start first, the first in order among
+    equals. A rank that is cut off needs no more rows of a position than these, however deep it is."""
+    order = Window.partitionBy(*by).orderBy("start0", "ord")
+    return positions.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most).drop("_rank")
+
+
+def dealt_positions(alignments: DataFrame, reference: DataFrame | None, mask: DataFrame | None, keep: list[str], reach: int, tile: int, max_depth: int = 0) -> DataFrame:
     """``aligned_positions`` of reads that are dealt by contig and tile first, with a halo of ``reach`` positions: the
     one shuffle of a scan, of reads and not of their positions. Adds kind (0 for a read) and _tile.
 
     The reference (chrom, start0, seq: pieces of any length; or chrom, pos, ref) and merged masks (chrom, start, end)
     are dealt along: a base of the reference is a row of kind 2, an interval one of kind 1 at its first position in the
-    tile, with its end in ``mask_end``."""
+    tile, with its end in ``mask_end``. ``max_depth``: reads (with ord) of a taxon that count at a position, the first
+    by start and order; 0 for all."""
+    if max_depth:
+        if "ord" not in alignments.columns:
+            alignments = alignments.withColumn("ord", F.col("frag_ord" if "frag_ord" in alignments.columns else "qname"))
+        keep = [*keep, "ord"]
     at = alignments.schema["start0"].dataType
-    rows = alignments.where(_usable()).withColumnRenamed("rname", "chrom").select(*keep, "chrom", "start0", "end0", "cigar", "seq", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("mask_end"))
+    rows = alignments.where(_usable()).withColumnRenamed("rname", "chrom").select(*keep, "chrom", "start0", "end0", "cigar", F.upper("seq").alias("seq"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("mask_end"))
     if mask is not None:
         own = mask.select("chrom", (F.col("start") - 1).cast(at).alias("start0"), F.col("end").cast(at).alias("end0"), F.lit(1).alias("kind"), F.col("end").cast("long").alias("mask_end"))
         rows = rows.unionByName(own, allowMissingColumns=True)
@@ -62,40 +74,53 @@ def dealt_positions(alignments: DataFrame, reference: DataFrame | None, mask: Da
     begin = f"array(struct(cast(greatest(start0 + 1, _tile * {tile} - {reach}) as {kind}) as pos, cast(null as string) as base, false as deleted, false as inserted))"
     bases = f"transform(sequence(1, length(seq)), j -> struct(cast(start0 + j as {kind}) as pos, substring(seq, j, 1) as base, false as deleted, false as inserted))"
     walk = f"case kind when 0 then {_WALK} when 1 then {begin} else {bases} end"
-    rows = rows.withColumn("_ops", F.expr(_OPS)).select(*keep, "chrom", "_tile", "kind", "mask_end", F.explode(F.expr(walk)).alias("_p"))
-    rows = rows.select(*keep, "chrom", "_tile", "kind", "mask_end", "_p.*")
-    return rows.where(F.col("pos").between(F.col("_tile") * tile - reach, (F.col("_tile") + 1) * tile - 1 + reach))
+    rows = rows.withColumn("_ops", F.expr(_OPS)).select(*keep, "chrom", "_tile", "kind", "mask_end", "start0", F.explode(F.expr(walk)).alias("_p"))
+    rows = rows.select(*keep, "chrom", "_tile", "kind", "mask_end", "start0", "_p.*")
+    rows = rows.where(F.col("pos").between(F.col("_tile") * tile - reach, (F.col("_tile") + 1) * tile - 1 + reach))
+    if max_depth:  # the rows are where they are needed; of a mask and of the reference a position has one each
+        rows = first_reads(rows, max_depth, ["chrom", "_tile", "taxon", "kind", "pos"]).drop("ord")
+    return rows.drop("start0")
+
+
+# a read's letter at a position as a bit, and three bits beside the letters
+_DELETED, _INSERTED, _COVERED = 60, 61, 62
+_LETTERS = (1 << _DELETED) - 1
+_BITS = f"coalesce(shiftleft(1L, ascii(base) - 33), 0L) | if(deleted, {1 << _DELETED}L, 0L) | if(inserted, {1 << _INSERTED}L, 0L) | {1 << _COVERED}L"
 
 
 def pileup(positions: DataFrame, taxa: list[int]) -> DataFrame:
     """A row for each covered position with, for each taxon t, cov_t, base_t (null unless the reads agree), del_t, ins_t
-    and dis_t. One aggregation for all taxa, so a position that any of them covers is a line."""
-    out = []
+    and dis_t. One aggregation for all taxa, so a position that any of them covers is a line. What the reads of a taxon
+    show is one long of bits, so the aggregation hashes and its state is a long a taxon."""
+    dealt = "_tile" in positions.columns
+    read = (F.col("kind") == 0) if dealt else F.lit(True)
+    shown = F.expr(_BITS)
+    out = [F.bit_or(F.when(read & (F.col("taxon") == t), shown)).alias(f"_b{t}") for t in taxa]
+    if dealt:
+        out += [F.max(F.when(F.col("kind") == 2, F.ascii("base"))).alias("ref"), F.max("mask_end").alias("mask_end"), F.max(read).alias("_line")]
+    keys = ["chrom", "_tile", "pos"] if dealt else ["chrom", "pos"]
+    lines = positions.groupBy(*keys).agg(*out)
+    cols = []
     for t in taxa:
-        own = F.col("taxon") == t
-        base = F.when(own, F.col("base"))
-        low, high = F.min(base), F.max(base)
-        flag = lambda c: F.coalesce(F.max(F.when(own, F.col(c))), F.lit(False))  # noqa: E731, B023
-        out += [
-            F.coalesce(F.max(F.when(own, F.lit(True))), F.lit(False)).alias(f"cov_{t}"),
-            F.when(low == high, low).alias(f"base_{t}"),
-            flag("deleted").alias(f"del_{t}"),
-            flag("inserted").alias(f"ins_{t}"),
-            F.coalesce(low != high, F.lit(False)).alias(f"dis_{t}"),
+        bits = F.col(f"_b{t}")
+        letters = bits.bitwiseAND(F.lit(_LETTERS))
+        flag = lambda i: F.coalesce(bits.bitwiseAND(F.lit(1 << i)) != 0, F.lit(False))  # noqa: E731, B023
+        cols += [
+            bits.isNotNull().alias(f"cov_{t}"),
+            F.when(F.bit_count(letters) == 1, F.char(F.bit_count(letters - 1) + 33)).alias(f"base_{t}"),  # below the bit are as many as its place
+            flag(_DELETED).alias(f"del_{t}"),
+            flag(_INSERTED).alias(f"ins_{t}"),
+            F.coalesce(F.bit_count(letters) > 1, F.lit(False)).alias(f"dis_{t}"),
         ]
-    if "_tile" not in positions.columns:
-        return positions.groupBy("chrom", "pos").agg(*out)
-    read = F.col("kind") == 0
-    positions = positions.withColumn("ref", F.when(F.col("kind") == 2, F.col("base"))).withColumn("base", F.when(read, F.col("base")))
-    more = [F.max("ref").alias("ref"), F.max("mask_end").alias("mask_end"), F.max(read).alias("_line")]
-    return positions.groupBy("chrom", "_tile", "pos").agg(*out, *more)
+    more = [F.char("ref").alias("ref"), "mask_end", "_line"] if dealt else []
+    return lines.select(*keys, *cols, *more)
 
 
-def tiled_lines(alignments: DataFrame, taxa: list[int], reference: DataFrame | Column, mask: DataFrame | None = None, reach: int = 2, tile: int = TILE) -> DataFrame:
+def tiled_lines(alignments: DataFrame, taxa: list[int], reference: DataFrame | Column, mask: DataFrame | None = None, reach: int = 2, tile: int = TILE, max_depth: int = 0) -> DataFrame:
     """Lines with a halo for ``scan``: one shuffle, of reads, whatever the scan asks for."""
     table = None if isinstance(reference, Column) else reference
     tile = max(tile, 2 * reach + 1)
-    lines = pileup(dealt_positions(alignments, table, mask, ["taxon"], reach, tile), taxa)
+    lines = pileup(dealt_positions(alignments, table, mask, ["taxon"], reach, tile, max_depth), taxa)
     ref = F.coalesce("ref", F.lit("N")) if table is not None else reference
     return lines.withColumn("ref", ref).withColumn("_own", F.col("_tile") == tile_of("pos", tile))
 

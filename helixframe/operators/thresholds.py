@@ -143,6 +143,16 @@ def at_threshold(counts: DataFrame, mapq: int, continuity: bool, indel: bool = F
     return out.where(F.coalesce(F.col("indel_mapq") < mapq, F.lit(True))) if indel else out
 
 
+def derive_calls(calls: DataFrame, mapq: int, continuity: bool, indel: bool = False, pair: bool = False) -> DataFrame:
+    """chrom, pos and mutation (and the taxon of a trio's, the change of a pair's) of ``calls`` at one threshold."""
+    own = at_threshold(calls, mapq, continuity, indel)
+    if not pair:
+        return own.select("chrom", "pos", "taxon", "mutation")
+    from ..functions.bases import change_triplets, fold
+
+    return own.select("chrom", "pos", F.col("mutation").alias("change"), fold(*change_triplets("mutation")).alias("mutation"))
+
+
 def derive(counts: DataFrame, mapq: int, continuity: bool, indel: bool = False) -> dict[str, DataFrame]:
     """mut (taxon, mutation, n), trip (triplet, n), classes and ref_diff of a trio at one threshold."""
     own = at_threshold(counts, mapq, continuity, indel)

@@ -162,5 +162,5 @@ MATRIX_SQL = f"SELECT {', '.join(MATRIX_COLUMNS)} FROM lineitem"
 
 
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "lineitem").selectExpr(*MATRIX_COLUMNS)
+    own = spread(table(spark, sf_dir, "lineitem"), "l_orderkey").selectExpr(*MATRIX_COLUMNS)
     return own.select("chrom", "pos", F.col("lft").alias("left"), F.col("rgt").alias("right"), F.array(*(f"taxa{k}" for k in range(5))).alias("taxa"))

@@ -2,7 +2,7 @@
 
 A run takes alignments (species, taxon, rname, start0, end0, flag, mapq, cigar, seq, frag_ord, qname) and a reference
 (chrom, pos, ref, or an expression) and writes its tables below a folder. A stage is skipped if its output is there
-and was made by the same kind of run with the same options, tree and mask; other alignments need another folder.
+and was made by the same kind of run from the same alignments, reference and mask with the same options and tree.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import fitch, intervals, rates, reads, sites, thresholds
+from ..operators import fitch, intervals, parsimony, rates, reads, sites, thresholds
 from ..operators.neighbours import TILE
 from ..sources import external, readers, writers
 from . import tree as trees
@@ -39,6 +39,7 @@ class Options:
     intervals: bool = False
     divergence: float | None = None
     tile: int = TILE
+    max_depth: int = 0  # reads of a taxon that count at a position, the first to come; 0 for all
 
     def fingerprint(self, **given) -> str:
         own = {k: v for k, v in asdict(self).items() if k not in ("cache", "intervals", "divergence")} | given
@@ -46,14 +47,15 @@ class Options:
 
 
 class Run:
-    """Stages with timings and a summary in run_summary.json. ``given`` is what decides on results beside the options."""
+    """Stages with timings and a summary in run_summary.json. ``inputs`` are the tables that the run reads, or digests of
+    them; ``given`` is what decides on results beside these and the options."""
 
-    def __init__(self, spark: SparkSession, out: str, options: Options, mask: DataFrame | None = None, **given):
+    def __init__(self, spark: SparkSession, out: str, options: Options, inputs: list, **given):
         self.spark, self.out, self.options, self.timings, self.resources = spark, out.rstrip("/"), options, {}, {}
-        self.made_by = options.fingerprint(**given, mask=_digest(mask))
+        self.made_by = options.fingerprint(**given, inputs=[source_of(x) for x in inputs]) if options.cache else ""
 
     def stage(self, name: str, path: str, make: Callable[[], DataFrame]) -> DataFrame:
-        """A table that is made once for the same options."""
+        """A table that is made once for the same inputs and options."""
         at, mark = f"{self.out}/{path}", f"{self.out}/{path}.options"
         began, cpu = time.time(), _driver()[0]
         if not (self.options.cache and writers.exists(self.spark, mark) and writers.read_text(self.spark, mark) == self.made_by):
@@ -80,14 +82,30 @@ def _driver(spark: SparkSession | None = None) -> tuple[float, int, int]:
     return used.ru_utime + used.ru_stime, used.ru_maxrss >> 10, (vm.totalMemory() - vm.freeMemory()) >> 20 if vm else 0
 
 
-def _digest(mask: DataFrame | None) -> str | None:
-    """What a mask holds, whatever the order of its rows."""
-    if mask is None:
-        return None
-    n, total = mask.agg(F.count(F.lit(1)), F.sum(F.xxhash64("chrom", "start", "end").cast("decimal(38,0)"))).first()
+def source_of(table) -> str | None:
+    """What tells tables apart: the names, sizes and times of the files if one is read as it is, or else all of its rows,
+    whatever their order. Texts (digests) and expressions tell themselves apart."""
+    if not isinstance(table, DataFrame):
+        return None if table is None else str(table)
+    bare = table._jdf.queryExecution().optimizedPlan().getClass().getSimpleName() == "LogicalRelation"
+    if bare and (files := table.inputFiles()):
+        return f"{files_digest(table.sparkSession, files)} {sorted(table.columns)}"
+    cols = [F.col(f"`{c}`") for c, kind in table.dtypes if "map<" not in kind]
+    n, total = table.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*cols).cast("decimal(38,0)"))).first()
     return f"{n} {total}"
 
 
+def files_digest(spark: SparkSession, paths: list[str]) -> str:
+    """Of files' and folders' names, sizes and times of change."""
+    own = hashlib.sha256()
+    for path in sorted(paths):
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        for status in sorted(fs.listStatus(p), key=lambda s: str(s.getPath())):
+            own.update(f"{status.getPath()} {status.getLen()} {status.getModificationTime()}\n".encode())
+    return own.hexdigest()[:24]
+
+
 def _kept(alignments: DataFrame, o: Options) -> DataFrame:
     if o.annotate:
         return reads.neighbour_mapq(alignments, o.low_mapq, o.tile)
@@ -104,14 +122,15 @@ def _scan(run: Run, alignments: DataFrame, reference, taxa: list[int], mask: Dat
     if o.intervals:
         writers.read_intervals(kept.select(F.col("rname").alias("chrom"), F.col("start0").alias("start"), F.col("end0").alias("end")), f"{run.out}/Intervals")
     reach = max(2, o.indel_window)
-    return run.stage("scan", "scan", lambda: sites.scan(sites.tiled_lines(kept, taxa, reference, mask, reach, o.tile), taxa, None, o.indel_window, o.tile))
+    return run.stage("scan", "scan", lambda: sites.scan(sites.tiled_lines(kept, taxa, reference, mask, reach, o.tile, o.max_depth), taxa, None, o.indel_window, o.tile))
 
 
-def run_trio(spark: SparkSession, alignments: DataFrame, reference, out: str, options: Options = Options(), mask: DataFrame | None = None) -> dict:
-    """Two sister taxa against an outgroup: 96 classes a branch. Returns the summary."""
+def run_trio(spark: SparkSession, alignments: DataFrame, reference, out: str, options: Options = Options(), mask: DataFrame | None = None, source: str | None = None) -> dict:
+    """Two sister taxa against an outgroup: 96 classes a branch. Returns the summary. ``source``: a digest of what the
+    alignments were made of; their rows are read for one where it is not given."""
     if options.annotate:
-        return run_annotated(spark, alignments, reference, out, options, mask, [1, 2])
-    run = Run(spark, out, options, mask, kind="trio")
+        return run_annotated(spark, alignments, reference, out, options, mask, [1, 2], source)
+    run = Run(spark, out, options, [source or alignments, reference, mask], kind="trio")
     scanned = _scan(run, alignments, reference, [1, 2], mask)
     windows = sites.contexts(scanned, [1, 2])
     classified = run.stage("classify", "windows", lambda: sites.classify_trio(windows.where("not near")))
@@ -144,11 +163,11 @@ def run_trio(spark: SparkSession, alignments: DataFrame, reference, out: str, op
     )
 
 
-def run_pair(spark: SparkSession, alignments: DataFrame, reference, out: str, options: Options = Options(), mask: DataFrame | None = None) -> dict:
+def run_pair(spark: SparkSession, alignments: DataFrame, reference, out: str, options: Options = Options(), mask: DataFrame | None = None, source: str | None = None) -> dict:
     """One target against a reference: 52 classes without direction."""
     if options.annotate:
-        return run_annotated(spark, alignments, reference, out, options, mask, [1])
-    run = Run(spark, out, options, mask, kind="pair")
+        return run_annotated(spark, alignments, reference, out, options, mask, [1], source)
+    run = Run(spark, out, options, [source or alignments, reference, mask], kind="pair")
     scanned = _scan(run, alignments, reference, [1], mask)
     windows = sites.contexts(scanned, [1])
     classified = run.stage("classify", "windows", lambda: sites.classify_pair(windows.where("not near")))
@@ -160,11 +179,11 @@ def run_pair(spark: SparkSession, alignments: DataFrame, reference, out: str, op
     return run.finish(site_classes=_counts(sites.site_classes(classified), "site_class"), dropped=_counts(sites.drop_reasons(scanned), "reason"), lines_after_mask=scanned.count(), non_consecutive=scanned.where("gap").count())
 
 
-def run_annotated(spark: SparkSession, alignments: DataFrame, reference, out: str, options: Options, mask: DataFrame | None, taxa: list[int]) -> dict:
+def run_annotated(spark: SparkSession, alignments: DataFrame, reference, out: str, options: Options, mask: DataFrame | None, taxa: list[int], source: str | None = None) -> dict:
     """Counts and calls for all thresholds at once, in site_counts and annotated_calls."""
     if options.continuity_run != 2:
         raise ValueError("an annotated run knows neighbours only: the run must be 2")
-    run = Run(spark, out, options, mask, kind="annotated", taxa=len(taxa))
+    run = Run(spark, out, options, [source or alignments, reference, mask], kind="annotated", taxa=len(taxa))
     kept = run.stage("align", "alignments", lambda: _kept(alignments, options))
     reach = max(2, options.indel_window)
     table = reference if isinstance(reference, DataFrame) else None
@@ -199,17 +218,22 @@ def derive_run(spark: SparkSession, run_dir: str, out: str, mapq: int, continuit
         trips = parts["trip"].select(F.explode(F.array(F.lit(1), F.lit(2))).alias("taxon"), "triplet", "n")
         table = rates.normalize(parts["mut"], trips, ["taxon"])
     writers.table_tsv(table, "mutation", f"{out}/Tables/normalized.tsv")
+    writers.calls_csv(thresholds.derive_calls(spark.read.parquet(f"{run_dir.rstrip('/')}/annotated_calls"), mapq, continuity, indel, pair), f"{out}/Mutations")
+    writers.counts_json(parts["trip"], "triplet", f"{out}/Counts/triplets.json")
+    for taxon in (1,) if pair else (1, 2):
+        own = parts["mut"] if pair else parts["mut"].where(F.col("taxon") == taxon)
+        writers.counts_json(own.select("mutation", "n"), "mutation", f"{out}/Counts/taxon{taxon}_mutations.json")
     return writers.merge_summary(spark, f"{out}/run_summary.json", {"site_classes": _counts(parts["classes"], "site_class"), "derived": {"mapq": mapq, "continuity": continuity, "indel": indel}})
 
 
-def run_multi(spark: SparkSession, alignments: DataFrame, reference, out: str, newick: str, outgroup: str, options: Options = Options(), mask: DataFrame | None = None) -> dict:
+def run_multi(spark: SparkSession, alignments: DataFrame, reference, out: str, newick: str, outgroup: str, options: Options = Options(), mask: DataFrame | None = None, source: str | None = None) -> dict:
     """N species on a tree: mutations on each branch by parsimony. taxon k is the k-th leaf besides the outgroup."""
-    run = Run(spark, out, options, mask, kind="multi", newick=newick, outgroup=outgroup)
+    run = Run(spark, out, options, [source or alignments, reference, mask], kind="multi", newick=newick, outgroup=outgroup)
     root = trees.parse_newick(newick)
     columns = trees.index_leaves(root, outgroup)
     taxa = list(range(1, len(columns)))
     kept = run.stage("align", "alignments", lambda: _kept(alignments, options))
-    found = run.stage("scan", "sites", lambda: sites.matrix_sites(sites.tiled_lines(kept, taxa, reference, mask, 2, options.tile), taxa))
+    found = run.stage("scan", "sites", lambda: sites.matrix_sites(sites.tiled_lines(kept, taxa, reference, mask, 2, options.tile, options.max_depth), taxa))
     matrix = found.where("varies").withColumn("taxa", F.concat(F.array("ref"), "taxa"))
     resolved = run.stage("fitch", "fitch", lambda: fitch.resolve(matrix, trees.Flat.of(root, columns)))
     muts = fitch.branch_mutations(resolved)
@@ -236,6 +260,24 @@ def run_phylip(spark: SparkSession, matrix: DataFrame, names: list[str], out: st
     return writers.merge_summary(spark, f"{out}/run_summary.json", {"phylip": {"score": trees.parsimony_of(outfile), "tree": root.newick()}})
 
 
+def search_tree(spark: SparkSession, matrix: DataFrame, names: list[str], out: str, newick: str | None = None, starts: int = 4, seed: int = 1) -> dict:
+    """The most parsimonious tree that a search of all sites of a matrix (chrom, pos, taxa; the outgroup first) finds,
+    without a program; with a tree given, its score, too, and how many times more changes it needs."""
+    out = out.rstrip("/")
+    sites_of = matrix.dropDuplicates(["chrom", "pos"])
+    parsimony.site_patterns(sites_of).write.mode("overwrite").parquet(f"{out}/patterns")
+    patterns = spark.read.parquet(f"{out}/patterns")
+    constant = parsimony.constant_changes(sites_of).first().changes
+    given = parsimony.from_newick(newick, names) if newick else None
+    tree, score = parsimony.search(patterns, len(names), starts, seed, given)
+    found = {"score": score + constant, "tree": parsimony.newick(tree, names), "patterns": patterns.count()}
+    if given is not None:
+        found["given_score"] = parsimony.score_trees(patterns, [given])[0] + constant
+        found["ratio"] = found["given_score"] / found["score"] if found["score"] else 1.0
+    writers.write_text(spark, f"{out}/outtree", found["tree"] + "\n")
+    return writers.merge_summary(spark, f"{out}/run_summary.json", {"phylip": found})
+
+
 def build_mask(spark: SparkSession, fasta: str, folder: str, program: str = "windowmasker", **options) -> DataFrame:
     """Merged intervals (chrom, start, end) that a masker finds in a FASTA file of the driver's; kept as BED in the
     folder, which executors must see too. ``options``: species, dust, cores and cache."""
@@ -248,8 +290,9 @@ def build_mask(spark: SparkSession, fasta: str, folder: str, program: str = "win
 
 def align_genome(contigs: DataFrame, command: str, species: str, taxon: int, mask: DataFrame | None = None, most_masked: float = 0.5, length: int = 150, step: int = 75, parts: int | None = None, **places) -> DataFrame:
     """Alignments of a genome's tiles against a reference, in the form that runs take: cut, masked, piped through an
-    aligner a partition at a time. ``places``: ref, refdir and cores of the command's template."""
-    tiles = intervals.fragments(contigs, length, step)
+    aligner a partition at a time. The genome: contigs (chrom, seq), or pieces of ``intervals.piece_size`` bases that
+    overlap by a tile. ``places``: ref, refdir and cores of the command's template."""
+    tiles = intervals.fragments_of(contigs, intervals.piece_size(step), length, step) if "start0" in contigs.columns else intervals.fragments(contigs, length, step)
     if mask is not None:
         tiles = intervals.unmasked_fragments(tiles, mask, most_masked)
     tiles = tiles.repartition(parts or int(contigs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chrom", "start")
@@ -257,17 +300,32 @@ def align_genome(contigs: DataFrame, command: str, species: str, taxon: int, mas
     return readers.fragment_order(rows).withColumn("taxon", F.lit(taxon)).drop("zn")
 
 
-def run_genomes(spark: SparkSession, genomes: list[DataFrame], reference: DataFrame, out: str, command: str, options: Options = Options(), mask: DataFrame | None = None, names: list[str] | None = None, **places) -> dict:
-    """From genomes (chrom, seq) to spectra: one genome against the reference makes a pair, two a trio. ``mask`` is the
-    reference's."""
+def align_genomes(spark: SparkSession, genomes: list[DataFrame], out: str, command: str, options: Options = Options(), names: list[str] | None = None, masks: list[DataFrame | None] | None = None, sources: list[str] | None = None, most_masked: float = 0.5, length: int = 150, step: int = 75, **places) -> tuple[DataFrame, str]:
+    """Alignments of all genomes, kept in the run's folder, and the digest of what they were made of: the aligner's
+    command and places, the tiles, each genome and its mask. The aligner starts only if that changed. ``masks``: repeats
+    of each genome, which its tiles avoid; ``sources``: digests of the genomes where they are known."""
     names = names or [f"taxon{i}" for i in range(1, len(genomes) + 1)]
-    rows = None
-    for i, (genome, name) in enumerate(zip(genomes, names), 1):
-        own = align_genome(genome, command, name, i, **places)
-        rows = own if rows is None else rows.unionByName(own)
-    rows.write.mode("overwrite").parquet(f"{out.rstrip('/')}/aligned")  # aligned once
-    rows = spark.read.parquet(f"{out.rstrip('/')}/aligned")
-    return (run_pair if len(genomes) == 1 else run_trio)(spark, rows, intervals.chunks(reference, 1000), out, options, mask)
+    masks = masks or [None] * len(genomes)
+    own = {k: files_digest(spark, [v]) if k == "ref" and v and writers.exists(spark, v) else v for k, v in places.items()}
+    # thresholds and windows do not touch what is aligned
+    plain = Options(cache=options.cache)
+    run = Run(spark, out, plain, [*(sources or genomes), *masks], command=command, names=names, places=own, tiles=[most_masked, length, step])
+
+    def make() -> DataFrame:
+        rows = None
+        for i, (genome, name, mask) in enumerate(zip(genomes, names, masks), 1):
+            one = align_genome(genome, command, name, i, mask, most_masked, length, step, **places)
+            rows = one if rows is None else rows.unionByName(one)
+        return rows
+
+    return run.stage("aligned", "aligned", make), run.made_by
+
+
+def run_genomes(spark: SparkSession, genomes: list[DataFrame], reference: DataFrame, out: str, command: str, options: Options = Options(), mask: DataFrame | None = None, names: list[str] | None = None, masks: list[DataFrame | None] | None = None, **more) -> dict:
+    """From genomes (chrom, seq) to spectra: one genome against the reference makes a pair, two a trio. ``mask`` is the
+    reference's, ``masks`` are the genomes' own. ``more``: see ``align_genomes``."""
+    rows, source = align_genomes(spark, genomes, out, command, options, names, masks, **more)
+    return (run_pair if len(genomes) == 1 else run_trio)(spark, rows, intervals.chunks(reference, 1000), out, options, mask, source or None)
 
 
 def clean_up(spark: SparkSession, out: str, names: tuple[str, ...] = ("aligned", "alignments", "scan", "windows")) -> None:

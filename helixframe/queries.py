@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import bases as B
-from .operators import fitch, intervals, rates, reads, sites, thresholds
+from .operators import fitch, intervals, parsimony, rates, reads, sites, thresholds
 from .plans import derived as D
 from .plans.tree import Flat, index_leaves, parse_newick
 
@@ -246,6 +246,18 @@ def pileup_sites(spark, sf):
     return _lines(spark, sf).select("chrom", "pos", "ref", "cov_1", "cov_2", "base_1", "base_2", (F.col("del_1") | F.col("del_2")).alias("del"), (F.col("ins_1") | F.col("ins_2")).alias("ins"), "dis_1", "dis_2")
 
 
+#: The lines of at most two reads a taxon and position.
+CAPPED = LINES.replace("r.start0,", "r.start0, r.ord,").replace(
+    D.ONE_SQL.strip(), D.ONE_SQL.strip().replace("FROM read_bases WHERE mapq >= 30 AND flag = 0", "FROM (SELECT *, row_number() OVER (PARTITION BY taxon, chrom, pos ORDER BY start0, ord) AS k FROM read_bases WHERE mapq >= 30 AND flag = 0) WHERE k <= 2")
+)
+
+
+@query("pileup_depth_cap", SQL["pileup_sites"].replace(LINES, CAPPED))
+def pileup_depth_cap(spark, sf):
+    lines = sites.own_lines(sites.tiled_lines(D.alignments(spark, sf), TAXA, D.reference(), None, 2, TILE, max_depth=2))
+    return lines.select("chrom", "pos", "ref", "cov_1", "cov_2", "base_1", "base_2", (F.col("del_1") | F.col("del_2")).alias("del"), (F.col("ins_1") | F.col("ins_2")).alias("ins"), "dis_1", "dis_2")
+
+
 @query("qc_reasons_trio", f"{LINES} SELECT qc AS reason, count(*) AS n FROM lines WHERE qc IS NOT NULL GROUP BY qc")
 def qc_reasons_trio(spark, sf):
     return sites.drop_reasons(_lines(spark, sf).withColumn("qc", sites.quality(TAXA)))
@@ -523,6 +535,11 @@ def annotated_calls(spark, sf):
     return thresholds.calls(_windows(spark, sf, mask=_mask(spark, sf))).drop("indel_mapq")
 
 
+@query("derive_calls", f"SELECT chrom, pos, taxon, mutation FROM ({SQL['annotated_calls']}) WHERE mode = 1 AND 30 BETWEEN lo AND hi")
+def derive_calls(spark, sf):
+    return thresholds.derive_calls(thresholds.calls(_windows(spark, sf, mask=_mask(spark, sf))), 30, True)
+
+
 @query("annotated_indel_flags", f"{_awin()}, near AS (SELECT al.*, greatest(0, coalesce((SELECT max(s.indel) FROM si s WHERE s.chrom = al.chrom AND s.mode = al.mode AND s.pos BETWEEN al.pos - 3 AND al.pos + 3), 0)) AS indel_mapq FROM al) SELECT mode, site_class, label, lo, hi, indel_mapq, count(*) AS n FROM near GROUP BY ALL")
 def annotated_indel_flags(spark, sf):
     return thresholds.site_counts(_windows(spark, sf, indel_window=3))
@@ -656,3 +673,41 @@ def sample_sites(spark, sf):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trio_spectrum(spark, sf_dir)
+
+
+_NAMES = [f"taxa{i}" for i in range(5)]
+
+
+def _unrooted() -> list:
+    """The 15 trees of four taxa beside an outgroup."""
+    trees = [(1, 2)]
+    for k in (3, 4):
+        trees = [t for tree in trees for t in parsimony.grafted(tree, k)]
+    return sorted({(0, parsimony.normal(t)) for t in trees}, key=str)
+
+
+def _tree_sql() -> str:
+    """Each tree's score with the states of its nodes as columns of a row each."""
+    parts = []
+    for tree in _unrooted():
+        cols: list[str] = []
+
+        def up(t) -> str:
+            if isinstance(t, int):
+                return f"m{t}"
+            a, b = up(t[0]), up(t[1])
+            cols.append(f"CASE WHEN {a} & {b} <> 0 THEN {a} & {b} ELSE {a} | {b} END AS n{len(cols)}, CASE WHEN {a} & {b} = 0 THEN 1 ELSE 0 END AS c{len(cols)}")
+            return f"n{len(cols) - 1}"
+
+        up(tree)
+        parts.append(f"SELECT '{parsimony.newick(tree, _NAMES)}' AS tree, CAST(sum(c0 + c1 + c2 + c3) AS BIGINT) AS score FROM (SELECT *, {', '.join(cols)} FROM masks)")
+    bits = ", ".join(f"CASE taxa{k} WHEN 'A' THEN 1 WHEN 'C' THEN 2 WHEN 'G' THEN 4 WHEN 'T' THEN 8 ELSE 15 END AS m{k}" for k in range(5))
+    return f"WITH m AS ({D.MATRIX_SQL}), masks AS MATERIALIZED (SELECT {bits} FROM m) " + " UNION ALL ".join(parts)
+
+
+@query("parsimony_tree_scores", _tree_sql())
+def parsimony_tree_scores(spark, sf):
+    """All trees of the taxa in one pass over the patterns of sites."""
+    own = D.matrix(spark, sf)
+    constant = parsimony.constant_changes(own)
+    return parsimony.tree_scores(parsimony.site_patterns(own), _unrooted()).join(F.broadcast(constant)).select(F.element_at(F.array(*(F.lit(parsimony.newick(t, _NAMES)) for t in _unrooted())), F.col("tree") + 1).alias("tree"), (F.col("score") + F.col("changes")).alias("score"))
