@@ -357,11 +357,28 @@ _OUTTREE = "2\n((taxa1,taxa2),\n((taxa3,taxa4),taxa0));"
 _OUTFILE = "requires a total of     12.000\n\n  between      and       length\n  -------      ---       ------\n     1          2         0.1\n     2        taxa1       0.1\n     2        taxa2       0.1\n     1          3         0.1\n     3        taxa3       0.1\n     3        taxa4       0.1\n     1        taxa0       0.1\n\n"
 
 
-@query("phylip_tree_nodes", "SELECT * FROM (VALUES ('ROOT', NULL, -1), ('1', 'ROOT', -1), ('2', '1', -1), ('sp1', '2', 1), ('sp2', '2', 2), ('3', '1', -1), ('sp3', '3', 3), ('sp4', '3', 4), ('outg', 'ROOT', 0)) t(label, parent, leaf)")
+_SAME = {"n5": range(5), "n4": range(1, 5), "n12": (1, 2), "n34": (3, 4)}
+_NODES = [("ROOT", None, -1, "n5"), ("1", "ROOT", -1, "n4"), ("2", "1", -1, "n12"), ("sp1", "2", 1, "n"), ("sp2", "2", 2, "n"), ("3", "1", -1, "n34"), ("sp3", "3", 3, "n"), ("sp4", "3", 4, "n"), ("outg", "ROOT", 0, "n")]
+_NODES_SQL = ", ".join(f"('{a}', {'NULL' if p is None else repr(p)}, {leaf}, '{n}')" for a, p, leaf, n in _NODES)
+
+
+@query("phylip_tree_nodes", f"""WITH m AS ({D.MATRIX_SQL}), c AS (SELECT count(*) AS n, {', '.join(f"count(*) FILTER (WHERE {' AND '.join(f'taxa{a} = taxa{b}' for a, b in zip(k, k[1:]))}) AS {n}" for n, k in _SAME.items())} FROM m),
+    u AS (UNPIVOT c ON n, n5, n4, n12, n34 INTO NAME which VALUE same)
+    SELECT label, parent, leaf, same FROM (VALUES {_NODES_SQL}) t(label, parent, leaf, which) JOIN u USING (which)""")
 def phylip_tree_nodes(spark, sf):
-    """A search's tree with species' names, rooted on the outgroup, inner nodes named by the search's own table."""
+    """A search's tree with species' names, rooted on the outgroup, inner nodes named by the search's own table; ``same``
+    counts the matrix' sites at which all species below a node have one base."""
     names = {f"taxa{i}": f"sp{i}" for i in range(1, 5)} | {"taxa0": "outg"}
     root = T.from_phylip(_OUTTREE, _OUTFILE, names, "taxa0")
     flat = T.Flat.of(root, T.index_leaves(root, "outg"))
-    rows = [(flat.label[i], flat.label[p] if p >= 0 else None, flat.column[i]) for i, p in enumerate(flat.parent)]
-    return spark.createDataFrame(rows, "label string, parent string, leaf int")
+    below = [{flat.column[i]} if flat.column[i] >= 0 else set() for i in range(len(flat.parent))]
+    for i in sorted(range(len(flat.parent)), key=lambda i: -_depth(flat.parent, i)):
+        if flat.parent[i] >= 0:
+            below[flat.parent[i]] |= below[i]
+    same = [F.count(F.when(F.size(F.array_distinct(F.array(*(F.col("taxa")[k] for k in sorted(b))))) == 1, 1)).alias(f"n{i}") for i, b in enumerate(below)]
+    nodes = [F.struct(F.lit(flat.label[i]).alias("label"), F.lit(flat.label[p] if p >= 0 else None).cast("string").alias("parent"), F.lit(flat.column[i]).alias("leaf"), F.col(f"n{i}").alias("same")) for i, p in enumerate(flat.parent)]
+    return D.matrix(spark, sf).agg(*same).select(F.inline(F.array(*nodes)))
+
+
+def _depth(parent: list[int], i: int) -> int:
+    return 0 if parent[i] < 0 else 1 + _depth(parent, parent[i])
