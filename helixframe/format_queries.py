@@ -287,11 +287,10 @@ def branch_files(spark, sf):
 @query("phylip_infile", Q.SQL["phylip_matrix"])
 def phylip_infile(spark, sf):
     at = f"{folder(spark)}/infile"
-    own = fitch.sample_sites(D.matrix(spark, sf).dropDuplicates(["chrom", "pos"]), fitch.MOST_SITES)
-    writers.phylip_infile(fitch.phylip_rows(own, ["outg", "sp1", "sp2", "sp3", "sp4"]), at)
-    line = F.substring("value", 11, 1 << 30)
+    writers.phylip_infile(fitch.phylip_blocks(D.matrix(spark, sf).dropDuplicates(["chrom", "pos"])), at)
+    line, name = F.substring("value", 11, 1 << 30), F.substring("value", 1, 10)
     own = spark.read.text(at).where(F.col("value").startswith("taxa"))
-    return own.select(F.regexp_extract("value", r"^taxa(\d+)", 1).cast("int").alias("taxon"), F.md5(line.cast("binary")).alias("digest"), F.length(line).cast("long").alias("n"))
+    return own.select(F.regexp_extract(name, r"^taxa(\d+)", 1).cast("int").alias("taxon"), F.md5(line.cast("binary")).alias("digest"), F.length(line).cast("long").alias("n"))
 
 
 # ---------------------------------------------------------------- functions of fields and labels

@@ -3,10 +3,15 @@ The tree is fixed, so both passes are narrow projections of the matrix."""
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bases import directed_label
+from ..functions.bases import directed_label, settle
 from ..plans.tree import Flat
 
 BITS = {"A": 1, "C": 2, "G": 4, "T": 8}
@@ -31,12 +36,6 @@ def _join(a: Column, b: Column) -> Column:
     return F.when(both != 0, both).otherwise(a.bitwiseOR(b))
 
 
-def _settle(df: DataFrame, fresh: dict[str, Column]) -> DataFrame:
-    """Adds columns behind a generator of one row. Projections are not merged across it, so expressions that are used
-    several times by the next level stay one each; a deep tree would double them at every level."""
-    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in fresh.items())))))
-
-
 def _levels(tree: Flat) -> tuple[list[list[int]], list[list[int]]]:
     """Nodes by height over their leaves, and by depth below the root."""
     n = len(tree.parent)
@@ -63,7 +62,7 @@ def states(matrix: DataFrame, tree: Flat) -> DataFrame:
                 unions = unions + (cur.bitwiseAND(F.col(f"s{c}")) == 0).cast("int")
                 cur = _join(cur, F.col(f"s{c}"))
             fresh[f"s{i}"] = cur
-        matrix = _settle(matrix, fresh)
+        matrix = settle(matrix, fresh)
     return matrix.withColumn("unions", unions)
 
 
@@ -74,7 +73,7 @@ def resolve(matrix: DataFrame, tree: Flat) -> DataFrame:
     out = states(matrix, tree)
     one = lambda c: F.bit_count(c) == 1
     ambiguous = F.when(one(F.col("s0")), 0).otherwise(1)
-    out = _settle(out, {"alive0": one(F.col("s0")), "x0": F.col("s0")})
+    out = settle(out, {"alive0": one(F.col("s0")), "x0": F.col("s0")})
     changes = []
     for level in _levels(tree)[1][1:]:
         fresh = {}
@@ -86,7 +85,7 @@ def resolve(matrix: DataFrame, tree: Flat) -> DataFrame:
             branch = f"{tree.label[p]}→{tree.label[i]}"
             changes.append(F.when(alive & ~inside & one(own), F.struct(F.lit(branch).alias("branch"), _letter(parent).alias("old"), _letter(own).alias("new"))))
             fresh |= {f"alive{i}": alive & (inside | one(own)), f"x{i}": F.when(inside, parent).otherwise(own)}
-        out = _settle(out, fresh)
+        out = settle(out, fresh)
     return out.select(*keep, F.array_compact(F.array(*changes)).alias("changes"), ambiguous.alias("ambiguous"))
 
 
@@ -123,9 +122,43 @@ def sample_sites(matrix: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return matrix.drop("_h")
 
 
-def phylip_rows(matrix: DataFrame, names: list[str]) -> DataFrame:
-    """taxon, line: each taxon's bases in order of position, for an infile. Sites are a bounded sample."""
-    rows = matrix.select("chrom", "pos", F.posexplode("taxa").alias("taxon", "base"))
-    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chrom", "pos", "base"))), lambda x: x["base"]), "")
-    name = F.element_at(F.array(*map(F.lit, names)), F.col("taxon") + 1)
-    return rows.groupBy("taxon").agg(line.alias("line")).withColumn("name", name)
+def phylip_blocks(matrix: DataFrame) -> DataFrame:
+    """taxon, part, i, bases: each taxon's bases in order of position, in blocks. Sites are sorted by ranges, and a task
+    turns some thousands at a time; parts, and the blocks of a part, are in order."""
+    parts = 4 * int(matrix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = matrix.select("chrom", "pos", F.array_join("taxa", "", "N").alias("bases")).repartitionByRange(parts, "chrom", "pos").sortWithinPartitions("chrom", "pos")
+
+    def run(batches):
+        part, i = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = np.frombuffer("".join(batch.column(0).to_pylist()).encode(), np.uint8).reshape(batch.num_rows, -1)
+            n = table.shape[1]
+            cols = [pa.array(range(n), pa.int32()), pa.array([part] * n, pa.int32()), pa.array([i] * n, pa.int32()), pa.array([x.tobytes().decode() for x in table.T])]
+            yield pa.RecordBatch.from_arrays(cols, names=["taxon", "part", "i", "bases"])
+            i += 1
+
+    return rows.select("bases").mapInArrow(run, "taxon int, part int, i int, bases string")
+
+
+def phylip_digests(blocks: DataFrame) -> DataFrame:
+    """taxon, digest (md5) and n of each taxon's line, which passes a task block by block and is never held."""
+
+    def run(batches):
+        taxon, seen, n = None, hashlib.md5(), 0
+        out = lambda: pa.RecordBatch.from_pydict({"taxon": pa.array([taxon], pa.int32()), "digest": [seen.hexdigest()], "n": [n]})
+        for batch in batches:
+            for t, bases in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if t != taxon:
+                    if taxon is not None:
+                        yield out()
+                    taxon, seen, n = t, hashlib.md5(), 0
+                bases = bases.as_py().encode()
+                seen.update(bases)
+                n += len(bases)
+        if taxon is not None:
+            yield out()
+
+    dealt = blocks.repartition("taxon").sortWithinPartitions("taxon", "part", "i")
+    return dealt.select("taxon", "bases").mapInArrow(run, "taxon int, digest string, n long")

@@ -251,8 +251,8 @@ def run_phylip(spark: SparkSession, matrix: DataFrame, names: list[str], out: st
     """A parsimony search over at most ``most`` sites of a matrix (chrom, pos, taxa; the outgroup first): writes infile
     and the tree found, with names, and returns the summary."""
     out = out.rstrip("/")
-    rows = fitch.phylip_rows(fitch.sample_sites(matrix.dropDuplicates(["chrom", "pos"]), most), names)
-    writers.phylip_infile(rows, f"{out}/infile")
+    own = fitch.sample_sites(matrix.dropDuplicates(["chrom", "pos"]), most)
+    writers.phylip_infile(fitch.phylip_blocks(own), f"{out}/infile")
     with tempfile.TemporaryDirectory() as folder:  # the program runs on the driver
         outfile, outtree = external.parsimony_search(writers.read_text(spark, f"{out}/infile"), command, folder)
     root = trees.from_phylip(outtree, outfile, {f"taxa{i}": n for i, n in enumerate(names)}, "taxa0")

@@ -636,9 +636,7 @@ _HEAD = f"WITH m AS ({D.MATRIX_SQL}), o AS (SELECT DISTINCT chrom, pos, taxa0, t
 
 @query("phylip_matrix", f"{_HEAD} " + " UNION ALL ".join(f"SELECT {k} AS taxon, md5(string_agg(taxa{k}, '' ORDER BY chrom, pos)) AS digest, count(*) AS n FROM o" for k in range(5)))
 def phylip_matrix(spark, sf):
-    own = fitch.sample_sites(D.matrix(spark, sf).dropDuplicates(["chrom", "pos"]), fitch.MOST_SITES)  # all of these tables
-    rows = fitch.phylip_rows(own, ["outg", "sp1", "sp2", "sp3", "sp4"])
-    return rows.select("taxon", F.md5(F.col("line").cast("binary")).alias("digest"), F.length("line").cast("long").alias("n"))
+    return fitch.phylip_digests(fitch.phylip_blocks(D.matrix(spark, sf).dropDuplicates(["chrom", "pos"])))
 
 
 # ---------------------------------------------------------------- pileup text

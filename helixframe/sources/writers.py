@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,11 +112,37 @@ def branches(mutations: DataFrame, path: str, header: bool = True) -> None:
     mutations.write.mode("overwrite").partitionBy("branch").option("header", header).option("sep", "\t").option("compression", "gzip").csv(path)
 
 
-def phylip_infile(rows: DataFrame, path: str) -> None:
-    """Rows (taxon, name, line) of a bounded sample of sites."""
-    got = rows.orderBy("taxon").collect()
-    head = f"{len(got)} {len(got[0].line) if got else 0}"
-    write_text(rows.sparkSession, path, "\n".join([head, *(f"{f'taxa{r.taxon}':<10}{r.line}" for r in got)]) + "\n")
+def phylip_infile(blocks: DataFrame, path: str) -> None:
+    """One file of blocks (taxon, part, i, bases; of ``fitch.phylip_blocks``), a line a taxon. Blocks are written in
+    order as they pass one task, so that neither it nor the driver holds a line."""
+    from .bam import open_path
+
+    tmp = f"{path}.tmp"
+    blocks.write.mode("overwrite").parquet(f"{path}.blocks")
+    own = blocks.sparkSession.read.schema(blocks.schema).parquet(f"{path}.blocks")
+    taxa, sites = own.agg(F.countDistinct("taxon"), F.sum(F.when(F.col("taxon") == 0, F.length("bases")))).first()
+
+    def run(batches):
+        fs, at = open_path(tmp)
+        with fs.open_output_stream(at) as out:
+            out.write(f"{taxa} {sites or 0}\n".encode())
+            taxon = None
+            for batch in batches:
+                for t, bases in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    if t != taxon:
+                        out.write((f"{'' if taxon is None else chr(10)}{f'taxa{t}':<10}").encode())
+                        taxon = t
+                    out.write(bases.as_py().encode())
+            if taxon is not None:
+                out.write(b"\n")
+        yield pa.RecordBatch.from_pydict({"done": [1]})
+
+    own.repartition(1).sortWithinPartitions("taxon", "part", "i").select("taxon", "bases").mapInArrow(run, "done long").collect()
+    from_, fs = _path(blocks.sparkSession, tmp)
+    to, _ = _path(blocks.sparkSession, path)
+    fs.delete(to, False)
+    fs.rename(from_, to)
+    remove(blocks.sparkSession, f"{path}.blocks")
 
 
 def merge_summary(spark: SparkSession, path: str, section: dict) -> dict:
