@@ -3,6 +3,9 @@ alone."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,15 +51,36 @@ def _merge(rows: DataFrame, keys: list[str], gap: int) -> DataFrame:
     return rows.groupBy(*keys, "_g").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_g")
 
 
-def masked_bases(spans: DataFrame, mask: DataFrame, key: list[str], bin_size: int = BIN) -> DataFrame:
-    """Adds masked: bases of the span (chrom, start, end; 1-based, ends in) that lie in the merged mask, and fraction.
-    ``key`` tells spans apart. One left join by contig and bin, then sums."""
-    m = mask.select("chrom", F.col("start").alias("_s"), F.col("end").alias("_e")).withColumn("_b", F.explode(F.sequence(F.floor(F.col("_s") / bin_size), F.floor(F.col("_e") / bin_size))))
+WORD = 64  # bases whose state a long holds
+
+
+def _inside(start: str, end: str, size: int) -> list[Column]:
+    """The bases of bin ``_b`` that lie from ``start`` to ``end``, as bits of longs, 64 each."""
+    out = []
+    for at in range(0, size, WORD):
+        most = min(WORD, size - at) - 1
+        first, last = f"cast(greatest({start} - _b * {size} - {at}, 0) as int)", f"cast(least({end} - _b * {size} - {at}, {most}) as int)"
+        out.append(F.expr(f"if({first} <= {last}, shiftleft(-1L, {first}) & shiftrightunsigned(-1L, {WORD - 1} - {last}), 0L)"))
+    return out
+
+
+def masked_bases(spans: DataFrame, mask: DataFrame, key: list[str], bin_size: int = TILE_BIN) -> DataFrame:
+    """Adds masked: bases of the span (chrom, start, end; 1-based, ends in) that lie in the mask, and fraction. ``key``
+    tells spans apart.
+
+    A bin of the mask is one row, a bit a base, however many intervals it has; one left join by contig and bin counts the
+    bits that spans have, and sums follow."""
+    words = [f"_w{i}" for i in range(-(-bin_size // WORD))]
+    binned = lambda df, start, end: df.withColumn("_b", F.explode(F.sequence(F.floor(F.col(start) / bin_size), F.floor(F.greatest(start, end) / bin_size))))
+    m = binned(mask.where("end >= start").select("chrom", F.col("start").alias("_s"), F.col("end").alias("_e")), "_s", "_e")
+    m = m.select("chrom", "_b", *(c.alias(w) for w, c in zip(words, _inside("_s", "_e", bin_size))))
+    m = m.groupBy("chrom", "_b").agg(*(F.bit_or(w).alias(w) for w in words))
     cols = list(dict.fromkeys([*key, "chrom", "start", "end"]))
-    s = spans.select(*cols).withColumn("_b", F.explode(F.sequence(F.floor(F.col("start") / bin_size), F.floor(F.greatest("start", "end") / bin_size))))
-    lo, hi = F.greatest("start", "_s", F.col("_b") * bin_size), F.least("end", "_e", (F.col("_b") + 1) * bin_size - 1)
-    hit = s.join(m, ["chrom", "_b"], "left").withColumn("n", F.when(F.col("_s").isNotNull(), F.greatest(hi - lo + 1, F.lit(0))).otherwise(0))
-    out = hit.groupBy(*cols).agg(F.sum("n").cast("long").alias("masked"))
+    hit = binned(spans.select(*cols), "start", "end").join(m, ["chrom", "_b"], "left")
+    n = F.lit(0)
+    for w, c in zip(words, _inside("start", "end", bin_size)):
+        n = n + F.coalesce(F.bit_count(F.col(w).bitwiseAND(c)), F.lit(0))
+    out = hit.withColumn("n", n).groupBy(*cols).agg(F.sum("n").cast("long").alias("masked"))
     size = F.col("end") - F.col("start") + 1
     return out.withColumn("fraction", F.when(size > 0, F.col("masked") / size).otherwise(0.0))
 
@@ -110,14 +134,35 @@ def fragments_of(pieces: DataFrame, size: int, length: int = 150, step: int = 75
 
 
 def runs_of(contigs: DataFrame, letter: str = "N") -> DataFrame:
-    """Merged runs of a letter: chrom, start, end (1-based, ends in). A piece is split where runs begin and end, and what
-    lies before a part is the sum of the lengths of those before it; pieces stay where they were dealt."""
-    own = chunks(contigs).where(F.col("seq").contains(letter))
-    parts = F.posexplode(F.split("seq", f"(?<={letter})(?!{letter})|(?<!{letter})(?={letter})"))
-    own = own.select("chrom", "start0", parts.alias("i", "part")).withColumn("size", F.length("part"))
-    before = Window.partitionBy("chrom", "start0").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    own = own.withColumn("end", F.col("start0") + F.sum("size").over(before)).where(F.col("part").startswith(letter))
-    return merge(own.select("chrom", (F.col("end") - F.col("size") + 1).alias("start"), "end"), ["chrom"])
+    """Merged runs of a letter: chrom, start, end (1-based, ends in). A run that ends inside its piece is whole; only
+    those at a piece's ends, two a piece at most, are merged with their neighbours."""
+    pieces = chunks(contigs).where(F.col("seq").contains(letter))
+
+    def find(at_ends: bool):
+        def run(batches):
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    chrom, length, start0, seq = part.columns
+                    stops = np.cumsum(pc.binary_length(seq).to_numpy(zero_copy_only=False).astype(np.int64))
+                    starts = np.concatenate(([0], stops[:-1]))
+                    length, start0 = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in (length, start0))
+                    hit = np.frombuffer("".join(seq.to_pylist()).encode(), np.uint8) == ord(letter)
+                    first, last = hit.copy(), hit.copy()
+                    first[1:] &= ~hit[:-1]
+                    last[:-1] &= ~hit[1:]
+                    first[starts], last[stops - 1] = hit[starts], hit[stops - 1]  # pieces end runs
+                    first, last = np.flatnonzero(first), np.flatnonzero(last)
+                    piece = np.searchsorted(stops, first, "right")
+                    begin, end = (x - starts[piece] + start0[piece] + 1 for x in (first, last))
+                    open_ = (first == starts[piece]) & (start0[piece] > 0) | (last == stops[piece] - 1) & (end < length[piece])
+                    own = np.flatnonzero(open_ == at_ends)
+                    yield pa.RecordBatch.from_arrays([chrom.take(pa.array(piece[own])), pa.array(begin[own]), pa.array(end[own])], names=["chrom", "start", "end"])
+
+        return run
+
+    whole, parts = (pieces.mapInArrow(find(at_ends), "chrom string, start long, end long") for at_ends in (False, True))
+    return whole.unionByName(merge(parts, ["chrom"]))
 
 
 def unmasked_fragments(tiles: DataFrame, mask: DataFrame, most: float = 0.5) -> DataFrame:

@@ -23,3 +23,22 @@ def test_a_matrix_of_more_sites_than_a_search_takes_is_whole(spark, monkeypatch,
 
     assert len(own) > 10 and sorted(rows) == list(range(5))
     assert [(rows[k]["digest"], rows[k]["n"]) for k in range(5)] == [(hashlib.md5(x.encode()).hexdigest(), len(x)) for x in lines]
+
+
+def test_overlapping_intervals_mask_a_base_once(spark):
+    mask = spark.createDataFrame([("a", 3, 70), ("a", 60, 64), ("a", 500, 1100), ("b", 1, 9)], "chrom string, start long, end long")
+    spans = spark.createDataFrame([("a", 1, 1200), ("a", 64, 64), ("a", 512, 511), ("c", 1, 5)], "chrom string, start long, end long")
+    for size in (16, 64, 100, 512):
+        got = {(r["chrom"], r["start"]): r["masked"] for r in intervals.masked_bases(spans, mask, ["chrom", "start", "end"], size).collect()}
+        assert got == {("a", 1): 68 + 601, ("a", 64): 1, ("a", 512): 0, ("c", 1): 0}
+
+
+def test_runs_are_not_sorted_piece_by_piece(spark, monkeypatch):
+    """Only runs at a piece's ends are merged, and they are found across several pieces."""
+    monkeypatch.setattr(intervals, "CHUNK", 8)
+    monkeypatch.setattr(intervals.chunks, "__defaults__", (8, 0))
+    seq = "NNACNNNNNNNNNNNNNNNNNNGTNACGTACNNACGTNNN"
+    got = intervals.runs_of(spark.createDataFrame([("x", seq), ("y", "N"), ("z", "ACGT")], "chrom string, seq string"))
+    assert "regexp" not in got._jdf.queryExecution().optimizedPlan().toString() and "posexplode" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = [("x", m.start() + 1, m.end()) for m in re.finditer("N+", seq)] + [("y", 1, 1)]
+    assert sorted(tuple(r) for r in got.collect()) == want
