@@ -213,7 +213,7 @@ def repeatmasker_file(spark, sf):
 def windowmasker_file(spark, sf):
     at = folder(spark)
     line = F.concat_ws(" - ", (F.col("start") - 1).cast("string"), (F.col("end") - 1).cast("string"))
-    part = F.pmod(F.col("start"), F.lit(64))  # a contig has several records here
+    part = F.floor(F.col("start") / Q.TILE)  # a contig has several records here, each of a tile's intervals
     own = D.repeat_spans(spark, sf).groupBy("chrom", part.alias("part")).agg(F.collect_list(line).alias("lines"))
     own.select(F.concat(F.lit(">"), "chrom", F.lit(" x\n"), F.array_join("lines", "\n")).alias("value")).write.text(at)
     return _longs(readers.windowmasker(spark, at), "start", "end")

@@ -42,3 +42,12 @@ def test_runs_are_not_sorted_piece_by_piece(spark, monkeypatch):
     assert "regexp" not in got._jdf.queryExecution().optimizedPlan().toString() and "posexplode" not in got._jdf.queryExecution().optimizedPlan().toString()
     want = [("x", m.start() + 1, m.end()) for m in re.finditer("N+", seq)] + [("y", 1, 1)]
     assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_window_masks_have_records_of_bounded_size(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(format_queries, "folder", lambda spark: str(tmp_path / "mask"))
+    format_queries.windowmasker_file(spark, "/root/testdata/sf0.01").collect()
+    records = "".join(open(p).read() for p in glob.glob(f"{tmp_path}/mask/part-*")).split(">")[1:]
+    for r in records:
+        tiles = {(int(line.split(" - ")[0]) + 1) // queries.TILE for line in r.splitlines()[1:] if line}
+        assert len(tiles) == 1
