@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bases import settle
+
 Tree = int | tuple
 
 #: The bit of a letter; others may be any base.
@@ -33,14 +35,21 @@ def site_patterns(matrix: DataFrame) -> DataFrame:
     form = F.transform("taxa", lambda b: F.when(b.isin(*BITS), F.array_position(seen, b)).otherwise(0))
     letters = F.array(F.lit("N"), *map(F.lit, BITS))
     pattern = F.array_join(F.transform(form, lambda i: F.get(letters, i.cast("int"))), "")
-    return matrix.where(telling).select(pattern.alias("pattern")).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+    own = settle(_counted(matrix), {"telling": telling}).where("telling").select(pattern.alias("pattern"), "n")
+    return own.groupBy("pattern").agg(F.sum("n").alias("n"))
+
+
+def _counted(matrix: DataFrame) -> DataFrame:
+    """Distinct rows of bases and how many sites have them: what is told of a site is told once for all like it. A filter
+    on what is told must not move before the count, so it is settled."""
+    return matrix.groupBy("taxa").agg(F.count(F.lit(1)).alias("n"))
 
 
 def constant_changes(matrix: DataFrame) -> DataFrame:
     """One row: the changes that sites which tell no trees apart need on any tree: a base more than the first each."""
     known = F.filter("taxa", lambda b: b.isin(*BITS))
     shared = F.size(F.filter(F.array(*map(F.lit, BITS)), lambda b: F.size(F.filter(known, lambda x: x == b)) > 1))
-    return matrix.where(shared < 2).agg(F.coalesce(F.sum(F.greatest(F.size(F.array_distinct(known)) - 1, F.lit(0))), F.lit(0)).cast("long").alias("changes"))
+    return settle(_counted(matrix), {"shared": shared}).where("shared < 2").agg(F.coalesce(F.sum(F.greatest(F.size(F.array_distinct(known)) - 1, F.lit(0)) * F.col("n")), F.lit(0)).cast("long").alias("changes"))
 
 
 def changes(tree: Tree, masks: np.ndarray) -> np.ndarray:

@@ -51,3 +51,12 @@ def test_window_masks_have_records_of_bounded_size(spark, monkeypatch, tmp_path)
     for r in records:
         tiles = {(int(line.split(" - ")[0]) + 1) // queries.TILE for line in r.splitlines()[1:] if line}
         assert len(tiles) == 1
+
+
+def test_sites_are_counted_before_they_are_told_apart(spark):
+    matrix = spark.createDataFrame([(["A", "A", "C", "C"],)] * 3 + [(["A", "C", "C", "C"],)] * 2, "taxa array<string>").repartition(2)
+    own = parsimony.site_patterns(matrix)
+    plan = own._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan[plan.rindex("Aggregate") :].split("\n", 1)[1]
+    assert [tuple(r) for r in own.collect()] == [("AACC", 3)]
+    assert parsimony.constant_changes(matrix).first()[0] == 2
