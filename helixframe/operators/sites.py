@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.bases import directed_label, fold, is_acgt
+from ..functions.bases import directed_label, fold, is_acgt, settle
 from .neighbours import TILE, at_offsets, far_neighbours, in_tile, tile_of, with_halo
 
 SKIP_FLAGS = 0x4 | 0x100 | 0x200 | 0x400  # unmapped, secondary, failed, duplicate
@@ -20,22 +20,33 @@ def _usable():
     return (F.col("flag").bitwiseAND(SKIP_FLAGS) == 0) & F.col("cigar").isNotNull() & F.col("seq").isNotNull()
 
 
-# what comes before each operation, on the reference (r) and in the read (q)
-_OPS = "transform(cigar, (c, i) -> struct(c.op as op, c.len as len, i as i,"
+# what comes before each operation, on the reference (r) and in the read (q), and whether an insertion comes right behind;
+# most reads have one operation, which needs no walk
+_OPS = "case when size(cigar) = 1 then array(struct(cigar[0].op as op, cigar[0].len as len, 0 as r, 0 as q, false as ins))"
+_OPS += " else transform(cigar, (c, i) -> struct(c.op as op, c.len as len,"
 _OPS += " aggregate(slice(cigar, 1, i), 0, (a, x) -> a + if(x.op in ('M', '=', 'X', 'D', 'N'), x.len, 0)) as r,"
-_OPS += " aggregate(slice(cigar, 1, i), 0, (a, x) -> a + if(x.op in ('M', '=', 'X', 'I', 'S'), x.len, 0)) as q))"
-_STEP = "transform(sequence(0, o.len - 1), j -> struct(start0 + o.r + j + 1 as pos, if(o.op = 'D', null, substring(seq, o.q + j + 1, 1)) as base,"
-_STEP += " o.op = 'D' as deleted, j = o.len - 1 and coalesce(get(cigar, o.i + 1).op = 'I', false) as inserted))"
-# an insertion flags the covered position before it, whatever operation covers that
-_WALK = f"flatten(transform(filter(_ops, o -> o.op in ('M', '=', 'X', 'D') and o.len > 0), o -> {_STEP}))"
+_OPS += " aggregate(slice(cigar, 1, i), 0, (a, x) -> a + if(x.op in ('M', '=', 'X', 'I', 'S'), x.len, 0)) as q,"
+_OPS += " coalesce(get(cigar, i + 1).op = 'I', false) as ins)) end"
+_COVERS = "_o.op in ('M', '=', 'X', 'D') and _o.len > 0"
+
+
+def _walked(rows: DataFrame, keep: list[str], first: str = "0", last: str = "_o.len - 1") -> DataFrame:
+    """A row for each place ``first`` to ``last`` of operations (_o, of reads with start0 and seq, in bytes). Positions
+    are exploded as numbers and everything else is told for each row, so that all of it runs as generated code."""
+    pos = f"cast(start0 + _o.r + _j + 1 as {rows.schema['start0'].dataType.simpleString()}) as pos"
+    base = "if(_o.op = 'D', null, cast(substring(seq, _o.q + _j + 1, 1) as string)) as base"
+    # an insertion flags the covered position before it, whatever operation covers that
+    rows = rows.select(*keep, "start0", "seq", "_o", F.expr(f"explode(sequence(cast({first} as int), cast({last} as int)))").alias("_j"))
+    return rows.selectExpr(*keep, "start0", pos, base, "_o.op = 'D' as deleted", "_o.ins and _j = _o.len - 1 as inserted")
 
 
 def aligned_positions(alignments: DataFrame, keep: list[str]) -> DataFrame:
     """A row for each reference position that a read covers: pos (1-based), base (null in a deletion), deleted,
     inserted (the read has an insertion right behind). Reads with skipped flags, or without CIGAR or bases, are left
     out; skips and clips cover nothing."""
-    reads = alignments.where(_usable()).withColumn("seq", F.upper("seq")).withColumn("_ops", F.expr(_OPS))
-    return reads.select(*keep, F.explode(F.expr(_WALK)).alias("_p")).select(*keep, "_p.pos", "_p.base", "_p.deleted", "_p.inserted")
+    own = list(dict.fromkeys(keep))
+    rows = alignments.where(_usable()).select(*own, *(["start0"] if "start0" not in own else []), F.upper("seq").cast("binary").alias("seq"), F.explode(F.expr(_OPS)).alias("_o"))
+    return _walked(rows.where(_COVERS), [c for c in own if c != "start0"]).select(*keep, "pos", "base", "deleted", "inserted")
 
 
 def first_reads(positions: DataFrame, most: int, by: list[str]) -> DataFrame:
@@ -58,25 +69,30 @@ def dealt_positions(alignments: DataFrame, reference: DataFrame | None, mask: Da
             alignments = alignments.withColumn("ord", F.col("frag_ord" if "frag_ord" in alignments.columns else "qname"))
         keep = [*keep, "ord"]
     at = alignments.schema["start0"].dataType
-    rows = alignments.where(_usable()).withColumnRenamed("rname", "chrom").select(*keep, "chrom", "start0", "end0", "cigar", F.upper("seq").alias("seq"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("mask_end"))
+    rows = alignments.where(_usable()).withColumnRenamed("rname", "chrom").select(*keep, "chrom", "start0", "end0", "cigar", F.upper("seq").cast("binary").alias("seq"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("mask_end"))
     if mask is not None:
         own = mask.select("chrom", (F.col("start") - 1).cast(at).alias("start0"), F.col("end").cast(at).alias("end0"), F.lit(1).alias("kind"), F.col("end").cast("long").alias("mask_end"))
         rows = rows.unionByName(own, allowMissingColumns=True)
     if reference is not None:
         own = reference.select("chrom", (F.col("pos") - 1).alias("start0"), F.col("ref").alias("seq")) if "pos" in reference.columns else reference.select("chrom", "start0", "seq")
-        own = own.select("chrom", F.col("start0").cast(at).alias("start0"), (F.col("start0") + F.length("seq")).cast(at).alias("end0"), F.upper("seq").alias("seq"), F.lit(2).alias("kind"))
+        own = own.select("chrom", F.col("start0").cast(at).alias("start0"), (F.col("start0") + F.length("seq")).cast(at).alias("end0"), F.upper("seq").cast("binary").alias("seq"), F.lit(2).alias("kind"))
         rows = rows.unionByName(own, allowMissingColumns=True)
     first, last = F.floor((F.col("start0") + 1 - reach) / tile), F.floor((F.greatest(F.col("end0"), F.col("start0") + 1) + reach) / tile)
     rows = rows.withColumn("_tile", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
     # reads are few bytes beside what they are walked into, so the number of tasks is given and not left to their size
     rows = rows.repartition(4 * int(alignments.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chrom", "_tile")
-    kind = at.simpleString()
-    begin = f"array(struct(cast(greatest(start0 + 1, _tile * {tile} - {reach}) as {kind}) as pos, cast(null as string) as base, false as deleted, false as inserted))"
-    bases = f"transform(sequence(1, length(seq)), j -> struct(cast(start0 + j as {kind}) as pos, substring(seq, j, 1) as base, false as deleted, false as inserted))"
-    walk = f"case kind when 0 then {_WALK} when 1 then {begin} else {bases} end"
-    rows = rows.withColumn("_ops", F.expr(_OPS)).select(*keep, "chrom", "_tile", "kind", "mask_end", "start0", F.explode(F.expr(walk)).alias("_p"))
-    rows = rows.select(*keep, "chrom", "_tile", "kind", "mask_end", "start0", "_p.*")
-    rows = rows.where(F.col("pos").between(F.col("_tile") * tile - reach, (F.col("_tile") + 1) * tile - 1 + reach))
+    # a base of the reference is walked like a read's, an interval is one place
+    plain = lambda op, n: f"array(struct('{op}' as op, {n} as len, 0 as r, 0 as q, false as ins))"
+    ops = f"case kind when 0 then {_OPS} when 1 then {plain('K', 1)} else {plain('R', 'length(seq)')} end"
+    low, high = f"(_tile * {tile} - {reach})", f"((_tile + 1) * {tile} - 1 + {reach})"
+    cols = [*keep, "chrom", "_tile", "kind", "mask_end"]
+    rows = rows.select(*cols, "start0", "seq", F.explode(F.expr(ops)).alias("_o"))
+    rows = rows.where(f"kind > 0 and _o.len > 0 or {_COVERS}")
+    # where an interval's place is; what a read or a piece has in the tile and its halo
+    rows = rows.withColumn("start0", F.expr(f"if(kind = 1, cast(greatest(start0, {low} - 1) as {at.simpleString()}), start0)"))
+    first, last = f"greatest(0, {low} - start0 - _o.r - 1)", f"least(_o.len - 1, {high} - start0 - _o.r - 1)"
+    rows = _walked(rows.where(f"{first} <= {last}"), cols, first, last)
+    rows = rows.withColumn("base", F.when(F.col("kind") != 1, F.col("base")))
     if max_depth:  # the rows are where they are needed; of a mask and of the reference a position has one each
         rows = first_reads(rows, max_depth, ["chrom", "_tile", "taxon", "kind", "pos"]).drop("ord")
     return rows.drop("start0")
@@ -208,7 +224,8 @@ def contexts(scanned: DataFrame, taxa: list[int]) -> DataFrame:
     """Windows with the 3-mers of the reference (ref3) and of each taxon (t_3)."""
     three = lambda c: F.concat(F.col(f"before.{c}"), F.col(c), F.col(f"behind.{c}"))
     own = scanned.where("_own") if "_own" in scanned.columns else scanned
-    return own.where("window").select("chrom", "pos", "near", three("ref").alias("ref3"), *(three(f"base_{t}").alias(f"t{t}_3") for t in taxa))
+    out = settle(own.where("window"), {"ref3": three("ref"), **{f"t{t}_3": three(f"base_{t}") for t in taxa}})
+    return out.select("chrom", "pos", "near", "ref3", *(f"t{t}_3" for t in taxa))
 
 
 def _flanks(a: str, b: str) -> Column:
@@ -229,7 +246,7 @@ def classify_trio(windows: DataFrame, acgt: bool = True) -> DataFrame:
     left, right = F.substring("ref3", 1, 1), F.substring("ref3", 3, 1)
     label = F.when(F.col("site_class") == "taxa1_mut", directed_label(left, r, a, right)).when(F.col("site_class") == "taxa2_mut", directed_label(left, r, b, right))
     label = label.when(F.col("site_class") == "identical", F.col("ref3")).when(F.col("site_class") == "ref_differs", directed_label(left, a, r, right)).otherwise("")
-    return windows.withColumn("site_class", site).withColumn("label", label)
+    return settle(settle(windows, {"site_class": site}), {"label": label})
 
 
 def classify_pair(windows: DataFrame) -> DataFrame:
@@ -237,7 +254,7 @@ def classify_pair(windows: DataFrame) -> DataFrame:
     r, a = _mid("ref3"), _mid("t1_3")
     site = F.when(~is_acgt(F.concat("ref3", "t1_3")), "not_acgt").when(~_flanks("ref3", "t1_3"), "flanks_not_conserved").when(r == a, "identical").otherwise("differs")
     label = F.when(F.col("site_class") == "differs", directed_label(F.substring("ref3", 1, 1), r, a, F.substring("ref3", 3, 1))).when(F.col("site_class") == "identical", F.col("ref3")).otherwise("")
-    return windows.withColumn("site_class", site).withColumn("label", label)
+    return settle(settle(windows, {"site_class": site}), {"label": label})
 
 
 def trio_calls(classified: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.bases import settle
 from .neighbours import TILE, in_tile, tile_of, with_halo
 from .sites import classify_pair, classify_trio, mark_masked, with_reference
 
@@ -22,36 +23,43 @@ def _by_base(reads: DataFrame, keys: list[str]) -> DataFrame:
     return reads.groupBy(*keys, "base").agg(*cols, F.count(F.lit(1)).alias("n"))
 
 
-_BASE = ["base", "q0", "q1", "bad0", "bad1"]
+def _with_tops(own: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds t0 and t1, the best quality at the keys and the base that has it (the larger letter among equals, as tuples
+    compare). ``pos`` is the first key, so that rows sort by a number."""
+    at = Window.partitionBy(*keys)
+    return own.withColumns({f"t{m}": F.max(F.struct(F.col(f"q{m}").alias("q"), "base")).over(at) for m in (0, 1)})
 
 
-def _mode(bases: Column, m: int) -> Column:
-    """mode, base, lo, hi, indel of the bases that the reads at a position show.
+def _maxima(m: int, here: Column, name: str = "") -> list[Column]:
+    """What a mode keeps of the rows ``here``: the top, the best of those of other bases, the best that reject."""
+    other = ~F.coalesce(F.col("base") == F.col(f"t{m}.base"), F.lit(False))
+    return [F.max(F.when(here, F.col(f"t{m}"))).alias(f"_t{m}{name}"), F.max(F.when(here & other, F.col(f"q{m}"))).alias(f"_o{m}{name}"), F.max(F.when(here, F.col(f"bad{m}"))).alias(f"_r{m}{name}")]
 
-    The base is that of the highest read (the larger letter among equals, as tuples compare); lo is one above the best
-    read that rejects or disagrees."""
-    top = F.array_max(F.transform(bases, lambda x: F.struct(x[f"q{m}"].alias("q"), x["base"].alias("base"))))
-    indel = F.coalesce(F.array_max(F.transform(bases, lambda x: x[f"bad{m}"])), F.lit(-1))
 
-    def with_top(t: Column) -> Column:
-        against = F.transform(bases, lambda x: F.when(x["base"] == t["base"], x[f"bad{m}"]).otherwise(x[f"q{m}"]))
-        lo = F.coalesce(F.array_max(against), F.lit(-1)) + 1
-        return F.struct(F.lit(m).alias("mode"), F.when(lo <= t["q"], t["base"]).alias("base"), lo.alias("lo"), t["q"].alias("hi"), indel.alias("indel"))
+def _mode(m: int, name: str = "") -> Column:
+    """mode, base, lo, hi, indel of the reads at a position.
 
-    return F.transform(F.array(top), with_top)[0]  # named once, used in each of its places
+    The base is that of the highest read; lo is one above the best read that rejects or disagrees (one that rejects and
+    shows another base disagrees too, so all that reject count)."""
+    top, indel = F.col(f"_t{m}{name}"), F.coalesce(f"_r{m}{name}", F.lit(-1))
+    lo = F.greatest(F.coalesce(f"_o{m}{name}", F.lit(-1)), indel) + 1
+    return F.struct(F.lit(m).alias("mode"), F.when(lo <= top["q"], top["base"]).alias("base"), lo.alias("lo"), top["q"].alias("hi"), indel.alias("indel"))
 
 
-def _modes(bases: Column) -> Column:
-    return F.array(_mode(bases, 0), _mode(bases, 1))
+def _modes(name: str = "") -> Column:
+    return F.array(_mode(0, name), _mode(1, name))
 
 
 def site_intervals(reads: DataFrame, keys: list[str]) -> DataFrame:
     """keys, mode (0 plain, 1 continuity), base, lo, hi, indel (highest quality of reads with an indel here, -1 for
     none), n_reads. reads: keys, base, mapq, zn, rejects. base is null where no threshold calls the position.
 
-    Built from maxima over bases for both modes at once, so reads are neither collected nor doubled."""
-    best = _by_base(reads, keys).groupBy(*keys).agg(F.collect_list(F.struct(*_BASE)).alias("b"), F.sum("n").alias("n_reads"))  # a few bases
-    out = best.select(*keys, F.explode(_modes(F.col("b"))).alias("m"), "n_reads")
+    Built from maxima over bases for both modes at once, so reads are neither collected nor doubled: a window tells the
+    top, one aggregation in the window's order the rest."""
+    order = ["pos", *(k for k in keys if k != "pos")] if "pos" in keys else keys
+    best = _with_tops(_by_base(reads, keys), order)
+    best = best.groupBy(*order).agg(*(c for m in (0, 1) for c in _maxima(m, F.lit(True))), F.sum("n").alias("n_reads"))
+    out = best.select(*keys, F.explode(_modes()).alias("m"), "n_reads")
     return out.select(*keys, "m.*", "n_reads")
 
 
@@ -66,15 +74,14 @@ def scan(reads: DataFrame, reference, taxa: list[int], mask: DataFrame | None =
     if not dealt:
         reads = with_halo(reads, "pos", max(2, indel_window), tile).drop("_own")
     keys = ["chrom", "_tile", "pos"]
+    own = _by_base(reads, [*keys, "taxon", *(["kind", "mask_end"] if dealt else [])])
+    read = F.col("kind") == 0 if dealt else F.lit(True)
+    more = [F.max(read).alias("_line")]
     if dealt:
-        own = _by_base(reads, [*keys, "taxon", "kind", "mask_end"])
-        more = [F.max(F.when(F.col("kind") == 2, F.col("base"))).alias("_ref"), F.max("mask_end").alias("mask_end"), F.max(F.col("kind") == 0).alias("_line")]
-        bases = F.collect_list(F.when(F.col("kind") == 0, F.struct("taxon", *_BASE)))
-    else:
-        own, more, bases = _by_base(reads, [*keys, "taxon"]), [F.lit(True).alias("_line")], F.collect_list(F.struct("taxon", *_BASE))
-    lines = own.groupBy(*keys).agg(bases.alias("b"), *more)
-    one = lambda t: F.filter("b", lambda x: x["taxon"] == t)
-    lines = lines.select(*keys, "_line", *(["mask_end", "_ref"] if dealt else []), *(F.when(F.size(one(t)) > 0, _modes(one(t))).alias(f"s{t}") for t in taxa))
+        more += [F.max(F.when(F.col("kind") == 2, F.col("base"))).alias("_ref"), F.max("mask_end").alias("mask_end")]
+    order = ["pos", "chrom", "_tile"]
+    lines = _with_tops(own, [*order, "taxon"]).groupBy(*order).agg(*more, *(c for t in taxa for m in (0, 1) for c in _maxima(m, read & (F.col("taxon") == t), f"_{t}")))
+    lines = lines.select(*keys, "_line", *(["mask_end", "_ref"] if dealt else []), *(F.when(F.col(f"_t0_{t}").isNotNull(), _modes(f"_{t}")).alias(f"s{t}") for t in taxa))
     if table is None:
         lines = lines.withColumn("ref", reference)
     else:
@@ -112,11 +119,9 @@ def scan(reads: DataFrame, reference, taxa: list[int], mask: DataFrame | None =
     # neighbours' bounds, from 0 to ALWAYS
     lo = F.greatest(F.lit(0), *(F.col(f"{c}.lo") for c in every))
     hi = F.least(F.lit(ALWAYS), *(F.col(f"{c}.hi") for c in every))
-    out = lines.where(callable_).select(
-        "chrom", "pos", "mode", lo.alias("lo"), hi.alias("hi"), "indel_mapq",
-        (F.col("masked") | F.col("before_masked") | F.col("behind_masked")).cast("int").alias("repeat"),
-        three(lambda side: F.col(f"{side}ref")).alias("ref3"), *(own(t).alias(f"t{t}_3") for t in taxa),
-    ).where("lo <= hi")
+    repeat = (F.col("masked") | F.col("before_masked") | F.col("behind_masked")).cast("int")
+    out = settle(lines.where(callable_), {"lo": lo, "hi": hi, "repeat": repeat, "ref3": three(lambda side: F.col(f"{side}ref")), **{f"t{t}_3": own(t) for t in taxa}})
+    out = out.select("chrom", "pos", "mode", "lo", "hi", "indel_mapq", "repeat", "ref3", *(f"t{t}_3" for t in taxa)).where("lo <= hi")
     return classify_trio(out, acgt=False) if len(taxa) == 2 else classify_pair(out)
 
 

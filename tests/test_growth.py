@@ -60,3 +60,15 @@ def test_sites_are_counted_before_they_are_told_apart(spark):
     assert "lambda" not in plan[plan.rindex("Aggregate") :].split("\n", 1)[1]
     assert [tuple(r) for r in own.collect()] == [("AACC", 3)]
     assert parsimony.constant_changes(matrix).first()[0] == 2
+
+
+def test_classes_are_compiled_code(spark):
+    """HotSpot runs methods over 8,000 bytes in its interpreter."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        own = queries._trio(spark, SF).where(F.col("site_class").isin("taxa1_mut", "taxa2_mut"))
+        text = spark._jvm.PythonSQLUtils.explainString(sites.spectrum(own)._jdf.queryExecution(), "codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+    assert sizes and max(sizes) < 8000
