@@ -117,7 +117,8 @@ def phylip_infile(blocks: DataFrame, path: str) -> None:
     order as they pass one task, so that neither it nor the driver holds a line."""
     from .bam import open_path
 
-    tmp = f"{path}.tmp"
+    from_, fs = _path(blocks.sparkSession, f"{path}.tmp")
+    tmp = fs.makeQualified(from_).toString()  # Arrow's file systems know neither working folder nor default
     blocks.write.mode("overwrite").parquet(f"{path}.blocks")
     own = blocks.sparkSession.read.schema(blocks.schema).parquet(f"{path}.blocks")
     taxa, sites = own.agg(F.countDistinct("taxon"), F.sum(F.when(F.col("taxon") == 0, F.length("bases")))).first()
@@ -138,7 +139,6 @@ def phylip_infile(blocks: DataFrame, path: str) -> None:
         yield pa.RecordBatch.from_pydict({"done": [1]})
 
     own.repartition(1).sortWithinPartitions("taxon", "part", "i").select("taxon", "bases").mapInArrow(run, "done long").collect()
-    from_, fs = _path(blocks.sparkSession, tmp)
     to, _ = _path(blocks.sparkSession, path)
     fs.delete(to, False)
     fs.rename(from_, to)
