@@ -6,8 +6,9 @@ wild: 64 keys for a fingerprint. Two parts that differ in one bit share the key
 all. Fingerprints that share a key are compared, and links become components.
 
 Rows are first reduced to distinct fingerprints, so that copies, however many, are one entry. Within a key, links are
-found by a search that grows components and emits one link for each new member, never all pairs. In a key with many
-different fingerprints the bits that vary are cut and indexed in the same way once more, so that few are compared.
+found by a search that grows components and emits one link for each new member, never all pairs, and of these only the
+links whose two ends share no key before this one. In a key with many different fingerprints the bits that vary are cut
+and indexed in the same way once more, so that few are compared.
 
 ``near_copies`` uses the same index for texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 Such sets differ in 15 % of the bits of their fingerprints at most, on average, which no 64 bits can tell from chance:
@@ -93,30 +94,52 @@ def wildcard_keys(fps: DataFrame, segments: int = SEGMENTS) -> DataFrame:
     return fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("w")).select((F.expr(f"shiftleft(cast(w as long), {width})") + masked).alias("key"), "fp")
 
 
-def link_run(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
-    """Links that join the distinct fingerprints of one key into their components: a search from each unseen
-    fingerprint compares it with those unseen still, so each member yields one link."""
-    rest, out = fps, []
+def forest(pairs: np.ndarray) -> np.ndarray:
+    """Those of the pairs (rows of two) that join what the pairs before them leave apart."""
+    ids, at = np.unique(pairs, return_inverse=True)
+    root, kept = list(range(len(ids))), []
+    for i, (a, b) in enumerate(at.reshape(-1, 2).tolist()):
+        while root[a] != a:
+            root[a] = a = root[root[a]]
+        while root[b] != b:
+            root[b] = b = root[root[b]]
+        if a != b:
+            root[b] = a
+            kept.append(i)
+    return pairs[kept]
+
+
+def link_run(fps: np.ndarray, max_bits: int, most: int | None = None) -> np.ndarray | None:
+    """Links, rows of two, that join the distinct fingerprints of one key into their components: a search from each
+    unseen fingerprint compares it with those unseen still, so each member yields one link. None if that takes more than
+    ``most`` comparisons."""
+    rest, out, done = fps, [np.empty((0, 2), np.uint64)], 0
     while len(rest) > 1:
         frontier, rest = [rest[0]], rest[1:]
         while frontier and len(rest):
+            done += len(rest)
+            if most is not None and done > most:
+                return None
             x = frontier.pop()
             near = np.bitwise_count(rest ^ x) <= max_bits
             if near.any():
                 found = rest[near]
-                out += [(x, y) for y in found]
+                out.append(np.stack((np.full(len(found), x), found), 1))
                 frontier += list(found)
                 rest = rest[~near]
-    return out
+    return np.concatenate(out)
 
 
-def link_group(fps: np.ndarray, max_bits: int, segments: int, few: int = 256) -> list[tuple[int, int]]:
-    """``link_run`` for many fingerprints: compares those that agree in a part of the varying bits, but for one bit."""
+def link_group(fps: np.ndarray, max_bits: int, segments: int, few: int = 256) -> np.ndarray:
+    """``link_run`` for many fingerprints: unless a search ends soon, as in a crowd of near ones, it compares those that
+    agree in a part of the varying bits, but for one bit. What the parts find is cut to one link for each member too."""
     if len(fps) <= few:
         return link_run(fps, max_bits)
+    if (out := link_run(fps, max_bits, few * len(fps))) is not None:
+        return out
     varying = np.bitwise_or.reduce(fps ^ fps[0])
     bits = [np.uint64(1 << i) for i in range(64) if int(varying) >> i & 1]
-    out: list[tuple[int, int]] = []
+    out = np.empty((0, 2), np.uint64)
     for part in range(segments):
         own = bits[part::segments]
         mask = np.bitwise_or.reduce(np.array([*own, 0], np.uint64))
@@ -125,17 +148,32 @@ def link_group(fps: np.ndarray, max_bits: int, segments: int, few: int = 256) ->
             order = np.argsort(key, kind="stable")
             begin = np.flatnonzero(np.concatenate(([True], np.diff(key[order]) != 0)))
             size = np.diff(np.concatenate((begin, [len(key)])))
+            found = [out]
             for at, n in zip(begin[size > 1].tolist(), size[size > 1].tolist()):
                 group = fps[order[at : at + n]]
-                out += link_group(group, max_bits, segments, few) if n <= len(fps) // 2 else link_run(group, max_bits)
+                found.append(link_group(group, max_bits, segments, few) if n <= len(fps) // 2 else link_run(group, max_bits))
+            if len(found) > 1:
+                out = forest(np.concatenate(found))
+    return out
+
+
+def first_wildcard(a: np.ndarray, b: np.ndarray, segments: int = SEGMENTS) -> np.ndarray:
+    """The wildcard bit of the first key that two fingerprints share, -1 for none."""
+    out = np.full(len(a), -1)
+    for lo, hi in segment_bounds(segments)[::-1]:
+        d = (a ^ b) >> np.uint64(lo) & np.uint64((1 << (hi - lo)) - 1)
+        n = np.bitwise_count(d)
+        out = np.where(n == 0, lo, np.where(n == 1, lo + np.bitwise_count(d - np.uint64(1)).astype(np.int64), out))
     return out
 
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS) -> DataFrame:
-    """Links (a, b) between distinct fingerprints within max_bits, enough of them to give the components."""
+    """Links (a, b) between distinct fingerprints within max_bits, enough of them to give the components, each once."""
     if max_bits >= 2 * segments:
         raise ValueError("a segment may differ by more than one bit: more segments are needed")
 
+    width = max(hi - lo for lo, hi in segment_bounds(segments))
+
     def run(batches):
         keys, vals = np.empty(0, np.int64), np.empty(0, np.uint64)
 
@@ -146,12 +184,14 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS) ->
             twos = starts[sizes == 2]
             a, b = vals[twos], vals[twos + 1]
             near = (np.bitwise_count(a ^ b) <= max_bits) & (a != b)
-            out = [(a[near], b[near])]
+            out = [(keys[twos[near]], a[near], b[near])]
             for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-                if pairs := link_group(np.unique(vals[s : s + n]), max_bits, segments):
-                    pairs = np.array(pairs, np.uint64)
-                    out.append((pairs[:, 0], pairs[:, 1]))
-            a, b = (np.concatenate(x).view(np.int64) for x in zip(*out))
+                if len(pairs := link_group(np.unique(vals[s : s + n]), max_bits, segments)):
+                    out.append((np.full(len(pairs), keys[s]), pairs[:, 0], pairs[:, 1]))
+            key, a, b = (np.concatenate(x) for x in zip(*out))
+            # two fingerprints may share many keys: their first one joins them already
+            first = first_wildcard(a, b, segments) == key >> width
+            a, b = a[first].view(np.int64), b[first].view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
         for batch in batches:
@@ -167,7 +207,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS) ->
     spark = fps.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = wildcard_keys(fps, segments).repartition(4 * parts, "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def simhash_components(docs: DataFrame, width: int = WIDTH, max_bits: int = MAX_BITS, segments: int = SEGMENTS, scratch: Scratch | None = None) -> DataFrame:

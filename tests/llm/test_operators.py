@@ -229,6 +229,22 @@ def test_links_of_random_fingerprints(spark):
     assert components(len(fps), [(at[int(a)], at[int(b)]) for a, b in whole]) == components(len(fps), want)
 
 
+def test_links_of_a_crowd_are_few(spark):
+    """Many near fingerprints share most keys; their links grow with them, not with the keys or the square."""
+    rng = random.Random(11)
+    base = rng.getrandbits(64)
+    fps = sorted({base ^ sum(1 << i for i in rng.sample(range(64), rng.randint(0, 3))) for _ in range(1500)})
+    frame = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    at = {f: i for i, f in enumerate(fps)}
+    got = [(at[r["a"] % (1 << 64)], at[r["b"] % (1 << 64)]) for r in simhash.links(frame).collect()]
+    assert len({*got}) == len(got) < 4 * len(fps) and len(fps) > 600
+    assert all((fps[a] ^ fps[b]).bit_count() <= 4 for a, b in got)
+    want = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4]
+    assert components(len(fps), got) == components(len(fps), want)
+    for few in (8, 256):
+        assert len(simhash.link_group(np.array(fps, np.uint64), 4, 3, few)) == len(fps) - len({*components(len(fps), want)})
+
+
 def test_connected_components(spark):
     rng = random.Random(6)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(500 + i, 501 + i) for i in range(60)] + [(900, i) for i in range(901, 960)]
