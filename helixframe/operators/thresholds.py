@@ -30,26 +30,22 @@ def _with_tops(own: DataFrame, keys: list[str]) -> DataFrame:
     return own.withColumns({f"t{m}": F.max(F.struct(F.col(f"q{m}").alias("q"), "base")).over(at) for m in (0, 1)})
 
 
-def _maxima(m: int, here: Column, name: str = "") -> list[Column]:
-    """What a mode keeps of the rows ``here``: the top, the best of those of other bases, the best that reject."""
+def _maxima(m: int) -> list[Column]:
+    """What a mode keeps of rows: the top, the best of those of other bases, the best that reject."""
     other = ~F.coalesce(F.col("base") == F.col(f"t{m}.base"), F.lit(False))
-    return [F.max(F.when(here, F.col(f"t{m}"))).alias(f"_t{m}{name}"), F.max(F.when(here & other, F.col(f"q{m}"))).alias(f"_o{m}{name}"), F.max(F.when(here, F.col(f"bad{m}"))).alias(f"_r{m}{name}")]
+    return [F.max(f"t{m}").alias(f"_t{m}"), F.max(F.when(other, F.col(f"q{m}"))).alias(f"_o{m}"), F.max(f"bad{m}").alias(f"_r{m}")]
 
 
-def _mode(m: int, name: str = "") -> Column:
+def _mode(m: int) -> Column:
     """mode, base, lo, hi, indel of the reads at a position.
 
     The base is that of the highest read; lo is one above the best read that rejects or disagrees (one that rejects and
     shows another base disagrees too, so all that reject count)."""
-    top, indel = F.col(f"_t{m}{name}"), F.coalesce(f"_r{m}{name}", F.lit(-1))
-    lo = F.greatest(F.coalesce(f"_o{m}{name}", F.lit(-1)), indel) + 1
+    top, indel = F.col(f"_t{m}"), F.coalesce(f"_r{m}", F.lit(-1))
+    lo = F.greatest(F.coalesce(f"_o{m}", F.lit(-1)), indel) + 1
     return F.struct(F.lit(m).alias("mode"), F.when(lo <= top["q"], top["base"]).alias("base"), lo.alias("lo"), top["q"].alias("hi"), indel.alias("indel"))
 
 
-def _modes(name: str = "") -> Column:
-    return F.array(_mode(0, name), _mode(1, name))
-
-
 def site_intervals(reads: DataFrame, keys: list[str]) -> DataFrame:
     """keys, mode (0 plain, 1 continuity), base, lo, hi, indel (highest quality of reads with an indel here, -1 for
     none), n_reads. reads: keys, base, mapq, zn, rejects. base is null where no threshold calls the position.
@@ -58,70 +54,90 @@ def site_intervals(reads: DataFrame, keys: list[str]) -> DataFrame:
     top, one aggregation in the window's order the rest."""
     order = ["pos", *(k for k in keys if k != "pos")] if "pos" in keys else keys
     best = _with_tops(_by_base(reads, keys), order)
-    best = best.groupBy(*order).agg(*(c for m in (0, 1) for c in _maxima(m, F.lit(True))), F.sum("n").alias("n_reads"))
-    out = best.select(*keys, F.explode(_modes()).alias("m"), "n_reads")
+    best = best.groupBy(*order).agg(*(c for m in (0, 1) for c in _maxima(m)), F.sum("n").alias("n_reads"))
+    out = best.select(*keys, F.explode(F.array(_mode(0), _mode(1))).alias("m"), "n_reads")
     return out.select(*keys, "m.*", "n_reads")
 
 
+# a base as a number: 0 for null, else one more than its ASCII code, so that numbers compare as bases do
+_LETTER = "least(coalesce(ascii(base), -1), 126) + 1"
+_LETTER_BITS = 7
+_FIELD = 9  # bits of a quality from -1 to 256, one added
+
+
+def _packed(reads: DataFrame, keys: list[str], more: list[Column]) -> DataFrame:
+    """keys, taxon, what ``more`` aggregates, and p0, p1 (null without reads): what ``_mode`` tells of the reads, as a
+    number: base (0 for none), lo (of use where there is a base), hi + 1, indel + 1. ``_read``: which rows are reads.
+
+    One aggregation of numbers. The best read of another base than the top's: for each bit of a letter the best read
+    with and without it is kept, and a letter that is another one differs in a bit. Reads with a neighbour, at 256 in
+    mode 1, need the largest and smallest letter only; if there are none, mode 1 is mode 0."""
+    own = reads.selectExpr(*keys, "taxon", *(c for c in ("kind", "mask_end", "_read") if c in reads.columns), f"{_LETTER} as _c", "if(_read, coalesce(cast(mapq as int), -1), null) as _q", "_read and zn >= 0 as _z", "rejects")
+    planes = [F.expr(f"max(if((_c & {1 << j}) {'<>' if side else '='} 0, _q, null)) as _p{side}_{j}") for j in range(_LETTER_BITS) for side in (0, 1)]
+    tops = ["max(_q * 128 + _c) as _top", "max(if(rejects, _q, null)) as _bad", "max(if(_z, _c, null)) as _most", "min(if(_z, _c, null)) as _least", "max(if(_z and rejects, 256, null)) as _zbad"]
+    best = own.groupBy(*keys, "taxon").agg(*more, *map(F.expr, tops), *planes)
+    rest = [c for c in best.columns if not c.startswith("_p") and c not in ("_top", "_bad", "_most", "_least", "_zbad")]
+    other = lambda c: f"coalesce(greatest({', '.join(f'if(({c} & {1 << j}) = 0, _p1_{j}, _p0_{j})' for j in range(_LETTER_BITS))}), -1)"
+    best = settle(best, {"_o0": F.expr(other("_top")), "_o1": F.expr(f"if(_most is null, null, if(_most <> _least, 256, {other('_most')}))"), "_r0": F.expr("coalesce(_bad, -1)"), "_r1": F.expr("coalesce(_zbad, _bad, -1)")})
+    pack = lambda base, lo, hi, indel: f"((cast(if({lo} <= {hi}, {base}, 0) as long) << {3 * _FIELD}) | (cast({lo} as long) << {2 * _FIELD}) | (({hi} + 1) << {_FIELD}) | ({indel} + 1))"
+    p0 = pack("(_top & 127)", "(greatest(_o0, _r0) + 1)", "(_top >> 7)", "_r0")
+    p1 = pack("_most", "(greatest(_o1, _r1) + 1)", "256", "_r1")
+    return best.selectExpr(*rest, f"if(_top is null, null, {p0}) as p0", f"if(_top is null, null, if(_most is null, {p0}, {p1})) as p1")
+
+
 def scan(reads: DataFrame, reference, taxa: list[int], mask: DataFrame | None = None, indel_window: int = 1, tile: int = TILE) -> DataFrame:
     """Classified windows: chrom, pos, mode, site_class, label, lo, hi, repeat and, for indel_window over 1,
-    indel_mapq. reads: taxon, chrom, pos, base, mapq, zn, rejects, and those of ``dealt_positions`` kind, mask_end and
-    _tile too. A position that any taxon covers is a line.
+    indel_mapq. reads: taxon, chrom, pos, base (an ASCII letter), mapq (to 255), zn, rejects, and those of
+    ``dealt_positions`` kind, mask_end and _tile too. A position that any taxon covers is a line.
 
-    Both modes stay in one line until windows are classified, and all frames share the lines' one deal."""
+    Both modes stay in one line, a number for each and taxon, until windows are classified, and all frames share the
+    lines' one deal."""
     dealt = "_tile" in reads.columns
     table = None if isinstance(reference, Column) else reference
     if not dealt:
         reads = with_halo(reads, "pos", max(2, indel_window), tile).drop("_own")
     keys = ["chrom", "_tile", "pos"]
-    own = _by_base(reads, [*keys, "taxon", *(["kind", "mask_end"] if dealt else [])])
-    read = F.col("kind") == 0 if dealt else F.lit(True)
-    more = [F.max(read).alias("_line")]
+    reads = reads.withColumn("_read", F.col("kind") == 0 if dealt else F.lit(True))
+    more = ["max(_read) as _line"]
     if dealt:
-        more += [F.max(F.when(F.col("kind") == 2, F.col("base"))).alias("_ref"), F.max("mask_end").alias("mask_end")]
-    order = ["pos", "chrom", "_tile"]
-    lines = _with_tops(own, [*order, "taxon"]).groupBy(*order).agg(*more, *(c for t in taxa for m in (0, 1) for c in _maxima(m, read & (F.col("taxon") == t), f"_{t}")))
-    lines = lines.select(*keys, "_line", *(["mask_end", "_ref"] if dealt else []), *(F.when(F.col(f"_t0_{t}").isNotNull(), _modes(f"_{t}")).alias(f"s{t}") for t in taxa))
+        more += ["max(if(kind = 2, _c, null)) as _ref", "max(mask_end) as mask_end"]
+    lines = _packed(reads, keys, [F.expr(c) for c in more])
+    again = [f"max({c}) as {c}" for c in ("_line", "_ref", "mask_end") if c in lines.columns]
+    lines = lines.groupBy(*keys).agg(*map(F.expr, again), *(F.expr(f"max(if(taxon = {t}, p{m}, null)) as s{t}_{m}") for t in taxa for m in (0, 1)))
     if table is None:
         lines = lines.withColumn("ref", reference)
     else:
-        lines = lines.withColumn("ref", F.coalesce("_ref", F.lit("N"))) if dealt else with_reference(lines, table)
+        lines = lines.withColumn("ref", F.coalesce(F.char(F.col("_ref") - 1), F.lit("N"))) if dealt else with_reference(lines, table)
     frame = in_tile(["chrom"], "pos")
     if dealt:
         top = F.max("mask_end").over(frame.rowsBetween(Window.unboundedPreceding, 0))
         lines = lines.withColumn("masked", F.coalesce(top >= F.col("pos"), F.lit(False))).drop("mask_end", "_ref")
     else:
         lines = mark_masked(lines, mask)  # a flag here: masked positions stay
-    lines = lines.where("_line").drop("_line")
-    for m in (0, 1):
-        if indel_window > 1:
-            here = F.greatest(F.lit(0), *(F.coalesce(F.col(f"s{t}")[m]["indel"], F.lit(-1)) for t in taxa))
+    field = lambda c, at: F.shiftright(c, at * _FIELD).bitwiseAND(F.lit((1 << _FIELD) - 1)).cast("int")
+    lines = lines.where("_line").drop("_line").withColumn("ref", F.ascii("ref"))
+    if indel_window > 1:
+        for m in (0, 1):
+            here = F.greatest(F.lit(0), *(field(F.col(f"s{t}_{m}"), 0) - 1 for t in taxa))
             lines = lines.withColumn(f"indel{m}", F.max(here).over(frame.rangeBetween(-indel_window, indel_window)))
-        else:
-            lines = lines.withColumn(f"indel{m}", F.lit(None).cast("int"))
-    line = F.struct("pos", "ref", "masked", *(f"s{t}" for t in taxa))
-    lines = lines.withColumn("before", F.lag(line).over(frame)).withColumn("behind", F.lead(line).over(frame)).where(F.col("_tile") == tile_of("pos", max(tile, 2 * max(2, indel_window) + 1)))
-    lines = lines.where((F.col("before.pos") == F.col("pos") - 1) & (F.col("behind.pos") == F.col("pos") + 1))
-    sides = [f"{side}s{t}" for side in ("before.", "", "behind.") for t in taxa]
-    whole = F.lit(True)
-    for c in sides:
-        whole = whole & F.col(c).isNotNull()
-    plain = lambda c: c.replace(".", "_")
-    both = F.array(*(F.struct(F.lit(m).alias("mode"), F.col(f"indel{m}").alias("indel_mapq"), *(F.col(c)[m].alias(plain(c)) for c in sides)) for m in (0, 1)))
-    lines = lines.where(whole).select("chrom", "pos", "ref", "masked", F.col("before.ref").alias("before_ref"), F.col("before.masked").alias("before_masked"), F.col("behind.ref").alias("behind_ref"), F.col("behind.masked").alias("behind_masked"), F.explode(both).alias("z"))
-    lines = lines.select("chrom", "pos", "ref", "masked", "before_ref", "before_masked", "behind_ref", "behind_masked", "z.*")
-    every = [plain(c) for c in sides]
-    callable_ = F.lit(True)
-    for c in every:
-        callable_ = callable_ & F.col(f"{c}.base").isNotNull()
-    three = lambda get: F.concat(*(get(side) for side in ("before_", "", "behind_")))
-    own = lambda t: three(lambda side: F.col(f"{side}s{t}.base"))
+    line = ["pos", "ref", "masked", *(f"s{t}_{m}" for t in taxa for m in (0, 1))]
+    lines = lines.select("*", *(move(c).over(frame).alias(f"{side}_{c}") for side, move in (("before", F.lag), ("behind", F.lead)) for c in line))
+    lines = lines.where(F.col("_tile") == tile_of("pos", max(tile, 2 * max(2, indel_window) + 1))).where("before_pos = pos - 1 and behind_pos = pos + 1")
+    every = [f"{side}s{t}" for side in ("before_", "", "behind_") for t in taxa]
+    # both modes have a number where one has, its base is none where no threshold calls the position
+    lines = lines.where(" and ".join(f"{c}_0 is not null" for c in every)).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("mode"))
+    indel = "if(mode = 0, indel0, indel1)" if indel_window > 1 else "cast(null as int)"
+    repeat = "cast(masked or before_masked or behind_masked as int) as repeat"
+    lines = lines.selectExpr("chrom", "pos", "mode", f"{indel} as indel_mapq", repeat, "before_ref", "ref", "behind_ref", *(f"if(mode = 0, {c}_0, {c}_1) as {c}" for c in every))
+    lines = lines.where(" and ".join(f"{c} >= {1 << 3 * _FIELD}L" for c in every))
     # neighbours' bounds, from 0 to ALWAYS
-    lo = F.greatest(F.lit(0), *(F.col(f"{c}.lo") for c in every))
-    hi = F.least(F.lit(ALWAYS), *(F.col(f"{c}.hi") for c in every))
-    repeat = (F.col("masked") | F.col("before_masked") | F.col("behind_masked")).cast("int")
-    out = settle(lines.where(callable_), {"lo": lo, "hi": hi, "repeat": repeat, "ref3": three(lambda side: F.col(f"{side}ref")), **{f"t{t}_3": own(t) for t in taxa}})
-    out = out.select("chrom", "pos", "mode", "lo", "hi", "indel_mapq", "repeat", "ref3", *(f"t{t}_3" for t in taxa)).where("lo <= hi")
+    lo = F.greatest(F.lit(0), *(field(F.col(c), 2) for c in every))
+    hi = F.least(F.lit(ALWAYS), *(field(F.col(c), 1) - 1 for c in every))
+    lines = settle(lines, {"lo": lo, "hi": hi}).where("lo <= hi")
+    sides = ("before_", "", "behind_")
+    ref3 = F.concat(*(F.char(f"{side}ref") for side in sides))
+    own = {f"t{t}_3": F.concat(*(F.char(F.shiftright(f"{side}s{t}", 3 * _FIELD) - 1) for side in sides)) for t in taxa}
+    out = settle(lines, {"ref3": ref3, **own}).select("chrom", "pos", "mode", "lo", "hi", "indel_mapq", "repeat", "ref3", *(f"t{t}_3" for t in taxa))
     return classify_trio(out, acgt=False) if len(taxa) == 2 else classify_pair(out)
 
 

@@ -1,6 +1,7 @@
 """Sites, windows and classes against sequential versions."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -229,6 +230,33 @@ def test_derived_equals_direct(spark):
         assert a == b and sum(a.values()) > 100
 
 
+def test_packed_modes_are_those_of_the_intervals(spark):
+    """Numbers of a scan against the modes read by read, with any letters, missing ones and up to six at a position."""
+    rng = random.Random(7)
+    rows = []
+    for pos in range(1, 400):
+        for taxon in (1, 2):
+            letters = rng.choice(["AC", "A", "ACGT*N", ["", "*", "R", "Y", "=", "."], ["A", None]])
+            for _ in range(rng.randint(0, 7)):
+                rows.append((taxon, "c", pos, rng.choice(letters), rng.choice([None, 0, 1, 9, 30, 60, 255]) if pos % 3 else 30, rng.choice([-1, -1, 0, 20, None]), rng.random() < 0.1))
+    frame = spark.createDataFrame(rows, "taxon int, chrom string, pos int, base string, mapq int, zn int, rejects boolean")
+    want = {(r["taxon"], r["pos"], r["mode"]): (r["base"], r["base"] is not None and r["lo"], -1 if r["hi"] is None else r["hi"], r["indel"]) for r in thresholds.site_intervals(frame, ["taxon", "chrom", "pos"]).collect()}
+    got = {}
+    for r in thresholds._packed(frame.withColumn("_read", F.lit(True)), ["chrom", "pos"], [F.max("_read").alias("_line")]).collect():
+        for m in (0, 1):
+            x = r[f"p{m}"]
+            base = None if not x >> 27 else "" if x >> 27 == 1 else chr((x >> 27) - 1)
+            got[(r["taxon"], r["pos"], m)] = (base, base is not None and x >> 18 & 511, (x >> 9 & 511) - 1, (x & 511) - 1)
+    assert got == want and sum(v[0] is not None for v in got.values()) > 300
+
+
+def test_a_threshold_scan_sorts_lines_only(spark):
+    """Bases are told apart by hashed numbers: no aggregation sorts, and positions are sorted once, as lines."""
+    frame = spark.createDataFrame([(1, "c", 5, "A", 30, -1, False)], "taxon int, chrom string, pos int, base string, mapq int, zn int, rejects boolean")
+    plan = thresholds.scan(frame, F.lit("A"), [1, 2])._jdf.queryExecution().sparkPlan().toString()
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan and len(re.findall(r"^\W*Window ", plan, re.M)) == 1
+
+
 @pytest.mark.parametrize("adjacent", [True, False])
 @pytest.mark.parametrize("tile", [7, 40, 1000])
 def test_merge_across_tiles(spark, adjacent, tile):
