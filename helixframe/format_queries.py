@@ -142,12 +142,12 @@ def sam_pileup(spark, sf):
 
 def _pileup_file(positions: DataFrame, taxa: list[int], at: str, annotated: bool = False) -> None:
     """Lines of depth, bases and qualities (and mapq and zn) of each sample. positions: chrom, pos, taxon, base,
-    deleted, inserted, ord, mapq, zn."""
+    deleted, inserted, ord, mapq, zn, and _tile where reads were dealt before they were walked."""
     shown = F.when(F.col("deleted"), "*").when(F.col("base") == D.reference(), ".").otherwise(F.col("base"))
     token = F.concat(shown, F.when(F.col("inserted"), "+1A").otherwise(""))
     read = F.struct("ord", token.alias("t"), F.char(F.col("mapq") + 33).alias("q"), F.col("zn").cast("string").alias("z"))
-    cols = [F.array_sort(F.collect_list(F.when(F.col("taxon") == t, read))).alias(f"r{t}") for t in taxa]
-    rows = positions.groupBy("chrom", "pos").agg(*cols)
+    cols = [F.sort_array(F.collect_list(F.when(F.col("taxon") == t, read))).alias(f"r{t}") for t in taxa]
+    rows = positions.groupBy("chrom", *(["_tile"] if "_tile" in positions.columns else []), "pos").agg(*cols)
     joined = lambda t, c, sep="": F.when(F.size(f"r{t}") > 0, F.array_join(F.transform(f"r{t}", lambda x: x[c]), sep)).otherwise("*")
     fields = ["chrom", F.col("pos").cast("string"), D.reference()]
     for t in taxa:
@@ -156,11 +156,15 @@ def _pileup_file(positions: DataFrame, taxa: list[int], at: str, annotated: bool
     rows.select(F.concat_ws("\t", *fields).alias("value")).write.text(at)
 
 
+def _dealt(alignments: DataFrame) -> DataFrame:
+    """Positions of reads that are dealt by tile, so that reads are shuffled and not their positions."""
+    return sites.dealt_positions(alignments, None, None, ["taxon", "ord", "mapq", "zn"], 0, Q.TILE)
+
+
 @query("pileup_trio_file", Q.SQL["pileup_sites"])
 def pileup_trio_file(spark, sf):
     at = folder(spark)
-    own = D.alignments(spark, sf).withColumnRenamed("rname", "chrom")
-    _pileup_file(sites.aligned_positions(own, ["taxon", "chrom", "ord", "mapq"]).withColumn("zn", F.lit(-1)), Q.TAXA, at)
+    _pileup_file(_dealt(D.alignments(spark, sf).withColumn("zn", F.lit(-1))), Q.TAXA, at)
     lines = readers.pileup_lines(readers.pileup(spark, at, 2), 2)
     return _longs(lines.select("chrom", "pos", "ref", "cov_1", "cov_2", "base_1", "base_2", (F.col("del_1") | F.col("del_2")).alias("del"), (F.col("ins_1") | F.col("ins_2")).alias("ins"), "dis_1", "dis_2"), "pos")
 
@@ -168,8 +172,7 @@ def pileup_trio_file(spark, sf):
 @query("pileup_pair_file", f"{Q.PAIR_LINES} SELECT chrom, pos, ref, cov_1, base_1, del_1, ins_1, dis_1 FROM lines")
 def pileup_pair_file(spark, sf):
     at = folder(spark)
-    own = D.alignments(spark, sf).where("taxon = 1").withColumnRenamed("rname", "chrom")
-    _pileup_file(sites.aligned_positions(own, ["taxon", "chrom", "ord", "mapq"]).withColumn("zn", F.lit(-1)), [1], at)
+    _pileup_file(_dealt(D.alignments(spark, sf).where("taxon = 1").withColumn("zn", F.lit(-1))), [1], at)
     return _longs(readers.pileup_lines(readers.pileup(spark, at, 1), 1).select("chrom", "pos", "ref", "cov_1", "base_1", "del_1", "ins_1", "dis_1"), "pos")
 
 
@@ -179,8 +182,8 @@ def pileup_annotated_file(spark, sf):
 
     at = folder(spark)
     kept = reads.neighbour_mapq(D.reads(spark, sf), tile=Q.TILE)
-    own = D.with_bases(kept).withColumnRenamed("rname", "chrom")
-    _pileup_file(sites.aligned_positions(own, ["taxon", "chrom", "ord", "mapq", "zn"]), Q.TAXA, at, annotated=True)
+    own = D.with_bases(kept)
+    _pileup_file(_dealt(own), Q.TAXA, at, annotated=True)
     rows = readers.annotated_reads(readers.pileup(spark, at, 2, annotated=True), 2)
     rows = rows.withColumn("base", F.when(F.col("base") == ".", F.col("ref")).otherwise(F.col("base")))
     out = thresholds.site_intervals(rows, ["taxon", "chrom", "pos"]).select("taxon", "chrom", "pos", "mode", "base", "lo", "hi", "indel")

@@ -72,3 +72,20 @@ def test_classes_are_compiled_code(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
     sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", text)]
     assert sizes and max(sizes) < 8000
+
+
+@pytest.mark.parametrize("name", ["pileup_trio_file", "pileup_pair_file", "pileup_annotated_file"])
+def test_a_pileup_file_shuffles_reads_and_not_their_positions(spark, monkeypatch, name):
+    class Seen(Exception):
+        pass
+
+    def look(positions, *_, **__):
+        lines = positions.groupBy("chrom", "_tile", "pos").count()
+        plan = lines._jdf.queryExecution().executedPlan().toString()
+        walked = plan.index("_j#")  # what stands above a read's positions
+        assert "Exchange" not in plan[:walked] and "Exchange" in plan[walked:]
+        raise Seen
+
+    monkeypatch.setattr(format_queries, "_pileup_file", look)
+    with pytest.raises(Seen):
+        queries.QUERIES[name](spark, SF)
