@@ -42,6 +42,7 @@ WIDE_SEGMENTS = 14
 NEAR_BITS = 33  # of 128: at similarity 0.8 two texts differ in 19.4 of them, with a deviation of 4.1
 KEY_ROWS = 2048  # sets whose keys a task makes
 CROWD = 20_000  # rows of one key that a task takes
+BLOCKS = 3  # of a segment: keys whose wild bits are in one block are dealt together
 
 
 def fingerprint(text: bytes, width: int = WIDTH) -> int:
@@ -293,7 +294,19 @@ def wide_keys(sets: DataFrame, segments: int = WIDE_SEGMENTS) -> DataFrame:
     return found.select(F.explode("keys").alias("key"), "rid", "c0", "c1")
 
 
-def like_leaders(rows: DataFrame, parts: int, starts: list[int], dealt_by: list) -> DataFrame:
+def dealt_keys(rows: DataFrame, parts: int, salts: list, segments: int = WIDE_SEGMENTS) -> DataFrame:
+    """Rows of ``wide_keys`` with equal keys in one task, by the bits of the segment outside the wild bit's block. So a
+    set's keys, 256 of them, go to 42 places, where its other columns lie side by side and are compressed as one."""
+    block, others = [], []
+    for lo, hi in segment_bounds(segments, WIDE):
+        for first, last in segment_bounds(BLOCKS, hi - lo):
+            block += [lo + first] * (last - first)
+            others += [(1 << 32) - 1 - ((1 << last) - (1 << first))] * (last - first)
+    of = lambda table: F.get(F.array(*map(F.lit, table)), F.shiftright("key", 33).cast("int"))
+    return rows.repartition(parts, of(block), F.shiftright("key", 1).bitwiseAND(of(others)), *salts)
+
+
+def like_leaders(rows: DataFrame, parts: int, segments: int, salts: list) -> DataFrame:
     """a, b: pairs of a row and a leader of its key that it may be like; key, rid, c0, c1: the leaders of hot keys.
 
     In a pseudo-random order of its own for each key, a row that is like no leader before it is a leader. Many rows are
@@ -345,9 +358,10 @@ def like_leaders(rows: DataFrame, parts: int, starts: list[int], dealt_by: list)
         return pa.RecordBatch.from_arrays([none, none, *map(pa.array, cols)], names=names)
 
     names = ["a", "b", "key", "rid", "c0", "c1"]
+    starts = [lo for lo, _ in segment_bounds(segments, WIDE)]
     group = F.shiftright("key", 1)
-    dealt = rows.select("key", "rid", "c0", "c1", "hot", *dealt_by[1:]).repartition(parts, group, *dealt_by[1:])
-    dealt = dealt.sortWithinPartitions(group, *dealt_by[1:], F.xxhash64(group, "rid")).select("key", "rid", "c0", "c1", "hot")
+    dealt = dealt_keys(rows.select("key", "rid", "c0", "c1", "hot", *salts), parts, salts, segments)
+    dealt = dealt.sortWithinPartitions(group, *salts, F.xxhash64(group, "rid")).select("key", "rid", "c0", "c1", "hot")
     return dealt.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
@@ -358,7 +372,6 @@ def candidates(sets: DataFrame, segments: int = WIDE_SEGMENTS, crowd: int = CROW
     that sixteenth decides nothing but how rows are dealt."""
     scratch = scratch or Scratch(sets.sparkSession, "near-copies")
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    starts = [lo for lo, _ in segment_bounds(segments, WIDE)]
     # so many tasks that the keys of each, a row for each bit, can be sorted in its memory
     sets = scratch.save(sets.repartition(max(parts, sets.count() // KEY_ROWS + 1), "rid"), "dealt")
     some = wide_keys(sets.where(F.pmod(F.xxhash64("rid"), F.lit(16)) == 0), segments)
@@ -371,11 +384,11 @@ def candidates(sets: DataFrame, segments: int = WIDE_SEGMENTS, crowd: int = CROW
         rows = rows.withColumn("hot", F.col("salts").isNotNull()).withColumn("salt", F.pmod(F.xxhash64("rid"), F.coalesce("salts", F.lit(1))).cast("int"))
     else:
         rows = rows.withColumn("hot", F.lit(False))
-    found = like_leaders(rows, 4 * parts, starts, ["key", "salt"] if any_hot else ["key"])
+    found = like_leaders(rows, 4 * parts, segments, ["salt"] if any_hot else [])
     if not any_hot:
         return found.select("a", "b").distinct()
     found = scratch.save(found, "found")
-    again = like_leaders(found.where("key is not null").select("key", "rid", "c0", "c1", F.lit(False).alias("hot")), parts, starts, ["key"])
+    again = like_leaders(found.where("key is not null").select("key", "rid", "c0", "c1", F.lit(False).alias("hot")), parts, segments, [])
     return found.where("a is not null").select("a", "b").unionByName(again.select("a", "b")).distinct()
 
 
@@ -406,7 +419,9 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, width: int = SET_WIDT
     pairs = scratch.save(candidates(firsts, segments, crowd, scratch), "pairs")
     needed = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
     needed = firsts.join(needed, "rid", "left_semi").select("rid", "sh", *(F.col(f"first.{k}").alias(k) for k in ROW_KEY))
-    sets = scratch.save(rows.join(needed, ["sh", *ROW_KEY]).select("rid", "own").dropDuplicates(["rid"]), "sets")
+    # of repeated rows one, told by the join's keys, so that sets are dealt once
+    sets = rows.join(needed, ["sh", *ROW_KEY]).dropDuplicates(["sh", *ROW_KEY])
+    sets = scratch.save(sets.select("rid", "own"), "sets")
     edges = scratch.save(checked(pairs, sets, similar), "links")
     comp = connected_components(edges, scratch)
     own = firsts.select("rid", "sh", "first").join(comp.withColumnRenamed("id", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))

@@ -277,6 +277,19 @@ def test_near_copies_of_the_pipeline(spark, docs, empty):
     assert got.where("doc_id is null").count() == 1 and got.where("id = 1 and rid = 7").count() == got.count()
 
 
+def test_keys_of_a_set_are_dealt_to_few_places(spark):
+    """Equal keys meet in one task, and a set's keys lie in no more places than the segments have blocks."""
+    rng = random.Random(6)
+    rows = [(i, *(rng.getrandbits(64) - (1 << 63) for _ in range(4))) for i in range(30)]
+    rows += [(100 + i, r[1] ^ 1 << i, *r[2:]) for i, r in enumerate(rows)]
+    keys = simhash.wide_keys(spark.createDataFrame(rows, "rid long, f0 long, f1 long, f2 long, f3 long"))
+    dealt = simhash.dealt_keys(keys, 256, []).withColumn("at", F.spark_partition_id()).cache()
+    assert dealt.count() == keys.count() == 256 * len(rows)
+    assert dealt.groupBy(F.shiftright("key", 1)).agg(F.count_distinct("at").alias("n")).where("n > 1").count() == 0
+    places = dealt.groupBy("rid").agg(F.count_distinct("at").alias("n")).agg(F.max("n")).first()[0]
+    assert places <= simhash.BLOCKS * simhash.WIDE_SEGMENTS
+
+
 def test_near_copies_in_a_hot_key(spark):
     """A crowd of near copies, dealt over several tasks, and unlike texts: components equal those of all pairs."""
     rng = random.Random(14)
