@@ -1,15 +1,15 @@
 """Phrases of words that stand together more often than chance, by growing patterns to the right.
 
-Words and pairs of words are counted first, each task adding up what it can before the shuffle. A pair that is frequent
-is a prefix: every place where it occurs sends what stands to its right, as far as each pair of neighbours may be
-frequent, to the prefix's task. There the pointers to a prefix's occurrences are a range of sorted rows; its frequent
-extensions are ranges of that range, and each is grown before the next. A prefix with a large share of all pairs is
-dealt over many tasks by its extensions, whose counts are added up. Counts of phrases are exact: words are told apart by
-64 bits, and two frequent words of a language with one hash are an error.
+Patterns grow in two rounds. Words are counted first. In the first round every place where two frequent words stand sends
+them, and a third that is frequent, to the pair's task; in the second every place where two frequent runs of three begin
+in a row sends what stands there, up to five words, to the first run's task. Each task adds up what it can before the
+shuffle. There the pointers to a prefix's occurrences are a range of sorted rows; its frequent extensions are ranges of
+that range, and each is grown before the next. A prefix that may have a large share of all places is dealt over many
+tasks by its extensions, whose counts are added up. Counts of phrases are exact: words are told apart by 64 bits, and two
+frequent words of a language with one hash are an error.
 
-What tasks are told before they look for prefixes is bounded: a bit table of fixed size that says which pairs may be
-frequent (on very large tables it rules out less, and more rows are sent), and the hot pairs, of which there can be two a
-task.
+What tasks are told is bounded: bit tables of fixed size that say which words and which runs of three may be frequent (on
+very large tables they rule out less, and more rows are sent), and the hot ones of each, of which there can be two a task.
 
 Edge cases: a null text is the empty text, a null language ``und``; repeated rows count each; a text without words adds
 nothing; ties go to the phrase whose bytes come first; an empty table gives an empty result; other columns are ignored.
@@ -30,10 +30,11 @@ from .hashing import _powers, mix
 
 LONGEST = 5  # words of a phrase
 WORDS = [f"w{i}" for i in range(1, LONGEST + 1)]
-PAIR_BITS = 26  # of the table of pairs that may be frequent: 8 MB
-PARTS = 1024  # a prefix with more than half a task's share of all pairs is dealt in so many parts
-HELD = 400_000  # pairs that a task adds up before it sends them
-HELD_WINDOWS = 1_000_000  # and what stands right of prefixes
+RUN = 3  # words of what the first round looks for at most
+TABLE_BITS = 26  # of a table of what may be frequent: 8 MB
+PARTS = 1024  # a prefix with more than half a task's share of all places is dealt in so many parts
+HELD = 400_000  # rows of a prefix that are worked on together; a task holds a quarter as many words
+HELD_WINDOWS = 1_000_000  # places that a task adds up before it sends them
 BLOCK = 1 << 20  # bytes of text that are looked at together
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -143,32 +144,25 @@ def _batch(lang: str, columns: list[np.ndarray], more: list, names: list[str], s
         yield pa.RecordBatch.from_arrays(arrays, names=["lang", *names])
 
 
-def count_pairs(docs: DataFrame) -> DataFrame:
-    """lang, w1, w2, word, c: how often each word (w2 = 0) and each pair of neighbours (word empty) occurs. A language's
-    rows with w1 = 0 have the number of all words (w2 = 0) and of all pairs (w2 = 1)."""
-    names = ["w1", "w2", "word", "c"]
+def count_words(docs: DataFrame) -> DataFrame:
+    """lang, w1, word, c: how often each word occurs. A language's row with w1 = 0 has the number of all words."""
+    names = ["w1", "word", "c"]
 
     def run(batches):
-        pairs = _Sums(2)
         words: dict[str, dict[int, list]] = {}
-        totals: dict[str, list[int]] = {}
+        totals: dict[str, int] = {}
 
         def send():
-            for lang, columns, count in pairs.take():
-                yield from _batch(lang, columns, [np.array([""] * len(count), object), count], names)
             for lang, found in words.items():
                 keys = np.array(list(found), np.int64)
-                yield from _batch(lang, [keys, np.zeros(len(keys), np.int64)], [np.array([v[0] for v in found.values()], object), np.array([v[1] for v in found.values()], np.int64)], names)
+                yield from _batch(lang, [keys], [np.array([v[0] for v in found.values()], object), np.array([v[1] for v in found.values()], np.int64)], names)
             words.clear()
 
         for lang, text in _texts(batches):
-            raw, start, end, piece = tokenize(text)
+            raw, start, end, _ = tokenize(text)
             h = hashes(raw, start, end)
             kept = words.setdefault(lang, {})
-            near = np.flatnonzero(piece[1:] == piece[:-1])
-            sums = totals.setdefault(lang, [0, 0])
-            sums[0] += len(h)
-            sums[1] += len(near)
+            totals[lang] = totals.get(lang, 0) + len(h)
             at, count = add_up([h], np.ones(len(h), np.int64))
             lower = raw.tobytes()
             for k, s, e, c in zip(h[at].tolist(), start[at].tolist(), end[at].tolist(), count.tolist()):
@@ -176,65 +170,108 @@ def count_pairs(docs: DataFrame) -> DataFrame:
                     kept[k][1] += c
                 else:
                     kept[k] = [lower[s:e].decode(), c]
-            one = [h[near], h[near + 1]]
-            at, count = add_up(one, np.ones(len(near), np.int64))
-            pairs.add(lang, [c[at] for c in one], count)
-            if pairs.held > HELD:
-                pairs.settle()
-            if pairs.held > HELD // 2 or sum(map(len, words.values())) > HELD // 4:
+            if sum(map(len, words.values())) > HELD // 4:
                 yield from send()
         yield from send()
-        for lang, sums in totals.items():
-            yield from _batch(lang, [np.zeros(2, np.int64), np.arange(2)], [np.array(["", ""], object), np.array(sums)], names)
+        for lang, n in totals.items():
+            yield from _batch(lang, [np.zeros(1, np.int64)], [np.array([""], object), np.array([n])], names)
 
-    rows = _own(docs).mapInArrow(run, "lang string, w1 long, w2 long, word string, c long")
-    return rows.groupBy("lang", "w1", "w2", "word").agg(F.sum("c").alias("c"))
+    rows = _own(docs).mapInArrow(run, "lang string, w1 long, word string, c long")
+    return rows.groupBy("lang", "w1", "word").agg(F.sum("c").alias("c"))
 
 
-def _lang_hash(lang: str) -> np.int64:
+def _key(lang: str, columns: list[np.ndarray]) -> np.ndarray:
     raw = np.frombuffer(lang.encode() or b"\0", np.uint8)
-    return hashes(raw, np.zeros(1, np.int64), np.array([len(raw)]))[0]
-
+    own = hashes(raw, np.zeros(1, np.int64), np.array([len(raw)]))
+    return row_hash([np.repeat(own, len(columns[0])), *columns])
 
-def _pair_key(lang: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return row_hash([np.full(len(a), _lang_hash(lang)), a, b])
 
-
-def _bit_table(pairs: DataFrame) -> np.ndarray:
-    """Bits of the keys of ``pairs``: rows of 64 bits are made by tasks and at most 2^PAIR_BITS / 64 come here."""
+def _bit_table(df: DataFrame, words: list[str]) -> np.ndarray:
+    """Bits of the keys of ``words``: rows of 64 bits are made by tasks and at most 2^TABLE_BITS / 64 come here."""
 
     def run(batches):
         for batch in batches:
-            lang, a, b = (batch.column(i) for i in range(3))
-            a, b = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (a, b))
-            names = np.array(lang.to_pylist(), object)
+            columns = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[1:]]
+            names = np.array(batch.column(0).to_pylist(), object)
             for one in set(names.tolist()):
-                own = names == one
-                key = _pair_key(one, a[own], b[own]) >> np.uint64(64 - PAIR_BITS)
+                key = _key(one, [c[names == one] for c in columns]) >> np.uint64(64 - TABLE_BITS)
                 yield pa.RecordBatch.from_arrays([pa.array((key >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (key & np.uint64(63))).view(np.int64))], names=["slot", "bits"])
 
-    rows = pairs.select("lang", "w1", "w2").mapInArrow(run, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
-    table = np.zeros(1 << PAIR_BITS - 6, np.int64)
+    rows = df.select("lang", *words).mapInArrow(run, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(1 << TABLE_BITS - 6, np.int64)
     table[rows["slot"].to_numpy()] = rows["bits"].to_numpy()
     return table.view(np.uint8)
 
 
-def project(docs: DataFrame, pairs: DataFrame, n_pairs: int) -> DataFrame:
-    """lang, w1 to w5, part, c: what stands right of each occurrence of a frequent pair, 0 where it ends, with the number
-    of equal ones in a task. ``part`` is 0 for a prefix that one task holds."""
-    spark = docs.sparkSession
-    table = spark.sparkContext.broadcast(_bit_table(pairs))
+def _listed(bits: np.ndarray, lang: str, columns: list[np.ndarray]) -> np.ndarray:
+    """Which rows a bit table may have."""
+    key = _key(lang, columns) >> np.uint64(64 - TABLE_BITS)
+    # a 64-bit row's bytes come lowest first
+    return ((bits[key >> np.uint64(3)] >> (key & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+
+def _hot(df: DataFrame, words: list[str], n: int):
+    """Broadcast keys, sorted, of the rows of ``df`` with more than half a task's share of ``n``."""
+    spark = df.sparkSession
     share = max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = pairs.where(F.col("c") * share > F.lit(n_pairs)).select("lang", "w1", "w2").toArrow().to_pylist()
-    hot = spark.sparkContext.broadcast(np.sort(np.array([_pair_key(r["lang"], np.array([r["w1"]]), np.array([r["w2"]]))[0] for r in rows], np.uint64)))
-    names = [*WORDS, "part", "c"]
+    rows = df.where(F.col("c") * share > F.lit(n)).select("lang", *words).toArrow().to_pylist()
+    return spark.sparkContext.broadcast(np.sort(np.array([_key(r["lang"], [np.array([r[w]]) for w in words])[0] for r in rows], np.uint64)))
+
+
+def _is_hot(many: np.ndarray, key: np.ndarray) -> np.ndarray:
+    return many[np.minimum(np.searchsorted(many, key), len(many) - 1)] == key if len(many) else np.zeros(len(key), bool)
+
+
+def _sent(sums: _Sums, is_hot, dealt: int):
+    """What a task has added up, with its part: 0, or by the words behind the first ``dealt`` where ``is_hot`` says so. It
+    is sorted: equal words side by side take less room in a shuffle, and whoever gets them merges what is in order."""
+    for lang, columns, count in sums.take():
+        order = np.lexsort(columns[::-1])
+        columns, count = [c[order] for c in columns], count[order]
+        part = np.where(is_hot(lang, columns), 1 + (row_hash(columns[dealt:]) % np.uint64(PARTS)).astype(np.int32), 0).astype(np.int32)
+        yield from _batch(lang, columns, [part, count], [*WORDS[: sums.width], "part", "c"])
+
+
+def project_words(docs: DataFrame, words: DataFrame, n_words: int) -> DataFrame:
+    """lang, w1 to w3, part, c: each place where two of the ``words`` stand, and the third if it is one, else 0, with the
+    number of equal ones in a task. ``part`` is 0 unless both words are hot, as no other pair can be."""
+    table = docs.sparkSession.sparkContext.broadcast(_bit_table(words, ["w1"]))
+    hot = _hot(words, ["w1"], n_words)
+
+    def is_hot(lang, columns):
+        return _is_hot(hot.value, _key(lang, columns[:1])) & _is_hot(hot.value, _key(lang, columns[1:2]))
+
+    def run(batches):
+        bits = table.value
+        sums = _Sums(RUN)
+        for lang, text in _texts(batches):
+            raw, start, end, piece = tokenize(text)
+            h = hashes(raw, start, end)
+            if len(h) < 2:
+                continue
+            some = _listed(bits, lang, [h])
+            goes_on = np.append((piece[1:] == piece[:-1]) & some[1:] & some[:-1], False)
+            at = np.flatnonzero(goes_on)
+            columns = [h[at], h[at + 1], np.where(goes_on[at + 1], np.append(h, 0)[at + 2], 0)]
+            one, count = add_up(columns, np.ones(len(at), np.int64))
+            sums.add(lang, [c[one] for c in columns], count)
+            if sums.held > HELD_WINDOWS:
+                sums.settle()
+                if sums.held > HELD_WINDOWS // 2:
+                    yield from _sent(sums, is_hot, 2)
+        yield from _sent(sums, is_hot, 2)
+
+    return _own(docs).mapInArrow(run, "lang string, " + ", ".join(f"{w} long" for w in WORDS[:RUN]) + ", part int, c long")
+
 
-    def send(sums):
-        for lang, columns, count in sums.take():
-            key, many = _pair_key(lang, columns[0], columns[1]), hot.value
-            is_hot = many[np.minimum(np.searchsorted(many, key), len(many) - 1)] == key if len(many) else np.zeros(len(key), bool)
-            part = np.where(is_hot, 1 + (row_hash(columns[2:]) % np.uint64(PARTS)).astype(np.int32), 0).astype(np.int32)
-            yield from _batch(lang, columns, [part, count], names)
+def project(docs: DataFrame, triples: DataFrame, n_places: int) -> DataFrame:
+    """lang, w1 to w5, part, c: what stands right of each place where two of the ``triples`` begin in a row, 0 where it
+    ends, with the number of equal ones in a task. ``part`` is 0 for a prefix that one task holds."""
+    table = docs.sparkSession.sparkContext.broadcast(_bit_table(triples, WORDS[:RUN]))
+    hot = _hot(triples, WORDS[:RUN], n_places)
+
+    def is_hot(lang, columns):
+        return _is_hot(hot.value, _key(lang, columns[:RUN]))
 
     def run(batches):
         bits = table.value
@@ -242,25 +279,24 @@ def project(docs: DataFrame, pairs: DataFrame, n_pairs: int) -> DataFrame:
         for lang, text in _texts(batches):
             raw, start, end, piece = tokenize(text)
             h = hashes(raw, start, end)
-            if len(h) < 3:
+            if len(h) <= RUN:
                 continue
-            key = _pair_key(lang, h[:-1], h[1:]) >> np.uint64(64 - PAIR_BITS)
-            # a 64-bit row's bytes come lowest first
-            goes_on = (piece[1:] == piece[:-1]) & ((bits[key >> np.uint64(3)] >> (key & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+            # places whose run of three is in a piece and may be frequent
+            goes_on = (piece[2:] == piece[:-2]) & _listed(bits, lang, [h[:-2], h[1:-1], h[2:]])
             goes_on = np.concatenate((goes_on, np.zeros(LONGEST, bool)))
             at = np.flatnonzero(goes_on[: len(h)] & goes_on[1 : len(h) + 1])
             padded = np.concatenate((h, np.zeros(LONGEST, np.int64)))
-            columns, open_ = [padded[at], padded[at + 1], padded[at + 2]], np.ones(len(at), bool)
-            for i in range(3, LONGEST):
-                open_ &= goes_on[at + i - 1]
+            columns, open_ = [padded[at + i] for i in range(RUN + 1)], np.ones(len(at), bool)
+            for i in range(RUN + 1, LONGEST):
+                open_ &= goes_on[at + i + 1 - RUN]
                 columns.append(np.where(open_, padded[at + i], 0))
             one, count = add_up(columns, np.ones(len(at), np.int64))
             sums.add(lang, [c[one] for c in columns], count)
             if sums.held > HELD_WINDOWS:
                 sums.settle()
                 if sums.held > HELD_WINDOWS // 2:
-                    yield from send(sums)
-        yield from send(sums)
+                    yield from _sent(sums, is_hot, RUN)
+        yield from _sent(sums, is_hot, RUN)
 
     return _own(docs).mapInArrow(run, "lang string, " + ", ".join(f"{w} long" for w in WORDS) + ", part int, c long")
 
@@ -268,7 +304,7 @@ def project(docs: DataFrame, pairs: DataFrame, n_pairs: int) -> DataFrame:
 def grow(rows: list[np.ndarray], count: np.ndarray, first: int, last: int, length: int, least: int, found: list) -> None:
     """Adds (place of a row, length, count) of each pattern of at least ``least`` occurrences that extends the first
     ``length`` words of the sorted rows first to last, each with its own extensions before the next."""
-    if length == LONGEST:
+    if length == len(rows):
         return
     word = rows[length][first:last]
     at = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))) + first
@@ -279,24 +315,26 @@ def grow(rows: list[np.ndarray], count: np.ndarray, first: int, last: int, lengt
         grow(rows, count, at[i], ends[i], length + 1, least, found)
 
 
-def grow_all(rows: list[np.ndarray], count: np.ndarray, first: int, last: int, found: list) -> None:
-    """``grow`` of every pattern, whatever its count, of the sorted rows first to last."""
-    new = np.zeros(last - first, bool)
-    new[0] = True
-    for length in range(2, LONGEST):
-        word = rows[length][first:last]
+def grow_all(rows: list[np.ndarray], count: np.ndarray, own: np.ndarray, new: np.ndarray, length: int):
+    """Places, lengths and counts of every pattern, whatever its count, that extends the first ``length`` words of the
+    sorted rows ``own``, where a prefix begins at ``new``."""
+    new, count = new[own], count[own]
+    for i in range(length, len(rows)):
+        word = rows[i][own]
         new[1:] |= word[1:] != word[:-1]
         at = np.flatnonzero(new)
-        sums = np.add.reduceat(count[first:last], at)
+        sums = np.add.reduceat(count, at)
         some = word[at] != 0
-        found += zip((at[some] + first).tolist(), [length + 1] * int(some.sum()), sums[some].tolist())
+        yield own[at[some]], np.full(int(some.sum()), i + 1), sums[some]
 
 
-def grow_prefixes(projected: DataFrame, least: int, held: int = HELD) -> DataFrame:
-    """lang, w1 to w5, c of phrases of three words and more. A prefix's rows come sorted; where they are more than
-    ``held`` they are worked on in runs. Runs and parts of a hot prefix give all that they find, to be added up."""
-    by = ["lang", "w1", "w2", "part"]
-    rows = projected.repartition(*by).sortWithinPartitions(*by, *WORDS[2:])
+def grow_prefixes(projected: DataFrame, least: int, held: int = HELD, dealt: int = 2, known: int = 2) -> DataFrame:
+    """lang, w1 to w5, c of phrases of more than ``known`` words. Rows are dealt by their first ``dealt`` words, a prefix,
+    and come sorted; where a prefix has more than ``held`` rows they are worked on in runs. Runs and parts of a hot prefix
+    give all that they find, to be added up."""
+    given = [w for w in WORDS if w in projected.columns]
+    by = [*WORDS[:dealt], "part", "lang"]
+    rows = projected.repartition(*by).sortWithinPartitions(*by, *given[dealt:])
 
     def run(batches):
         waiting, n, due, begun = [], 0, held // 8, None
@@ -309,32 +347,35 @@ def grow_prefixes(projected: DataFrame, least: int, held: int = HELD) -> DataFra
             if not n:
                 continue
             table = pa.Table.from_batches(waiting)
-            words = [table[w].to_numpy() for w in WORDS]
+            words = [table[w].to_numpy() for w in given]
             part, count = table["part"].to_numpy(), table["c"].to_numpy()
             langs = pa.chunked_array(table["lang"]).combine_chunks().dictionary_encode()
             lang, names = langs.indices.to_numpy(), langs.dictionary.to_pylist()
             new = np.ones(n, bool)
             new[1:] = lang[1:] != lang[:-1]
-            for c in (words[0], words[1], part):
+            for c in (*words[:dealt], part):
                 new[1:] |= c[1:] != c[:-1]
             at = np.flatnonzero(new)
             last = batch is None
             cut_off = not last and len(at) == 1 and n > held
             end = n if last or cut_off else int(at[-1])
-            found: list = []
-            for a, b in zip(at.tolist(), [*at[1:].tolist(), n]):
-                if b > end:
-                    break
-                if part[a] or cut_off or (names[lang[a]], words[0][a], words[1][a], part[a]) == begun:
-                    grow_all(words, count, a, b, found)
-                elif count[a:b].sum() >= least:
-                    grow(words, count, a, b, 2, least, found)
-            if found:
-                place, length, c = (np.array(x, np.int64) for x in zip(*found))
-                out = [np.where(length > i, words[i][place], 0) for i in range(LONGEST)]
-                yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(lang[place])), *map(pa.array, out), pa.array(c)], names=["lang", *WORDS, "c"])
+            ends = np.append(at[1:], n)
+            whole = ends <= end
+            at, ends = at[whole], ends[whole]
+            if len(at):
+                in_parts = (part[at] != 0) | cut_off
+                in_parts[0] |= (names[lang[0]], *(w[0] for w in words[:dealt]), part[0]) == begun
+                own = np.flatnonzero(np.repeat(in_parts, ends - at))
+                found: list = []
+                for i in np.flatnonzero(~in_parts & (np.add.reduceat(count[:end], at) >= least)).tolist():
+                    grow(words, count, at[i], ends[i], known, least, found)
+                some = [tuple(np.array(x, np.int64) for x in zip(*found))] if found else []
+                some += grow_all(words, count, own, new, known) if len(own) else []
+                for place, length, c in some:
+                    out = [np.where(length > i, words[i][place], 0) if i < len(words) else np.zeros(len(place), np.int64) for i in range(LONGEST)]
+                    yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(lang[place])), *map(pa.array, out), pa.array(c)], names=["lang", *WORDS, "c"])
             if cut_off:
-                begun = (names[lang[0]], words[0][0], words[1][0], part[0])
+                begun = (names[lang[0]], *(w[0] for w in words[:dealt]), part[0])
             waiting, n = table.slice(end).to_batches(), n - end
             due = max(held // 8, 2 * n)
 
@@ -344,18 +385,24 @@ def grow_prefixes(projected: DataFrame, least: int, held: int = HELD) -> DataFra
 def frequent_phrases(docs: DataFrame, least: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Phrases of 1 to 5 words with at least ``least`` occurrences (lang, w1 to w5, c), the frequent words (lang, w1,
     word) and each language's number of words (lang, n)."""
-    counted = scratch.save(count_pairs(docs).where((F.col("c") >= least) | (F.col("w1") == 0)), "counted")
-    total = counted.where("w1 = 0 and w2 = 0").select("lang", F.col("c").alias("n"))
-    n_pairs = counted.where("w1 = 0 and w2 = 1").agg(F.sum("c")).first()[0] or 0
-    short = counted.where((F.col("w1") != 0) & (F.col("c") >= least))
-    names = short.where("w2 = 0").select("lang", "w1", "word")
+    counted = scratch.save(count_words(docs).where((F.col("c") >= least) | (F.col("w1") == 0)), "words")
+    total = counted.where("w1 = 0").select("lang", F.col("c").alias("n"))
+    words = counted.where((F.col("w1") != 0) & (F.col("c") >= least))
+    names = words.select("lang", "w1", "word")
     if names.groupBy("lang", "w1").count().where("count > 1").limit(1).count():
         raise ValueError("two frequent words of a language have one hash")
-    projected = project(docs, short.where("w2 <> 0"), n_pairs)
-    longer = grow_prefixes(projected, least).groupBy("lang", *WORDS).agg(F.sum("c").alias("c")).where(F.col("c") >= least)
-    zero = F.lit(0).cast("long")
-    short = short.select("lang", "w1", "w2", *(zero.alias(w) for w in WORDS[2:]), "c")
-    return scratch.save(short.unionByName(longer), "phrases"), names, total
+
+    def grown(projected: DataFrame, dealt: int, known: int) -> DataFrame:
+        found = grow_prefixes(projected, least, dealt=dealt, known=known)
+        return found.groupBy("lang", *WORDS).agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+
+    n_words = total.agg(F.sum("n")).first()[0] or 0
+    runs = scratch.save(grown(project_words(docs, words, n_words), 2, 1), "runs")
+    triples = runs.where("w3 <> 0")
+    n_places = triples.agg(F.sum("c")).first()[0] or 0
+    longer = grown(project(docs, triples, n_places), RUN, RUN)
+    words = words.select("lang", "w1", *(F.lit(0).cast("long").alias(w) for w in WORDS[1:]), "c")
+    return scratch.save(words.unionByName(runs).unionByName(longer), "phrases"), names, total
 
 
 def _words(length: int, start: int = 0):

@@ -168,6 +168,33 @@ def test_prefixes_in_runs_and_parts(spark):
         assert {tuple(r)[:6]: r.c for r in got.collect()} == want
 
 
+def test_rows_behind_prefixes(spark, monkeypatch):
+    """Frequent pairs in a row whose runs of three are rare send no row to a prefix's task; frequent runs send theirs."""
+    sent, project = [], phrases.project
+    monkeypatch.setattr(phrases, "project", lambda *a: sent.append(project(*a)) or sent[-1])
+    rng = random.Random(6)
+    # each of 16 pairs of words some 250 times, each run of three some 60 times
+    rows = [(i, " ".join(rng.choice("abcd") for _ in range(5)), "en", "x", 1) for i in range(1000)]
+    for more, some in (([], False), ([(i, "p q r s t", "en", "x", 1) for i in range(1000, 1150)], True)):
+        df = spark.createDataFrame(rows + more, DOCS).repartition(3)
+        want = brute([(r[1], r[2]) for r in rows + more], 150, 2000)
+        assert {tuple(r) for r in phrases.mine_phrases(df, 150).collect()} == want and len(want) >= 16
+        got = [(r.c, r.w4 != 0, r.w5 != 0) for r in sent.pop().collect()]
+        assert (sum(c for c, _, _ in got), all(d for _, d, _ in got)) == (300 if some else 0, True)
+
+
+def test_hot_words_are_dealt_in_parts(spark):
+    """Two words in most places: their pair comes in parts, which add up."""
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choice(["x y", "x y z", "y x", f"w{rng.randint(0, 30)}"]) for _ in range(8)) + ".", "en", "x", 1) for i in range(300)]
+    df = spark.createDataFrame(rows, DOCS).repartition(4)
+    words = phrases.count_words(df).where("w1 <> 0 and c >= 20")
+    n = phrases.count_words(df).where("w1 = 0").first().c
+    parts = phrases.project_words(df, words, n).select("w1", "w2", "part").distinct().groupBy("w1", "w2").count()
+    assert parts.agg(F.max("count")).first()[0] > 3
+    assert {tuple(r) for r in phrases.mine_phrases(df, 20).collect()} == brute([(r[1], r[2]) for r in rows], 20, 2000)
+
+
 def test_large_numbers_are_exact(spark):
     """Products past 64 bits."""
     h = lambda *w: [*w, *[0] * (5 - len(w))]
